@@ -1,0 +1 @@
+"""Column functions and driver-side numerical helpers."""
