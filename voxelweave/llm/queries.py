@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import exact_dedup, packing, tokens, warc
+from voxelweave.llm import exact_dedup, packing, quality, tokens, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,6 +27,10 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digest(warc.archive_pages(read(spark, sf_dir, "pages"), with_payload=False))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

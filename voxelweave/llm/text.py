@@ -68,32 +68,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             at = end
 
 
+def segments(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of ``inside`` that do not cross a document: start, end (exclusive) and document number."""
+    n = len(inside)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    cut = np.zeros(n + 1, bool)
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    cut[n] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:n]
+    last[:-1] &= ~inside[1:] | cut[1:n]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings ``data[start:end]``, by differences of a running polynomial."""
+    n = len(data)
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of a slice of texts: document number, start, end and 64-bit hash of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        self.n_docs, n = len(offsets) - 1, len(data)
-        if lower:
-            data = _LOWER[data]
-        self.data = data
-        if not n:
-            self.start = self.end = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
-        else:
-            inside = ~_SPACE[data]
-            cut = np.zeros(n + 1, bool)
-            cut[offsets[:-1][offsets[:-1] < n]] = True
-            cut[n] = True
-            first = inside.copy()
-            first[1:] &= ~inside[:-1] | cut[1:n]
-            last = inside.copy()
-            last[:-1] &= ~inside[1:] | cut[1:n]
-            self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-            up, down = powers(n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-            self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.n_docs = len(offsets) - 1
+        self.data = _LOWER[data] if lower else data
+        self.start, self.end, self.doc = segments(~_SPACE[self.data], offsets)
+        self.hash = span_hashes(self.data, self.start, self.end)
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
         self.count = np.diff(self.first)
 
