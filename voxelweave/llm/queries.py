@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import exact_dedup, packing, quality, tokens, toxicity, warc
+from voxelweave.llm import exact_dedup, near_dedup, packing, quality, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,6 +19,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokens.tokenizer_path(TOKENIZER), 1024, 2)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.5)
 
