@@ -40,10 +40,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-        """Write ``df`` hash-bucketed on ``key``; joins and cogroups of two such tables need no exchange."""
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int, dealt: bool = False) -> DataFrame:
+        """Write ``df`` hash-bucketed on ``key``; joins and cogroups of two such tables need no exchange.
+
+        ``dealt``: every partition of ``df`` holds few values of ``key`` already, so it is written as it is.
+        """
         table = f"vw_{uuid.uuid4().hex[:16]}"
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", self.path(name)).format("parquet").saveAsTable(table)
+        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", self.path(name)).format("parquet").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
