@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import exact_dedup, near_dedup, packing, quality, tokens, toxicity, warc
+from voxelweave.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,6 +15,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokens.tokenizer_path(TOKENIZER), 1024, 2)
 
