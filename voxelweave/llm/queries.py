@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity, warc
+from voxelweave.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,6 +27,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 0.8)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.5)
 
@@ -35,6 +39,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digest(warc.archive_pages(read(spark, sf_dir, "pages"), with_payload=False))
 
