@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, suffix_dedup, tokens, toxicity, warc
+from voxelweave.llm import chat, decontamination, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,6 +51,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.3)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
