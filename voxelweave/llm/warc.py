@@ -26,32 +26,39 @@ RECORDS = (
 )
 
 
+#: Rows up to which a side table is broadcast (about 64 bytes each); above, the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
 def payload_table(pages: DataFrame, id_col: str, body_col: str, url_col: str) -> DataFrame:
-    """``page_id, url, body, payload_bytes, payload_digest, nonce``; a null body is empty."""
+    """``page_id, url, body, payload_bytes, payload_digest``; a null body is empty."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     return pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"),
         F.octet_length(body).cast("bigint").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"),
-        F.monotonically_increasing_id().alias("nonce"),
     )
 
 
-def choose_responses(table: DataFrame, min_bytes: int) -> DataFrame:
-    """Add ``first_id`` and ``first_nonce``: the capture that holds the payload, null where it is this one.
+def choose_responses(table: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
+    """Add ``first_id`` (page that holds the payload, if it is shared), ``revisit`` and ``nonce``.
 
-    Of equal payloads of at least ``min_bytes``, the smallest page id (null last, then the smallest nonce) is
-    the response. Only digests, sizes and ids meet in the aggregate; it is combined on the map side.
+    Of equal payloads of at least ``min_bytes``, the smallest page id (null last) is the response. Only
+    digests, sizes and ids meet in the aggregates, combined on the map side; payloads are not moved for it.
+    ``nonce`` tells rows apart that repeat an id.
     """
-    best = F.min(F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id").alias("i"), F.col("nonce").alias("n"))).alias("b")
-    firsts = table.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(best, F.count("*").alias("c")).where("c > 1")
-    firsts = firsts.select(F.col("payload_digest").alias("d_"), F.col("b.i").alias("first_id"), F.col("b.n").alias("first_nonce"))
-    joined = table.join(firsts, F.col("payload_digest") == F.col("d_"), "left").drop("d_")
-    other = F.col("first_nonce").isNotNull() & (F.col("first_nonce") != F.col("nonce"))
-    return joined.withColumn("revisit", other)
-
-
-def _urn(kind: str, page: str, nonce: str) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.col(nonce).cast("string")))
+    small = table.select("page_id", "payload_bytes", "payload_digest")
+    best = F.min(F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id").alias("i"))).alias("b")
+    firsts = small.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(best, F.count("*").alias("c")).where("c > 1")
+    firsts = scratch.keep(firsts.select(F.col("payload_digest").alias("d_"), F.col("b.i").alias("first_id"), F.lit(True).alias("shared")), "firsts")
+    again = scratch.keep(small.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("page_id").alias("p_"), F.lit(True).alias("repeated")), "repeated")
+    bounded = lambda side: F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    joined = table.join(bounded(firsts), F.col("payload_digest") == F.col("d_"), "left").join(bounded(again), F.col("page_id").eqNullSafe(F.col("p_")), "left")
+    other = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return joined.select(*table.columns, "first_id", other.alias("revisit"), F.when(F.col("repeated"), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("nonce"))
+
+
+def _urn(kind: str, page: Column, nonce: Column) -> Column:
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("null")), nonce.cast("string")))
     parts = [h.substr(a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -64,14 +71,14 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def write_archives(table: DataFrame, path: str, date: str, captures_per_file: int) -> None:
     """Write chosen captures (see ``choose_responses``) as gzip-compressed WARC files of bounded length."""
-    rid, first = _urn("response", "page_id", "nonce"), _urn("response", "first_id", "first_nonce")
+    rid, first = _urn("response", F.col("page_id"), F.col("nonce")), _urn("response", F.col("first_id"), F.lit(0))
     # a header must stay on its line, whatever the url holds
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]", "")
     when, digest = F.lit(date), F.concat(F.lit("sha256:"), F.col("payload_digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn("request", "page_id", "nonce")), ("WARC-Date", when), ("WARC-Target-URI", url), ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/http;msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn("request", F.col("page_id"), F.col("nonce"))), ("WARC-Date", when), ("WARC-Target-URI", url), ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/http;msgtype=request"))],
         F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)),
     )
     main = [("WARC-Record-ID", rid), ("WARC-Date", when), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http;msgtype=response"))]
@@ -81,7 +88,7 @@ def write_archives(table: DataFrame, path: str, date: str, captures_per_file: in
         F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f"{CRLF}payload-bytes: "), F.col("payload_bytes").cast("string"),
         F.when(F.col("revisit"), F.concat(F.lit(f"{CRLF}refers-to-page: "), F.coalesce(F.col("first_id").cast("string"), F.lit("")))).otherwise(F.lit("")), F.lit(CRLF),
     )
-    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", "page_id", "nonce")), ("WARC-Date", when), ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))], fields)
+    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", F.col("page_id"), F.col("nonce"))), ("WARC-Date", when), ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))], fields)
     text = F.concat_ws(CRLF * 2, request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)
     table.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
 
@@ -148,14 +155,13 @@ def archive_pages(
     """Write one capture per row, read the archives back and return the assembled transactions.
 
     A null body is an empty payload; payloads under ``min_bytes`` are never revisits; a null id sorts last;
-    repeated rows are captures of their own (all but one become revisits); a null url is an empty target;
+    repeated rows are captures of their own, and alike (all responses, or all revisits); a null url is an empty target;
     other columns are ignored; an empty table gives an empty table.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    table = scratch.keep(payload_table(pages, id_col, body_col, url_col), "pages")
-    write_archives(choose_responses(table, min_bytes), scratch.path("archives"), date, captures_per_file)
-    scratch.drop("pages")
+    table = payload_table(pages, id_col, body_col, url_col)
+    write_archives(choose_responses(table, min_bytes, scratch), scratch.path("archives"), date, captures_per_file)
     return assemble(scratch.keep(read_archives(spark, scratch.path("archives"), with_payload), "records"))
 
 
