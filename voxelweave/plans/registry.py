@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxelweave.plans import catalog_queries, grid_queries
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["clump_cell_count_volume_mass"](spark, sf_dir)
+    """Structures below the threshold, with size, mass, centroid, box and exposed area."""
+    return grid_queries.stitched_catalog(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**grid_queries.QUERIES, **catalog_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**grid_queries.SQL, **catalog_queries.SQL}
