@@ -1,2 +1,271 @@
-QUERIES = {}
-SQL = {}
+"""Catalog queries: every ``lineitem`` row is a structure, every ship year a snapshot.
+
+volume = cell_count = quantity (integers 1..50), mass = extended price, area = 1 + tax, velocity_std = discount.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelweave.operators import ml, models
+from voxelweave.operators import spectra as S
+from voxelweave.sources import readers
+
+EDGES = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 51.0]
+MASS_EDGES = [100.0, 1000.0, 5000.0, 10000.0, 50000.0, 200000.0]
+STD_EDGES = [0.005, 0.015, 0.035, 0.065, 0.11]
+AREA_EDGES = [0.01, 0.05, 0.1, 0.3, 0.6, 1.2]
+T = [1.0, 5.0, 10.0, 20.0, 30.0, 40.0, 45.0, 50.0]
+CUTS = [0.0, 1.0, 8.0, 20.0]
+ALPHAS = [-1.5, -0.5, 0.5, 1.5]
+NAMES = ["volume", "mass", "area", "velocity_std"]
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.year("l_shipdate")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("gid"), year.alias("step"), F.col("l_quantity").cast("bigint").alias("cell_count"), F.col("l_quantity").alias("volume"),
+        F.col("l_extendedprice").alias("mass"), (F.lit(1.0) + F.col("l_tax")).alias("area"), F.col("l_discount").alias("velocity_std"), F.col("l_tax").alias("velocity_mean"),
+        F.col("l_suppkey").alias("supp"),
+    )
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def size_histogram(spark, d):
+    return S.histogram(S.sizes(catalog(spark, d)), "size", EDGES).select("bin", "lo", "hi", "n")
+
+
+def size_spectrum(spark, d):
+    return _r(S.size_spectrum(S.sizes(catalog(spark, d)).where("size > 8"), "size", EDGES)).select("bin", "n", "spectrum")
+
+
+def volume_spectra_by_step(spark, d):
+    return _r(S.size_spectrum(catalog(spark, d).where("cell_count > 8"), "volume", EDGES, ("step",))).select("step", "bin", "n", "spectrum")
+
+
+def spectrum_compare_ratio(spark, d):
+    c = catalog(spark, d)
+    return _r(S.compare_spectra(c.where("step <= 1994"), c.where("step > 1994"), "volume", EDGES)).drop("mid")
+
+
+def hist2d_size_vdisp(spark, d):
+    return S.hist2d(catalog(spark, d), "volume", "velocity_std", EDGES, STD_EDGES)
+
+
+def hist2d_area89(spark, d):
+    return S.hist2d(catalog(spark, d).withColumn("a89", S.normalised_area()), "volume", "a89", EDGES, AREA_EDGES)
+
+
+def cumulative_product(spark, d):
+    return S.cumulative_product(catalog(spark, d), "volume", T)
+
+
+def cumulative_count(spark, d):
+    return S.cumulative_product(catalog(spark, d), "volume", T, ("step",)).select("step", "t", "count")
+
+
+def cumulative_envelope(spark, d):
+    return S.envelope(S.cumulative_product(catalog(spark, d), "volume", T, ("step",)))
+
+
+def reverse_rank_cdf(spark, d):
+    return _r(S.reverse_rank(catalog(spark, d), "mass", "step", "gid"))
+
+
+def median_curve(spark, d):
+    return _r(S.median_curve(catalog(spark, d), "mass", "volume", MASS_EDGES))
+
+
+def powerlaw_fit(spark, d):
+    return _r(S.powerlaw_fit(catalog(spark, d), "volume", "mass", ("step",)))
+
+
+def powerlaw_segment_fit(spark, d):
+    return _r(S.powerlaw_segment_fit(S.cumulative_product(catalog(spark, d), "volume", [float(t) for t in range(1, 51)]), "t", "product"))
+
+
+def pearson_matrix(spark, d):
+    return _r(ml.pearson(catalog(spark, d), NAMES))
+
+
+def zscore_features(spark, d):
+    return _r(ml.zscore(ml.features(catalog(spark, d), NAMES, ("gid",)), NAMES, ("gid",)), 5)
+
+
+def feature_flatten(spark, d):
+    c = catalog(spark, d).withColumns({"principal_axes_lengths": F.array("volume", "area", "velocity_std"), "axis_ratios": F.array("area", "velocity_std")})
+    return _r(ml.features(c, ["principal_axes_lengths", "axis_ratios", "num_cells", "mean_density", "dispersion_3d"], ("gid",)), 9)
+
+
+def box_units(spark, d):
+    """Cell volume and spacing of a catalog, and the sizes in cells."""
+    c = catalog(spark, d).withColumn("cv", F.col("volume") / F.greatest("cell_count", F.lit(1)))
+    unit = c.agg(F.median("cv").alias("cell_volume"))
+    return _r(c.crossJoin(F.broadcast(unit)).groupBy("step", "cell_volume").agg(F.sum(F.col("volume") / F.col("cell_volume")).alias("cells"), F.max(F.pow("cell_volume", F.lit(1.0 / 3))).alias("dx")))
+
+
+def _spectra(spark, d):
+    return S.size_spectrum(catalog(spark, d), "volume", EDGES, ("step",), per_width=False)
+
+
+def snapshot_summary(spark, d):
+    return catalog(spark, d).groupBy("step").agg(F.count("*").alias("n_clumps"), F.sum("volume").alias("total_vol"))
+
+
+def snapshot_bin_mean_std(spark, d):
+    return _r(models.bin_mean_std(_spectra(spark, d)), 4)
+
+
+def anchor_normalise(spark, d):
+    n = catalog(spark, d).select("step").distinct().count()
+    return _r(models.anchor_normalise(_spectra(spark, d), "step", 1.2, n))
+
+
+def bins_all_any(spark, d):
+    n = catalog(spark, d).select("step").distinct().count()
+    return models.bins_all_any(_spectra(spark, d), "step", n)
+
+
+def powerlaw_nll_grid(spark, d):
+    stats = models.powerlaw_statistics(catalog(spark, d), "volume", CUTS)
+    grid = spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")
+    return stats.crossJoin(F.broadcast(grid)).select("cut", "alpha", "n", F.round(models.powerlaw_nll(F.col("alpha")), 3).alias("nll"))
+
+
+def aic_bic_table(spark, d):
+    g = powerlaw_nll_grid(spark, d).withColumns({"aic": 2 + 2 * F.col("nll"), "bic": F.log("n") + 2 * F.col("nll")})
+    best = g.groupBy("cut").agg(F.min("aic").alias("best"))
+    return _r(g.join(best, "cut").select("cut", "alpha", "aic", "bic", (F.col("aic") - F.col("best")).alias("delta_aic")), 3)
+
+
+def vmin_sweep(spark, d):
+    return _r(models.vmin_sweep(catalog(spark, d), "volume", CUTS), 4)
+
+
+def run_name_parse(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    name = F.concat(F.lit("res"), F.col("o_custkey").cast("string"), F.lit("_x_step"), F.lpad(F.month("o_orderdate").cast("string"), 5, "0"), F.lit("_conn6_T0p0"), (F.col("o_orderkey") % 9).cast("string"))
+    return o.withColumn("name", F.when(F.col("o_orderkey") % 7 == 0, F.lit("other")).otherwise(name)).select("o_orderkey", *readers.run_fields(F.col("name")))
+
+
+def step_over_30(spark, d):
+    """Snapshots by the number in a directory's name, only those after step 30."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("dir", F.concat(F.lit("n640_sweep/step"), F.lpad((F.col("event_id") % 60).cast("string"), 5, "0")))
+    step = F.regexp_extract("dir", r"step(\d+)", 1).cast("int")
+    return e.select(step.alias("step"), F.regexp_extract("dir", r"n(\d+)_sweep", 1).cast("int").alias("res")).where("step > 30").groupBy("step", "res").agg(F.count("*").alias("n"))
+
+
+def label_sanitize(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", readers.sanitised(F.concat(F.lit(" "), "p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("label"))
+
+
+def pca_scores(spark, d):
+    return _r(ml.pca(ml.features(catalog(spark, d), NAMES, ("gid",)), NAMES, 8, ("gid",))[0])
+
+
+def pca_explained(spark, d):
+    _, parts, ratio = ml.pca(ml.features(catalog(spark, d), NAMES), NAMES, 8)
+    return spark.createDataFrame([(i + 1, float(v), [float(x) for x in p]) for i, (v, p) in enumerate(zip(ratio, parts, strict=True))], "component int, ratio double, loadings array<double>")
+
+
+def fa_loadings(spark, d):
+    load, noise = ml.factor_analysis(ml.features(catalog(spark, d), NAMES), NAMES, 2)
+    return spark.createDataFrame([(n, [float(x) for x in row], float(v)) for n, row, v in zip(NAMES, load, noise, strict=True)], "feature string, loadings array<double>, noise double")
+
+
+def embedding_plane(spark, d):
+    return _r(ml.embedding(ml.features(catalog(spark, d), NAMES, ("gid",)), NAMES, ("gid",)))
+
+
+def kmeans_clusters(spark, d):
+    return ml.kmeans(ml.features(catalog(spark, d), NAMES, ("gid",)), NAMES, 4, keep=("gid",))
+
+
+def dbscan_clusters(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_nationkey") / 5).alias("y"))
+    return ml.dbscan(c, "key", ["x", "y"], 0.25, 5)
+
+
+def weighted_sample(spark, d):
+    return ml.weighted_sample(catalog(spark, d).select("gid", "volume", "mass"), 500, "sqrt_volume")
+
+
+def nlls_model_fits(spark, d):
+    return models.fit_curves(S.size_spectrum(catalog(spark, d), "mass", S.geometric_edges(900.0, 110000.0, 24)), "mid", "spectrum")
+
+
+def dpl_mle_fit(spark, d):
+    return models.dpl_mle(catalog(spark, d), "cell_count")
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "catalog"}
+
+# ---- SQL ------------------------------------------------------------------------------------------------------------
+CAT = (
+    "WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS gid, CAST(year(l_shipdate) AS INT) AS step, CAST(l_quantity AS BIGINT) AS cell_count, l_quantity AS volume, l_extendedprice AS mass, "
+    "1.0::DOUBLE + l_tax AS area, l_discount AS velocity_std, l_tax AS velocity_mean FROM lineitem)"
+)
+
+
+def _bin(x: str, edges: list[float], closed: bool = True) -> str:
+    whens = " ".join(f"WHEN {x} < {b!r} THEN {i}" for i, b in enumerate(edges[1:]))
+    return f"CASE WHEN {x} < {edges[0]!r} THEN NULL {whens} WHEN {x} = {edges[-1]!r} THEN {len(edges) - 2 if closed else 'NULL'} END"
+
+
+def _edges(edges: list[float]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))) + ") e(bin, lo, hi)"
+
+
+def _hist(where: str, by: str = "") -> str:
+    return f"h AS (SELECT {by} {_bin('volume', EDGES)} AS bin, count(*) AS n FROM c WHERE {where} GROUP BY ALL)"
+
+
+_SPEC = "sqrt(lo * hi) * coalesce(n, 0) / ln(hi / lo)"
+_T = "(VALUES " + ", ".join(f"({t!r}::DOUBLE)" for t in T) + ") t(t)"
+_NLL = "n * ln((exp(alpha * ln(10) * hi) - exp(alpha * ln(10) * lo)) / (alpha * ln(10))) - alpha * ln(10) * s"
+_NLLQ = CAT + f", s AS (SELECT k.cut, count(*) AS n, sum(log10(volume)) AS s, min(log10(volume)) AS lo, max(log10(volume)) AS hi FROM c JOIN (SELECT unnest({CUTS})::DOUBLE AS cut) k ON volume > k.cut GROUP BY 1), " \
+    f"g AS (SELECT cut, alpha, n, round({_NLL}, 3) AS nll FROM s, (SELECT unnest({ALPHAS})::DOUBLE AS alpha))"
+_BYSTEP = CAT + ", " + _hist("TRUE", "step,") + f", s AS (SELECT step, bin, n, sqrt(lo * hi) * n AS spectrum, lo, hi FROM h JOIN {_edges(EDGES)} USING (bin))"
+_NSTEP = "(SELECT count(DISTINCT step) FROM c)"
+
+SQL: dict[str, str] = {
+    "size_histogram": CAT + ", " + _hist("volume > 0") + f" SELECT bin, lo, hi, coalesce(n, 0) AS n FROM {_edges(EDGES)} LEFT JOIN h USING (bin)",
+    "size_spectrum": CAT + ", " + _hist("volume > 8") + f" SELECT bin, coalesce(n, 0) AS n, round({_SPEC}, 6) AS spectrum FROM {_edges(EDGES)} LEFT JOIN h USING (bin)",
+    "volume_spectra_by_step": CAT + ", " + _hist("volume > 8", "step,") + f" SELECT step, bin, n, round({_SPEC}, 6) AS spectrum FROM h JOIN {_edges(EDGES)} USING (bin)",
+    "spectrum_compare_ratio": CAT + f", a AS (SELECT {_bin('volume', EDGES)} AS bin, count(*) AS n FROM c WHERE step <= 1994 GROUP BY 1), b AS (SELECT {_bin('volume', EDGES)} AS bin, count(*) AS n FROM c WHERE step > 1994 GROUP BY 1), "
+    f"j AS (SELECT e.*, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM {_edges(EDGES)} LEFT JOIN a USING (bin) LEFT JOIN b USING (bin)), k AS (SELECT bin, n_a, n_b, sqrt(lo * hi) * n_a / ln(hi / lo) AS sa, sqrt(lo * hi) * n_b / ln(hi / lo) AS sb FROM j) "
+    "SELECT bin, n_a, round(sa, 6) AS spectrum_a, n_b, round(sb, 6) AS spectrum_b, round(CASE WHEN sa > 0 THEN sb / sa END, 6) AS ratio FROM k",
+    "hist2d_size_vdisp": CAT + f", b AS (SELECT {_bin('volume', EDGES)} AS xbin, {_bin('velocity_std', STD_EDGES)} AS ybin FROM c WHERE volume > 0 AND velocity_std > 0) SELECT xbin, ybin, count(*) AS n FROM b WHERE xbin IS NOT NULL AND ybin IS NOT NULL GROUP BY 1, 2",
+    "hist2d_area89": CAT + f", d AS (SELECT volume, area / pow(volume, 8.0::DOUBLE / 9) AS a89 FROM c), b AS (SELECT {_bin('volume', EDGES)} AS xbin, {_bin('a89', AREA_EDGES)} AS ybin FROM d) SELECT xbin, ybin, count(*) AS n FROM b WHERE xbin IS NOT NULL AND ybin IS NOT NULL GROUP BY 1, 2",
+    "cumulative_product": CAT + f' SELECT t, count(*) AS "count", count(*) * t AS product FROM {_T} JOIN c ON volume >= t GROUP BY t',
+    "cumulative_count": CAT + f', s AS (SELECT DISTINCT step FROM c) SELECT s.step, t, count(c.gid) AS "count" FROM s CROSS JOIN {_T} LEFT JOIN c ON c.step = s.step AND volume >= t GROUP BY 1, 2',
+    "cumulative_envelope": CAT + f", s AS (SELECT DISTINCT step FROM c), p AS (SELECT s.step, t, count(c.gid) * t AS product FROM s CROSS JOIN {_T} LEFT JOIN c ON c.step = s.step AND volume >= t GROUP BY 1, 2) "
+    "SELECT t, median(product) AS p_median, min(product) AS p_min, max(product) AS p_max FROM p GROUP BY t",
+    "reverse_rank_cdf": CAT + ", r AS (SELECT step, gid, mass, row_number() OVER (PARTITION BY step ORDER BY mass DESC, gid) AS n_ge, count(*) OVER (PARTITION BY step) AS k FROM c) "
+    "SELECT step, gid, round(mass, 6) AS mass, n_ge, round(mass * n_ge, 6) AS product, round(n_ge / k, 6) AS cdf FROM r",
+    "median_curve": CAT + f", b AS (SELECT *, {_bin('mass', MASS_EDGES, False)} AS bin FROM c WHERE mass > 0 AND volume > 0) SELECT bin, round(exp(avg(ln(mass))), 6) AS x_geo, round(median(volume), 6) AS y_median, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY bin HAVING count(*) >= 5",
+    "powerlaw_fit": CAT + " SELECT step, round(regr_slope(log10(mass), log10(volume)), 6) AS slope, round(regr_intercept(log10(mass), log10(volume)), 6) AS intercept, count(*) AS n FROM c WHERE mass > 0 AND volume > 0 GROUP BY step",
+    "powerlaw_segment_fit": CAT + ", p AS (SELECT CAST(t AS DOUBLE) AS t, count(*) * CAST(t AS DOUBLE) AS product FROM range(1, 51) r(t) JOIN c ON volume >= t GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM p) "
+    "SELECT round(regr_slope(log10(product), log10(t)), 6) AS slope, round(regr_intercept(log10(product), log10(t)), 6) AS intercept, count(*) AS n FROM i WHERE i >= floor(n * 0.55) AND i < ceil(n * 0.8)",
+    "pearson_matrix": CAT + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM c" for a in NAMES for b in NAMES),
+    "zscore_features": CAT + ", m AS (SELECT " + ", ".join(f"avg({n}) AS {n}_m, stddev_pop({n}) AS {n}_s" for n in NAMES) + " FROM c) SELECT gid, " + ", ".join(f"round(({n} - {n}_m) / {n}_s, 5) AS {n}" for n in NAMES) + " FROM c, m",
+    "feature_flatten": CAT + " SELECT gid, round(greatest(volume, area, velocity_std), 6) AS principal_axes_lengths, round(area, 6) AS axis_ratios, CAST(cell_count AS DOUBLE) AS num_cells, round(mass / volume, 9) AS mean_density, round(velocity_std, 6) AS dispersion_3d FROM c",
+    "box_units": CAT + ", u AS (SELECT median(volume / greatest(cell_count, 1)) AS cell_volume FROM c) SELECT step, round(cell_volume, 6) AS cell_volume, round(sum(volume / cell_volume), 6) AS cells, round(max(pow(cell_volume, 1.0::DOUBLE / 3)), 6) AS dx FROM c, u GROUP BY step, cell_volume",
+    "snapshot_summary": CAT + " SELECT step, count(*) AS n_clumps, sum(volume) AS total_vol FROM c GROUP BY step",
+    "snapshot_bin_mean_std": _BYSTEP + " SELECT bin, round(avg(spectrum), 4) AS mean, round(stddev_pop(spectrum), 4) AS std, count(*) AS n FROM s GROUP BY bin",
+    "bins_all_any": _BYSTEP + f" SELECT bin, count(*) FILTER (spectrum > 0) = {_NSTEP} AS in_all, bool_or(spectrum > 0) AS in_any FROM s GROUP BY bin",
+    "anchor_normalise": _BYSTEP + f", f AS (SELECT bin, any_value(log10(sqrt(lo * hi))) AS m, count(*) FILTER (spectrum > 0) = {_NSTEP} AS al FROM s GROUP BY bin), a AS (SELECT bin AS anchor FROM f ORDER BY NOT al, abs(m - 1.2), bin LIMIT 1), "
+    "v AS (SELECT step, spectrum AS av, anchor FROM s JOIN a ON s.bin = anchor) SELECT step, bin, anchor, round(spectrum / av, 6) AS normalised FROM s JOIN v USING (step)",
+    "powerlaw_nll_grid": _NLLQ + " SELECT * FROM g",
+    "aic_bic_table": _NLLQ + ", t AS (SELECT *, 2 + 2 * nll AS aic, ln(n) + 2 * nll AS bic FROM g) SELECT cut, alpha, round(aic, 3) AS aic, round(bic, 3) AS bic, round(aic - min(aic) OVER (PARTITION BY cut), 3) AS delta_aic FROM t",
+    "run_name_parse": "WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 'res' || o_custkey || '_x_step' || lpad(CAST(month(o_orderdate) AS VARCHAR), 5, '0') || '_conn6_T0p0' || (o_orderkey % 9) END AS name FROM orders), "
+    "p AS (SELECT * FROM n) SELECT o_orderkey, TRY_CAST(regexp_extract(name, 'res(\\d+)_.*step(\\d+)_conn(\\d+)_T([0-9p]+)', 1) AS INT) AS res, "
+    "TRY_CAST(regexp_extract(name, 'res(\\d+)_.*step(\\d+)_conn(\\d+)_T([0-9p]+)', 2) AS INT) AS step, TRY_CAST(regexp_extract(name, 'res(\\d+)_.*step(\\d+)_conn(\\d+)_T([0-9p]+)', 3) AS INT) AS conn, "
+    "TRY_CAST(replace(regexp_extract(name, 'res(\\d+)_.*step(\\d+)_conn(\\d+)_T([0-9p]+)', 4), 'p', '.') AS DOUBLE) AS temp_thr FROM p",
+    "step_over_30": "SELECT CAST(event_id % 60 AS INT) AS step, 640 AS res, count(*) AS n FROM events WHERE event_id % 60 > 30 GROUP BY 1",
+    "label_sanitize": "SELECT p_partkey, CASE WHEN l = '' THEN 'feature' ELSE l END AS label FROM (SELECT p_partkey, lower(trim(regexp_replace(' ' || p_name || ' / ' || p_type || '!', '[^0-9a-zA-Z_]+', '_', 'g'), '_')) AS l FROM part)",
+}
