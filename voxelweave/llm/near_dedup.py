@@ -6,11 +6,13 @@ bin copies the bin that its own hash sequence reaches first (optimal densificati
 collision probability J in every bin. Bands of ``ROWS`` bins are bucket keys. Each bucket proposes a star
 (its smallest id against the others), not its pairs; links are confirmed on full sets.
 
-Completeness: a bucket is finished when all its members are in one component. In an unfinished bucket every
-member outside the largest component becomes a centre in turn (1, 2, 4, ... per round) against the members of
-other components, until each such pair has been compared or joined. So stars lose nothing against comparing
-all pairs of a bucket, and a group of thousands of near copies still costs about one star. Two sets with
-J >= 0.8 share no band with probability (1 - 0.8**ROWS)**BANDS < 3e-6.
+Completeness: a bucket is finished when all its members are in one component. In an unfinished bucket the
+members outside its largest component (strangers) are compared with all its members. Buckets with one largest
+component share this work: each component meets its strangers once, small companies as pairs, large ones in
+blocks of at most 2 * ``BLOCK`` sets, one block pair a task, where a matrix product counts the intersections.
+So stars lose nothing against comparing all pairs of a bucket, no task holds more than two blocks, and rows
+are copied once a block, not once a pair. Two sets with J >= 0.8 share no band with probability
+(1 - 0.8**ROWS)**BANDS < 3e-6.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from voxelweave.llm.text import BASE, Words, mix64, per_doc_sets, shingles, slices, string_view
 from voxelweave.operators.components import connected_components
@@ -30,6 +31,8 @@ from voxelweave.scratch import Scratch
 
 ROWS, BANDS = 6, 42
 BINS = ROWS * BANDS
+#: Sets in a block, and sets of a company that is compared as pairs.
+BLOCK, COMPANY = 256, 12
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -116,6 +119,68 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def compare_blocks(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the left and the right block of one task, at most one for each left set and right root.
+
+    Intersections are counted by matrix products over slices of the shingles that occur twice or more.
+    """
+    reps, roots = table.column("rep").to_numpy(), table.column("root").to_numpy()
+    left, right = table.column("left").to_numpy(), table.column("right").to_numpy()
+    raw = table.column("shingles").combine_chunks()
+    sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(len(raw))]
+    size = np.array([len(x) for x in sets])
+    names, where = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(where, minlength=len(names))
+    column = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    some = count[where] > 1
+    row, col = row[some], column[where[some]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    place = lambda ids: (lambda m: (m.__setitem__(ids, np.arange(len(ids))), m)[1])(np.full(len(sets), -1))
+    in_a, in_b = place(a), place(b)
+    both = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    cuts = np.searchsorted(col, np.arange(0, (col[-1] + 1 if len(col) else 0) + width, width))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        r, c = row[lo:hi], col[lo:hi] - k * width
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        ok = in_a[r] >= 0
+        x[in_a[r[ok]], c[ok]] = 1
+        ok = in_b[r] >= 0
+        y[in_b[r[ok]], c[ok]] = 1
+        both += x @ y.T
+    linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (roots[a][:, None] != roots[b][None, :])
+    i, j = np.nonzero(linked)
+    _, first = np.unique(np.stack([i, roots[b[j]]], 1), axis=0, return_index=True)
+    one, two = reps[a[i[first]]], reps[b[j[first]]]
+    return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
+
+
+def company_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each company (``main, rep, root, stranger``): strangers against all, small ones as pairs, large ones in blocks."""
+    sizes = company.groupBy("main").agg(F.count("*").alias("n"), F.count_if("stranger").alias("strangers"))
+    few = company.join(sizes.where(F.col("n") <= COMPANY).select("main"), "main", "left_semi")
+    pairs = few.where("stranger").select("main", F.col("rep").alias("p"), F.col("root").alias("pr")).join(few.select("main", F.col("rep").alias("q"), F.col("root").alias("qr")), "main").where("pr <> qr")
+    small = confirm(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), sets, percent)
+
+    # block numbers: strangers 0 .. s-1, then the others; a task (p, q) compares stranger block p with block q >= p
+    ceil = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    many = company.join(sizes.where(F.col("n") > COMPANY), "main")
+    s, m = ceil(F.col("strangers")), ceil(F.col("n") - F.col("strangers"))
+    own = F.when(F.col("stranger"), F.pmod(F.xxhash64("rep"), s)).otherwise(s + F.pmod(F.xxhash64("rep"), F.greatest(m, F.lit(1))))
+    placed = many.select("main", "rep", "root", s.alias("s"), (s + m).alias("all"), own.cast("int").alias("block"))
+    up = F.transform(F.sequence("block", F.col("all") - 1), lambda q: F.struct(F.col("block").alias("p"), q.alias("q")))
+    down = F.transform(F.sequence(F.lit(0), F.least("s", "block") - 1, F.lit(1)), lambda p: F.struct(p.alias("p"), F.col("block").alias("q")))
+    tasks = F.concat(F.when(F.col("block") < F.col("s"), up).otherwise(F.array()), F.when(F.least("s", "block") > 0, down).otherwise(F.array()))
+    copied = placed.select("main", "rep", "root", "block", F.explode(tasks).alias("t"))
+    flat = copied.select("main", "rep", "root", F.col("t.p").alias("p"), F.col("t.q").alias("q"), (F.col("block") == F.col("t.p")).alias("left"), (F.col("block") == F.col("t.q")).alias("right"))
+    full = flat.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    large = full.groupBy("main", "p", "q").applyInArrow(lambda t: compare_blocks(t, percent), "a bigint, b bigint")
+    return small.union(large)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent``/100 or more.
 
@@ -147,37 +212,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = scratch.keep(confirm(pairs, sets, percent), "links_0")
     scratch.release()
 
-    per_round, r = 1, 0
-    tried = spark.createDataFrame([], "rep bigint")
-    while True:
-        r += 1
-        roots = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), None, scratch)
-        roots = scratch.keep(roots.select(F.col("id").alias("rep"), "root"), f"roots_{r}")
-        placed = buckets.join(roots, "rep", "left").select("key", "rep", "centre", F.coalesce("root", "rep").alias("root"))
-        spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        mixed = scratch.keep(placed.join(spread, "key", "left_semi"), f"mixed_{r}")
-        if mixed.isEmpty():
-            break
+    def roots_of(edges: DataFrame, name: str) -> DataFrame:
+        found = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), None, scratch)
+        return scratch.keep(found.select(F.col("id").alias("rep"), "root"), name)
+
+    roots = roots_of(links, "roots_0")
+    placed = buckets.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = scratch.keep(placed.join(spread, "key", "left_semi"), "mixed")
+    if not mixed.isEmpty():
         sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("c"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-        outside = mixed.join(largest, "key").where("root <> main")
-        done = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        # centres of this round: the first members outside the largest component that were no centre yet; each
-        # is compared in all its unfinished buckets, so it need not be one again
-        fresh = outside.where("rep <> centre").join(tried, "rep", "left_anti")
-        ranked = fresh.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("rep")))
-        chosen = scratch.keep(ranked.where(F.col("n") <= per_round).select("rep").distinct(), f"chosen_{r}")
-        if chosen.isEmpty():
-            break
-        star = mixed.join(chosen, "rep").select("key", F.col("rep").alias("c"), F.col("root").alias("cr")).join(mixed.select("key", "rep", "root"), "key").where("cr <> root")
-        fresh_pairs = star.select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
-        known = done.union(done.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        todo = scratch.keep(fresh_pairs.join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), f"todo_{r}")
-        links = scratch.keep(links.union(confirm(todo, sets, percent)), f"links_{r}")
-        pairs = scratch.keep(pairs.union(todo), f"pairs_{r}")
-        tried = scratch.keep(tried.union(chosen), f"tried_{r}")
-        scratch.drop(f"pairs_{r - 1}", f"roots_{r}", f"mixed_{r}", f"chosen_{r}", f"todo_{r}")
-        per_round *= 2
+        company = mixed.join(largest, "key").select("main", "rep", "root", (F.col("root") != F.col("main")).alias("stranger")).distinct()
+        more = company_links(scratch.keep(company, "company"), sets, percent)
+        links = scratch.keep(links.union(more).distinct(), "links_1")
+        roots = roots_of(links, "roots_1")
     scratch.drop("sets", "buckets")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
