@@ -35,7 +35,10 @@ MATCH, PERIOD = 50, 31
 #: A perfect difference set modulo 31.
 COVER = (0, 1, 3, 8, 12, 18)
 SHORT, LONG = MATCH - PERIOD + 1, MATCH + PERIOD - 1
-BLOCK = 6 << 20
+#: Bytes of text in a block and, on average, behind a bucket: a worker holds some 80 bytes of keys a byte of text.
+BLOCK, BUCKET = 5 << 19, 24 << 20
+#: Positions hashed at a time.
+STRIDE = 1 << 18
 FRAGMENTS = "bucket int, pid int, data binary"
 ANSWERS = "pid int, bucket int, round int, data binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
@@ -44,6 +47,8 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 class Block:
     """One block's texts in id order, each starting at a multiple of PERIOD; rows with one id have one rank."""
 
+    odd = mix64(np.arange(1, 20, dtype=np.uint64)) | np.uint64(1)
+
     def __init__(self, table: pa.Table):
         ids = table.column("doc_id").combine_chunks()
         null = np.array(ids.is_null().to_pylist(), bool) if len(ids) else np.zeros(0, bool)
@@ -53,52 +58,70 @@ class Block:
         value, null = value[order], null[order]
         new = np.ones(len(order), bool)
         new[1:] = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
-        self.rank = np.cumsum(new) - 1
+        self.rank = np.cumsum(new, dtype=np.int32) - 1
         data, offsets = string_view(table.column("text").combine_chunks()) if len(ids) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         size = np.diff(offsets)[order]
         cells = -(-size // PERIOD)
         self.start = np.concatenate([[0], np.cumsum(cells)[:-1]]).astype(np.int64) * PERIOD if len(size) else np.zeros(0, np.int64)
         self.size, self.end = size, self.start + size
-        self.row_of_cell = np.repeat(np.arange(len(size)), cells)
+        self.row_of_cell = np.repeat(np.arange(len(size), dtype=np.int32), cells)
         self.bytes = np.zeros(int(cells.sum()) * PERIOD + LONG + 8, np.uint8)
         for r, i in enumerate(order):
             self.bytes[self.start[r] : self.end[r]] = data[offsets[i] : offsets[i + 1]]
-        self.words = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
+        self.words = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,)).copy()  # the 8 bytes from each position
         grid = np.arange(0, len(self.row_of_cell) * PERIOD, PERIOD)
-        self.samples = (grid[:, None] + np.array(COVER)).ravel()
+        self.samples = (grid[:, None] + np.array(COVER)).ravel().astype(np.int32)
 
     def fit(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Whether ``depth`` bytes from each position lie in its document."""
         return at + depth <= self.end[self.row_of_cell[at // PERIOD]]
 
     def keys(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the ``depth`` bytes from each position."""
-        one, two = np.full(len(at), depth, np.uint64), np.full(len(at), STEP, np.uint64)
-        for o in [*range(0, depth - 8, 8), depth - 8]:
-            w = self.words[at + o]
-            one = (one ^ w) * np.uint64(0xFF51AFD7ED558CCD)
-            one ^= one >> np.uint64(32)
-            two = (two + w) * np.uint64(0xC4CEB9FE1A85EC53)
-            two ^= two >> np.uint64(29)
-        return mix64(one), mix64(two)
+        """Two independent hashes (64 and 32 bits) of the ``depth`` bytes from each position."""
+        firsts, seconds = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
+        for i in range(0, len(at), STRIDE):
+            part = at[i : i + STRIDE]
+            one, two = np.full(len(part), depth, np.uint64), np.full(len(part), STEP, np.uint64)
+            for j, o in enumerate([*range(0, depth - 8, 8), depth - 8]):
+                w = self.words.take(part + o)
+                one ^= w
+                one *= np.uint64(0xFF51AFD7ED558CCD)
+                one ^= one >> np.uint64(32)
+                w ^= w >> np.uint64(31)
+                w *= self.odd[j]
+                two += w
+            firsts[i : i + STRIDE], seconds[i : i + STRIDE] = mix64(one), mix64(two) >> np.uint64(32)
+        return firsts, seconds
 
 
 class Keys:
     """Distinct keys of some positions, ordered by bucket, and for each position where its key is."""
 
     def __init__(self, block: Block, at: np.ndarray, depth: int, buckets: int):
-        self.at, self.rank = at, block.rank[block.row_of_cell[at // PERIOD]] if len(at) else np.zeros(0, np.int64)
+        self.at, self.rank = at, block.rank[block.row_of_cell[at // PERIOD]] if len(at) else np.zeros(0, np.int32)
         one, two = block.keys(at, depth)
         if depth == SHORT:  # a filter: 32 bits beyond the bucket are enough
-            self.value, self.where = np.unique(((two >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (one >> np.uint64(32)), return_inverse=True)
-            self.bucket = (self.value >> np.uint64(32)).astype(np.int64)
-            self.value = self.value.astype(np.uint32)
+            both = (two.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (one >> np.uint64(32))
+            del one, two
+            value, where = np.unique(both, return_inverse=True)
+            self.where = where.astype(np.int32)
+            self.bucket = (value >> np.uint64(32)).astype(np.int32)
+            self.value = value.astype(np.uint32)
         else:
-            value, first, where = np.unique(one, return_index=True, return_inverse=True)
-            bucket = ((two[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(one).astype(np.int32)
+            one = one[order]
+            new = np.ones(len(one), bool)
+            new[1:] = one[1:] != one[:-1]
+            value = one[new]
+            bucket = (two[order[new]].astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            place = np.cumsum(new, dtype=np.int32) - 1
+            del one, two, new
+            where = np.empty(len(order), np.int32)
+            where[order] = place
+            del order, place
             order = np.argsort(bucket, kind="stable")
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
+            back = np.empty(len(order), np.int32)
+            back[order] = np.arange(len(order), dtype=np.int32)
             self.value, self.bucket, self.where = value[order], bucket[order], back[where]
         self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
@@ -119,12 +142,12 @@ class Keys:
 
     def first_rank(self) -> np.ndarray:
         """For each position, the smallest rank with its key in this block."""
-        low = np.zeros(len(self.value), np.int64)
+        low = np.zeros(len(self.value), np.int32)
         low[self.where[::-1]] = self.rank[::-1]
         return low[self.where]
 
     def last_rank(self) -> np.ndarray:
-        high = np.zeros(len(self.value), np.int64)
+        high = np.zeros(len(self.value), np.int32)
         high[self.where] = self.rank
         return high[self.where]
 
@@ -134,7 +157,7 @@ def _starts(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
     mark = np.zeros(size + 1, np.int32)
     np.add.at(mark, low, 1)
     np.add.at(mark, high, -1)
-    return np.cumsum(mark[:-1]) > 0
+    return np.cumsum(mark[:-1], dtype=np.int32) > 0
 
 
 def _resolve(block: Block, answers: list[dict[int, bytes]], buckets: int) -> tuple[Keys | None, np.ndarray]:
@@ -156,7 +179,7 @@ def _resolve(block: Block, answers: list[dict[int, bytes]], buckets: int) -> tup
     row = block.row_of_cell[alive // PERIOD]
     low = np.maximum(alive - PERIOD + 1, block.start[row])
     high = np.minimum(alive, block.end[row] - MATCH) + 1
-    asked = np.flatnonzero(_starts(low[high > low], high[high > low], size) & ~matched)
+    asked = np.flatnonzero(_starts(low[high > low], high[high > low], size) & ~matched).astype(np.int32)
     rest = Keys(block, asked, MATCH, buckets)
     if len(answers) == 2:
         return rest, matched
@@ -245,13 +268,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "suffix")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // block_bytes), 1)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, buckets = max(least, -(-int(total) // block_bytes)), max(least, -(-int(total) // BUCKET))
     dealt = rows.withColumn("rid", F.monotonically_increasing_id()).repartitionByRange(n, F.col("doc_id").asc_nulls_last())
     blocks = scratch.bucketed(dealt.withColumn("pid", F.spark_partition_id()), "blocks", "pid", n, dealt=True)
     scratch.release()
     answers = scratch.bucketed(spark.createDataFrame([], ANSWERS), "answers_none", "pid", n)
     for rnd in range(3):
-        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_asker(rnd, n), FRAGMENTS)
+        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_asker(rnd, buckets), FRAGMENTS)
         told = asked.groupBy("bucket").applyInArrow(_bucket_answers(rnd), ANSWERS)
         fresh = scratch.bucketed(told.union(answers) if rnd else told, f"answers_{rnd}", "pid", n)
         if rnd:
@@ -259,6 +283,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         answers = fresh
         del asked, told
         scratch.release()
-    out = scratch.keep(blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_finisher(n), RESULT), "result")
+    out = scratch.keep(blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_finisher(buckets), RESULT), "result")
     scratch.drop("blocks")
     return out
