@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,46 +20,38 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sc
     Returns:
         ``(id, root)``, one row per vertex. Empty input gives an empty table.
 
-    Each round hooks every root onto the smallest neighbouring root (one algebraic min, combined on the
-    map side, so a giant component costs no more than its rows) and then jumps pointers; the label table and
-    the contracted edges are written to the shared folder, which cuts the lineage. Edges inside a component
-    drop out, so the working set shrinks every round; the number of rounds is logarithmic on the usual graphs.
+    Each round hooks every vertex onto its smallest neighbour (one algebraic min, combined on the map side, so a
+    giant component costs no more than its rows), jumps pointers twice and contracts the edges. Hooks point
+    downwards, so they form a forest whose roots only the smallest vertices can be; edges inside a contracted
+    vertex drop out, so the working set shrinks every round, and the rounds are logarithmic in the diameter. The
+    pointers and the edges of a round are written to the shared folder, which cuts the lineage; labels are
+    composed once, at the end, from the rounds' pointers.
     """
     spark = edges.sparkSession
     scratch = scratch or Scratch(spark, "components")
+    run = uuid.uuid4().hex[:6]
     work = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    ends = work.select(F.col("src").alias("id")).union(work.select(F.col("dst").alias("id")))
+    ends = work.select(F.explode(F.array("src", "dst")).alias("id"))
     if vertices is not None:
         ends = ends.union(vertices.select(F.col("id").cast("bigint").alias("id")).where("id IS NOT NULL"))
-    labels = None
-    all_ids = ends.distinct()
-    work = scratch.keep(work.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "cc_edges_0")
+    labels = ends.distinct().select("id", F.col("id").alias("root"))
+    tidy = lambda df, s, d: df.where(f"{s} <> {d}").select(F.least(s, d).alias("src"), F.greatest(s, d).alias("dst")).distinct()
+    work = scratch.keep(tidy(work, "src", "dst"), f"cc_{run}_edges_0")
     for r in range(1, max_rounds + 1):
         if work.isEmpty():
             break
+        # the aggregate's exchange is reused by the self joins of the two jumps
         hooks = work.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("p"))
-        hooks = scratch.keep(hooks, f"cc_hook_{r}")
-        # hooks point strictly downwards, so the pointer forest has no cycle; two jumps per round
-        # keep the number of rounds logarithmic in the depth.
-        for j in range(2):
+        for _ in range(2):
             up = hooks.select(F.col("v").alias("uv"), F.col("p").alias("up"))
             hooks = hooks.join(up, hooks.p == up.uv, "left").select("v", F.coalesce("up", "p").alias("p"))
-        hooks = scratch.keep(hooks, f"cc_jump_{r}")
-        if labels is None:
-            labels = hooks.select(F.col("v").alias("id"), F.col("p").alias("root"))
-        else:
-            moved = labels.join(hooks, labels.root == hooks.v, "left").select("id", F.coalesce("p", "root").alias("root"))
-            fresh = hooks.join(labels.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), F.col("p").alias("root"))
-            labels = moved.unionByName(fresh)
-        labels = scratch.keep(labels, f"cc_labels_{r}")
+        hooks = scratch.keep(hooks, f"cc_{run}_hooks_{r}")
+        to = hooks.select(F.col("v").alias(f"v{r}"), F.col("p").alias(f"p{r}"))
+        labels = labels.join(to, labels.root == to[f"v{r}"], "left").select("id", F.coalesce(f"p{r}", "root").alias("root"))
         a, b = hooks.select(F.col("v").alias("sv"), F.col("p").alias("sp")), hooks.select(F.col("v").alias("dv"), F.col("p").alias("dp"))
-        nxt = work.join(a, work.src == a.sv, "left").join(b, work.dst == b.dv, "left").select(F.coalesce("sp", "src").alias("s"), F.coalesce("dp", "dst").alias("d"))
-        work = scratch.keep(nxt.where("s <> d").select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).distinct(), f"cc_edges_{r}")
-        scratch.drop(f"cc_edges_{r - 1}", f"cc_hook_{r}")
-        if r > 1:
-            scratch.drop(f"cc_labels_{r - 1}", f"cc_jump_{r - 1}")
+        moved = work.join(a, work.src == a.sv, "left").join(b, work.dst == b.dv, "left").select(F.coalesce("sp", "src").alias("s"), F.coalesce("dp", "dst").alias("d"))
+        work = scratch.keep(tidy(moved, "s", "d"), f"cc_{run}_edges_{r}")
+        scratch.drop(f"cc_{run}_edges_{r - 1}")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if labels is None:
-        return all_ids.select("id", F.col("id").alias("root"))
-    return all_ids.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return labels

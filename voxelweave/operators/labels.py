@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from voxelweave.operators.components import connected_components
 from voxelweave.operators.grid import brick_table, cell_id, face_pairs, gid, neighbour_pairs, offsets, with_brick, with_halo
+from voxelweave.scratch import Scratch
 
 
 def label_points(at: np.ndarray, connectivity: int = 6) -> np.ndarray:
@@ -107,7 +108,8 @@ def brick_path_labels(cells: DataFrame, n: int, dims: tuple[int, int, int], conn
     """
     if connectivity != 6:
         raise NotImplementedError("bricks are stitched over faces only")
-    local = brick_labels(cells, n, dims)
+    scratch = Scratch(cells.sparkSession, "bricks")
+    local = scratch.keep(brick_labels(cells, n, dims), "local")
     roots = stitched_roots(local, interface_edges(local, n, dims))
     named = local.withColumn("gid", gid()).join(roots, "gid")
     least = named.groupBy("root").agg(F.min("cell_id").alias("least"))
