@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_group
 from voxelweave.scratch import Scratch
 
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -225,4 +226,5 @@ def repair_conversations(turns: DataFrame, part_bytes: int = 16 << 20) -> DataFr
     parts = scratch.keep(dealt.withColumn("pid", F.spark_partition_id()), "turns")
     segments = parts.drop("text").groupBy("pid").applyInArrow(_summary, "pid int, conv_id bigint, last boolean, matrix array<bigint>")
     known = chain(sorted(((r[0], r[1], r[2], r[3]) for r in segments.collect()), key=lambda r: (r[0], r[2])))
-    return parts.groupBy("pid").applyInArrow(_solver(known), OUT)
+    solve = _solver(known)
+    return parts.groupBy("pid").applyInArrow(lambda t: tidy_group(solve, t), OUT)

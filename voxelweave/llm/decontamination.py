@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_batches
 from voxelweave.llm.text import BASE, mix64, segments, slices, span_hashes, string_view
 from voxelweave.llm.toxicity import FOLD, LETTER
 
@@ -155,8 +156,9 @@ def with_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, colum
     place = out.columns.index(text_col)
 
     def scan(index: Items):
+        @tidy_batches
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, text_col, 2 << 20):
+            for b in slices(batches, text_col, 1 << 20):
                 got = index.leaks(*string_view(b.column(place)))
                 before = b.column(b.num_columns - 1).to_pylist()
                 lists = [[*old, *({"item_id": i, "edits": e} for i, e in new)] for old, new in zip(before, got, strict=True)]

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_batches, tidy_group
 from voxelweave.llm.text import BASE, Words, mix64, per_doc_sets, shingles, slices, string_view
 from voxelweave.operators.components import connected_components
 from voxelweave.scratch import Scratch
@@ -70,6 +71,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def signature_table(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, digest, keys`` for every row; digest and keys are null for empty sets."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             words = Words(*string_view(b.column(1)))
@@ -87,6 +89,7 @@ def signature_table(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: s
 def set_table(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, shingles`` (sorted 64-bit hashes as bytes)."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = per_doc_sets(Words(*string_view(b.column(1))), k)
@@ -98,6 +101,7 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` with 100 * intersection >= percent * union."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, mine = [], None, None
@@ -177,7 +181,7 @@ def company_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFram
     copied = placed.select("main", "rep", "root", "block", F.explode(tasks).alias("t"))
     flat = copied.select("main", "rep", "root", F.col("t.p").alias("p"), F.col("t.q").alias("q"), (F.col("block") == F.col("t.p")).alias("left"), (F.col("block") == F.col("t.q")).alias("right"))
     full = flat.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    large = full.groupBy("main", "p", "q").applyInArrow(lambda t: compare_blocks(t, percent), "a bigint, b bigint")
+    large = full.groupBy("main", "p", "q").applyInArrow(lambda t: tidy_group(compare_blocks, t, percent), "a bigint, b bigint")
     return small.union(large)
 
 

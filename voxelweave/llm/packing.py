@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxelweave.llm.memory import tidy_batches
 from voxelweave.llm.tokens import encoder
 from voxelweave.scratch import Scratch
 
@@ -34,6 +35,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts (null: empty), append ``end_id`` and cut; one row per piece."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

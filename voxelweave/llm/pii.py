@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SOME = re.compile(r"[0-9@]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -268,6 +270,7 @@ def personal_data(docs: DataFrame, max_rows: int = 4000) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     field = train_field(sample_texts(rows, max_rows))
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]

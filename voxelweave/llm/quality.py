@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.llm.boosting import Forest, fit
+from voxelweave.llm.memory import tidy_batches
 from voxelweave.llm.text import Words, segments, slices, span_hashes, string_view
 from voxelweave.scratch import Scratch
 
@@ -75,6 +76,7 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, x array<float>`` for every row; a null text counts as empty."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = document_statistics(*string_view(b.column(1))).astype(np.float32)
@@ -105,6 +107,7 @@ def train(stats: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Forest:
 def score_documents(stats: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of a statistics table."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(NAMES))
@@ -136,6 +139,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
     forest = train(statistics_table(sample), labels, max_rows)
     place = docs.columns.index("text")
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = document_statistics(*string_view(b.column(place))).astype(np.float32).astype(float)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_group
 from voxelweave.llm.text import STEP, mix64, string_view
 from voxelweave.scratch import Scratch
 
@@ -254,6 +255,14 @@ def _finisher(buckets: int):
     return run
 
 
+def _tidy1(run):
+    return lambda t: tidy_group(run, t)
+
+
+def _tidy2(run):
+    return lambda a, b: tidy_group(run, a, b)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """Spans of every whole text (UTF-8 bytes) that start in an earlier document too.
 
@@ -275,14 +284,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.release()
     answers = scratch.bucketed(spark.createDataFrame([], ANSWERS), "answers_none", "pid", n)
     for rnd in range(3):
-        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_asker(rnd, buckets), FRAGMENTS)
-        told = asked.groupBy("bucket").applyInArrow(_bucket_answers(rnd), ANSWERS)
+        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_asker(rnd, buckets)), FRAGMENTS)
+        told = asked.groupBy("bucket").applyInArrow(_tidy1(_bucket_answers(rnd)), ANSWERS)
         fresh = scratch.bucketed(told.union(answers) if rnd else told, f"answers_{rnd}", "pid", n)
         if rnd:
             scratch.drop(f"answers_{rnd - 1}")
         answers = fresh
         del asked, told
         scratch.release()
-    out = scratch.keep(blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_finisher(buckets), RESULT), "result")
+    out = scratch.keep(blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_finisher(buckets)), RESULT), "result")
     scratch.drop("blocks")
     return out

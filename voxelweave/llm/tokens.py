@@ -22,17 +22,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """Loaded only where a text needs it: the vocabulary takes tens of MB in every worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Function from a text to its ids (no special tokens added), for a ``tokenizers`` file.
 
     If the same vocabulary lies beside it as ranks (``.tiktoken``), plain texts use that: several times as
     fast, the same ids (tests compare them).
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    exact = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    exact = lambda text: np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks_path):
         return exact

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_batches
 from voxelweave.llm.quality import held_out, training_ids
 from voxelweave.llm.text import segments, slices, span_hashes, string_view
 
@@ -297,6 +298,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[lis
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; a null text counts as empty."""
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = features(*string_view(b.column(1)), model.terms, model.automaton, model.window)

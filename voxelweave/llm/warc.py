@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.llm.memory import tidy_batches
 from voxelweave.scratch import Scratch
 
 CRLF = "\r\n"
@@ -52,9 +53,12 @@ def choose_responses(table: DataFrame, min_bytes: int, scratch: Scratch) -> Data
     firsts = scratch.keep(firsts.select(F.col("payload_digest").alias("d_"), F.col("b.i").alias("first_id"), F.lit(True).alias("shared")), "firsts")
     again = scratch.keep(small.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("page_id").alias("p_"), F.lit(True).alias("repeated")), "repeated")
     bounded = lambda side: F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    # a record id can only be named if its page id is unique; payload and page are named in any case
+    named = firsts.join(bounded(again.withColumnRenamed("repeated", "vague")), F.col("first_id").eqNullSafe(F.col("p_")), "left").drop("p_")
+    firsts = scratch.keep(named.select("d_", "first_id", "shared", F.coalesce("vague", F.lit(False)).alias("vague")), "named")
     joined = table.join(bounded(firsts), F.col("payload_digest") == F.col("d_"), "left").join(bounded(again), F.col("page_id").eqNullSafe(F.col("p_")), "left")
     other = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select(*table.columns, "first_id", other.alias("revisit"), F.when(F.col("repeated"), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("nonce"))
+    return joined.select(*table.columns, "first_id", "vague", other.alias("revisit"), F.when(F.col("repeated"), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("nonce"))
 
 
 def _urn(kind: str, page: Column, nonce: Column) -> Column:
@@ -71,7 +75,7 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def write_archives(table: DataFrame, path: str, date: str, captures_per_file: int) -> None:
     """Write chosen captures (see ``choose_responses``) as gzip-compressed WARC files of bounded length."""
-    rid, first = _urn("response", F.col("page_id"), F.col("nonce")), _urn("response", F.col("first_id"), F.lit(0))
+    rid, first = _urn("response", F.col("page_id"), F.col("nonce")), F.when(~F.col("vague"), _urn("response", F.col("first_id"), F.lit(0)))
     # a header must stay on its line, whatever the url holds
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]", "")
     when, digest = F.lit(date), F.concat(F.lit("sha256:"), F.col("payload_digest"))
@@ -121,6 +125,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     names = [x.split()[0] for x in RECORDS.split(", ")] + ["payload_bytes_read"]
     types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), kinds[0][1]]
 
+    @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
