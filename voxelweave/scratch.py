@@ -6,7 +6,9 @@ executors, so a lost executor costs a re-read and never a recomputation of the w
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one is set only where none is configured (tests, local mode)."""
     there = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="voxelweave-")
+        own = tempfile.mkdtemp(prefix="voxelweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        there = f"file://{own}"
         spark.conf.set(SETTING, there)
     return there.rstrip("/")
 
