@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_group
+from voxelweave.llm.memory import small_batches, tidy_group
 from voxelweave.scratch import Scratch
 
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -217,6 +217,7 @@ def repair_conversations(turns: DataFrame, part_bytes: int = 16 << 20) -> DataFr
     a text are spaced out; other columns are ignored; an empty table gives an empty table.
     """
     spark = turns.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "chat")
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     rows = rows.withColumn("tie", F.xxhash64("role", "text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_batches
+from voxelweave.llm.memory import small_batches, tidy_batches
 from voxelweave.llm.text import BASE, mix64, segments, slices, span_hashes, string_view
 from voxelweave.llm.toxicity import FOLD, LETTER
 
@@ -149,6 +149,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, colum
     to the executors in parts of bounded size, one pass over the rows for each.
     """
     bench = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    small_batches(docs.sparkSession)
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-int(total) // ITEM_BYTES))
     out = docs.drop(column).withColumn(column, F.array().cast("array<struct<item_id: bigint, edits: int>>"))

@@ -7,6 +7,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim
@@ -14,6 +15,16 @@ except (OSError, AttributeError):  # not glibc
     _trim = None
 
 
+#: Bytes of an Arrow batch on its way to a worker; rows of texts or sets would fill the default of 64 MB.
+BATCH, SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for JVM and workers, unless the session has a lower bound already."""
+    if int(str(spark.conf.get(SETTING, str(64 << 20))).rstrip("b")) > BATCH:
+        spark.conf.set(SETTING, str(BATCH))
+
+
 def release() -> None:
     """Return freed memory of Arrow's pool and of the C heap to the system."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxelweave.llm.memory import tidy_batches
+from voxelweave.llm.memory import small_batches, tidy_batches
 from voxelweave.llm.tokens import encoder
 from voxelweave.scratch import Scratch
 
@@ -47,6 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 

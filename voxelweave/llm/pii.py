@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_batches
+from voxelweave.llm.memory import small_batches, tidy_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SOME = re.compile(r"[0-9@]")
@@ -284,4 +284,5 @@ def personal_data(docs: DataFrame, max_rows: int = 4000) -> DataFrame:
                 shown.append(show(base + added_spans(text, base, field)) if SOME.search(text) else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(shown, pa.string())], names=[x.split()[0] for x in SPANS.split(", ")])
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, SPANS)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.llm.boosting import Forest, fit
-from voxelweave.llm.memory import tidy_batches
+from voxelweave.llm.memory import small_batches, tidy_batches
 from voxelweave.llm.text import Words, segments, slices, span_hashes, string_view
 from voxelweave.scratch import Scratch
 
@@ -83,6 +83,7 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES), pa.array(x.ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, x array<float>")
 
 
@@ -145,4 +146,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
             x = document_statistics(*string_view(b.column(place))).astype(np.float32).astype(float)
             yield b.filter(pa.array(forest.score(x) >= threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

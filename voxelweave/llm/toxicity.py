@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_batches
+from voxelweave.llm.memory import small_batches, tidy_batches
 from voxelweave.llm.quality import held_out, training_ids
 from voxelweave.llm.text import segments, slices, span_hashes, string_view
 
@@ -305,6 +305,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

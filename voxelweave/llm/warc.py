@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_batches
+from voxelweave.llm.memory import small_batches, tidy_batches
 from voxelweave.scratch import Scratch
 
 CRLF = "\r\n"
@@ -164,6 +164,7 @@ def archive_pages(
     other columns are ignored; an empty table gives an empty table.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "warc")
     table = payload_table(pages, id_col, body_col, url_col)
     write_archives(choose_responses(table, min_bytes, scratch), scratch.path("archives"), date, captures_per_file)
