@@ -53,11 +53,12 @@ def brick_labels(cells: DataFrame, n: int, dims: tuple[int, int, int], connectiv
     group; its foreground has to fit a worker.
     """
     spark = cells.sparkSession
+    cells = cells.select(*(F.col(a).cast("int").alias(a) for a in "ijk"))
     if halo:
-        rows = with_halo(cells.select("i", "j", "k"), n, dims, brick_table(spark, n, dims), halo)
+        rows = with_halo(cells, n, dims, brick_table(spark, n, dims), halo)
     else:
-        rows = with_brick(cells.select("i", "j", "k"), n, dims).select("*", F.col("i").alias("gi"), F.col("j").alias("gj"), F.col("k").alias("gk"), F.lit(True).alias("core"))
-    rows = rows.select("rank", "i", "j", "k", "gi", "gj", "gk", "core", cell_id(n))
+        rows = with_brick(cells, n, dims).select("*", F.col("i").alias("gi"), F.col("j").alias("gj"), F.col("k").alias("gk"), F.lit(True).alias("core"))
+    rows = rows.select("rank", "i", "j", "k", *(F.col(a).cast("int").alias(a) for a in ("gi", "gj", "gk")), "core", cell_id(n))
 
     def run(t: pa.Table) -> pa.Table:
         at = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("gi", "gj", "gk")], 1)

@@ -6,6 +6,7 @@ volume = cell_count = quantity (integers 1..50), mass = extended price, area = 1
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelweave.operators import ml, models
@@ -163,6 +164,35 @@ def label_sanitize(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", readers.sanitised(F.concat(F.lit(" "), "p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("label"))
 
 
+def pair_histograms(spark, d):
+    """Joint histograms of every pair of features with at least 50 positive values on either side."""
+    c, edges = catalog(spark, d), {"volume": EDGES, "mass": MASS_EDGES, "area": [1.0, 1.02, 1.05, 1.09], "velocity_std": STD_EDGES}
+    enough = c.agg(*(F.count_if(S.positive(n)).alias(n) for n in NAMES)).first()
+    out = [S.hist2d(c, a, b, edges[a], edges[b]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "xbin", "ybin", "n") for i, a in enumerate(NAMES) for b in NAMES[i + 1 :] if min(enough[a], enough[b]) >= 50]
+    total = out[0]
+    for x in out[1:]:
+        total = total.union(x)
+    return total
+
+
+def step_or_ordinal(spark, d):
+    """The step in a directory's name, else its place in the order of names (few directories)."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("run"), (F.col("event_id") % 7).cast("string"))).otherwise(F.concat(F.lit("step"), (F.col("event_id") % 5).cast("string"))).alias("dir")).distinct()
+    found = F.nullif(F.regexp_extract("dir", r"step(\d+)", 1), F.lit("")).cast("int")
+    return e.select("dir", F.coalesce(found, F.row_number().over(W.orderBy("dir")) - 1).alias("step"))
+
+
+def integer_bin_spectrum(spark, d):
+    return _r(S.size_spectrum(catalog(spark, d), "volume", [float(x) for x in S.integer_edges(1, 51, 8)])).select("lo", "hi", "n", "spectrum")
+
+
+def effective_radius(spark, d):
+    """Sizes in cells, with the spacing from the catalog, else the resolution, else the finest run's."""
+    c = catalog(spark, d).withColumns({"spacing": F.when(F.col("gid") % 3 == 0, F.lit(0.5)), "res": F.when(F.col("gid") % 3 == 1, F.lit(4))})
+    dx = readers.spacing_chain(F.col("spacing"), F.col("res"))
+    return _r(c.select("gid", (F.cbrt("volume") / dx).alias("r_eff"), (F.col("volume") / F.pow(dx, F.lit(3.0))).alias("v_cells")), 3)
+
+
 def pca_scores(spark, d):
     return _r(ml.pca(ml.features(catalog(spark, d), NAMES, ("gid",)), NAMES, 8, ("gid",))[0])
 
@@ -232,6 +262,9 @@ _NLLQ = CAT + f", s AS (SELECT k.cut, count(*) AS n, sum(log10(volume)) AS s, mi
 _BYSTEP = CAT + ", " + _hist("TRUE", "step,") + f", s AS (SELECT step, bin, n, sqrt(lo * hi) * n AS spectrum, lo, hi FROM h JOIN {_edges(EDGES)} USING (bin))"
 _NSTEP = "(SELECT count(DISTINCT step) FROM c)"
 
+_PE = {"volume": EDGES, "mass": MASS_EDGES, "area": [1.0, 1.02, 1.05, 1.09], "velocity_std": STD_EDGES}
+_IE = [float(x) for x in S.integer_edges(1, 51, 8)]
+
 SQL: dict[str, str] = {
     "size_histogram": CAT + ", " + _hist("volume > 0") + f" SELECT bin, lo, hi, coalesce(n, 0) AS n FROM {_edges(EDGES)} LEFT JOIN h USING (bin)",
     "size_spectrum": CAT + ", " + _hist("volume > 8") + f" SELECT bin, coalesce(n, 0) AS n, round({_SPEC}, 6) AS spectrum FROM {_edges(EDGES)} LEFT JOIN h USING (bin)",
@@ -268,4 +301,12 @@ SQL: dict[str, str] = {
     "TRY_CAST(replace(regexp_extract(name, 'res(\\d+)_.*step(\\d+)_conn(\\d+)_T([0-9p]+)', 4), 'p', '.') AS DOUBLE) AS temp_thr FROM p",
     "step_over_30": "SELECT CAST(event_id % 60 AS INT) AS step, 640 AS res, count(*) AS n FROM events WHERE event_id % 60 > 30 GROUP BY 1",
     "label_sanitize": "SELECT p_partkey, CASE WHEN l = '' THEN 'feature' ELSE l END AS label FROM (SELECT p_partkey, lower(trim(regexp_replace(' ' || p_name || ' / ' || p_type || '!', '[^0-9a-zA-Z_]+', '_', 'g'), '_')) AS l FROM part)",
+    "pair_histograms": CAT + " " + " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{a}' AS a, '{b}' AS b, {_bin(a, _PE[a])} AS xbin, {_bin(b, _PE[b])} AS ybin, count(*) AS n FROM c WHERE {a} > 0 AND {b} > 0 GROUP BY ALL) WHERE xbin IS NOT NULL AND ybin IS NOT NULL"
+        for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]
+    ),
+    "step_or_ordinal": "WITH e AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'run' || (event_id % 7) ELSE 'step' || (event_id % 5) END AS dir FROM events) "
+    "SELECT dir, CAST(coalesce(TRY_CAST(regexp_extract(dir, 'step(\\d+)', 1) AS INT), row_number() OVER (ORDER BY dir) - 1) AS INT) AS step FROM e",
+    "integer_bin_spectrum": CAT + f", h AS (SELECT {_bin('volume', _IE)} AS bin, count(*) AS n FROM c GROUP BY 1) SELECT lo, hi, coalesce(n, 0) AS n, round({_SPEC}, 6) AS spectrum FROM {_edges(_IE)} LEFT JOIN h USING (bin)",
+    "effective_radius": CAT + ", d AS (SELECT gid, volume, CASE gid % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE / 10240 END AS dx FROM c) SELECT gid, round(cbrt(volume) / dx, 3) AS r_eff, round(volume / pow(dx, 3), 3) AS v_cells FROM d",
 }

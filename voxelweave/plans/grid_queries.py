@@ -258,6 +258,50 @@ def component_degree(spark, d):
     return C.degrees(labels.interface_edges(x.select("rank", "cell_id", "i", "j", "k", "label_ids"), n, DIMS), x.select(grid.gid().alias("gid")))
 
 
+def face_only_component_count(spark, d):
+    """Components of the brick graph, from faces alone."""
+    n = side(spark, d)
+    local_ = labels.brick_labels(mask(spark, d, n), n, DIMS)
+    return labels.stitched_roots(local_, labels.interface_edges(local_, n, DIMS)).agg(F.countDistinct("root").alias("components"), F.count("*").alias("local_components"))
+
+
+def baseline_totals(spark, d):
+    x, n = labelled(spark, d)
+    return _rounded(C.direct_catalog(x, n, spacing(n)).agg(F.count("*").alias("k"), F.sum("cell_count").alias("cells"), F.sum("volume").alias("volume"), F.sum("mass").alias("mass"), F.sum("area").alias("area"), F.max("cell_count").alias("largest")))
+
+
+def brick_label_offsets(spark, d):
+    """Running offset of label numbers over bricks, in the order k, j, i (a table of one row a brick)."""
+    n = side(spark, d)
+    count = grid.with_brick(labels.brick_labels(mask(spark, d, n), n, DIMS).drop("rank"), n, DIMS).groupBy("rank", "ci", "cj", "ck").agg(F.max("label_ids").alias("labels"))
+    before = W.orderBy("ck", "cj", "ci").rowsBetween(W.unboundedPreceding, -1)
+    return count.select("rank", "labels", F.coalesce(F.sum("labels").over(before), F.lit(0)).alias("offset"))
+
+
+def root_set_difference(spark, d):
+    """Structures of more than one brick, and those of one, as set operations on roots."""
+    m = majority_vote_mapping(spark, d)
+    split = m.groupBy("root").agg(F.count("*").alias("c")).where("c > 1").select("root")
+    whole = m.select("root").distinct().subtract(split)
+    return split.withColumn("part", F.lit("split")).union(whole.withColumn("part", F.lit("whole")))
+
+
+def midplane_slice(spark, d):
+    n = side(spark, d)
+    return voxels(spark, d, n).where(F.col("i") == n // 2).select("j", "k", F.col("dens").cast("double").alias("dens"), F.round(F.col("temp").cast("double"), 3).alias("temp"))
+
+
+def subgraph_degree(spark, d):
+    """Local components of the structure with most parts, with their degrees among themselves."""
+    x, n = local(spark, d)
+    edges = labels.interface_edges(x.select("rank", "cell_id", "i", "j", "k", "label_ids"), n, DIMS)
+    roots = labels.stitched_roots(x, edges)
+    top = roots.groupBy("root").agg(F.count("*").alias("c")).agg(F.max(F.struct("c", (-F.col("root")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("root"))
+    inside = roots.join(F.broadcast(top), "root").select("gid")
+    own = edges.join(inside.withColumnRenamed("gid", "lo"), "lo", "left_semi")
+    return C.degrees(own, inside)
+
+
 QUERIES = {
     name: globals()[name]
     for name in (
@@ -265,7 +309,8 @@ QUERIES = {
         "threshold_mask_gt_density component_labels component_labels_26 component_labels_bricks component_labels_compact clump_cell_count_volume_mass clump_centroids clump_bbox "
         "clump_area_periodic clump_speed_stats clump_second_moments clump_principal_axes face_presence face_pair_bits local_labels_by_brick "
         "local_labels_with_halo unstitched_master gid_pack interface_edges interface_counts stitched_catalog min_cells_filter stitched_equals_direct "
-        "majority_vote_mapping split_components_topk component_degree"
+        "majority_vote_mapping split_components_topk component_degree face_only_component_count baseline_totals brick_label_offsets root_set_difference "
+        "midplane_slice subgraph_degree"
     ).split()
 } | {
     "neighbor_edges_6": _neighbours(6), "neighbor_edges_18": _neighbours(18), "neighbor_edges_26": _neighbours(26),
@@ -400,6 +445,14 @@ SQL: dict[str, str] = {
     "SELECT gid, root, votes FROM v QUALIFY row_number() OVER (PARTITION BY gid ORDER BY votes DESC, root) = 1",
     "split_components_topk": LOCAL_ONLY + ", " + _reach("lab", "fg", "pairs") + " SELECT lab.root, count(DISTINCT gid) AS parts FROM y JOIN lab USING (id) GROUP BY 1 HAVING count(DISTINCT gid) > 1 ORDER BY parts DESC, lab.root LIMIT 5",
     "component_degree": LOCAL + ", n AS (SELECT lo AS gid, hi AS o FROM ie WHERE lo <> hi UNION SELECT hi, lo FROM ie WHERE lo <> hi) SELECT g.gid, count(n.o) AS degree FROM (SELECT DISTINCT gid FROM y) g LEFT JOIN n USING (gid) GROUP BY 1",
+    "face_only_component_count": STITCH + " SELECT count(DISTINCT root) AS components, count(DISTINCT gid) AS local_components FROM z",
+    "baseline_totals": LABELS + f", a AS (SELECT root, {SIZE}, {_AREA} AS a0 FROM x GROUP BY root), p AS (SELECT count(*) * 2 / 256.0::DOUBLE AS b FROM pairs) "
+    "SELECT count(*) AS k, CAST(sum(cell_count) AS BIGINT) AS cells, round(sum(volume), 6) AS volume, round(sum(mass), 6) AS mass, round(sum(a0) - any_value(b), 6) AS area, max(cell_count) AS largest FROM a, p",
+    "brick_label_offsets": LOCAL_ONLY + ", m AS (SELECT rank, max(label_ids) AS labels FROM y GROUP BY rank) SELECT rank, labels, CAST(coalesce(sum(labels) OVER (ORDER BY rank % 2, rank // 2 % 2, rank // 4 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM m",
+    "root_set_difference": LOCAL_ONLY + ", " + _reach("lab", "fg", "pairs") + " SELECT lab.root, CASE WHEN count(DISTINCT gid) > 1 THEN 'split' ELSE 'whole' END AS part FROM y JOIN lab USING (id) GROUP BY 1",
+    "midplane_slice": f"WITH {CELLS} SELECT j, k, CAST(dens AS DOUBLE) AS dens, round(CAST(temp AS DOUBLE), 3) AS temp FROM cells WHERE i = 8",
+    "subgraph_degree": STITCH + ", g AS (SELECT DISTINCT gid, root FROM z), t AS (SELECT root FROM g GROUP BY root ORDER BY count(*) DESC, root LIMIT 1), n AS (SELECT lo AS gid, hi AS o FROM ie WHERE lo <> hi UNION SELECT hi, lo FROM ie WHERE lo <> hi) "
+    "SELECT g.gid, count(n.o) AS degree FROM g JOIN t USING (root) LEFT JOIN n USING (gid) GROUP BY 1",
 }
 
 __all__ = ["QUERIES", "SQL", "W"]

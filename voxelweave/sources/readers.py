@@ -75,6 +75,11 @@ def run_fields(name: Column) -> list[Column]:
     return [number(1).cast("int").alias("res"), number(2).cast("int").alias("step"), number(3).cast("int").alias("conn"), F.replace(number(4), F.lit("p"), F.lit(".")).cast("double").alias("temp_thr")]
 
 
+def spacing_chain(spacing: Column, res: Column, finest: int = 10240) -> Column:
+    """Cell size: a catalog's own, else one over its resolution, else one over the finest."""
+    return F.coalesce(spacing.cast("double"), F.lit(1.0) / res, F.lit(1.0 / finest))
+
+
 def sanitised(label: Column) -> Column:
     """A label as a file-name part: other characters become one underscore, trimmed, lower case, or ``feature``."""
     clean = F.lower(F.trim(F.regexp_replace(label, "[^0-9a-zA-Z_]+", "_"), F.lit("_")))
