@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from voxelweave.operators.components import connected_components
 from voxelweave.operators.grid import brick_table, cell_id, face_pairs, gid, neighbour_pairs, offsets, with_brick, with_halo
+from voxelweave.operators.ranks import numbered
 from voxelweave.scratch import Scratch
 
 
@@ -118,7 +118,5 @@ def brick_path_labels(cells: DataFrame, n: int, dims: tuple[int, int, int], conn
 
 
 def dense_labels(labels: DataFrame) -> DataFrame:
-    """Replace roots by dense numbers 1..K in ascending order of root (K rows meet, not the cells)."""
-    roots = labels.select("root").distinct()
-    numbered = roots.withColumn("label", F.dense_rank().over(W.orderBy("root")).cast("bigint"))
-    return labels.join(numbered, "root").select("cell_id", "label")
+    """Replace roots by dense numbers 1..K in ascending order of root (K rows are sorted, by ranges)."""
+    return labels.join(numbered(labels.select("root").distinct(), "root", "label"), "root").select("cell_id", "label")
