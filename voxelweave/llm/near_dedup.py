@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_batches, tidy_group
+from voxelweave.llm.memory import small_batches, tidy_batches, tidy_group
 from voxelweave.llm.text import BASE, Words, mix64, per_doc_sets, shingles, slices, string_view
 from voxelweave.operators.components import connected_components
 from voxelweave.scratch import Scratch
@@ -34,6 +34,8 @@ ROWS, BANDS = 6, 42
 BINS = ROWS * BANDS
 #: Sets in a block, and sets of a company that is compared as pairs.
 BLOCK, COMPANY = 256, 12
+#: Classes up to which they are broadcast (48 bytes each); above, the join shuffles.
+BROADCAST_CLASSES = 300_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -198,12 +200,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sig = scratch.keep(signature_table(rows, k), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    members = full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
+    classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
 
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
@@ -234,10 +236,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch.drop("sets", "buckets")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("digest", "rep").join(roots, "rep", "left").join(degree, "rep", "left")
-    named = named.select("digest", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.join(roots, "rep", "left").join(degree, "rep", "left").where("members > 1 OR root IS NOT NULL")
+    # a document whose class is not here is alone in its class and component
+    named = scratch.keep(named.select("digest", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    side = F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named
     # classes that hold one id twice (repeated ids with different texts) share that node's component
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(side, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
