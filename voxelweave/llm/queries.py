@@ -24,11 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80).drop("n_links")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 0.8)
+    """The documents that leak an item; the others are clean."""
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 0.8).where("contaminated")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS p, h FROM t WHERE len(h) >= 100),
+             k AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS m FROM w),
+             f AS (SELECT m, min(doc_id) AS first_id FROM k GROUP BY m),
+             c AS (SELECT k.doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY k.doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM k JOIN f USING (m) WHERE k.doc_id > first_id),
+             g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+             r AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY 1, 2),
+             x AS (SELECT r.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+             y AS (SELECT x.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+                   FROM x JOIN t USING (doc_id) GROUP BY x.doc_id)
+        SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN y.doc_id IS NULL THEN h ELSE coalesce(head, '') || substr(h, 2 * tail + 1) END)) AS kept_sha256
+        FROM t LEFT JOIN y USING (doc_id)""",
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+             n AS (SELECT doc_id, count(*) AS n, string_agg(sh, chr(10) ORDER BY sh) AS whole FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+             e AS (SELECT x AS s, y AS d FROM l UNION SELECT y, x FROM l),
+             r(id, lab) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.d, r.lab FROM r JOIN e ON e.s = r.id WHERE r.lab < e.d),
+             m AS (SELECT id, min(lab) AS component_id FROM r GROUP BY id),
+             k AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM n)
+        SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept, coalesce(class_id, d.doc_id) AS class_id
+        FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
