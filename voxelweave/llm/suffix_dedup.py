@@ -14,7 +14,7 @@ less than ``PERIOD``:
 
 Documents lie in blocks of consecutive ids (about ``BLOCK`` bytes), written once, bucketed by block. A block
 sends every bucket its distinct keys in order, without positions, and gets back one bit for each (seen in an
-earlier block); inside a block, ids decide. So a passage that all documents share costs a bucket one key a
+earlier block), with the marks it left for itself; inside a block, ids decide. So a passage that all documents share costs a bucket one key a
 block, text never moves again, and memory holds one block or one bucket. Keys are 64 bits beyond the bucket
 number, so with B buckets two of n different strings meet with probability n**2 / (2**65 * B).
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.memory import tidy_group
+from voxelweave.llm.memory import small_batches, tidy_group
 from voxelweave.llm.text import STEP, mix64, string_view
 from voxelweave.scratch import Scratch
 
@@ -41,7 +41,7 @@ BLOCK, BUCKET = 5 << 19, 24 << 20
 #: Positions hashed at a time.
 STRIDE = 1 << 18
 FRAGMENTS = "bucket int, pid int, data binary"
-ANSWERS = "pid int, bucket int, round int, data binary"
+ANSWERS = "pid int, bucket int, data binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
 
 
@@ -161,46 +161,82 @@ def _starts(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(mark[:-1], dtype=np.int32) > 0
 
 
-def _resolve(block: Block, answers: list[dict[int, bytes]], buckets: int) -> tuple[Keys | None, np.ndarray]:
-    """What the next round asks, after the answers so far, and the starts of matched suffixes known by then."""
-    size = len(block.bytes)
-    short = Keys(block, block.samples[block.fit(block.samples, SHORT)] if len(block.samples) else block.samples, SHORT, buckets)
-    if not answers:
-        return short, np.zeros(size, bool)
-    again = short.answers(answers[0]) | (short.last_rank() > short.first_rank())
-    alive = short.at[again]
+class Told:
+    """What a block has been told: answers of the last round by bucket, and the state it left for itself."""
+
+    def __init__(self, table: pa.Table):
+        self.answers: dict[int, bytes] = dict(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
+        self.state = self.answers.pop(-1, b"")
+
+    def marks(self, n: int, which: int) -> np.ndarray:
+        """The ``which``-th bit list of length ``n`` of the state."""
+        size = -(-n // 8)
+        return np.unpackbits(np.frombuffer(self.state, np.uint8)[which * size : (which + 1) * size], count=n).astype(bool)
+
+
+def _state(pid: int, *marks: np.ndarray) -> pa.Table:
+    """A fragment to a bucket of its own, which hands it back: bit lists over the block's samples."""
+    data = b"".join(np.packbits(m).tobytes() for m in marks)
+    return pa.table({"bucket": pa.array([-1 - pid], pa.int32()), "pid": pa.array([pid], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def ask_short(block: Block, told: Told, buckets: int, pid: int) -> list[pa.Table]:
+    """Round 0: which sample strings of depth SHORT does another block have?"""
+    at = block.samples
+    return [Keys(block, at[block.fit(at, SHORT)] if len(at) else at, SHORT, buckets).fragments(pid)]
+
+
+def ask_long(block: Block, told: Told, buckets: int, pid: int) -> list[pa.Table]:
+    """Round 1: samples that recur stay alive; which of their strings of depth LONG does an earlier block have?"""
+    fits = block.fit(block.samples, SHORT) if len(block.samples) else np.zeros(0, bool)
+    short = Keys(block, block.samples[fits], SHORT, buckets)
+    alive = np.zeros(len(block.samples), bool)
+    alive[fits] = short.answers(told.answers) | (short.last_rank() > short.first_rank())
     del short
-    ties = Keys(block, alive[block.fit(alive, LONG)], LONG, buckets)
-    if len(answers) == 1:
-        return ties, np.zeros(size, bool)
-    earlier = ties.answers(answers[1]) | (ties.rank > ties.first_rank())
-    long = ties.at[earlier]
-    matched = _starts(long, long + PERIOD, size)
+    at = block.samples[alive]
+    return [Keys(block, at[block.fit(at, LONG)], LONG, buckets).fragments(pid), _state(pid, alive)]
+
+
+def ask_rest(block: Block, told: Told, buckets: int, pid: int) -> list[pa.Table]:
+    """Round 2: which of the suffixes that neither rule has settled start in an earlier block?"""
+    alive = told.marks(len(block.samples), 0)
+    where = np.flatnonzero(alive)
+    where = where[block.fit(block.samples[where], LONG)]
+    ties = Keys(block, block.samples[where], LONG, buckets)
+    settled = np.zeros(len(alive), bool)
+    settled[where[ties.answers(told.answers) | (ties.rank > ties.first_rank())]] = True
     del ties
-    row = block.row_of_cell[alive // PERIOD]
-    low = np.maximum(alive - PERIOD + 1, block.start[row])
-    high = np.minimum(alive, block.end[row] - MATCH) + 1
-    asked = np.flatnonzero(_starts(low[high > low], high[high > low], size) & ~matched).astype(np.int32)
+    _, asked = _open_suffixes(block, alive, settled)
+    return [Keys(block, asked, MATCH, buckets).fragments(pid), _state(pid, alive, settled)]
+
+
+def _open_suffixes(block: Block, alive: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of suffixes matched by long ties, and the others with a living sample among their next PERIOD positions."""
+    size = len(block.bytes)
+    long, at = block.samples[settled], block.samples[alive]
+    matched = _starts(long, long + PERIOD, size)
+    row = block.row_of_cell[at // PERIOD]
+    low = np.maximum(at - PERIOD + 1, block.start[row])
+    high = np.minimum(at, block.end[row] - MATCH) + 1
+    return matched, np.flatnonzero(_starts(low[high > low], high[high > low], size) & ~matched).astype(np.int32)
+
+
+def _matched(block: Block, told: Told, buckets: int) -> np.ndarray:
+    """After all rounds: starts of suffixes that an earlier document has too, to depth MATCH."""
+    n = len(block.samples)
+    matched, asked = _open_suffixes(block, told.marks(n, 0), told.marks(n, 1))
     rest = Keys(block, asked, MATCH, buckets)
-    if len(answers) == 2:
-        return rest, matched
-    matched[rest.at[rest.answers(answers[2]) | (rest.rank > rest.first_rank())]] = True
-    return None, matched
-
-
-def _split(table: pa.Table) -> list[dict[int, bytes]]:
-    out: list[dict[int, bytes]] = []
-    for r, b, d in zip(table.column("round").to_pylist(), table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True):
-        while len(out) <= r:
-            out.append({})
-        out[r][b] = d
-    return out
+    matched[asked[rest.answers(told.answers) | (rest.rank > rest.first_rank())]] = True
+    return matched
 
 
 def _bucket_answers(rnd: int):
     """Sort one bucket: for every key of every block, whether another block (round 0) or an earlier one has it."""
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:  # a block's own state
+            return pa.table({"pid": table.column("pid"), "bucket": pa.array([-1] * table.num_rows, pa.int32()), "data": table.column("data")})
         pid = table.column("pid").to_numpy()
         order = np.argsort(pid, kind="stable")
         raw = table.column("data").combine_chunks()
@@ -218,26 +254,24 @@ def _bucket_answers(rnd: int):
             hit[at[1:]] = keys[at[1:]] == keys[at[:-1]]
         bits = [np.packbits(h).tobytes() for h in np.split(hit, np.cumsum(sizes)[:-1])]
         n = len(order)
-        return pa.table({"pid": pa.array(pid[order], pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), "round": pa.array([rnd] * n, pa.int32()), "data": pa.array(bits, pa.binary())})
+        return pa.table({"pid": pa.array(pid[order], pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "data": pa.array(bits, pa.binary())})
 
     return run
 
 
-def _asker(rounds: int, buckets: int):
+def _asker(ask, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-        told = _split(answers)
-        keys, _ = _resolve(Block(docs), told + [{}] * (rounds - len(told)), buckets)
-        return keys.fragments(docs.column("pid")[0].as_py())
+        return pa.concat_tables(ask(Block(docs), Told(answers), buckets, docs.column("pid")[0].as_py()))
 
     return run
 
 
 def _finisher(buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block, told = Block(docs), _split(answers)
-        _, matched = _resolve(block, told + [{}] * (3 - len(told)), buckets)
+        block = Block(docs)
+        matched = _matched(block, Told(answers), buckets)
         rows: list[tuple] = []
         at = np.flatnonzero(matched)
         cut = np.searchsorted(at, np.append(block.start, len(matched)))
@@ -274,6 +308,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored; an empty table gives an empty table. A single document must fit a worker's memory.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "suffix")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -283,10 +318,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = scratch.bucketed(dealt.withColumn("pid", F.spark_partition_id()), "blocks", "pid", n, dealt=True)
     scratch.release()
     answers = scratch.bucketed(spark.createDataFrame([], ANSWERS), "answers_none", "pid", n)
-    for rnd in range(3):
-        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_asker(rnd, buckets)), FRAGMENTS)
+    for rnd, ask in enumerate((ask_short, ask_long, ask_rest)):
+        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_asker(ask, buckets)), FRAGMENTS)
         told = asked.groupBy("bucket").applyInArrow(_tidy1(_bucket_answers(rnd)), ANSWERS)
-        fresh = scratch.bucketed(told.union(answers) if rnd else told, f"answers_{rnd}", "pid", n)
+        fresh = scratch.bucketed(told, f"answers_{rnd}", "pid", n)
         if rnd:
             scratch.drop(f"answers_{rnd - 1}")
         answers = fresh
