@@ -20,6 +20,8 @@ from voxelweave.scratch import Scratch
 
 MIN_CHUNK, MAX_CHUNK = 96, 1024
 SPACES = r"[\x20\x09-\x0D]+"
+#: Identifiers in groups of equal documents up to which these are broadcast (16 MB); above, the join shuffles.
+BROADCAST_LONGS = 2_000_000
 ANCHOR = r"[.!?;:|%…。！？]"
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{ANCHOR}|.{{1,{MAX_CHUNK}}}"
 
@@ -56,7 +58,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recipes = scratch.keep(recipes.select("doc_id", "n_cp", "text_sha256", "recipe", "ordinals"), "recipes")
 
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id")))
-    groups = recipes.groupBy("recipe", "ordinals").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("recipe", "ordinals", F.col("best.id").alias("keep_id"), "group_size")
-    out = recipes.join(groups, ["recipe", "ordinals"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = recipes.groupBy("recipe", "ordinals").agg(best.alias("best"), F.count("*").alias("size_")).where("size_ > 1")
+    groups = scratch.keep(groups.select("recipe", "ordinals", F.col("best.id").alias("best_id"), "size_"), "groups")
+    # a row that meets no group of two or more is alone; large groups are one row here, however many rows meet them
+    longs = groups.agg(F.sum(F.size("recipe") + F.size("ordinals") + 8)).first()[0] or 0
+    out = recipes.join(F.broadcast(groups) if longs <= BROADCAST_LONGS else groups, ["recipe", "ordinals"], "left")
+    alone = F.col("size_").isNull()
+    out = out.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")))
+    return out.select("doc_id", "keep_id", F.coalesce("size_", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
