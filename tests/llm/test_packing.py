@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 from collections import defaultdict
@@ -50,24 +51,69 @@ def test_fast_ids_are_the_tokenizers_ids():
         assert encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
-def test_schedule_places_everything_once():
-    rng = random.Random(4)
-    for _ in range(30):
-        cap = rng.randint(4, 60)
-        counts = {rng.randint(1, cap): rng.randint(1, 50) for _ in range(12)}
-        plan = packing.best_fit(counts, cap)
-        seen, fill = defaultdict(int), defaultdict(list)
-        for length, lo, hi, seq, off in plan:
-            seen[length] += hi - lo
-            for k in range(hi - lo):
-                fill[seq + k].append((off, length))
-        assert dict(seen) == counts
-        for parts in fill.values():
-            at = 0
-            for o, m in sorted(parts):
-                assert o == at
-                at += m
-            assert at <= cap
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences of plain best-fit-decreasing."""
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        if at < len(gaps):
+            gap = gaps.pop(at)
+        else:
+            gap, opened = capacity, opened + 1
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return opened
+
+
+def test_sweep_takes_the_successor():
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = sorted(((rng.randint(1, 30), rng.random() < 0.5) for _ in range(rng.randint(1, 40))), key=lambda r: (-r[0], r[1]))
+        size, piece = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        slots = np.array([rng.randint(1, 3) for _ in rows])
+        stack, want, levels = [], [-1] * len(rows), {}
+        for i, (_, p) in enumerate(rows):
+            if not p:
+                stack += [i] * slots[i]
+            elif stack:
+                want[i] = stack.pop()
+        for level, i in enumerate(stack):
+            levels.setdefault(i, []).append(level)
+        to, first, left = packing.sweep_range(size, piece, slots)
+        assert to.tolist() == want
+        assert [int(x) for x in left] == [len(levels.get(i, [])) for i in range(len(rows))]
+        assert all(first[i] == v[0] for i, v in levels.items())
+
+
+def test_carry_is_the_sweep_of_all_ranges():
+    rng = random.Random(6)
+    for _ in range(100):
+        ranges = [(p, rng.randint(0, 5), rng.randint(0, 5)) for p in range(6)]
+        stack, want = [], []
+        for p, pieces, slots in ranges:
+            for k in range(pieces):
+                if stack:
+                    want.append((p, k, *stack.pop()))
+            stack += [(p, s) for s in range(slots)]
+        got = [(p, r + k, of, top - k) for p, r, n, of, top in packing.carry_runs(ranges) for k in range(n)]
+        assert got == want
+
+
+def test_no_more_sequences_than_best_fit_decreasing(spark):
+    rng = np.random.default_rng(7)
+    draws = [
+        (64, rng.integers(1, 65, 700)), (64, rng.integers(8, 22, 900)), (1024, rng.integers(1, 1025, 900)), (1024, np.clip(rng.lognormal(5, 1.3, 1200).astype(int), 1, 1024)),
+        (64, np.repeat([40, 21, 3], [300, 500, 900])),
+    ]
+    for k, (capacity, lengths) in enumerate(draws):
+        rows = [(i, 0, int(n)) for i, n in enumerate(lengths)]
+        frame_ = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint")
+        want = best_fit_decreasing(lengths.tolist(), capacity)
+        for range_rows in (10_000, 150) if k == 1 else (10_000,):
+            got = packing.pack(frame_, capacity, range_rows=range_rows).collect()
+            assert sorted(tuple(r)[:3] for r in got) == rows
+            # ranges that open sequences may each leave one that is not full
+            assert check_layout(got, capacity) <= want + (0 if range_rows > 1000 else 3)
 
 
 def test_hot_length_and_empty(spark):
