@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tests.llm.helpers import awkward, frame, prose
 from voxelweave.llm import decontamination as D
 
@@ -67,6 +69,59 @@ def test_parts_and_columns(spark, monkeypatch):
     assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in out.collect()} == {**{i: [i] for i in range(10)}, 50: []}
 
 
+def test_recall_and_selectivity_of_the_sampling_alone():
+    rng = random.Random(8)
+    vocab = prose(rng, 3000).split()
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(14, 59)))) for i in range(150)]
+    index = D.Items([i for i, _ in items], [t for _, t in items], 0.8)
+    for share, least in ((0.05, 0.99), (0.1, 0.98), (0.2, 0.95)):
+        hit = seen = windows = 0
+        for k, (_, text) in enumerate(items):
+            w = text.split()
+            for _ in range(int(share * len(w))):
+                p = rng.randrange(len(w))
+                w[p : p + rng.randint(0, 1)] = rng.choice([[], [rng.choice(vocab)], [w[p], rng.choice(vocab)]])
+            full = (" ".join(rng.choices(vocab, k=60) + w + rng.choices(vocab, k=60))).encode()
+            h, doc = D.symbols(np.frombuffer(full, np.uint8), np.array([0, len(full)]))
+            c = index.candidates(h, doc)
+            near = (c[:, 1] == k) & (abs(c[:, 2] - 60) <= len(w))
+            hit += bool(near.any())
+            seen, windows = seen + int((~near).sum()), windows + len(h)
+        assert hit >= least * len(items)
+        assert seen <= 1e-3 * windows * len(items)
+
+
+def test_walks_are_the_steps_one_by_one():
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 1 << 60, 500).astype(np.uint64)
+    bits = (D.mix64(h ^ D._ODD[0]) >> np.uint64(56)).astype(int)
+    walks = D.Walks(h)
+    got = walks.places(list(range(0, 300, 7)))
+    for p in (0, 3, 250, 499):
+        at = p
+        start = p
+        for t in range(300):
+            if t % 7 == 0:
+                assert got[t][p] == at
+            if t % D.PERIOD == 0:
+                start = at
+            if at < 500:
+                at += (bits[at] >> (t % D.PERIOD)) & 1
+            if t % D.PERIOD == D.PERIOD - 1:
+                at = min(max(at, start + 1), 500)
+
+
+def test_a_very_long_item(spark):
+    rng = random.Random(10)
+    long = " ".join(f"w{rng.randrange(50000)}" for _ in range(100_000))
+    items = spark.createDataFrame([(1, long), (2, prose(rng, 20))], "item_id bigint, text string")
+    text = long.split()
+    for _ in range(30):
+        text.pop(rng.randrange(len(text)))
+    got = {r["doc_id"]: r["item_ids"] for r in D.decontaminate(frame(spark, [(1, "x " + " ".join(text)), (2, long[:200000]), (3, "la me")]), items).collect()}
+    assert got == {1: [1], 2: [], 3: []}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.decontaminate(frame(spark, []), none).count() == 0
