@@ -1,7 +1,9 @@
 """The driver contract: names, SQL keys, agreement with SQL, and independence from the optional subpackage."""
 
 import importlib
-import importlib.util
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -17,12 +19,20 @@ def test_keys():
     assert set(sql) <= set(every) and len(every) > 60
 
 
-def test_entry_works_without_the_optional_modules(monkeypatch):
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("voxelweave.llm", "corpus_pipeline") else found(name, *a))
-    names = __spark_entry__.queries()
-    assert "stitched_catalog" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
-    assert set(__spark_entry__.oracle_sql()) <= set(names)
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_works_in_a_copy_without_the_optional_folders(tmp_path, with_pipeline):
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "voxelweave", tmp_path / "voxelweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    if with_pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = (
+        "import __spark_entry__ as e; names = e.queries(); assert e.__file__.startswith(__import__('os').getcwd()); "
+        "assert 'stitched_catalog' in names and not any(n.startswith('op') or n == 'pipeline' for n in names); assert set(e.oracle_sql()) <= set(names)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
 
 
 def test_library_does_not_import_the_subpackage():

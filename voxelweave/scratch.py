@@ -18,9 +18,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where none is configured (tests, local mode)."""
+    """The cluster's checkpoint folder. Where none is configured, one of this machine's is made, in local mode only."""
     there = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {SETTING} to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="voxelweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         there = f"file://{own}"
@@ -34,7 +36,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/voxelweave/{label}-{uuid.uuid4().hex[:12]}"
-        self.tables: list[str] = []
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -51,7 +53,7 @@ class Scratch:
         """
         table = f"vw_{uuid.uuid4().hex[:16]}"
         (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", self.path(name)).format("parquet").saveAsTable(table)
-        self.tables.append(table)
+        self.tables[name] = table
         return self.spark.table(table)
 
     def release(self) -> None:
@@ -60,11 +62,11 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        """Delete the named tables, or everything when no name is given."""
+        """Delete the named tables (with their catalog entries), or everything when no name is given."""
+        for name in names or list(self.tables):
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for where in [self.path(n) for n in names] or [self.root]:
             path = jvm.org.apache.hadoop.fs.Path(where)
             path.getFileSystem(conf).delete(path, True)
-        if not names:
-            for table in self.tables:
-                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
