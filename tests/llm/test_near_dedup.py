@@ -1,7 +1,9 @@
+import hashlib
 import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, edited, frame, prose
 from voxelweave.llm import near_dedup as N
@@ -73,6 +75,28 @@ def test_empty(spark):
     assert [tuple(r)[:4] for r in N.near_duplicates(frame(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Texts of one id are one node, in any order of the rows; without uniting, each text is its own."""
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (5, a + " " + "x"), (5, b), (9, b), (9, c), (12, c + " y"), (13, prose(rng, 50)), (5, a + " x"), (None, a)]
+    for order in (rows, rows[::-1]):
+        got = sorted(tuple(r)[:4] for r in N.near_duplicates(frame(spark, order), 4).collect() if r["doc_id"] is not None)
+        assert {r[2] for r in got if r[0] in (1, 5, 9, 12)} == {1} and all(r[3] == (r[0] in (1, 13)) for r in got)
+        single = N.near_duplicates(frame(spark, order), 4, unite_ids=False, row_key=F.md5("text")).collect()
+        kept = {(r["doc_id"], r["row_key"]): r["kept"] for r in single if r["doc_id"] is not None}
+        key = lambda t: hashlib.md5(t.encode()).hexdigest()
+        assert kept[1, key(a)] and not kept[5, key(a + " x")] and kept[5, key(b)] and not kept[9, key(b)] and kept[9, key(c)] and not kept[12, key(c + " y")]
+
+
+def test_words_without_algebra(spark):
+    """A Thue-Morse word and its complement are different words."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    got = N.near_duplicates(frame(spark, [(1, one), (2, two), (3, one), (4, one[:400]), (5, two[:400])]), 4).collect()
+    assert [r["component_id"] for r in sorted(got)] == [1, 2, 1, 4, 5]
+
+
 def test_densified_bins_estimate_similarity():
     rng = np.random.default_rng(0)
     for size in (5, 40, 400):

@@ -26,7 +26,7 @@ ANCHOR = r"[.!?;:|%…。！？]"
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{ANCHOR}|.{{1,{MAX_CHUNK}}}"
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64, row_key: Column | None = None) -> DataFrame:
     """Decide for every row which row of its equality group stays.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. Of equal texts, the
@@ -36,16 +36,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     behind all others; repeated rows with one id count each and share their decision; other columns of
     ``docs``, whatever their names, are ignored; an empty table gives an empty table.
 
-    ``chunk_hash`` may be any 64-bit hash; a weak one only costs time (tests use a constant-like one).
+    With ``row_key``, an expression over ``docs`` that tells rows of one id apart, the columns ``row_key`` and ``n_cp``
+    (code points of the original text) are returned as well. ``chunk_hash`` may be any 64-bit hash; a weak one only costs time (tests use a constant-like one).
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    norm = base.select("doc_id", F.length("t").cast("bigint").alias("n_cp"), F.regexp_replace("t", SPACES, "").alias("norm"))
-    chunked = norm.select("doc_id", "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("chunks"))
+    told = [] if row_key is None else ["row_key"]
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([] if row_key is None else [row_key.alias("row_key")]))
+    norm = base.select("doc_id", *told, F.length("t").cast("bigint").alias("n_cp"), F.regexp_replace("t", SPACES, "").alias("norm"))
+    chunked = norm.select("doc_id", *told, "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("chunks"))
 
     distinct = chunked.select(F.explode("chunks").alias("chunk")).select(chunk_hash(F.col("chunk")).cast("bigint").alias("h"), "chunk").distinct()
     shared = scratch.keep(distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "ambiguous")
-    recipes = chunked.select("doc_id", "n_cp", "text_sha256", F.transform("chunks", lambda c: chunk_hash(c).cast("bigint")).alias("recipe"))
+    recipes = chunked.select("doc_id", *told, "n_cp", "text_sha256", F.transform("chunks", lambda c: chunk_hash(c).cast("bigint")).alias("recipe"))
     if shared.isEmpty():
         recipes = recipes.withColumn("ordinals", F.array().cast("array<int>"))
     else:
@@ -55,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed = placed.withColumn("h", chunk_hash(F.col("chunk")).cast("bigint")).join(named, ["h", "chunk"])
         lists = placed.groupBy("text_sha256").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ordinal"))), lambda x: x["ordinal"]).alias("ordinals"))
         recipes = recipes.join(lists, "text_sha256", "left").withColumn("ordinals", F.coalesce("ordinals", F.array().cast("array<int>")))
-    recipes = scratch.keep(recipes.select("doc_id", "n_cp", "text_sha256", "recipe", "ordinals"), "recipes")
+    recipes = scratch.keep(recipes.select("doc_id", *told, "n_cp", "text_sha256", "recipe", "ordinals"), "recipes")
 
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id")))
     groups = recipes.groupBy("recipe", "ordinals").agg(best.alias("best"), F.count("*").alias("size_")).where("size_ > 1")
@@ -65,4 +67,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = recipes.join(F.broadcast(groups) if longs <= BROADCAST_LONGS else groups, ["recipe", "ordinals"], "left")
     alone = F.col("size_").isNull()
     out = out.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")))
-    return out.select("doc_id", "keep_id", F.coalesce("size_", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", F.coalesce("size_", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *([*told, "n_cp"] if told else []))

@@ -1,6 +1,6 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
 
-A document's set is its distinct ``k``-word shingles. Documents with one set are one class and only its
+A document's set is its distinct ``k``-word shingles, each known by 128 bits. Documents with one set are one class and only its
 smallest id goes on. One hash per shingle fills ``BINS`` bins with minima (one-permutation hashing); an empty
 bin copies the bin that its own hash sequence reaches first (optimal densification), so small sets keep the
 collision probability J in every bin. Bands of ``ROWS`` bins are bucket keys. Each bucket proposes a star
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.llm.memory import small_batches, tidy_batches, tidy_group
-from voxelweave.llm.text import BASE, Words, mix64, per_doc_sets, shingles, slices, string_view
+from voxelweave.llm.text import BASE, Words, mix64, per_doc_sets, slices, string_view
 from voxelweave.operators.components import connected_components
+from voxelweave.operators.ranks import numbered
 from voxelweave.scratch import Scratch
 
 ROWS, BANDS = 6, 42
@@ -70,34 +71,40 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def signature_table(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, keys`` for every row; digest and keys are null for empty sets."""
+def _digest(pairs: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(pairs.tobytes(), digest_size=16).digest() if len(pairs) else None
+
+
+def signature_table(rows: DataFrame, k: int) -> DataFrame:
+    """``doc_id, row_key, n_shingles, digest, keys`` for every row (``doc_id, text, row_key``); digest and keys are
+    null for empty sets."""
 
     @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = Words(*string_view(b.column(1)))
-            sets = per_doc_sets(words, k)
+            sets = per_doc_sets(Words(*string_view(b.column(1)), wide=True), k)
             size = np.array([len(s) for s in sets])
-            keys = band_keys(signatures(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets)))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = band_keys(signatures(np.repeat(np.arange(len(sets)), size), np.concatenate(sets)[:, 0], len(sets)))
             lists = pa.array([r if m else None for r, m in zip(keys, size, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(map(_digest, sets), pa.binary()), lists], names=["doc_id", "row_key", "n_shingles", "digest", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, row_key string, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, shingles`` (sorted 64-bit hashes as bytes)."""
+    """``doc_id, digest, shingles`` (sorted pairs of 64-bit hashes as bytes)."""
 
     @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = per_doc_sets(Words(*string_view(b.column(1))), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+            sets = per_doc_sets(Words(*string_view(b.column(1)), wide=True), k)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, shingles binary")
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles binary")
+
+def _pairs(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64).reshape(-1, 2)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -109,19 +116,19 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep, last, mine = [], None, None
             for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
                 if a != last:
-                    last, mine = a, np.frombuffer(x.as_buffer(), np.uint64)
-                other = np.frombuffer(y.as_buffer(), np.uint64)
+                    last, mine = a, _pairs(x)
+                other = _pairs(y)
                 n, m = len(mine), len(other)
                 if 100 * min(n, m) < percent * max(n, m):
                     continue
-                at = np.minimum(np.searchsorted(mine, other), n - 1)
-                both = int((mine[at] == other).sum())
+                at = np.minimum(np.searchsorted(mine[:, 0], other[:, 0]), n - 1)
+                both = int((mine[at] == other).all(1).sum())
                 if 100 * both >= percent * (n + m - both):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -133,9 +140,13 @@ def compare_blocks(table: pa.Table, percent: int) -> pa.Table:
     reps, roots = table.column("rep").to_numpy(), table.column("root").to_numpy()
     left, right = table.column("left").to_numpy(), table.column("right").to_numpy()
     raw = table.column("shingles").combine_chunks()
-    sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(len(raw))]
+    sets = [_pairs(raw[i]) for i in range(len(raw))]
     size = np.array([len(x) for x in sets])
-    names, where = np.unique(np.concatenate(sets), return_inverse=True)
+    every = np.concatenate(sets)
+    names, first, where = np.unique(every[:, 0], return_index=True, return_inverse=True)
+    if (every[first][where] != every).any():  # one first hash, two shingles
+        names, where = np.unique(every, axis=0, return_inverse=True)
+        where = where.ravel()
     count = np.bincount(where, minlength=len(names))
     column = np.cumsum(count > 1) - 1
     row = np.repeat(np.arange(len(sets)), size)
@@ -182,39 +193,54 @@ def company_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFram
     tasks = F.concat(F.when(F.col("block") < F.col("s"), up).otherwise(F.array()), F.when(F.least("s", "block") > 0, down).otherwise(F.array()))
     copied = placed.select("main", "rep", "root", "block", F.explode(tasks).alias("t"))
     flat = copied.select("main", "rep", "root", F.col("t.p").alias("p"), F.col("t.q").alias("q"), (F.col("block") == F.col("t.p")).alias("left"), (F.col("block") == F.col("t.q")).alias("right"))
-    full = flat.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    full = flat.join(sets.select(F.col("node").alias("rep"), "shingles"), "rep")
     large = full.groupBy("main", "p", "q").applyInArrow(lambda t: tidy_group(compare_blocks, t, percent), "a bigint, b bigint")
     return small.union(large)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unite_ids: bool = True, row_key: Column | None = None) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent``/100 or more.
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept, class_id, n_links``: the smallest
     id reachable, whether that is the row itself, the smallest id with the same set, and the number of
-    confirmed links of that class (enough of them to connect its component).
+    confirmed links of that class (enough of them to connect its component). With ``row_key``, a string column of
+    ``docs`` that tells rows of one id apart, ``row_key`` is returned as well.
 
     Nulls and edges: a null or blank text has an empty set, is linked with nothing and is kept; a text of
-    fewer than ``k`` words has its whole sequence as one shingle; rows that repeat an id are one node; a row
-    without id takes no part, is its own component (null) and is kept; other columns are ignored; an empty
-    table gives an empty table.
+    fewer than ``k`` words has its whole sequence as one shingle; rows that repeat an id are nodes by their sets, and
+    belong to one component (with ``unite_ids`` false: only if links join them, and of the nodes of a component only
+    the one of the smallest id, and set, is kept); a row without id takes no part, is its own component (null) and is
+    kept; other columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    told = (F.lit(None) if row_key is None else row_key).cast("string").alias("row_key")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), told)
     sig = scratch.keep(signature_table(rows, k), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    # an id with several sets has a node for each; else the id is the node
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+    nodes = None
+    if not several.isEmpty():
+        every = full.select(F.struct("doc_id", "digest").alias("s")).distinct()
+        nodes = scratch.keep(numbered(every, "s", "node").select("s.doc_id", "s.digest", "node"), "nodes")
+    noded = (lambda df: df.join(nodes, ["doc_id", "digest"])) if nodes is not None else (lambda df: df.withColumn("node", F.col("doc_id")))
+    full = noded(full)
+    classes = scratch.keep(full.groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("members")), "classes")
+
+    reps = full.join(classes.select(F.col("rep").alias("node"), "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node"])
+    keyed = reps.select(F.col("node").alias("rep"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre <> other").select("key", "centre")
     buckets = scratch.keep(keyed.join(shared, "key"), "buckets")
     pairs = scratch.keep(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs_0")
-    ends = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    # of rows that repeat an id, each text counts; a set per (id, text) would need no more than this union
-    sets = scratch.keep(set_table(rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    ends = buckets.select("rep").distinct()
+    ids = ends.select(F.col("rep").alias("doc_id")) if nodes is None else nodes.join(ends, nodes["node"] == ends["rep"], "left_semi").select("doc_id").distinct()
+    texts = rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"] if nodes is None else ["doc_id", "text"])
+    own = noded(set_table(texts, k)).select("node", "shingles")
+    if nodes is not None:  # texts of one id may differ and have one set
+        own = own.join(ends, own["node"] == ends["rep"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.keep(own, "sets")
     links = scratch.keep(confirm(pairs, sets, percent), "links_0")
     scratch.release()
 
@@ -236,14 +262,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch.drop("sets", "buckets")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.join(roots, "rep", "left").join(degree, "rep", "left").where("members > 1 OR root IS NOT NULL")
+    if nodes is not None and unite_ids:
+        # classes that hold one id meet in that id, besides the links
+        held = full.select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+        first = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+        roots = roots_of(links.unionByName(held.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))), "roots_2")
+    named = classes.join(roots, "rep", "left").join(degree, "rep", "left").where("members > 1 OR root IS NOT NULL" if nodes is None else "true")
     # a document whose class is not here is alone in its class and component
-    named = scratch.keep(named.select("digest", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = named.select("digest", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if nodes is not None:  # nodes are numbered in order of their ids
+        of = lambda c: nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_doc"))
+        named = named.withColumn("winner", F.col("component_id")).join(of("class_id"), "class_id").join(of("component_id"), "component_id")
+        named = named.select("digest", F.col("class_id_doc").alias("class_id"), F.col("component_id_doc").alias("component_id"), "n_links", "winner")
+    named = scratch.keep(named, "named")
     side = F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named
-    # classes that hold one id twice (repeated ids with different texts) share that node's component
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(side, "digest", "left")
+    out = sig.select("doc_id", "row_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(side, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
+    kept = F.col("doc_id") == component
+    if nodes is not None and not unite_ids:
+        out = out.join(nodes.select(F.col("doc_id").alias("d_"), F.col("digest").alias("g_"), "node"), (F.col("doc_id") == F.col("d_")) & (F.col("digest") == F.col("g_")), "left")
+        kept = F.coalesce(F.col("node") == F.col("winner"), F.lit(True))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        "doc_id", *(["row_key"] if row_key is not None else []), "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"),
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )

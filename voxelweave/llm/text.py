@@ -6,6 +6,7 @@ Texts are handled as UTF-8 bytes in numpy. Words are maximal runs of bytes outsi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,13 @@ import pyarrow.compute as pc
 
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of a span up to which it is hashed eight bytes at a time with all others; longer ones go through BLAKE2b.
+LONG_SPAN = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,19 +32,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i < n; grown on demand, kept per worker."""
-    global _powers
-    if len(_powers[0]) < n:
-        out = []
-        for base in (BASE, INVERSE):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            out.append(np.multiply.accumulate(step))
-        _powers = (out[0], out[1])
-    return _powers
-
-
 def string_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a string or binary column; a null counts as empty."""
     if col.null_count:
@@ -83,57 +71,70 @@ def segments(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings ``data[start:end]``, by differences of a running polynomial."""
-    n = len(data)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte strings ``data[start:end]``; hashes of two seeds are independent.
+
+    A chain of bijective mixers over eight bytes at a time, so strings of one length up to eight bytes never collide
+    and no algebraic relation between strings carries over.
+    """
+    size = (end - start).astype(np.int64)
+    state = mix64(size.astype(np.uint64) ^ np.uint64((seed * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF))
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at = 0
+    while len(live):
+        rest = size[live] - at
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(rest, 8)).astype(np.uint64))
+        state[live] = mix64(state[live] ^ (words[start[live] + at] & mask))
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        state[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return state
 
 
 class Words:
-    """The words of a slice of texts: document number, start, end and 64-bit hash of each."""
+    """The words of a slice of texts: document number, start, end and 64-bit hash of each (``wide``: a second one)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, wide: bool = False):
         self.n_docs = len(offsets) - 1
         self.data = _LOWER[data] if lower else data
         self.start, self.end, self.doc = segments(~_SPACE[self.data], offsets)
         self.hash = span_hashes(self.data, self.start, self.end)
+        self.second = span_hashes(self.data, self.start, self.end, 1) if wide else None
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
         self.count = np.diff(self.first)
 
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, hash)`` of every run of ``k`` words; a document with 1 to k-1 words has its whole sequence as one."""
-    m, h = len(words.hash), words.hash
-    if m >= k:
-        ok = words.doc[: m - k + 1] == words.doc[k - 1 :]
-        at = np.flatnonzero(ok)
-        out = np.full(len(at), k, np.uint64)
-        for j in range(k):
-            out = out * np.uint64(BASE) + h[at + j]
-        docs, vals = words.doc[at], mix64(out)
-    else:
-        docs, vals = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def shingles(words: Words, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, hash)`` of every run of ``k`` words, from word hashes ``h``; a document with 1 to k-1 words has its
+    whole sequence as one. In order of document and place."""
+    m = len(h)
+    ok = words.doc[: m - k + 1] == words.doc[k - 1 :] if m >= k else np.zeros(0, bool)
+    at = np.flatnonzero(ok)
+    out = np.full(len(at), k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(BASE) + h[at + j]
+    docs, vals = words.doc[at], mix64(out)
     short = np.flatnonzero((words.count > 0) & (words.count < k))
     if len(short):
-        extra = []
-        for d in short:
-            x = np.uint64(words.count[d])
-            for v in h[words.first[d] : words.first[d + 1]]:
-                with np.errstate(over="ignore"):
-                    x = x * np.uint64(BASE) + v
-            extra.append(x)
-        docs = np.concatenate([docs, short])
-        vals = np.concatenate([vals, mix64(np.array(extra, np.uint64))])
+        x = words.count[short].astype(np.uint64)
+        for j in range(k - 1):
+            more = words.count[short] > j
+            x[more] = x[more] * np.uint64(BASE) + h[words.first[short[more]] + j]
+        docs, vals = np.concatenate([docs, short]), np.concatenate([vals, mix64(x)])
         order = np.argsort(docs, kind="stable")
         docs, vals = docs[order], vals[order]
     return docs, vals
 
 
 def per_doc_sets(words: Words, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each document."""
-    docs, vals = shingles(words, k)
+    """The distinct shingles of each document as pairs of 64-bit hashes, sorted (words must be ``wide``)."""
+    docs, one = shingles(words, k, words.hash)
+    _, two = shingles(words, k, words.second)
+    order = np.lexsort((two, one, docs))
+    docs, pairs = docs[order], np.column_stack([one[order], two[order]])
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (pairs[1:] != pairs[:-1]).any(1)
+    docs, pairs = docs[new], pairs[new]
     cuts = np.searchsorted(docs, np.arange(words.n_docs + 1))
-    return [np.unique(vals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [pairs[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
