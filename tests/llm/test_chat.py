@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -76,6 +77,20 @@ def test_one_conversation_over_many_parts(spark):
     assert body == ["user", "assistant"] * (len(body) // 2) and text.count("<|im_end|>") == len(turns)
 
 
+def test_rendered_conversations(spark):
+    rng = random.Random(10)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), f"t{c}-{t}") for c in range(40) for t in range(rng.randint(1, 9))]
+    repaired = C.repair_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = {r["conv_id"]: r for r in C.rendered(repaired).collect()}
+    assert sorted(got) == list(range(40))
+    for c, r in got.items():
+        mine = [x for x in rows if x[0] == c]
+        assert r["n_turns"] == len(mine) and re.findall(r"t\d+-\d+", r["text"]) == [x[3] for x in mine]
+        roles = re.findall(r"<\|im_start\|>(\w+)\n", r["text"])
+        body = roles[1:] if roles[0] == "system" else roles
+        assert body == ["user", "assistant"] * (len(body) // 2) and r["text"].count("<|im_end|>") == len(roles)
+
+
 def test_segments_multiply():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 4, 37)

@@ -1,7 +1,10 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
+
 from tests.llm.helpers import awkward, frame, prose
 from voxelweave.llm import pii as P
 
@@ -50,6 +53,39 @@ def test_query_columns(spark):
     assert P.personal_data(frame(spark, [])).count() == 0
 
 
+def test_messages_are_exact_on_chains():
+    """Without skip edges the field is a chain, where marginals follow from all labellings."""
+    rng = np.random.default_rng(3)
+    size = len(P.KINDS) + 1
+    field = P.Field(rng.normal(0, 1, (P.FEATURES, size)), rng.normal(0, 0.7, (size, size)), np.zeros((size, size)), np.zeros((size, size)))
+    text = "a 12345 b +1 (212) 555 0100 c 987654321 d 4444 e"
+    found = P.nodes(text, [])
+    assert len(found) == 4 and P.skip_edges(text, found) == ([], [])
+    unary = np.stack([P.features(text, a, b) for a, b, _ in found]) @ field.unary
+    want = np.zeros((4, size))
+    for labels in itertools.product(range(size), repeat=4):
+        score = np.exp(sum(unary[i, k] for i, k in enumerate(labels)) + sum(field.chain[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+        for i, k in enumerate(labels):
+            want[i, k] += score
+    assert np.allclose(P.infer(text, found, field, rounds=200), want / want.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_similar_mentions_are_tied():
+    text = "x 743-555-3824 y 743-555-3825 z 3824-555-743 a john.smith@a.org b j.smith(at)a c 99 1234"
+    found = P.nodes(text, [])
+    shown = [text[a:b] for a, b, _ in found]
+    same, like = P.skip_edges(text, found)
+    pairs = {frozenset((shown[i], shown[j])) for i, j in like}
+    assert same == [] and frozenset(("743-555-3824", "743-555-3825")) in pairs and frozenset(("743-555-3824", "3824-555-743")) in pairs
+    assert frozenset(("john.smith@a.org", "j.smith(at)a")) in pairs and not any("99 1234" in p for p in pairs)
+
+
+def test_addresses_of_any_length():
+    text = "q " + "a" * 500 + "(at)" + "b" * 1000 + " x"
+    assert [(a, b) for a, b, _ in P.nodes(text, [])] == [(2, len(text) - 2)]
+    P.nodes("a(at)" * 50000, [])
+
+
 def test_field_ties_repeated_entities():
     train = [f"w +1 (212) 555-{i:04d} v a{i}@b.example.org u {i} 2024 item 77{i:04d}" for i in range(80)]
     field = P.train_field(train)

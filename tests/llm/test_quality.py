@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -60,3 +63,43 @@ def test_edges(spark):
     assert len(same) == 1
     assert Q.quality_scores(frame(spark, []), lab).count() == 0
     assert Q.quality_scores(frame(spark, rows[:3]), lab.limit(0)).count() == 3
+
+
+def plain_statistics(text):
+    """Some of the statistics, word by word."""
+    b = text.encode()
+    if not b:
+        return dict.fromkeys(Q.NAMES, 0.0)
+    words, low = re.findall(rb"[^\x20\x09-\x0D]+", b), re.findall(rb"[^\x20\x09-\x0D]+", b.lower())
+    lines, n = re.findall(rb"[^\r\n]+", b), max(len(words), 1)
+    pairs = list(zip(low, low[1:], strict=False))
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n
+    share = [c / len(b) for c in Counter(b).values()]
+    caps = [w for w in words if len(re.findall(rb"[A-Z]", w)) > 1 and not re.search(rb"[a-z]", w)]
+    return {
+        "log_bytes": math.log1p(len(b)), "upper": len(re.findall(rb"[A-Z]", b)) / len(b), "digit": len(re.findall(rb"[0-9]", b)) / len(b), "high": sum(c > 127 for c in b) / len(b),
+        "entropy": -sum(s * math.log2(s) for s in share), "log_words": math.log1p(len(words)), "word_len": mean, "word_len_sd": math.sqrt(max(sum(s * s for s in sizes) / n - mean**2, 0)),
+        "long_words": sum(s > 14 for s in sizes) / n, "distinct_words": len(set(low)) / n, "top_word": max(Counter(low).values(), default=0) / n, "caps_words": len(caps) / n,
+        "signed_words": sum(bool(re.search(rb"[%$&*#@^~=+<>]", w)) for w in words) / n, "log_lines": math.log1p(len(lines)), "line_len": len(b) / max(len(lines), 1),
+        "repeated_lines": 1 - len(set(lines)) / max(len(lines), 1), "repeated_pairs": 1 - len(set(pairs)) / max(len(pairs), 1), "stops_a_word": len(re.findall(rb"[!.?]", b)) / n,
+    }
+
+
+def test_statistics_against_plain_python():
+    rng = random.Random(4)
+    texts = ["", " ", "A", "AB cd\nAB cd\r\nX9 $5 +", "é漢 🙂!", *(prose(rng, rng.randint(1, 80)) + rng.choice(["", "\n\nBUY NOW 100%", " x" * 30]) for _ in range(30))]
+    raw = [t.encode() for t in texts]
+    x = Q.document_statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, row in zip(texts, x, strict=True):
+        for name, value in plain_statistics(t).items():
+            assert abs(row[Q.NAMES.index(name)] - value) < 1e-9, (t, name)
+
+
+def test_split_search_finds_the_best_cut():
+    """One tree of one cut on one feature is the cut of least squared error over the bins."""
+    rng = np.random.default_rng(5)
+    x = rng.random((500, 1))
+    y = (x[:, 0] > 0.37).astype(float)
+    f = boosting.fit(x, y)
+    assert ((f.score(x) > 0.5) == y).mean() > 0.98

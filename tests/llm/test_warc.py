@@ -34,9 +34,10 @@ def brute(data):
     return sorted(out, key=repr)
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(A, "CLASSES", ((100, 7), (300, 3), (None, 1)))
     data = rows()
-    captures = A.archive_pages(pages(spark, data), captures_per_file=7)
+    captures = A.archive_pages(pages(spark, data))
     assert sorted(map(tuple, A.capture_digest(captures).collect()), key=repr) == brute(data)
     bodies = {(r["metadata"]["fields"]["page-id"], r["response"]["payload"]) for r in captures.where("response.type = 'response'").collect()}
     assert ("204", "z" * 200000) in bodies
@@ -47,6 +48,17 @@ def test_round_trip(spark):
     assert sum(bool(r["refers_to_id"]) for r in got) == 41  # page 300 occurs twice, so its record is not named
 
 
+def test_targets_are_encoded(spark):
+    got = A.archive_pages(pages(spark, [(1, "http://a/b c\r\nX: y\x7f%20é", "t")])).select("response.target").collect()
+    assert got[0][0] == "http://a/b%20c%0D%0AX:%20y%7F%20é"
+
+
+def test_large_pages_in_files_of_their_own(spark):
+    data = [(i, "u", chr(97 + i % 26) * (600_000 + 100_000 * i)) for i in range(10)] + [(50 + i, "u", "s" * (200 + i)) for i in range(30)]
+    captures = A.archive_pages(pages(spark, data))
+    assert sorted(map(tuple, A.capture_digest(captures).collect()), key=repr) == brute(data)
+
+
 def test_orphans_stay(spark):
     records = spark.createDataFrame([("request", "<r>", "<a>"), ("metadata", "<m>", "<b>"), ("response", "<a>", None), ("revisit", "<c>", None)], "type string, record_id string, concurrent_to string")
     got = {r["capture_id"]: (bool(r["response"]), bool(r["request"]), bool(r["metadata"])) for r in A.assemble(records).collect()}

@@ -24,7 +24,7 @@ MERGE, RELABEL, LABEL, INSERT = 10, 20, 15, 30
 FAR = 1 << 40
 OUT = (
     "conv_id bigint, turn bigint, role string, role_out string, action string, inserted_before array<string>, inserted_after array<string>, "
-    "cost bigint, fragment string"
+    "cost bigint, fragment string, place bigint"
 )
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 
@@ -165,7 +165,7 @@ def _head(role: int, close: bool) -> str:
 
 def _solver(known: dict[tuple, tuple[int, int | None, bool, bool]]):
     names = [x.strip().split()[0] for x in OUT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
 
     def run(t: pa.Table) -> pa.Table:
         order, firsts, ids = _order(t)
@@ -196,7 +196,7 @@ def _solver(known: dict[tuple, tuple[int, int | None, bool, bool]]):
                     piece += _head(f, True)
                 if closes and j == len(path) - 1:
                     piece += "<|im_end|>\n"
-                rows.append((conv, turns[row], roles[row], ROLES[to], action, [ROLES[f] for f in fill], [ROLES[f] for f in tail], cost + INSERT * len(tail), piece))
+                rows.append((conv, turns[row], roles[row], ROLES[to], action, [ROLES[f] for f in fill], [ROLES[f] for f in tail], cost + INSERT * len(tail), piece, pid << 40 | firsts[k] + j))
                 state = to
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -207,9 +207,9 @@ def _solver(known: dict[tuple, tuple[int, int | None, bool, bool]]):
 def repair_conversations(turns: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     """Repair and render conversations (``conv_id, turn, role, text``); one row per input turn.
 
-    Returns ``conv_id, turn, role, role_out, action, inserted_before, inserted_after, cost, fragment``;
-    fragments in order of turn are the rendered conversation, and the costs add up to its repair cost, which
-    is least. Among equal costs the choice is fixed.
+    Returns ``conv_id, turn, role, role_out, action, inserted_before, inserted_after, cost, fragment, place``;
+    fragments in order of ``place`` are the rendered conversation (see ``rendered``), and the costs add up to its repair
+    cost, which is least. Among equal costs the choice is fixed.
 
     Nulls and edges: a null or unknown role is labelled at a lower cost than a known one is changed; a null
     text is an empty turn; a null turn number comes last, equal numbers in a fixed order of role and text;
@@ -229,3 +229,14 @@ def repair_conversations(turns: DataFrame, part_bytes: int = 16 << 20) -> DataFr
     known = chain(sorted(((r[0], r[1], r[2], r[3]) for r in segments.collect()), key=lambda r: (r[0], r[2])))
     solve = _solver(known)
     return parts.groupBy("pid").applyInArrow(lambda t: tidy_group(solve, t), OUT)
+
+
+def rendered(repaired: DataFrame) -> DataFrame:
+    """``conv_id, text, cost, n_turns``: each repaired conversation as one text, from the rows of ``repair_conversations``.
+
+    A conversation is one value here, so it has to fit a task (the turns, as above, need not); turns without a
+    conversation are one (null); an empty table gives an empty table.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("place", "fragment")))
+    grouped = repaired.groupBy("conv_id").agg(parts.alias("p"), F.sum("cost").alias("cost"), F.count("*").alias("n_turns"))
+    return grouped.select("conv_id", F.array_join(F.transform("p", lambda x: x["fragment"]), "").alias("text"), "cost", "n_turns")

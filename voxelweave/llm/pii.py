@@ -2,10 +2,12 @@
 
 Base spans come from fixed patterns with checks. Number-like and address-like mentions outside them are the
 open nodes of a conditional random field over the document: base spans are nodes with a known label,
-neighbours form a chain, and mentions with the same or a similar key (equal last digits, equal address name)
-are tied by skip edges, mention to next mention, so that a repeated value costs one edge a repetition. Loopy
+neighbours form a chain, and mentions of one key (equal last digits, equal address name) or of similar keys (one digit
+off, digit groups in another order, an address name cut to its initial) are tied by skip edges, mention to next mention,
+so that a repeated value costs one edge a repetition. Similar keys have weaker potentials of their own. Loopy
 sum-product messages carry an entity's label to its other mentions; open nodes that end above one half for a
-kind are added. Unary and pairwise weights are learnt from base spans of a bounded sample of documents.
+kind are added. Unary and pairwise weights are learnt from base spans of a bounded sample of documents. A mention has
+four digits or more, or an at sign.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Open mentions: digit groups with the usual marks between them, or words around an at sign.
 NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9])+")
-ADDRESS = re.compile(r"[^\s@<>()\[\]{},;\"']{0,64}(?:@|\(at\)|\[at\])[^\s@<>()\[\]{},;\"']{1,255}")
+AT = re.compile(r"@|\(at\)|\[at\]")
+STOP = frozenset("@<>()[]{},;\"'")
+HOST = re.compile(r"[^\s@<>()\[\]{},;\"']+")
+#: Texts above so many bytes are not used to fit the field (their spans are found like all others).
+TRAIN_BYTES = 32 << 10
 SPANS = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -84,6 +90,20 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Address-like mentions, from each at sign outwards up to a space or bracket (linear in the text)."""
+    done = 0
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end())
+        if m.start() < done or not host:
+            continue
+        low = m.start()
+        while low > done and text[low - 1] not in STOP and not text[low - 1].isspace():
+            low -= 1
+        yield low, host.end()
+        done = host.end()
+
+
 FEATURES = 16
 
 
@@ -113,8 +133,7 @@ def nodes(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
     out = [(a, b, k + 1) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
     starts, reach = np.array([a for a, _ in taken]), np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0)
-    addresses = ADDRESS.finditer(text) if "@" in text or "(at)" in text or "[at]" in text else ()
-    for a, b in [m.span() for m in addresses] + [p for m in NUMBER.finditer(text) for p in parts(text, *m.span())]:
+    for a, b in [*_addresses(text)] + [p for m in NUMBER.finditer(text) for p in parts(text, *m.span())]:
         i = int(np.searchsorted(starts, b))
         if not i or reach[i - 1] <= a:
             out.append((a, b, 0))
@@ -143,23 +162,47 @@ def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Field:
-    """``unary`` (features by labels), ``chain`` and ``skip`` log potentials; label 0 is no entity."""
+    """``unary`` (features by labels), ``chain``, ``skip`` and ``similar`` log potentials; label 0 is no entity."""
 
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    similar: np.ndarray
 
 
-def skip_edges(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Each mention with the next mention of its key."""
-    last: dict[str, int] = {}
+def like_keys(text: str, start: int, end: int) -> list[str]:
+    """Keys that similar mentions share: one of the last seven digits left out of account, digit groups in order of
+    size, an address's initial with its last name."""
+    k = key(text, start, end)
     out = []
+    if k[0] == "n":
+        out = [f"w{k[1:i]}?{k[i + 1 :]}" for i in range(1, len(k))]
+    if k[0] in "ns":
+        groups = re.findall("[0-9]+", text[start:end])
+        if len(groups) > 1 and sum(map(len, groups)) >= 7:
+            out.append("g" + "-".join(sorted(groups)))
+    if k[0] == "a":
+        names = [x for x in re.split(r"[._-]+", k[1:]) if x]
+        if len(names) > 1:
+            out.append(f"i{names[0][0]}.{names[-1]}")
+    return out
+
+
+def skip_edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Each mention with the next mention of its key, and with the next ones of similar keys (without the first kind)."""
+    last: dict[str, int] = {}
+    same, like = [], []
     for i, (a, b, _) in enumerate(found):
         k = key(text, a, b)
         if k in last:
-            out.append((last[k], i))
+            same.append((last[k], i))
         last[k] = i
-    return out
+        for other in like_keys(text, a, b):
+            j = last.get(other)
+            if j is not None and key(text, *found[j][:2]) != k and (j, i) not in like[-10:]:
+                like.append((j, i))
+            last[other] = i
+    return same, like
 
 
 def train_field(texts: list[str], steps: int = 300) -> Field:
@@ -169,11 +212,11 @@ def train_field(texts: list[str], steps: int = 300) -> Field:
     """
     size = len(KINDS) + 1
     xs, ys = [], []
-    chain, skip = np.ones((size, size)), np.ones((size, size)) + 8 * np.eye(size)
+    chain, skip, similar = np.ones((size, size)), np.ones((size, size)) + 8 * np.eye(size), np.ones((size, size)) + 3 * np.eye(size)
     for text in texts:
         found = nodes(text, base_spans(text))
-        edges = skip_edges(text, found)
-        tied = {i for e in edges for i in e}
+        edges, like = skip_edges(text, found)
+        tied = {i for e in edges + like for i in e}
         for i, (a, b, label) in enumerate(found):
             if label or i not in tied:
                 xs.append(features(text, a, b))
@@ -183,6 +226,9 @@ def train_field(texts: list[str], steps: int = 300) -> Field:
         for i, j in edges:
             if found[i][2] and found[j][2]:
                 skip[found[i][2], found[j][2]] += 1
+        for i, j in like:
+            if found[i][2] and found[j][2]:
+                similar[found[i][2], found[j][2]] += 1
     norm = lambda m: np.log(m * m.sum() / (m.sum(1, keepdims=True) * m.sum(0, keepdims=True)))
     w = np.zeros((FEATURES, size))
     if xs:
@@ -192,11 +238,12 @@ def train_field(texts: list[str], steps: int = 300) -> Field:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             w -= 0.5 * (x.T @ (p - y) / len(x) + 0.002 * w)
-    return Field(w, np.clip(norm(chain), -1, 1), norm((skip + skip.T) / 2))
+    return Field(w, np.clip(norm(chain), -1, 1), norm((skip + skip.T) / 2), norm((similar + similar.T) / 2))
 
 
-def infer(text: str, found: list[tuple[int, int, int]], field: Field, rounds: int = 12) -> np.ndarray:
-    """Node marginals by damped loopy sum-product; nodes with a label keep it."""
+def infer(text: str, found: list[tuple[int, int, int]], field: Field, rounds: int = 60) -> np.ndarray:
+    """Node marginals by damped loopy sum-product, until no message changes by 1e-6 or for ``rounds`` rounds; nodes
+    with a label keep it."""
     n, size = len(found), len(KINDS) + 1
     unary = np.stack([features(text, a, b) for a, b, _ in found]) @ field.unary
     for i, (_, _, label) in enumerate(found):
@@ -204,12 +251,12 @@ def infer(text: str, found: list[tuple[int, int, int]], field: Field, rounds: in
             unary[i] = -50
             unary[i, label] = 0
     chain = [(i, i + 1) for i in range(n - 1)]
-    skip = skip_edges(text, found)
-    if not skip and not chain:
+    skip, like = skip_edges(text, found)
+    if not skip and not like and not chain:
         e = np.exp(unary - unary.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
-    pair = np.array(chain + skip)
-    pot = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)])
+    pair = np.array(chain + skip + like)
+    pot = np.concatenate([np.repeat(p[None], len(edges), 0) for p, edges in ((field.chain, chain), (field.skip, skip), (field.similar, like))])
     src, dst = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([pair[:, 1], pair[:, 0]])
     pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(pair)) + len(pair), np.arange(len(pair))])
@@ -221,7 +268,10 @@ def infer(text: str, found: list[tuple[int, int, int]], field: Field, rounds: in
         top = out.max(1)
         new = np.log(np.exp(out - top[:, None]).sum(1)) + top
         new -= new.max(1, keepdims=True)
-        msg = 0.3 * msg + 0.7 * new
+        step = 0.7 * (new - msg)
+        msg = msg + step
+        if abs(step).max() < 1e-6:
+            break
     belief = unary.copy()
     np.add.at(belief, dst, msg)
     e = np.exp(belief - belief.max(1, keepdims=True))
@@ -253,10 +303,11 @@ def show(spans: list[Span]) -> str:
 
 
 def sample_texts(docs: DataFrame, max_rows: int) -> list[str]:
-    """At most ``max_rows`` whole texts by hash order of their ids (bounded; only to fit the field)."""
+    """Whole texts of at most ``max_rows`` documents by hash order of their ids, in order of their ids (bounded, and of
+    ``TRAIN_BYTES`` each at most; only to fit the field). Of the texts of one id, the smallest."""
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = docs.join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("[0-9@]")).select("text").limit(2 * max_rows).collect()
-    return [r[0] for r in got]
+    some = docs.where((F.octet_length("text") <= TRAIN_BYTES) & F.col("text").rlike("[0-9@]"))
+    return [r[1] for r in sorted(map(tuple, some.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text")).collect()))]
 
 
 def personal_data(docs: DataFrame, max_rows: int = 4000) -> DataFrame:
@@ -265,7 +316,7 @@ def personal_data(docs: DataFrame, max_rows: int = 4000) -> DataFrame:
     Counts and ``base_sha256`` are those of the base spans; ``spans`` has them and the added ones, as
     ``kind:start:end`` by start, then kind. A null text is empty; a text without spans has empty lists; repeated
     rows get the same answer; a null id stays null; other columns are ignored; an empty table gives an empty
-    table. The field is fitted on at most ``max_rows`` documents.
+    table. The field is fitted on at most ``max_rows`` documents of at most ``TRAIN_BYTES`` each.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     field = train_field(sample_texts(rows, max_rows))

@@ -99,10 +99,12 @@ def training_ids(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
 
 
 def train(stats: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Forest:
-    """Fit on at most ``max_rows`` labelled rows (a bounded sample, by hash order); only their statistics reach the driver."""
-    rows = stats.join(F.broadcast(training_ids(labels, "quality", max_rows)), "doc_id").select("x", "y").limit(2 * max_rows).collect()
-    x = np.array([r[0] for r in rows], float).reshape(-1, len(NAMES))
-    return fit(x, np.array([r[1] for r in rows], float))
+    """Fit on at most ``max_rows`` labelled rows (a bounded sample, by hash order); only their statistics reach the driver, in
+    order of their ids. Of the rows of one id, the one with the smallest statistics."""
+    rows = stats.join(F.broadcast(training_ids(labels, "quality", max_rows)), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    rows = sorted((r["doc_id"], r["x"], r["y"]) for r in rows)
+    x = np.array([r[1] for r in rows], float).reshape(-1, len(NAMES))
+    return fit(x, np.array([r[2] for r in rows], float))
 
 
 def score_documents(stats: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:

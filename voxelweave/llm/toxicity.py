@@ -30,8 +30,8 @@ OPEN = np.zeros(256, bool)
 OPEN[[ord(c) for c in "\"`<"]] = True
 #: Edits allowed for a whole word of at least so many bytes.
 EDITS = ((10, 2), (5, 1))
-#: Hits of a document that count at most, per kind, so that length alone does not decide.
-FULL = 4.0
+#: Texts above so many bytes are not used to learn from (they are scored whole, like all others).
+TRAIN_BYTES = 32 << 10
 
 
 @dataclass(frozen=True)
@@ -151,12 +151,13 @@ class Automaton:
         return word[hit][order], term[hit][order], (self.exact[last] < 0)[hit][order]
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray, most: int = 64, share: float = 0.02, ratio: float = 4.0, covers: int = 6) -> list[Term]:
+def learn_lexicon(texts: list[str], labels: np.ndarray, share: float = 0.02, ratio: float = 4.0, covers: int = 6) -> list[Term]:
     """Words and stems (4 to 12 bytes) that occur in ``ratio`` times the share of label-1 texts, chosen greedily.
 
     Each choice explains the most label-1 texts that fewer than ``covers`` terms explain so far; it is lengthened as long as it
     keeps 95 of 100 of its texts, and is a whole word if that word alone keeps them; then other candidates
-    with the same first four bytes in those texts are left.
+    with the same first four bytes in those texts are left. It ends where no candidate explains ``share`` of the label-1
+    texts (five at least) any more. Words under four bytes are never terms.
     """
     known: dict[int, bytes] = {}
     per_doc: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
@@ -211,7 +212,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, most: int = 64, share: f
     good = counts_toxic / n1 >= ratio * (clean + 0.5) / n0
     open_docs, cover, terms = set(range(n1)), np.zeros(n1, int), []
     sets = [set(m[good[m]].tolist()) for m in member]
-    while open_docs and len(terms) < most:
+    while open_docs:
         tally = Counter(j for d in open_docs for j in sets[d])
         if not tally:
             break
@@ -249,7 +250,7 @@ class Model:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, terms: list[Term], automaton: Automaton, window: int) -> np.ndarray:
-    """Per text: summed term weights of exact, misspelled and quoted hits (each at most ``FULL`` hits' worth), and hits a hundred words."""
+    """Per text: logarithms of 1 + summed term weights of exact, misspelled and quoted hits, and of 1 + hits a hundred words."""
     n = len(offsets) - 1
     folded = FOLD[data]
     s, e, doc = segments(LETTER[data], offsets)
@@ -259,10 +260,9 @@ def features(data: np.ndarray, offsets: np.ndarray, terms: list[Term], automaton
     hi = np.minimum(e[word] + window, offsets[doc[word] + 1])
     quoted = (quotes[s[word]] > quotes[lo]) & (quotes[hi] > quotes[e[word]])
     weight = np.array([t.weight for t in terms])[term] if len(terms) else np.zeros(0)
-    cap = FULL * max([t.weight for t in terms], default=0)
-    kind = lambda m: np.minimum(np.bincount(doc[word][m], weight[m], n), cap)
+    kind = lambda m: np.log1p(np.bincount(doc[word][m], weight[m], n))
     words = np.maximum(np.bincount(doc, minlength=n), 1)
-    density = np.minimum(100 * np.bincount(doc[word], minlength=n) / words, 10)
+    density = np.log1p(100 * np.bincount(doc[word], minlength=n) / words)
     return np.column_stack([kind(~fuzzy & ~quoted), kind(fuzzy & ~quoted), kind(quoted), density])
 
 
@@ -275,7 +275,7 @@ def train_model(texts: list[str], labels: np.ndarray, window: int = 48, steps: i
     for i in range(0, len(texts), 200):
         raw = [t.encode() for t in texts[i : i + 200]]
         x[i : i + 200] = features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), terms, automaton, window)
-    belief = np.array([0.8, 0.56, 0.24, 0.0])
+    belief = np.array([2.0, 1.4, 0.6, 0.0])
     rate = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
     w, b = belief.copy(), float(np.log(rate / (1 - rate))) if len(labels) else 0.0
     if len(texts) and terms:
@@ -289,10 +289,12 @@ def train_model(texts: list[str], labels: np.ndarray, window: int = 48, steps: i
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``max_rows`` training rows (bounded, by hash order)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.join(F.broadcast(training_ids(labels, "toxic", max_rows)), "doc_id").select("text", "y").limit(2 * max_rows).collect()
-    return [r[0] for r in got], np.array([r[1] for r in got], float)
+    """Texts and labels of at most ``max_rows`` training documents (by hash order of their ids), in order of their ids;
+    at most ``TRAIN_BYTES`` a text. Of the texts of one id, the smallest."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    got = rows.join(F.broadcast(training_ids(labels, "toxic", max_rows)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    got = sorted((r["doc_id"], r["y"], r["text"]) for r in got)
+    return [r[2] for r in got], np.array([r[1] for r in got], float)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -311,7 +313,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 6000) -> DataFrame:
-    """Learn from at most ``max_rows`` labelled rows outside the held-out fold and score every whole text.
+    """Learn from at most ``max_rows`` labelled documents (of at most ``TRAIN_BYTES`` each) outside the held-out fold
+    and score every whole text.
 
     A null or empty text has no hits and gets the score of that; repeated rows are scored alike; a null id is
     not held out; labels of unknown documents, null labels and labels other than 0 and 1 are not used; without

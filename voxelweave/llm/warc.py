@@ -2,8 +2,8 @@
 
 Each capture is three records: request, response (or revisit) and metadata; request and metadata point to
 the response by ``WARC-Concurrent-To``. Archives are written by Spark's text writer with the record
-separator as line separator, and read back as whole files of bounded size, so both ends work on any store
-that Spark can reach.
+separator as line separator, and read back file by file, so both ends work on any store that Spark can reach. A file
+holds so many captures of one size class that it stays under some 64 MB, or a single larger one.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,12 @@ from voxelweave.llm.memory import small_batches, tidy_batches
 from voxelweave.scratch import Scratch
 
 CRLF = "\r\n"
+#: Size classes of captures: payload bytes below which (None: any), captures a file.
+CLASSES = ((32 << 10, 2048), (1 << 20, 64), (None, 1))
+#: Bytes of records in a batch on its way back.
+BATCH_BYTES = 4 << 20
+#: Characters that may not stand in a header line's target; they are percent-encoded.
+CONTROL = [chr(c) for c in (*range(0x21), 0x7F)]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
     "type string, record_id string, concurrent_to string, refers_to_id string, target string, digest string, "
@@ -73,11 +80,23 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), *lines, size, block)
 
 
-def write_archives(table: DataFrame, path: str, date: str, captures_per_file: int) -> None:
-    """Write chosen captures (see ``choose_responses``) as gzip-compressed WARC files of bounded length."""
+def write_archives(table: DataFrame, path: str, date: str) -> None:
+    """Write chosen captures (see ``choose_responses``) as gzip-compressed WARC files, a folder for each size class."""
+    low, most = 0, table.agg(F.max("payload_bytes")).first()[0] or 0
+    for i, (high, captures_per_file) in enumerate(CLASSES):
+        if i and low > most:
+            break
+        size = F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes"))
+        some = table.where((size >= low) & (F.lit(True) if high is None else size < high))
+        _write_class(some, f"{path}/class={i}", date, captures_per_file)
+        low = high
+
+
+def _write_class(table: DataFrame, path: str, date: str, captures_per_file: int) -> None:
     rid, first = _urn("response", F.col("page_id"), F.col("nonce")), F.when(~F.col("vague"), _urn("response", F.col("first_id"), F.lit(0)))
     # a header must stay on its line, whatever the url holds
-    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]", "")
+    url = F.coalesce(F.col("url"), F.lit(""))
+    url = F.when(url.rlike(r"[\x00-\x20\x7f]"), reduce(lambda u, c: F.replace(u, F.lit(c), F.lit(f"%{ord(c):02X}")), CONTROL, url)).otherwise(url)
     when, digest = F.lit(date), F.concat(F.lit("sha256:"), F.col("payload_digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -115,7 +134,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
         yield {
             "type": kind, "record_id": head["WARC-Record-ID"], "concurrent_to": head.get("WARC-Concurrent-To"), "refers_to_id": head.get("WARC-Refers-To"),
             "target": head.get("WARC-Target-URI"), "digest": head.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, "block_bytes": len(block),
-            "payload_sha256": hashlib.sha256(payload).hexdigest() if payload is not None else None, "payload": payload.decode() if payload is not None else None, "fields": fields,
+            "payload_sha256": hashlib.sha256(payload).hexdigest() if payload is not None else None, "payload": payload.decode() if payload is not None else None, "payload_bytes_read": len(payload) if payload is not None else None, "fields": fields,
         }
 
 
@@ -129,17 +148,23 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows: list[list] = []
+                rows, size = [], 0
                 for r in parse_records(content.as_py()):
-                    r["payload_bytes_read"] = len(r["payload"].encode()) if r["payload"] is not None else None
-                    r["fields"] = list(r["fields"].items()) if r["fields"] is not None else None
                     if not with_payload:
                         r["payload"] = None
+                    r["fields"] = list(r["fields"].items()) if r["fields"] is not None else None
                     rows.append([r[n] for n in names])
-                cols = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                    size += 1000 + len(r["payload"] or "")
+                    if size >= BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                yield packed(rows)
+
+    def packed(rows: list[list]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length bigint, content binary").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(path).select("content")
     return files.mapInArrow(run, RECORDS + ", payload_bytes_read bigint")
 
 
@@ -155,7 +180,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def archive_pages(
     pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url", min_bytes: int = 100,
-    date: str = "2024-01-01T00:00:00Z", captures_per_file: int = 2048, with_payload: bool = True,
+    date: str = "2024-01-01T00:00:00Z", with_payload: bool = True,
 ) -> DataFrame:
     """Write one capture per row, read the archives back and return the assembled transactions.
 
@@ -167,7 +192,7 @@ def archive_pages(
     small_batches(spark)
     scratch = Scratch(spark, "warc")
     table = payload_table(pages, id_col, body_col, url_col)
-    write_archives(choose_responses(table, min_bytes, scratch), scratch.path("archives"), date, captures_per_file)
+    write_archives(choose_responses(table, min_bytes, scratch), scratch.path("archives"), date)
     return assemble(scratch.keep(read_archives(spark, scratch.path("archives"), with_payload), "records"))
 
 
