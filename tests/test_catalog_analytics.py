@@ -42,7 +42,9 @@ def test_powerlaw_slope(sample):
 
 def test_integer_edges():
     e = S.integer_edges(1.5, 1000, 20)
-    assert e[0] == 1 and e[-1] >= 1000 and len(e) - 1 <= 20 and all(a < b for a, b in zip(e, e[1:], strict=False))
+    assert e[0] == 2 and e[-1] == 1000 and len(e) == 21 and all(a < b for a, b in zip(e, e[1:], strict=False))
+    assert S.integer_edges(1, 1000, 20)[0] == 1 and S.integer_edges(1, 4, 20) == [1, 2, 3, 4]
+    assert S.log_edges(1, 100, 3) == pytest.approx([1, 10, 100])
 
 
 def test_features_and_missing(sample):
@@ -96,35 +98,109 @@ def test_powerlaw_mle_recovers_slope(spark):
     y = np.log(np.exp(c * lo) + u * (np.exp(c * hi) - np.exp(c * lo))) / c
     df = spark.createDataFrame([(float(10**t),) for t in y], "v double")
     r = models.vmin_sweep(df, "v", [0.5, 10.0]).collect()
-    assert [x["alpha"] for x in r] == pytest.approx([a, a], abs=0.05)
+    assert [x["alpha"] for x in r] == pytest.approx([a + 1, a + 1], abs=0.05) and all(x["delta_aic"] > 0 for x in r)
     assert models.vmin_sweep(df, "v", [1e9]).count() == 0
 
 
 def test_curve_fits_rank_the_true_model(spark):
-    x = np.geomspace(1, 1e4, 40)
-    y = 5 * x**-0.4 * np.exp(-x / 3000)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "mid double, spectrum double")
-    best = models.fit_curves(df, "mid", "spectrum").first()
-    assert best["rss"] < 1e-6 and best["model"] in ("power_law_cut", "double_power_law_cut")
-
-
-def test_broken_power_law(spark):
+    x = np.geomspace(1, 1e7, 60)
+    u = np.log10(x)
+    planted = {
+        "double_power_law": (6, 2.0 + models.log10_broken(u, 4.0, -1.2, -0.3, 1.5, 1.0)),
+        "double_power_law_fixed": (4, 1.0 + models.log10_broken(u, 3.5, 0.0, -4 / 9, 1.2, 0.7)),
+        "beuermann_fixed": (5, 1.0 + models.log10_broken(u, 4.0, 0.0, -4 / 9, 1.2, 0.7, 4.0)),
+        "power_law": (2, 0.3 + 0.7 * u),
+        "zipf": (1, 0.5 + 0 * u),
+        "power_law_49": (1, -0.2 + 4 / 9 * u),
+    }
+    for name, (k, v) in planted.items():
+        df = spark.createDataFrame([(float(a), float(10**b)) for a, b in zip(x, v, strict=True) if b > -30], "mid double, spectrum double")
+        fits = {r["model"]: r for r in models.fit_curves(df, "mid", "spectrum").collect()}
+        assert len(fits) == 7 and fits[name]["k"] == k and fits[name]["rss"] < 1e-3, name
+    with pytest.raises(ValueError, match="points"):
+        models.fit_curves(spark.range(1, 10_003).selectExpr("id mid", "1.0 spectrum"), "mid", "spectrum")
+
+
+def test_curves_as_columns(spark):
+    x = np.geomspace(0.5, 1e6, 30)
+    df = spark.createDataFrame([(float(t),) for t in x], "v double")
+    p = (3.0, -0.7, 0.4, 0.8, 1.3, 2.5)
+    got = [r[0] for r in df.select(models.log_floor(models.broken_power_law(F.col("v"), 7.0, *p))).collect()]
+    assert got == pytest.approx(np.maximum(np.log10(7.0) + models.log10_broken(np.log10(x), *p), -30))
+
+
+def test_likelihood_fits_recover_the_planted_model(spark):
     rng = np.random.default_rng(2)
-    grid = np.linspace(0, 3, 400)
-    p = np.exp(models.dpl_log_density(grid, 1.5, 1.0, -1.0))
-    y = rng.choice(grid, 5000, p=p / p.sum())
+    grid = np.linspace(0, 6, 3000)
+    truth = (3.0, -0.9, 0.6, 0.5)
+    ld = models.dpl_log_density(grid, *truth)
+    p = np.exp(ld - ld.max())
+    y = rng.choice(grid, 40000, p=p / p.sum())
     df = spark.createDataFrame([(float(10**t),) for t in y], "cell_count double")
-    r = models.dpl_mle(df, "cell_count").first()
-    assert r["y0"] == pytest.approx(1.5, abs=0.2) and r["alpha"] == pytest.approx(1.0, abs=0.3) and r["beta"] == pytest.approx(-1.0, abs=0.3)
-    assert models.dpl_mle(df.limit(0), "cell_count").count() == 0
+    fits = {r["model"]: r for r in models.model_table(df, "cell_count").collect()}
+    best = fits["double_power_law"]
+    assert min(fits.values(), key=lambda r: r["aic"])["model"] == "double_power_law" and best["delta_aic"] == 0 and len(fits) == 5
+    at_truth = models.dpl_nll_table(df, "cell_count", [truth]).first()["nll"]
+    assert best["nll"] <= at_truth + 2 and best["gamma"] == pytest.approx(truth[1], abs=0.4) and best["beta"] == pytest.approx(truth[2], abs=0.3)
+    assert models.model_table(df.limit(0), "cell_count").count() == 0
+    # one aggregation gives what the sum over values gives
+    v = np.log10([r[0] for r in df.collect()])
+    assert at_truth == pytest.approx(models.dpl_nll(np.array(truth), v, np.ones(len(v))), rel=1e-9)
+
+
+def test_snapshots_without_a_bin_count_as_zero(spark):
+    df = spark.createDataFrame([(1, 0, 4.0), (2, 0, 2.0), (1, 1, 6.0)], "step int, bin int, spectrum double")
+    got = {r["bin"]: (r["mean"], r["std"], r["n"]) for r in models.bin_mean_std(df, 2).collect()}
+    assert got == {0: (3.0, 1.0, 2), 1: (3.0, 3.0, 1)}
+
+
+def test_median_and_rank_of_ties(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(rng.integers(0, 4)), i) for i, g in enumerate(rng.integers(0, 3, 901).tolist())] + [(None, 5.0, 1000), (7, None, 1001)]
+    df = spark.createDataFrame(rows, "g int, v double, tie int")
+    want = {g: (float(np.median([r[1] for r in rows if r[0] == g])), sum(r[0] == g for r in rows)) for g in (0, 1, 2, None)}
+    assert {r["g"]: (r["median"], r["n"]) for r in S.exact_median(df, ["g"], "v").collect()} == want
+    got = S.reverse_rank(df.where("v IS NOT NULL"), "v", "g", "tie").collect()
+    for g in (0, 1, 2, None):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["n_ge"])
+        assert [(-r["v"], r["tie"]) for r in mine] == sorted((-v, t) for h, v, t in rows if h == g and v is not None)
+        assert [r["n_ge"] for r in mine] == list(range(1, len(mine) + 1)) and mine[-1]["cdf"] == 1
+
+
+def test_sample_does_not_depend_on_partitions(spark, sample):
+    one = {r["gid"] for r in ml.weighted_sample(sample.repartition(1), 60, "sqrt_volume").collect()}
+    assert one == {r["gid"] for r in ml.weighted_sample(sample.repartition(7), 60, "sqrt_volume").collect()} and len(one) == 60
+
+
+def test_features_of_several_catalogs(spark, sample, tmp_path):
+    paths = [str(tmp_path / n) for n in "ab"]
+    rows = sample.withColumn("velocity_mean", F.array(F.lit(3.0), F.lit(0.0), F.lit(4.0)))
+    for p in paths:
+        rows.write.parquet(p)
+    got = ml.load_features(spark, paths, ["velocity_mean_mag", "velocity_speed", "vz_mean", "volume"])
+    assert got.count() == 1600 and got.select("velocity_mean_mag", "velocity_speed", "vz_mean", "file").distinct().count() == 2 and got.first()["vz_mean"] == 4.0
+    with pytest.raises(KeyError, match="nope"):
+        ml.load_features(spark, paths, ["nope"])
+    with pytest.raises(ValueError):
+        ml.load_features(spark, paths, [])
+    ml.register_feature("double_volume", lambda df: F.col("volume") * 2)
+    r = ml.features(sample, ["double_volume", "volume"]).first()
+    assert r["double_volume"] == 2 * r["volume"]
+
+
+def test_snapshot_discovery(spark, tmp_path):
+    for name in ("n640_sweep/step00031", "n640_sweep/step00030", "n640_sweep/stepx", "n640_sweep/step00040"):
+        (tmp_path / name / "clumps_stitched").mkdir(parents=True)
+    got = readers.discover_snapshots(spark, str(tmp_path / "n640_sweep")).collect()
+    assert sorted((r["res"], r["step"]) for r in got) == [(640, 31), (640, 40)]
 
 
 def test_names_and_labels(spark):
     df = spark.createDataFrame([("a/res640_q_step00021_conn6_T0p02/x",), ("none",)], "p string")
     assert [tuple(r) for r in df.select(*readers.run_fields(F.col("p"))).collect()] == [(640, 21, 6, 0.02), (None,) * 4]
     got = spark.createDataFrame([(" log10(V / dx) ",), ("***",)], "p string").select(readers.sanitised(F.col("p"))).collect()
-    assert [r[0] for r in got] == ["log10_v_dx", "feature"]
-    assert readers.level_suffix(["x", "cons_cons_density_lvl3"]) == "lvl3"
+    assert [r[0] for r in got] == ["log10_v___dx", "feature"]  # a space is an underscore of its own
+    assert readers.level_suffix(["x", "cons_cons_density_lvl3"]) == "lvl3" and readers.level_suffix(["b_lvl2_x", "a_lvl7"]) == "lvl2"
     with pytest.raises(ValueError):
         readers.level_suffix(["x"])
 
@@ -149,7 +225,12 @@ def test_synthetic_fields(spark):
     assert f.std() == pytest.approx(1) and abs(f.mean()) < 1e-9
     temp, dens = readers.monotone_fields(readers.gaussian_field(4, 1))
     assert temp.min() > 0.01 and dens.max() < 100
-    assert readers.rescaled(np.ones(5), 0, 4).tolist() == [2] * 5
+    flat = spark.createDataFrame([(1.0,)] * 5, "x double")
+    assert [r["x"] for r in readers.rescaled(flat, "x", 0, 4).collect()] == [2.0] * 5
+    x = np.random.default_rng(0).normal(size=300)
+    got = [r["x"] for r in readers.rescaled(spark.createDataFrame([(float(t),) for t in x], "x double"), "x", -1, 3).collect()]
+    a, b = np.percentile(x, (1, 99))
+    assert sorted(got) == pytest.approx(sorted(-1 + 4 * (np.clip(x, a, b) - a) / (b - a)))
     t = readers.field_table(spark, dens=dens, temp=temp)
     assert readers.domain_shape(t).first().asDict() == {"nx": 4, "ny": 4, "nz": 4}
 

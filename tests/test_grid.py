@@ -172,8 +172,10 @@ def test_moments_of_constant_label(spark):
 
 def test_config():
     assert EngineConfig(n=4, dx=1.0, dy=1.0).spacing == (0.25,) * 3
-    with pytest.warns(UserWarning, match="periodic"):
-        EngineConfig.from_mapping({"n": 4, "periodic": True})
+    with pytest.warns(UserWarning, match="colour"):
+        EngineConfig.from_mapping({"n": 4, "colour": True})
+    assert EngineConfig.from_mapping({"n": 4, "periodic": False}).periodic == (False,) * 3
+    assert EngineConfig.from_mapping({"n": 4, "periodic": [True, False, True]}).periodic == (True, False, True)
     for bad in ({"n": 0}, {"n": 4, "cut_op": "eq"}, {"n": 4, "connectivity": 8}, {"n": 4, "ghost_width": 0}):
         with pytest.raises(ValueError):
             EngineConfig(**bad)

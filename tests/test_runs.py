@@ -1,5 +1,6 @@
 """Whole runs and the optional snapshot source."""
 
+import json
 import sys
 import types
 
@@ -11,6 +12,7 @@ from tests.test_grid import brute
 from voxelweave.config import EngineConfig
 from voxelweave.plans import runs
 from voxelweave.sources import openpmd, readers
+from voxelweave.sources.parts import brick_index, check_planes, read_npz_planes, read_parts
 
 
 def fields(n=6, seed=4):
@@ -33,6 +35,70 @@ def test_run_and_sweep(spark, tmp_path):
     assert both.count() == len(want) and runs.summaries(both.limit(0)) == {}
 
 
+@pytest.mark.parametrize("dims", [(2, 2, 1), (2, 2, 2), (2, 2, 5)])
+@pytest.mark.parametrize("periodic", [(True, True, True), (False, True, False)])
+def test_stitch_from_parts(spark, tmp_path, dims, periodic):
+    """Parts on disk, of either form, give the direct run's catalog; missing and odd parts are noticed."""
+    f = fields(6, 11)
+    config = EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=3.4, dims=dims, periodic=periodic)
+    direct = runs.run_catalog(spark, readers.field_table(spark, **f), config, str(tmp_path / "out"))
+    key = lambda df: sorted((r["gid"], r["cell_count"], round(r["area"], 9), round(r["volume"], 9), round(r["mass"], 6)) for r in df.collect())
+    merged = runs.run_stitch(spark, str(tmp_path / "out"), str(tmp_path / "merged"))
+    assert key(merged) == key(direct) and len(key(direct)) > 5
+    assert [r["gid"] for r in runs.run_stitch(spark, str(tmp_path / "out")).collect()] == [r[0] for r in key(direct)]
+    if dims == (2, 2, 1) and all(periodic):
+        kept = readers.read_part_index(spark, str(tmp_path / "out/part_meta"))
+        with pytest.raises(KeyError, match="no part"):
+            brick_index(kept.where("rank <> 3"))
+        with pytest.raises(ValueError):
+            brick_index(kept.withColumn("cart_dims", F.when(F.col("rank") == 0, F.array(F.lit(4), F.lit(1), F.lit(1))).otherwise(F.col("cart_dims"))))
+        odd = kept.withColumn("node_bbox_ijk", F.when(F.col("rank") == 0, F.transform("node_bbox_ijk", lambda x, i: x + (i == 3).cast("bigint"))).otherwise(F.col("node_bbox_ijk")))
+        with pytest.raises(ValueError, match="shape"):
+            check_planes(odd, brick_index(odd))
+
+
+def test_stitch_npz_parts(spark, tmp_path):
+    f = fields(6, 12)
+    config = EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=3.4, dims=(2, 1, 1))
+    direct = runs.run_catalog(spark, readers.field_table(spark, **f), config, str(tmp_path / "out"))
+    parts, planes, _, meta = read_parts(spark, str(tmp_path / "out"))
+    folder = tmp_path / "npz"
+    folder.mkdir()
+    p, q = parts.toPandas().sort_values("label_ids"), planes.toPandas()
+    for r in meta.collect():
+        rank, box = r["rank"], r["node_bbox_ijk"]
+        size = {a: box[2 * i + 1] - box[2 * i] for i, a in enumerate("xyz")}
+        m = p[p["rank"] == rank]
+        out = {n: m[n].to_numpy() for n in ("label_ids", "cell_count", "volume", "mass", "area", "velocity_mean", "velocity_std")} | {"rank": np.int32(rank)}
+        out |= {f"centroid_{k}": m[[f"centroid_{k}_{a}" for a in "xyz"]].to_numpy() for k in ("vol", "mass")} | {"bbox_ijk": m[[f"{a}_{s}" for a in "ijk" for s in ("min", "max")]].to_numpy()}
+        for axis in "xyz":
+            for side in ("neg", "pos"):
+                plane = np.zeros([size[b] for b in "xyz" if b != axis], np.uint32)
+                mine = q[(q["rank"] == rank) & (q["axis"] == axis) & (q["side"] == side)]
+                plane[mine["u"], mine["v"]] = mine["local_id"]
+                out |= {f"face_{axis}{side}": plane, f"ovlp_{axis}{side}": plane}
+        np.savez(folder / f"clumps_rank{rank:05d}.npz", **out)
+        doc = {"rank": rank, "coords": r["coords"], "cart_dims": r["cart_dims"], "node_bbox_ijk": box, "output_npz": f"clumps_rank{rank:05d}.npz", "grid": {"periodic": [True] * 3, "Nres": 6, "dx": 1 / 6, "dy": 1 / 6, "dz": 1 / 6}}
+        (folder / f"clumps_rank{rank:05d}.meta.json").write_text(json.dumps(doc, indent=2))
+    key = lambda df: sorted((r["gid"], r["cell_count"], round(r["area"], 9), round(r["centroid_mass_y"], 9), r["k_max"]) for r in df.collect())
+    assert key(runs.run_stitch(spark, str(folder))) == key(direct)
+    faces, overlaps = (read_npz_planes(spark, str(folder), kind).collect() for kind in ("face", "ovlp"))
+    assert sorted(faces) == sorted(overlaps) and len(faces) > 20
+
+
+def test_directory_and_feature_outputs(spark, tmp_path):
+    f = fields(6, 13)
+    config = EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=3.9, dims=(2, 1, 1), step=31)
+    cat = runs.run_catalog(spark, readers.field_table(spark, **f), config)
+    cat.write.parquet(str(tmp_path / "n6_sweep/step00031/clumps_stitched"))
+    done = runs.run_directory(spark, str(tmp_path / "n6_sweep"), str(tmp_path / "sum"), 8)
+    assert done == [str(tmp_path / "sum") + "/step00031"] and spark.read.parquet(done[0] + "/correlations").count() == 36
+    runs.feature_outputs(cat.withColumn("velocity_std", F.col("volume") * 2), ["volume", "mass", "area"], str(tmp_path / "features"), 2)
+    n = cat.count()
+    assert spark.read.parquet(str(tmp_path / "features/pca_scores")).count() == n == spark.read.parquet(str(tmp_path / "features/embedding")).count()
+    assert spark.read.parquet(str(tmp_path / "features/pca_components")).count() == 6
+
+
 def test_suffixed_records(spark, tmp_path):
     f = {readers.RECORDS[k].format("lvl0"): v for k, v in fields(3).items()}
     readers.field_table(spark, **f).withColumn("step", F.lit(2)).write.parquet(str(tmp_path / "v"))

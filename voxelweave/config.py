@@ -28,6 +28,7 @@ class EngineConfig:
     overlap_width: int = 1
     min_clump_cells: int = 1
     dims: tuple[int, int, int] = (1, 1, 1)
+    periodic: tuple[bool, bool, bool] = (True, True, True)
 
     def __post_init__(self) -> None:
         if self.n <= 0:
@@ -55,6 +56,8 @@ class EngineConfig:
         if unknown := sorted(set(values) - known):
             warnings.warn(f"unknown settings ignored: {', '.join(unknown)}", stacklevel=2)
         clean = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known}
+        if isinstance(clean.get("periodic"), bool):  # one word for all axes
+            clean["periodic"] = (clean["periodic"],) * 3
         return cls(**clean)
 
     @classmethod

@@ -188,5 +188,3 @@ def catalog_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     b = b.select(*a.columns)
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "split_axis")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.operators.components import connected_components
-from voxelweave.operators.grid import brick_table, cell_id, face_pairs, gid, neighbour_pairs, offsets, with_brick, with_halo
+from voxelweave.operators.grid import TORUS, Axes, brick_table, cell_id, face_pairs, gid, neighbour_pairs, offsets, split_axis, with_brick, with_halo
 from voxelweave.operators.ranks import numbered
 from voxelweave.scratch import Scratch
 
@@ -76,22 +76,43 @@ def brick_labels(cells: DataFrame, n: int, dims: tuple[int, int, int], connectiv
     return rows.groupBy("rank").applyInArrow(run, "rank int, cell_id bigint, i int, j int, k int, label_ids int")
 
 
-def interface_edges(labelled: DataFrame, n: int, dims: tuple[int, int, int]) -> DataFrame:
-    """``lo, hi, axis, cnt``: pairs of local components that touch over a brick face (rims of the torus included)."""
+def interface_edges(labelled: DataFrame, n: int, dims: tuple[int, int, int], periodic: Axes = TORUS) -> DataFrame:
+    """``lo, hi, axis, cnt``: pairs of local components that touch over a brick face (rims of periodic axes included)."""
     own = labelled.withColumn("gid", gid())
     last = [F.col(a).isin([hi - 1 for hi in his]) for a, his in zip("ijk", _ends(n, dims), strict=True)]
     first = [F.col(a).isin([lo for lo in los]) for a, los in zip("ijk", _ends(n, dims, first=True), strict=True)]
     rim = own.where(last[0] | last[1] | last[2] | first[0] | first[1] | first[2])
-    pairs = face_pairs(rim, n, ("gid", "i", "j", "k"))
+    pairs = face_pairs(rim, n, ("gid", "i", "j", "k"), periodic)
     over = F.lit(False)
     for axis, a, his in zip("xyz", "ijk", _ends(n, dims), strict=True):
         over = over | ((F.col("axis") == axis) & F.col(f"src_{a}").isin([hi - 1 for hi in his]))
     return pairs.where(over).groupBy(F.least("src_gid", "dst_gid").alias("lo"), F.greatest("src_gid", "dst_gid").alias("hi"), "axis").agg(F.count("*").alias("cnt"))
 
 
-def _ends(n: int, dims: tuple[int, int, int], first: bool = False) -> list[list[int]]:
-    from voxelweave.operators.grid import split_axis
+def face_planes(labelled: DataFrame, bricks: DataFrame) -> DataFrame:
+    """``rank, axis, side, u, v, local_id``: foreground pixels of the six outermost planes of each brick, with brick
+    coordinates on the two other axes. They are also the planes that two bricks with an overlap of one cell share."""
+    at = labelled.join(F.broadcast(bricks.select("rank", "i0", "i1", "j0", "j1", "k0", "k1")), "rank")
+    sides = []
+    for axis, a in zip("xyz", "ijk", strict=True):
+        u, v = ((F.col(b) - F.col(f"{b}0")).cast("int") for b in "ijk" if b != a)
+        for side, on in (("neg", F.col(a) == F.col(f"{a}0")), ("pos", F.col(a) == F.col(f"{a}1") - 1)):
+            sides.append(F.when(on, F.struct(F.lit(axis).alias("axis"), F.lit(side).alias("side"), u.alias("u"), v.alias("v"))))
+    rows = at.select("rank", F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("p"), F.col("label_ids").alias("local_id"))
+    return rows.select("rank", "p.axis", "p.side", "p.u", "p.v", "local_id")
+
+
+def plane_edges(planes: DataFrame, bricks: DataFrame) -> DataFrame:
+    """``lo, hi, axis, cnt`` from the planes of bricks: each positive plane meets the negative one of the next brick
+    (``next_x``, ``next_y``, ``next_z``; null: none) pixel by pixel."""
+    after = bricks.select(F.col("rank").alias("r_"), F.inline(F.array(*(F.struct(F.lit(a).alias("a_"), F.col(f"next_{a}").alias("next")) for a in "xyz")))).where("next IS NOT NULL")
+    pos = planes.where("side = 'pos'").join(F.broadcast(after), (F.col("rank") == F.col("r_")) & (F.col("axis") == F.col("a_")))
+    pos = pos.select("axis", "u", "v", F.col("next").alias("rank"), gid("rank", "local_id").alias("a"))
+    neg = planes.where("side = 'neg'").select("axis", "u", "v", "rank", gid("rank", "local_id").alias("b"))
+    return pos.join(neg, ["rank", "axis", "u", "v"]).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "axis").agg(F.count("*").alias("cnt"))
 
+
+def _ends(n: int, dims: tuple[int, int, int], first: bool = False) -> list[list[int]]:
     return [[r[0] if first else r[1] for r in split_axis(n, p)] for p in dims]
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.operators.components import connected_components
 from voxelweave.operators.spectra import dispersion3d
+from voxelweave.scratch import Scratch
 
 DEFAULT_FEATURES = ("volume", "mass", "area", "cell_count", "velocity_std", "velocity_mean")
 
@@ -33,17 +36,29 @@ def _vector(name: str, i: int) -> Callable[[DataFrame], Column]:
     return get
 
 
+def _speed(df: DataFrame) -> Column:
+    if dict(df.dtypes)["velocity_mean"].startswith("array"):
+        return F.sqrt(F.aggregate("velocity_mean", F.lit(0.0), lambda a, x: a + x * x))
+    return F.abs(F.col("velocity_mean").cast("double"))
+
+
 #: name -> column of a catalog; what a catalog has under that name itself comes first.
 DERIVED: dict[str, Callable[[DataFrame], Column]] = {
     "num_cells": lambda df: F.col("cell_count").cast("double"),
     "velocity_mean_x": _vector("velocity_mean", 0),
     "velocity_mean_y": _vector("velocity_mean", 1),
     "velocity_mean_z": _vector("velocity_mean", 2),
-    "speed": lambda df: F.sqrt(F.aggregate("velocity_mean", F.lit(0.0), lambda a, x: a + x * x)) if dict(df.dtypes)["velocity_mean"].startswith("array") else F.col("velocity_mean"),
+    "vx_mean": _vector("velocity_mean", 0),
+    "vy_mean": _vector("velocity_mean", 1),
+    "vz_mean": _vector("velocity_mean", 2),
+    "speed": _speed,
+    "velocity_speed": _speed,
+    "velocity_mean_mag": _speed,
     "vx_std": lambda df: F.col("velocity_std"),
     "vy_std": lambda df: F.col("velocity_std"),
     "vz_std": lambda df: F.col("velocity_std"),
     "dispersion_3d": lambda df: dispersion3d() if {"vx_std", "vy_std", "vz_std"} <= set(df.columns) else F.col("velocity_std"),
+    "dispersion_3d_massw": lambda df: dispersion3d(True) if {"vx_std_massw", "vy_std_massw", "vz_std_massw"} <= set(df.columns) else F.col("velocity_std"),
     "effective_radius": lambda df: F.cbrt("volume"),
     "normalised_area": lambda df: F.col("area") / F.pow("volume", F.lit(8.0 / 9.0)),
     "mean_density": lambda df: F.col("mass") / F.col("volume"),
@@ -53,6 +68,22 @@ DERIVED: dict[str, Callable[[DataFrame], Column]] = {
 }
 
 
+def register_feature(name: str, column: Callable[[DataFrame], Column]) -> None:
+    """Add (or replace) a derived feature: a function from a catalog to a column."""
+    DERIVED[name] = column
+
+
+def load_features(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
+    """Features of several catalogs (Parquet) in one table, with ``file``; a KeyError names all that are missing anywhere."""
+    if not names:
+        raise ValueError("no features asked for")
+    tables = [spark.read.parquet(p) for p in paths]
+    missing = sorted({n for t in tables for n in names if n not in t.columns and n not in DERIVED})
+    if missing:
+        raise KeyError(f"missing features: {', '.join(missing)}")
+    return reduce(DataFrame.unionByName, [features(t.withColumn("file", F.lit(p)), names, ("file",)) for t, p in zip(tables, paths, strict=True)])
+
+
 def available_features(df: DataFrame) -> list[str]:
     return sorted({*df.columns, *DERIVED})
 
@@ -120,48 +151,72 @@ def factor_analysis(df: DataFrame, names: list[str], k: int, steps: int = 500) -
     return load, noise
 
 
-def kmeans(df: DataFrame, names: list[str], k: int, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cluster standardised features: ``keep, cluster``."""
+def kmeans(df: DataFrame, names: list[str], k: int, seed: int = 42, keep: tuple[str, ...] = (), with_features: bool = False) -> DataFrame:
+    """Cluster standardised features: ``keep, cluster``, and the standardised features if asked for."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     z = VectorAssembler(inputCols=names, outputCol="f_").transform(zscore(df, names, keep))
-    return KMeans(k=k, seed=seed, featuresCol="f_", predictionCol="cluster").fit(z).transform(z).select(*keep, "cluster")
+    return KMeans(k=k, seed=seed, featuresCol="f_", predictionCol="cluster").fit(z).transform(z).select(*keep, "cluster", *(names if with_features else ()))
 
 
 def dbscan(df: DataFrame, key: str, names: list[str], eps: float, min_points: int) -> DataFrame:
     """Density clusters: ``key, cluster`` (-1: noise; a border point joins the smallest reachable cluster).
 
-    Points meet in boxes of side ``eps``: an equi-join of each box with its neighbours, then a distance check.
+    Points lie in boxes of side eps / sqrt(d), so two points of one box are always neighbours: a box of ``min_points``
+    is core as a whole, its points are one vertex, and no pair inside a box is looked at. Only points of boxes
+    that are not full are counted against the boxes around; full boxes meet the others once per point of the other side.
     Coincident points are one weighted point, so a value that many rows share costs one row.
     """
+    d = len(names)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    reach = math.ceil(eps / side)
+    box = [f"b{i}" for i in range(d)]
     same = df.groupBy(*names).agg(F.min(key).alias("id_"), F.count("*").alias("w_"))
-    boxes = [F.floor(F.col(n) / eps).cast("bigint") for n in names]
-    pts = same.withColumns({f"b{i}": b for i, b in enumerate(boxes)})
-    near = pts
-    for i in range(len(names)):
-        near = near.withColumn(f"b{i}", F.explode(F.array(*(F.col(f"b{i}") + o for o in (-1, 0, 1)))))
-    other = pts.select(*(F.col(n).alias(f"o_{n}") for n in names), F.col("id_").alias("o_id"), F.col("w_").alias("o_w"), *(f"b{i}" for i in range(len(names))))
+    pts = same.select("*", *(F.floor(F.col(n) / side).cast("bigint").alias(b) for n, b in zip(names, box, strict=True)))
+    full = pts.groupBy(*box).agg(F.sum("w_").alias("in_box"), F.min("id_").alias("box_id"))
+    pts = Scratch(df.sparkSession, "dbscan").keep(pts.join(full, box), "points")
+
+    def spread(p: DataFrame) -> DataFrame:
+        for b in box:
+            p = p.withColumn(b, F.explode(F.sequence(F.col(b) - reach, F.col(b) + reach)))
+        return p
+
     d2 = sum(((F.col(n) - F.col(f"o_{n}")) * (F.col(n) - F.col(f"o_{n}")) for n in names), F.lit(0.0))
-    pairs = near.join(other, [f"b{i}" for i in range(len(names))]).where(d2 <= eps * eps).select("id_", "o_id", "o_w")
-    core = pairs.groupBy("id_").agg(F.sum("o_w").alias("m")).where(F.col("m") >= min_points).select("id_")
-    reach = pairs.join(core, "id_")
-    linked = reach.join(core.select(F.col("id_").alias("o_id")), "o_id", "left_semi").select(F.col("id_").alias("src"), F.col("o_id").alias("dst"))
-    roots = connected_components(linked, core.withColumnRenamed("id_", "id"))
-    cluster = reach.join(roots, reach.id_ == roots.id).groupBy("o_id").agg(F.min("root").alias("cluster"))
-    named = same.join(cluster, same.id_ == cluster.o_id, "left").select(*names, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    other = pts.select(*(F.col(n).alias(f"o_{n}") for n in names), F.col("id_").alias("o_id"), F.col("w_").alias("o_w"), F.col("in_box").alias("o_in"), F.col("box_id").alias("o_box"), *box)
+    open_pts = pts.where(F.col("in_box") < min_points)
+    counted = spread(open_pts.select(*names, "id_", "box_id", *box)).join(other, box).where((d2 <= eps * eps) | (F.col("box_id") == F.col("o_box")))
+    core = counted.groupBy("id_").agg(F.sum("o_w").alias("m")).where(F.col("m") >= min_points).select("id_")
+    # a core point's vertex is its own id, or its box's
+    flagged = pts.join(core.withColumn("core_", F.lit(True)), "id_", "left").withColumn("core_", F.coalesce("core_", F.lit(False)) | (F.col("in_box") >= min_points))
+    flagged = flagged.withColumn("vertex", F.when(F.col("in_box") >= min_points, F.col("box_id")).otherwise(F.col("id_")))
+    flagged = Scratch(df.sparkSession, "dbscan").keep(flagged, "flagged")
+    cores = flagged.where("core_")
+    near = cores.select(*(F.col(n).alias(f"o_{n}") for n in names), F.col("vertex").alias("o_vertex"), F.col("box_id").alias("o_box"), *box)
+    met = spread(flagged.select(*names, "id_", "vertex", "core_", "box_id", *box)).join(near, box).where((F.col("vertex") != F.col("o_vertex")) & ((d2 <= eps * eps) | (F.col("box_id") == F.col("o_box"))))
+    met = met.select("id_", "vertex", "core_", "o_vertex").distinct()
+    roots = connected_components(met.where("core_").select(F.col("vertex").alias("src"), F.col("o_vertex").alias("dst")), cores.select(F.col("vertex").alias("id")))
+    of_core = cores.join(roots, F.col("vertex") == F.col("id")).select("id_", F.col("root").alias("cluster"))
+    of_border = met.where("NOT core_").join(roots, F.col("o_vertex") == F.col("id")).groupBy("id_").agg(F.min("root").alias("cluster"))
+    named = same.join(of_core.union(of_border), "id_", "left").select(*names, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     return df.select(key, *names).join(named, names).select(key, "cluster")
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str = "uniform", seed: int = 42) -> DataFrame:
+def weighted_sample(df: DataFrame, n: int, weight: str = "uniform", seed: int = 42, key: str = "gid") -> DataFrame:
     """``n`` rows without replacement, by exponential keys; weights: uniform, sqrt_volume, sqrt_mass,
-    log_volume, log_mass. If all weights are 0, uniform."""
+    log_volume, log_mass. If all weights are 0, uniform.
+
+    The random numbers are digests of ``key`` and ``seed``, so the sample does not depend on partitions or retries.
+    """
     w = {
         "uniform": F.lit(1.0), "sqrt_volume": F.sqrt("volume"), "sqrt_mass": F.sqrt("mass"), "log_volume": F.log1p("volume"), "log_mass": F.log1p("mass"),
     }[weight]
     if weight != "uniform" and not (df.agg(F.sum(w)).first()[0] or 0) > 0:
         w = F.lit(1.0)
-    return df.withColumn("k_", F.when(w > 0, -F.log(F.lit(1.0) - F.rand(seed)) / w).otherwise(F.lit(float("inf")))).orderBy("k_").limit(n).drop("k_")
+    # 52 bits of the digest, as a number inside (0, 1)
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double")
+    u = (bits + 0.5) / float(1 << 52)
+    return df.withColumn("k_", F.when(w > 0, -F.log(u) / w).otherwise(F.lit(float("inf")))).orderBy("k_", key).limit(n).drop("k_")
 
 
 def embedding(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

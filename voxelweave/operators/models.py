@@ -12,19 +12,37 @@ from pyspark.sql import functions as F
 LN10 = math.log(10.0)
 
 
-# ---- curves as columns -------------------------------------------------------------------------------------
+# ---- curves: f(V) = V dN/dlogV --------------------------------------------------------------------------------
+#: Slopes of the models with given slopes (minus gamma below the break, minus beta above it).
+GAMMA_FIXED, BETA_FIXED = 0.0, -4.0 / 9.0
+#: Fixed value: least model value whose logarithm is taken.
+FLOOR = 1e-30
+
+
 def power_law(x: Column, a: float, alpha: float) -> Column:
     return F.lit(a) * F.pow(x, F.lit(alpha))
 
 
-def double_power_law(x: Column, a: float, x0: float, alpha: float, beta: float, m: float, cut: float) -> Column:
-    """Smoothly broken power law (slopes alpha, beta, sharpness m) with an exponential cut-off."""
-    r = x / F.lit(x0)
-    return F.lit(a) * F.pow(F.pow(r, F.lit(-alpha * m)) + F.pow(r, F.lit(-beta * m)), F.lit(-1.0 / m)) * F.exp(-x / F.lit(cut))
+def broken_power_law(x: Column, a: float, log_v0: float, gamma: float, beta: float, log_cut: float, m: float, sharpness: float = 1.0) -> Column:
+    """Power law of slope -gamma below 10**log_v0 and -beta above, with an exponential cut-off of small V.
+
+    ``sharpness`` 1 is the plain double power law, others widen or narrow the break; the cut-off is
+    exp(-(10**log_cut / V)**m).
+    """
+    r = x / F.lit(10.0**log_v0)
+    bend = F.pow(F.lit(1.0) + F.pow(r, F.lit(sharpness)), F.lit((gamma - beta) / sharpness))
+    return F.lit(a) * F.pow(r, F.lit(-gamma)) * bend * F.exp(-F.pow(F.lit(10.0**log_cut) / x, F.lit(m)))
 
 
 def log_floor(x: Column) -> Column:
-    return F.log10(F.greatest(x, F.lit(1e-30)))
+    return F.log10(F.greatest(x, F.lit(FLOOR)))
+
+
+def log10_broken(u: np.ndarray, log_v0: float, gamma: float, beta: float, log_cut: float, m: float, sharpness: float = 1.0) -> np.ndarray:
+    """log10 of ``broken_power_law`` of unit amplitude at V = 10**u."""
+    r = u - log_v0
+    bend = np.logaddexp(0, sharpness * r * LN10) * (gamma - beta) / sharpness / LN10
+    return bend - gamma * r - np.minimum(10 ** np.minimum((log_cut - u) * m, 300), 1e300) / LN10
 
 
 # ---- truncated power law in log10 V: one aggregate serves every exponent ---------------------------------------
@@ -68,34 +86,61 @@ def golden_section(f: Callable[[float], float], a: float, b: float, tol: float =
 
 
 def vmin_sweep(df: DataFrame, col: str, cuts: list[float], least: int = 20) -> DataFrame:
-    """Best exponent in (-2, 2) per cut with at least ``least`` values above it: ``cut, n, alpha, nll, aic, bic``."""
+    """Best slope alpha of V dN/dlogV in (-2, 2) per cut with at least ``least`` values above it, against slope 0.
+
+    ``cut, n, alpha, nll, nll_zipf, aic, bic, delta_aic`` (slope 0 minus free slope). The density of log10 V has
+    the exponent alpha - 1.
+    """
     rows = []
     for r in sorted(powerlaw_statistics(df, col, cuts).where(f"n >= {least} AND hi > lo").collect()):
-        f = lambda a, r=r: nll_value(a, r["n"], r["sum_log"], r["lo"], r["hi"])
+        f = lambda a, r=r: nll_value(a - 1, r["n"], r["sum_log"], r["lo"], r["hi"])
         a = golden_section(f, -2, 2)
-        rows.append((float(r["cut"]), int(r["n"]), a, f(a), 2 + 2 * f(a), math.log(r["n"]) + 2 * f(a)))
-    return df.sparkSession.createDataFrame(rows, "cut double, n bigint, alpha double, nll double, aic double, bic double")
+        rows.append((float(r["cut"]), int(r["n"]), a, f(a), f(0.0), 2 + 2 * f(a), math.log(r["n"]) + 2 * f(a), 2 * f(0.0) - 2 - 2 * f(a)))
+    return df.sparkSession.createDataFrame(rows, "cut double, n bigint, alpha double, nll double, nll_zipf double, aic double, bic double, delta_aic double")
+
 
+# ---- broken power law by maximum likelihood -----------------------------------------------------------------------
+#: Points of the trapezoid rule that normalises a density.
+GRID = 2001
+#: Bounds of log10 V0, gamma, beta, log10 Vcut.
+DPL_LOWER, DPL_UPPER = (0.0, -3.0, -3.0, -2.0), (12.0, 3.0, 3.0, 10.0)
 
-# ---- smoothly broken power law by maximum likelihood --------------------------------------------------------------
-def dpl_log_density(y: np.ndarray, y0: float, alpha: float, beta: float, m: float = 2.0) -> np.ndarray:
-    """Unnormalised log density in y = log10 V."""
-    r = (y - y0) * LN10
-    return -np.logaddexp(-alpha * m * r, -beta * m * r) / m
 
+def dpl_log_density(y: np.ndarray, log_v0: float, gamma: float, beta: float, log_cut: float, m: float = 2.0) -> np.ndarray:
+    """Unnormalised natural logarithm of the density of y = log10 V, f(V) / V."""
+    return LN10 * (log10_broken(y, log_v0, gamma, beta, log_cut, m) - y)
 
-def dpl_nll(params: np.ndarray, y: np.ndarray, w: np.ndarray, grid: int = 800) -> float:
-    y0, alpha, beta = params
-    g = np.linspace(y.min(), y.max(), grid)
-    ld = dpl_log_density(g, y0, alpha, beta)
+
+def dpl_nll(params: np.ndarray, y: np.ndarray, w: np.ndarray, lo: float | None = None, hi: float | None = None) -> float:
+    """Negative log likelihood of values ``y`` of multiplicity ``w`` on [lo, hi]; ``params`` in the order of the bounds."""
+    g = np.linspace(y.min() if lo is None else lo, y.max() if hi is None else hi, GRID)
+    ld = dpl_log_density(g, *params)
     norm = np.log(np.trapezoid(np.exp(ld - ld.max()), g)) + ld.max()
-    return float(w.sum() * norm - (w * dpl_log_density(y, y0, alpha, beta)).sum())
+    return float(w.sum() * norm - (w * dpl_log_density(y, *params)).sum())
+
+
+def dpl_nll_table(df: DataFrame, col: str, settings: list[tuple[float, float, float, float]], m: float = 2.0) -> DataFrame:
+    """``log_v0, gamma, beta, log_cut, n, nll`` of all values at given parameters, by one aggregation for all of them.
+
+    Nothing but sums over the values is needed besides the normalisation, which takes their least and greatest only.
+    """
+    x = F.col(col).cast("double")
+    rows = df.where(x > 0)
+    sums = [F.sum(F.log(broken_power_law(x, 1.0, v0, g, b, cut, m)) - F.log(x)).alias(f"s{i}") for i, (v0, g, b, cut) in enumerate(settings)]
+    r = rows.agg(F.count("*").alias("n"), F.min(F.log10(x)).alias("lo"), F.max(F.log10(x)).alias("hi"), *sums).first()
+    out = []
+    if r["n"] and r["hi"] > r["lo"]:
+        g = np.linspace(r["lo"], r["hi"], GRID)
+        for i, p in enumerate(settings):
+            ld = dpl_log_density(g, *p, m)
+            out.append((*map(float, p), r["n"], r["n"] * float(np.log(np.trapezoid(np.exp(ld - ld.max()), g)) + ld.max()) - r[f"s{i}"]))
+    return df.sparkSession.createDataFrame(out, "log_v0 double, gamma double, beta double, log_cut double, n bigint, nll double")
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, lower: np.ndarray, upper: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
     """Bounded simplex search (points are clipped into the box)."""
     clip = lambda p: np.clip(p, lower, upper)
-    size = len(start)
+    size, start = len(start), np.asarray(start, float)
     pts = [clip(start)] + [clip(start + np.eye(size)[i] * 0.15 * (upper - lower)[i]) for i in range(size)]
     val = [f(p) for p in pts]
     for _ in range(steps):
@@ -122,26 +167,46 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, lower: np.n
     return pts[i], val[i]
 
 
-def dpl_mle(df: DataFrame, col: str, max_values: int = 200_000) -> DataFrame:
-    """Broken power law of integer sizes, multi-start: ``n, y0, alpha, beta, nll, aic, bic``.
+def log_histogram(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
+    """``y, w``: log10 of the positive values in steps of 10**-digits, and how many there are: at most some 10**digits
+    rows a decade, however many values."""
+    return df.where(F.col(col) > 0).groupBy(F.round(F.log10(F.col(col).cast("double")), digits).alias("y")).agg(F.count("*").alias("w"))
+
+
+def _best_dpl(y: np.ndarray, w: np.ndarray, fixed: bool) -> tuple[np.ndarray, float]:
+    lower, upper = np.array(DPL_LOWER), np.array(DPL_UPPER)
+    starts = [(v0, cut) for v0 in np.quantile(y, (0.3, 0.6, 0.9)) for cut in (-1.0, float(y.min()))]
+    if fixed:
+        full = lambda q: np.array([q[0], GAMMA_FIXED, BETA_FIXED, q[1]])
+        fits = [nelder_mead(lambda q: dpl_nll(full(q), y, w), np.array(s), lower[[0, 3]], upper[[0, 3]]) for s in starts]
+        q, v = min(fits, key=lambda x: x[1])
+        return full(q), v
+    fits = [nelder_mead(lambda q: dpl_nll(q, y, w), np.array([v0, g, b, cut]), lower, upper) for v0, cut in starts for g, b in ((-0.5, -0.3), (0.3, 1.0))]
+    return min(fits, key=lambda x: x[1])
 
-    Works on the histogram of distinct sizes; more distinct values than ``max_values`` are first merged to
-    three decimals of log10, which bounds what reaches the driver at any scale.
+
+def model_table(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
+    """Maximum likelihood fits of five models of the size distribution, best first.
+
+    ``model, k, n, log_v0, gamma, beta, log_cut, nll, aic, bic, delta_aic``; models: ``power_law`` (free slope, given
+    as -gamma), ``zipf`` (slope 0), ``power_law_49`` (slope 4/9), ``double_power_law``, ``double_power_law_fixed``
+    (slopes 0 and 4/9, where only the break and the cut-off are free). Works on the histogram in steps of 10**-digits of
+    log10; fewer than three of them give no rows.
     """
-    y = F.log10(F.col(col).cast("double"))
-    hist = df.where(F.col(col) > 0).groupBy(y.alias("y")).agg(F.count("*").alias("w"))
-    if hist.count() > max_values:
-        hist = hist.groupBy(F.round("y", 3).alias("y")).agg(F.sum("w").alias("w"))
-    rows = hist.collect()
-    yv, w = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    rows = sorted(map(tuple, log_histogram(df, col, digits).collect()))
     out = []
-    if len(yv) >= 3:
-        lower, upper = np.array([yv.min(), -2.0, -4.0]), np.array([yv.max(), 4.0, 2.0])
-        fits = [nelder_mead(lambda p: dpl_nll(p, yv, w), np.array([y0, a, b]), lower, upper) for y0 in np.quantile(yv, (0.25, 0.5, 0.75)) for a, b in ((1.0, -0.5), (0.5, -1.5))]
-        p, v = min(fits, key=lambda x: x[1])
-        n = int(w.sum())
-        out.append((n, *map(float, p), v, 6 + 2 * v, 3 * math.log(n) + 2 * v))
-    return df.sparkSession.createDataFrame(out, "n bigint, y0 double, alpha double, beta double, nll double, aic double, bic double")
+    if len(rows) >= 3:
+        y, w = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+        n, s, lo, hi = int(w.sum()), float((w * y).sum()), float(y.min()), float(y.max())
+        line = lambda a: nll_value(a - 1, n, s, lo, hi)
+        alpha = golden_section(line, -2, 2)
+        free, free_nll = _best_dpl(y, w, False)
+        given, given_nll = _best_dpl(y, w, True)
+        fits = [("power_law", 1, (None, -alpha, None, None), line(alpha)), ("zipf", 0, (None, 0.0, None, None), line(0.0)), ("power_law_49", 0, (None, BETA_FIXED, None, None), line(-BETA_FIXED)),
+                ("double_power_law", 4, tuple(map(float, free)), free_nll), ("double_power_law_fixed", 2, tuple(map(float, given)), given_nll)]
+        least = min(2 * k + 2 * v for _, k, _, v in fits)
+        out = sorted(((name, k, n, *q, v, 2 * k + 2 * v, k * math.log(n) + 2 * v, 2 * k + 2 * v - least) for name, k, q, v in fits), key=lambda r: r[8])
+    return df.sparkSession.createDataFrame(out, "model string, k int, n bigint, log_v0 double, gamma double, beta double, log_cut double, nll double, aic double, bic double, delta_aic double")
 
 
 # ---- bounded non-linear least squares on a spectrum ---------------------------------------------------------------
@@ -167,32 +232,56 @@ def levenberg_marquardt(f: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np
     return p
 
 
-#: name -> (log10 model of (log10 V, parameters), start, lower, upper)
-CURVES: dict[str, tuple] = {
-    "power_law": (lambda u, p: p[0] + p[1] * u, [0.0, -0.5], [-30, -5], [30, 5]),
-    "zipf": (lambda u, p: p[0] + 0 * u, [0.0], [-30], [30]),
-    "power_law_cut": (lambda u, p: p[0] + p[1] * u - 10 ** (u - p[2]) / LN10, [0.0, -0.3, 2.0], [-30, -5, 0], [30, 5, 12]),
-    "double_power_law": (lambda u, p: p[0] + dpl_log_density(u, p[1], p[2], p[3]) / LN10, [0.0, 1.0, 1.0, -0.5], [-30, 0, -2, -4], [30, 12, 4, 2]),
-    "double_power_law_cut": (lambda u, p: p[0] + dpl_log_density(u, p[1], p[2], p[3]) / LN10 - 10 ** (u - p[4]) / LN10, [0.0, 1.0, 1.0, -0.5, 2.5], [-30, 0, -2, -4, 1], [30, 12, 4, -0.25, 12]),
-    "double_fixed_slopes": (lambda u, p: p[0] + dpl_log_density(u, p[1], 1.0, -1.0) / LN10, [0.0, 1.0], [-30, 0], [30, 12]),
-    "double_fixed_slopes_cut": (lambda u, p: p[0] + dpl_log_density(u, p[1], 1.0, -1.0) / LN10 - 10 ** (u - p[2]) / LN10, [0.0, 1.0, 2.5], [-30, 0, 1], [30, 12, 12]),
-}
+#: Points of a spectrum that a fit takes to the driver; a spectrum has as many as it has bins.
+MOST_POINTS = 10_000
+
+
+def _curves(u: np.ndarray, v: np.ndarray) -> dict[str, tuple]:
+    """name -> (log10 model of (log10 V, parameters), start, lower, upper); the first parameter is log10 of the amplitude."""
+    a, v0, cut = float(np.median(v)), float(np.clip(np.median(u), 0, 12)), float(np.clip(u.min(), 1, 10))
+    g, b = GAMMA_FIXED, BETA_FIXED
+    return {
+        "double_power_law": (lambda x, p: p[0] + log10_broken(x, *p[1:6]), [a, v0, -0.5, -0.4, cut, 2.0], [-300, 0, -3, -3, 1, 0.1], [300, 12, 3, -0.25, 10, 10]),
+        "double_power_law_fixed": (lambda x, p: p[0] + log10_broken(x, p[1], g, b, p[2], p[3]), [a, v0, cut, 2.0], [-300, 0, 1, 0.1], [300, 12, 10, 10]),
+        "power_law_49": (lambda x, p: p[0] - b * x, [0.0], [-300], [300]),
+        "power_law": (lambda x, p: p[0] + p[1] * x, [0.0, 0.5], [-300, -2], [300, 2]),
+        "zipf": (lambda x, p: p[0] + 0 * x, [a], [-300], [300]),
+        "beuermann_fixed": (lambda x, p: p[0] + log10_broken(x, p[1], g, b, p[3], p[4], p[2]), [a, v0, 1.0, cut, 2.0], [-300, 0, 0.1, 1, 0.1], [300, 12, 50, 10, 10]),
+        "beuermann": (lambda x, p: p[0] + log10_broken(x, p[1], p[2], p[3], p[5], p[6], p[4]), [a, v0, -0.5, -0.4, 1.0, cut, 2.0], [-300, 0, -3, -3, 0.1, 1, 0.1], [300, 12, 3, -0.25, 50, 10, 10]),
+    }
+
+
+def rss_table(spectrum: DataFrame, x: str, y: str, curves: dict[str, tuple[Column, int]], ranges: list[tuple[float, float]]) -> DataFrame:
+    """Residuals of given curves (columns of model values, with their number of parameters) in log10, by range of x.
+
+    ``model, lo, hi, n, rss, aic`` for the positive points in each range (lo, hi]; AIC = n ln(RSS / n) + 2 k. One
+    aggregation for all curves and ranges.
+    """
+    pts = spectrum.where((F.col(x) > 0) & (F.col(y) > 0))
+    off = {name: log_floor(F.col(y).cast("double")) - log_floor(c) for name, (c, _) in curves.items()}
+    cells = [F.struct(F.lit(name).alias("model"), F.lit(k).alias("k"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), (off[name] * off[name]).alias("r")) for name, (_, k) in curves.items() for lo, hi in ranges]
+    rows = pts.select(F.col(x).alias("x_"), F.inline(F.array(*cells))).where("x_ > lo AND x_ <= hi").groupBy("model", "k", "lo", "hi").agg(F.count("*").alias("n"), F.sum("r").alias("rss"))
+    return rows.withColumn("aic", F.col("n") * F.log(F.greatest("rss", F.lit(1e-300)) / F.col("n")) + 2 * F.col("k")).drop("k")
 
 
 def fit_curves(spectrum: DataFrame, x: str, y: str) -> DataFrame:
-    """Fit every curve to the positive points of a spectrum (at most a few hundred bins, on the driver).
+    """Fit every curve to the positive points of a spectrum, in log10.
 
-    Returns ``model, k, n, rss, aic, delta_aic, params``, best first; AIC = n ln(RSS / n) + 2 k.
+    Returns ``model, k, n, rss, aic, delta_aic, params``, best first (params: log10 amplitude, then as in ``_curves``);
+    AIC = n ln(RSS / n) + 2 k. More than ``MOST_POINTS`` points are an error: bin them first.
     """
-    pts = sorted((float(r[0]), float(r[1])) for r in spectrum.where((F.col(x) > 0) & (F.col(y) > 0)).select(x, y).limit(10_000).collect())
+    pts = sorted((float(r[0]), float(r[1])) for r in spectrum.where((F.col(x) > 0) & (F.col(y) > 0)).select(x, y).limit(MOST_POINTS + 1).collect())
+    if len(pts) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points to fit")
     rows = []
     if len(pts) >= 2:
         u, v = (np.log10([p[i] for p in pts]) for i in (0, 1))
-        for name, (f, start, lower, upper) in CURVES.items():
+        for name, (f, start, lower, upper) in _curves(u, v).items():
             if len(pts) <= len(start):
                 continue
-            p = levenberg_marquardt(f, u, v, [float(np.mean(v)), *start[1:]], lower, upper)
-            rss = float(((v - f(u, p)) ** 2).sum())
+            floored = lambda t, p, f=f: np.maximum(f(t, p), math.log10(FLOOR))
+            p = levenberg_marquardt(floored, u, v, start, lower, upper)
+            rss = float(((v - floored(u, p)) ** 2).sum())
             rows.append((name, len(start), len(pts), rss, len(pts) * math.log(max(rss, 1e-300) / len(pts)) + 2 * len(start), [float(t) for t in p]))
     low = min((r[4] for r in rows), default=0.0)
     rows = sorted(((*r[:5], r[4] - low, r[5]) for r in rows), key=lambda r: r[4])
@@ -205,8 +294,16 @@ def bins_all_any(spectra: DataFrame, by: str, n_snapshots: int) -> DataFrame:
     return spectra.groupBy("bin").agg((F.count_if(F.col("spectrum") > 0) == n_snapshots).alias("in_all"), F.bool_or(F.col("spectrum") > 0).alias("in_any"))
 
 
-def bin_mean_std(spectra: DataFrame, value: str = "spectrum") -> DataFrame:
-    return spectra.groupBy("bin").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
+def bin_mean_std(spectra: DataFrame, n_snapshots: int, value: str = "spectrum") -> DataFrame:
+    """Mean and population deviation over all snapshots of each bin that some snapshot has; a snapshot without the bin
+    counts as zero. ``n`` is the number of snapshots that have it."""
+    mean, square = F.sum(value) / n_snapshots, F.sum(F.col(value) * F.col(value)) / n_snapshots
+    return spectra.groupBy("bin").agg(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.count_if(F.col(value) > 0).cast("bigint").alias("n"))
+
+
+def anchor_target(largest: float) -> float:
+    """Fixed rule: log10 V of the anchor is 5, or half a decade below the largest size."""
+    return min(5.0, math.log10(largest) - 0.5)
 
 
 def anchor_normalise(spectra: DataFrame, by: str, target: float, n_snapshots: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxelweave.scratch import Scratch
+
 
 def positive(col: str) -> Column:
     """Finite and above zero."""
@@ -28,24 +30,27 @@ def geometric_edges(lo: float, hi: float, n_bins: int) -> list[float]:
     return [float(x) for x in np.geomspace(lo, hi, n_bins + 1)]
 
 
-def integer_edges(r_min: float, r_max: float, n_bins: int) -> list[int]:
-    """Strictly increasing integer edges from floor(r_min) to at least r_max, close to ``n_bins`` geometric steps.
+def log_edges(lo: float, hi: float, points: int) -> list[float]:
+    """``points`` geometric edges, that is one bin fewer."""
+    return [float(x) for x in np.geomspace(lo, hi, points)]
 
-    The ratio is the smallest whose rounded edges give at most ``n_bins`` bins, found by bisection.
-    """
-    lo = max(1, math.floor(r_min))
 
-    def edges(ratio: float) -> list[int]:
-        out = [lo]
-        while out[-1] < r_max:
-            out.append(max(out[-1] + 1, round(out[-1] * ratio)))
-        return out
+def integer_edges(r_min: float, r_max: float, n_bins: int) -> list[int]:
+    """Distinct rounded geometric points from ``r_min`` to ``r_max``: ``n_bins`` bins where some number of points gives
+    exactly that many, else the last try of a bisection over n_bins + 1 to 3 n_bins points."""
+
+    def edges(points: int) -> list[int]:
+        return [int(x) for x in np.unique(np.rint(np.geomspace(max(1, r_min), max(r_min + 1, r_max), points)))]
 
-    a, b = 1.0, max(2.0, r_max / lo + 1)
-    for _ in range(60):
-        mid = (a + b) / 2
-        a, b = (mid, b) if len(edges(mid)) - 1 > n_bins else (a, mid)
-    return edges(b)
+    few, many = n_bins + 1, max(n_bins + 2, 3 * n_bins)
+    found = edges(few)
+    while few <= many:
+        middle = (few + many) // 2
+        found = edges(middle)
+        if len(found) == n_bins + 1:
+            return found
+        few, many = (middle + 1, many) if len(found) <= n_bins else (few, middle - 1)
+    return found
 
 
 def bin_index(x: Column, edges: list[float], closed: bool = True) -> Column:
@@ -90,6 +95,8 @@ def compare_spectra(a: DataFrame, b: DataFrame, col: str, edges: list[float]) ->
     """Two catalogs on shared bins and their ratio (null where the first is empty)."""
     one = size_spectrum(a, col, edges).select("bin", "mid", F.col("n").alias("n_a"), F.col("spectrum").alias("spectrum_a"))
     two = size_spectrum(b, col, edges).select("bin", F.col("n").alias("n_b"), F.col("spectrum").alias("spectrum_b"))
+    totals = one.agg(F.sum("n_a").alias("total_a")).crossJoin(two.agg(F.sum("n_b").alias("total_b")))  # one row
+    one = one.crossJoin(F.broadcast(totals))
     return one.join(two, "bin").withColumn("ratio", F.when(F.col("spectrum_a") > 0, F.col("spectrum_b") / F.col("spectrum_a")))
 
 
@@ -112,8 +119,9 @@ def normalised_area() -> Column:
 def median_curve(df: DataFrame, x: str, y: str, edges: list[float], least: int = 5) -> DataFrame:
     """Per half-open bin with at least ``least`` rows: geometric-mean x, median y, count."""
     rows = df.where(positive(x) & positive(y)).withColumn("bin", bin_index(F.col(x).cast("double"), edges, closed=False)).where("bin IS NOT NULL")
-    out = rows.groupBy("bin").agg(F.exp(F.avg(F.log(F.col(x).cast("double")))).alias("x_geo"), F.median(F.col(y).cast("double")).alias("y_median"), F.count("*").alias("n"))
-    return out.where(F.col("n") >= least)
+    means = rows.groupBy("bin").agg(F.exp(F.avg(F.log(F.col(x).cast("double")))).alias("x_geo")).withColumnRenamed("bin", "b_")
+    middle = exact_median(rows, ["bin"], y).where(F.col("n") >= least)
+    return middle.join(means, F.col("bin") == F.col("b_")).select("bin", "x_geo", F.col("median").alias("y_median"), "n")
 
 
 def powerlaw_fit(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -150,19 +158,39 @@ def envelope(products: DataFrame) -> DataFrame:
 def reverse_rank(df: DataFrame, col: str, by: str, tie: str) -> DataFrame:
     """``N(>= V)`` by rank (ties have ranks of their own), ``V * N`` and the normalised curve, per ``by``.
 
-    Ranks come from range-parted counts: rows are numbered inside a size bin and shifted by the counts of the
-    larger bins, so that one catalog that holds most rows is still sorted by many tasks.
+    Rows are range-parted by (``by``, value, ``tie``), written once, numbered inside their part, and shifted by the
+    counts of the parts before; so neither a catalog nor a value that holds most rows is one task.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.percentile_approx(F.col(col).cast("double"), [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or [0.0]
-    edges = sorted(set(cuts))
-    place = bin_index(F.col(col).cast("double"), [-float("inf"), *edges, float("inf")])
-    rows = df.withColumn("b_", place)
-    sizes_ = rows.groupBy(by, "b_").agg(F.count("*").alias("c_"))
-    up = W.partitionBy(by).orderBy(F.desc("b_")).rowsBetween(W.unboundedPreceding, -1)
-    shift = sizes_.select(by, "b_", F.coalesce(F.sum("c_").over(up), F.lit(0)).alias("s_"), F.sum("c_").over(W.partitionBy(by)).alias("all_"))
-    local = F.row_number().over(W.partitionBy(by, "b_").orderBy(F.desc(col), tie))
-    out = rows.withColumn("l_", local).join(F.broadcast(shift), [by, "b_"])
+    order = [F.col(by).asc(), F.col(col).desc(), F.col(tie).asc()]
+    rows = Scratch(spark, "ranks").keep(df.select(by, tie, col).repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()), "rows")
+    counts = rows.groupBy(by, "part_").agg(F.count("*").alias("c_"))
+    up = W.partitionBy(by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    shift = counts.select(F.col(by).alias("by_"), F.col("part_").alias("p_"), F.coalesce(F.sum("c_").over(up), F.lit(0)).alias("s_"), F.sum("c_").over(W.partitionBy(by)).alias("all_"))
+    local = F.row_number().over(W.partitionBy(by, "part_").orderBy(*order))
+    # one row a part and a catalog in it: as many as parts and catalogs together
+    out = rows.withColumn("l_", local).join(shift, F.col(by).eqNullSafe(F.col("by_")) & (F.col("part_") == F.col("p_")))
     n = F.col("l_") + F.col("s_")
     return out.select(by, tie, col, n.alias("n_ge"), (F.col(col) * n).alias("product"), (n / F.col("all_")).alias("cdf"))
+
+
+def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by, median, n`` without a task that holds all values of a group: equal values are counted first, the counts are
+    range-parted and summed in order, and the one or two values at the middle are picked."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("c_"))
+    rows = Scratch(spark, "median").keep(counts.repartitionByRange(parts, *by, "v_").withColumn("part_", F.spark_partition_id()), "rows")
+    sums = rows.groupBy(*by, "part_").agg(F.sum("c_").alias("k_"))
+    before = W.partitionBy(*by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    shift = sums.select(*(F.col(b).alias(f"by_{b}") for b in by), F.col("part_").alias("p_"), F.coalesce(F.sum("k_").over(before), F.lit(0)).alias("s_"), F.sum("k_").over(W.partitionBy(*by)).alias("n"))
+    at = F.sum("c_").over(W.partitionBy(*by, "part_").orderBy("v_"))
+    same = F.col("part_") == F.col("p_")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"by_{b}"))
+    placed = rows.withColumn("up_", at).join(shift, same).withColumn("hi_", F.col("up_") + F.col("s_")).withColumn("lo_", F.col("hi_") - F.col("c_"))
+    left, right = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    inside = lambda k: (F.col("lo_") <= k) & (k < F.col("hi_"))
+    middle = F.sum(F.when(inside(left), F.col("v_"))) + F.sum(F.when(inside(right), F.col("v_")))
+    return placed.groupBy(*by).agg((middle / 2).alias("median"), F.max("n").alias("n"))

@@ -1,22 +1,31 @@
 """Grid queries over a voxel table derived from ``lineitem``, and their SQL.
 
 Cell (i, j, k) = (orderkey, partkey, suppkey) modulo N; density is the summed quantity, temperature the mean
-discount in thousandths (exact integers on both sides), momenta and energy are integer sums. N grows with the
-table; the SQL is for N = 16.
+discount in thousandths (exact integers on both sides), momenta and energy are integer sums. Every query takes the
+cells per axis as ``n``; the default, and the SQL, are N = 16.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxelweave.config import EngineConfig
 from voxelweave.operators import catalog as C
 from voxelweave.operators import derive, grid, labels
+from voxelweave.plans import runs
+from voxelweave.scratch import Scratch
+from voxelweave.sources import parts as P
 from voxelweave.sources.readers import domain_shape
 
+#: Cells per axis.
+N = 16
 DIMS = (2, 2, 2)
 THRESHOLD, DENSE = 4510.0, 380.0
+OPEN_Y = (True, False, True)
 VARS = C.VARIABLES
 
 
@@ -24,12 +33,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def side(spark: SparkSession, sf_dir: str) -> int:
-    """Cells per axis: 8, 16 or 32 for about 6, 60 or 600 thousand rows (from the Parquet footers)."""
-    rows = read(spark, sf_dir, "lineitem").count()
-    return 8 if rows < 20_000 else 16 if rows < 200_000 else 32
-
-
 def voxels(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     f = lambda c: F.sum(c).cast("float")
     key = [F.pmod(F.col(c), F.lit(n)).cast("int").alias(a) for c, a in zip(("l_orderkey", "l_partkey", "l_suppkey"), "ijk", strict=True)]
@@ -50,9 +53,8 @@ def mask(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return derive.cut(primitive(spark, sf_dir, n), "temperature", "lt", THRESHOLD)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    n = side(spark, sf_dir)
-    cells = mask(spark, sf_dir, n).withColumn("cell_id", grid.cell_id(n))
+def labelled(spark: SparkSession, sf_dir: str, n: int = N) -> tuple[DataFrame, int]:
+    cells = Scratch(spark, "cells").keep(mask(spark, sf_dir, n).withColumn("cell_id", grid.cell_id(n)), "cells")
     return cells.join(labels.brick_path_labels(cells, n, DIMS), "cell_id"), n
 
 
@@ -64,236 +66,283 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def voxel_scan_shape(spark, d):
-    n = side(spark, d)
+def voxel_scan_shape(spark, d, n=N):
     return domain_shape(voxels(spark, d, n))
 
 
-def periodic_slice_scan(spark, d):
-    n = side(spark, d)
+def periodic_slice_scan(spark, d, n=N):
     return grid.periodic_box(voxels(spark, d, n).select("i", "j", "k", "dens"), n, ((0, 4), (2, 6), (n - 3, n)), 1).select("gi", "gj", "gk", F.col("dens").cast("double").alias("dens"))
 
 
-def axis_split_bricks(spark, d):
-    n = side(spark, d)
+def axis_split_bricks(spark, d, n=N):
     cells = grid.with_brick(voxels(spark, d, n), n, (3, 2, 1)).groupBy("rank", "ci", "cj", "ck").agg(F.count("*").alias("cells"))
     return cells.join(F.broadcast(grid.brick_table(spark, n, (3, 2, 1)).select("rank", "i0", "i1", "j0", "j1", "next_x", "next_y", "next_z")), "rank")
 
 
-def derive_velocity_temperature(spark, d):
-    n = side(spark, d)
+def derive_velocity_temperature(spark, d, n=N):
     out = derive.with_primitives(voxels(spark, d, n))
     return out.select("i", "j", "k", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("velx", "vely", "velz")), F.round(F.col("temp").cast("double"), 3).alias("temp"))
 
 
-def derive_pressure_speed(spark, d):
-    n = side(spark, d)
+def derive_pressure_speed(spark, d, n=N):
     return primitive(spark, d, n).select("i", "j", "k", derive.pressure().cast("double").alias("pressure"), F.round(derive.speed(), 5).alias("speed"))
 
 
-def cell_center_coords(spark, d):
-    n = side(spark, d)
+def cell_center_coords(spark, d, n=N):
     return voxels(spark, d, n).select("i", "j", "k", *(derive.centre(a, 0.0, 1.0 / n).alias(x) for a, x in zip("ijk", "xyz", strict=True)))
 
 
-def threshold_mask_lt(spark, d):
-    return mask(spark, d, side(spark, d)).select("i", "j", "k")
+def threshold_mask_lt(spark, d, n=N):
+    return mask(spark, d, n).select("i", "j", "k")
 
 
-def threshold_mask_gt_density(spark, d):
-    return derive.cut(voxels(spark, d, side(spark, d)), "density", "gt", DENSE).select("i", "j", "k")
+def threshold_mask_gt_density(spark, d, n=N):
+    return derive.cut(voxels(spark, d, n), "density", "gt", DENSE).select("i", "j", "k")
 
 
 def _neighbours(c: int):
-    def q(spark, d):
-        n = side(spark, d)
-        return grid.neighbour_pairs(mask(spark, d, n), n, c).select("src", "dst")
+    def q(spark, d, n=N):
+            return grid.neighbour_pairs(mask(spark, d, n), n, c).select("src", "dst")
 
     return q
 
 
-def component_labels(spark, d):
-    n = side(spark, d)
+def component_labels(spark, d, n=N):
     return labels.global_labels(mask(spark, d, n), n)
 
 
-def component_labels_26(spark, d):
-    n = side(spark, d)
+def component_labels_26(spark, d, n=N):
     return labels.global_labels(derive.cut(voxels(spark, d, n), "density", "gt", DENSE + 60), n, 26)
 
 
-def component_labels_bricks(spark, d):
-    n = side(spark, d)
+def component_labels_bricks(spark, d, n=N):
     return labels.brick_path_labels(mask(spark, d, n), n, DIMS)
 
 
-def component_labels_compact(spark, d):
-    return labels.dense_labels(labelled(spark, d)[0].select("cell_id", "root"))
+def component_labels_compact(spark, d, n=N):
+    return labels.dense_labels(labelled(spark, d, n)[0].select("cell_id", "root"))
 
 
-def clump_cell_count_volume_mass(spark, d):
-    x, n = labelled(spark, d)
+def clump_cell_count_volume_mass(spark, d, n=N):
+    x, n = labelled(spark, d, n)
     return x.groupBy("root").agg(*C.size_aggregates(spacing(n)))
 
 
-def clump_centroids(spark, d):
-    x, n = labelled(spark, d)
+def clump_centroids(spark, d, n=N):
+    x, n = labelled(spark, d, n)
     return _rounded(x.groupBy("root").agg(*C.centroid_aggregates(spacing(n))))
 
 
-def clump_bbox(spark, d):
-    return labelled(spark, d)[0].groupBy("root").agg(*C.bbox_aggregates())
+def clump_bbox(spark, d, n=N):
+    return labelled(spark, d, n)[0].groupBy("root").agg(*C.bbox_aggregates())
 
 
-def clump_area_periodic(spark, d):
-    x, n = labelled(spark, d)
+def clump_area_periodic(spark, d, n=N):
+    x, n = labelled(spark, d, n)
     return C.exposed_area(x, C.internal_pairs(x, n, "root"), spacing(n), "root")
 
 
-def clump_speed_stats(spark, d):
-    return _rounded(labelled(spark, d)[0].groupBy("root").agg(*C.speed_aggregates()), 5)
+def clump_speed_stats(spark, d, n=N):
+    return _rounded(labelled(spark, d, n)[0].groupBy("root").agg(*C.speed_aggregates()), 5)
 
 
 def _moments(weight, excess, variables):
-    def q(spark, d):
-        out = C.moments(labelled(spark, d)[0], "root", variables, weight, excess)
+    def q(spark, d, n=N):
+        out = C.moments(labelled(spark, d, n)[0], "root", variables, weight, excess)
         return _rounded(out, 4)
 
     return q
 
 
-def clump_second_moments(spark, d):
-    x, n = labelled(spark, d)
+def clump_second_moments(spark, d, n=N):
+    x, n = labelled(spark, d, n)
     return _rounded(C.second_moments(x, "root", spacing(n)))
 
 
-def clump_principal_axes(spark, d):
-    x, n = labelled(spark, d)
-    return C.principal_axes(C.second_moments(x, "root", spacing(n)), "root")
+def clump_principal_axes(spark, d, n=N):
+    """Invariants of the axes: sums of squares and of fourth powers of the lengths, product of squares, and whether
+    lengths descend, ratios belong to them and the orientation is orthonormal."""
+    x, n = labelled(spark, d, n)
+    axes = C.principal_axes(C.second_moments(x, "root", spacing(n)), "root")
+    q = [F.col(f"axis_{a}") * F.col(f"axis_{a}") for a in "abc"]
+    at = lambda r, c: F.element_at("orientation", 3 * r + c + 1)
+    unit = [F.abs(sum((at(r, a) * at(r, b) for r in range(3)), F.lit(0.0)) - float(a == b)) < 1e-9 for a in range(3) for b in range(a, 3)]
+    fits = [F.abs(F.col(f"ratio_{r}a") * F.col("axis_a") - F.col(f"axis_{r}")) < 1e-9 for r in "bc"]
+    good = reduce(lambda p, q: p & q, [F.col("axis_a") >= F.col("axis_b"), F.col("axis_b") >= F.col("axis_c"), *unit, *fits])
+    return axes.select("root", F.round(q[0] + q[1] + q[2], 6).alias("trace"), F.round(q[0] * q[0] + q[1] * q[1] + q[2] * q[2], 6).alias("square"), F.round(q[0] * q[1] * q[2], 6).alias("det"), good.alias("valid"))
 
 
-def local(spark, d):
+def local(spark, d, n=N):
     """Cells with their brick-local label (no halo), fields attached."""
-    n = side(spark, d)
-    cells = mask(spark, d, n)
-    own = labels.brick_labels(cells, n, DIMS).drop("i", "j", "k")
-    return cells.withColumn("cell_id", grid.cell_id(n)).join(own, "cell_id"), n
+    scratch = Scratch(spark, "cells")
+    cells = scratch.keep(mask(spark, d, n).withColumn("cell_id", grid.cell_id(n)), "cells")
+    return scratch.keep(cells.join(labels.brick_labels(cells, n, DIMS).drop("i", "j", "k"), "cell_id"), "local"), n
 
 
-def face_presence(spark, d):
-    x, n = local(spark, d)
+def face_presence(spark, d, n=N):
+    x, n = local(spark, d, n)
     boxes = F.broadcast(grid.brick_table(spark, n, DIMS))
     return x.join(boxes.drop("ci", "cj", "ck"), "rank").groupBy(grid.gid().alias("gid")).agg(*C.face_flags())
 
 
-def face_pair_bits(spark, d):
-    return face_presence(spark, d).select("gid", C.face_pair_bits().alias("face_pair_bits"))
+def face_pair_bits(spark, d, n=N):
+    return face_presence(spark, d, n).select("gid", C.face_pair_bits().alias("face_pair_bits"))
 
 
-def local_labels_by_brick(spark, d):
-    n = side(spark, d)
+def local_labels_by_brick(spark, d, n=N):
     return labels.brick_labels(mask(spark, d, n), n, DIMS).select("rank", "cell_id", "label_ids")
 
 
-def local_labels_with_halo(spark, d):
-    n = side(spark, d)
+def local_labels_with_halo(spark, d, n=N):
     return labels.brick_labels(mask(spark, d, n), n, DIMS, halo=1).select("rank", "cell_id", "label_ids")
 
 
-def unstitched_master(spark, d):
-    x, n = local(spark, d)
+def unstitched_master(spark, d, n=N):
+    x, n = local(spark, d, n)
     return _rounded(C.unstitched_catalog(x, n, DIMS, spacing(n)), 5)
 
 
-def gid_pack(spark, d):
-    return local(spark, d)[0].select("rank", "label_ids", grid.gid().alias("gid")).distinct().withColumns({"rank_back": F.shiftright("gid", 32).cast("int"), "local_back": F.col("gid").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")})
+def gid_pack(spark, d, n=N):
+    return local(spark, d, n)[0].select("rank", "label_ids", grid.gid().alias("gid")).distinct().withColumns({"rank_back": F.shiftright("gid", 32).cast("int"), "local_back": F.col("gid").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")})
 
 
-def interface_edges(spark, d):
-    n = side(spark, d)
+def interface_edges(spark, d, n=N):
     return labels.interface_edges(labels.brick_labels(mask(spark, d, n), n, DIMS), n, DIMS)
 
 
-def interface_counts(spark, d):
-    return interface_edges(spark, d).groupBy("axis").agg(F.sum("cnt").alias("pairs"), F.count("*").alias("edges"))
+def interface_edges_open(spark, d, n=N):
+    """Edges where only x and z wrap around."""
+    return labels.interface_edges(local(spark, d, n)[0], n, DIMS, OPEN_Y)
+
+
+def face_planes(spark, d, n=N):
+    """Foreground pixels of the outermost planes of every brick."""
+    return labels.face_planes(local(spark, d, n)[0], grid.brick_table(spark, n, DIMS))
+
+
+def interface_totals(spark, d, n=N):
+    """Face neighbours across bricks by axis: expected from the mask, observed by the planes of the parts."""
+    x, n = local(spark, d, n)
+    bricks = grid.brick_table(spark, n, DIMS)
+    observed = labels.plane_edges(labels.face_planes(x, bricks), bricks).groupBy("axis").agg(F.sum("cnt").alias("observed"))
+    rank = grid.with_brick(mask(spark, d, n).select("i", "j", "k"), n, DIMS)
+    pairs = grid.face_pairs(rank, n, ("i", "j", "k"))
+    over = F.lit(False)
+    for axis, a, p in zip("xyz", "ijk", DIMS, strict=True):
+        over = over | ((F.col("axis") == axis) & F.col(f"src_{a}").isin([hi - 1 for _, hi in grid.split_axis(n, p)]))
+    return pairs.where(over).groupBy("axis").agg(F.count("*").alias("expected")).join(observed, "axis")
+
+
+def _parts(spark, d, n, periodic, name):
+    """Parts of a run, written to the shared folder and read back."""
+    x, n = local(spark, d, n)
+    scratch = Scratch(spark, "parts")
+    config = EngineConfig(n=n, dims=DIMS, threshold=THRESHOLD, periodic=periodic)
+    planes = labels.face_planes(x, grid.brick_table(spark, n, DIMS, periodic))
+    P.write_parts(C.unstitched_catalog(x, n, DIMS, spacing(n)), planes, scratch.path(name), config)
+    return P.read_parts(spark, scratch.path(name))
+
+
+def stitch_from_parts(spark, d, n=N):
+    """The merged catalog from parts on disk: catalog rows, boundary planes and metadata of each brick."""
+    parts, planes, bricks, _ = _parts(spark, d, n, grid.TORUS, "torus")
+    return _rounded(runs.stitch_parts(parts, planes, bricks, spacing(n)), 5)
+
+
+def stitch_from_parts_open(spark, d, n=N):
+    parts, planes, bricks, _ = _parts(spark, d, n, OPEN_Y, "open")
+    return _rounded(runs.stitch_parts(parts, planes, bricks, spacing(n)), 5)
 
 
-def _stitched(spark, d, min_cells=1):
-    x, n = local(spark, d)
+def part_metadata(spark, d, n=N):
+    """Metadata of the parts: place, box, structures, spacing."""
+    _, _, _, meta = _parts(spark, d, n, grid.TORUS, "meta")
+    box = F.col("node_bbox_ijk")
+    return meta.select("rank", *(F.col("coords")[i].alias(f"c{a}") for i, a in enumerate("ijk")), *(box[i].alias(c) for i, c in enumerate(("i0", "i1", "j0", "j1", "k0", "k1"))), F.col("K").alias("structures"), F.col("grid.dx").alias("dx"), F.col("grid.Nres").alias("cells"), F.forall("grid.periodic", lambda v: v).alias("torus"))
+
+
+def neighbor_edges_open(spark, d, n=N):
+    """Face neighbours without wrap-around in y."""
+    return grid.neighbour_pairs(mask(spark, d, n), n, 6, OPEN_Y).select("src", "dst")
+
+
+def interface_counts(spark, d, n=N):
+    return interface_edges(spark, d, n).groupBy("axis").agg(F.sum("cnt").alias("pairs"), F.count("*").alias("edges"))
+
+
+def _stitched(spark, d, min_cells=1, n=N):
+    x, n = local(spark, d, n)
     edges = labels.interface_edges(x.select("rank", "cell_id", "i", "j", "k", "label_ids"), n, DIMS)
     roots = labels.stitched_roots(x, edges)
     return C.stitched_catalog(C.unstitched_catalog(x, n, DIMS, spacing(n)), roots, edges, spacing(n), min_cells), x, roots, edges, n
 
 
-def stitched_catalog(spark, d):
-    return _rounded(_stitched(spark, d)[0].withColumnRenamed("root", "gid"), 5)
+def stitched_catalog(spark, d, n=N):
+    return _rounded(_stitched(spark, d, n=n)[0].withColumnRenamed("root", "gid"), 5)
 
 
-def min_cells_filter(spark, d):
-    return _stitched(spark, d, 4)[0].select(F.col("root").alias("gid"), "cell_count")
+def min_cells_filter(spark, d, n=N):
+    return _stitched(spark, d, 4, n)[0].select(F.col("root").alias("gid"), "cell_count")
 
 
-def stitched_equals_direct(spark, d):
+def stitched_equals_direct(spark, d, n=N):
     """Differences between the merged and the direct catalog (none), with the totals of both as a checked row."""
-    cat, x, roots, _, n = _stitched(spark, d)
-    y, _ = labelled(spark, d)
+    cat, x, roots, _, n = _stitched(spark, d, n=n)
+    y, _ = labelled(spark, d, n)
     cols = ["cell_count", "volume", "mass", "area", "i_min", "i_max", "j_min", "j_max", "k_min", "k_max"]
     tidy = lambda t: t.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in cols))
     diff = C.catalog_difference(tidy(cat), tidy(C.direct_catalog(y, n, spacing(n))))
     return diff.agg(F.count("*").alias("differences")).crossJoin(cat.agg(F.count("*").alias("clumps"), F.sum("cell_count").alias("cells")))
 
 
-def majority_vote_mapping(spark, d):
-    x, n = local(spark, d)
-    y, _ = labelled(spark, d)
+def majority_vote_mapping(spark, d, n=N):
+    x, n = local(spark, d, n)
+    y, _ = labelled(spark, d, n)
     return C.majority_mapping(x.withColumn("gid", grid.gid()), y, "cell_id", "gid", "root")
 
 
-def split_components_topk(spark, d):
-    return C.split_components(majority_vote_mapping(spark, d), "root", "gid")
+def split_components_topk(spark, d, n=N):
+    return C.split_components(majority_vote_mapping(spark, d, n), "root", "gid")
 
 
-def component_degree(spark, d):
-    x, n = local(spark, d)
+def component_degree(spark, d, n=N):
+    x, n = local(spark, d, n)
     return C.degrees(labels.interface_edges(x.select("rank", "cell_id", "i", "j", "k", "label_ids"), n, DIMS), x.select(grid.gid().alias("gid")))
 
 
-def face_only_component_count(spark, d):
+def face_only_component_count(spark, d, n=N):
     """Components of the brick graph, from faces alone."""
-    n = side(spark, d)
     local_ = labels.brick_labels(mask(spark, d, n), n, DIMS)
     return labels.stitched_roots(local_, labels.interface_edges(local_, n, DIMS)).agg(F.countDistinct("root").alias("components"), F.count("*").alias("local_components"))
 
 
-def baseline_totals(spark, d):
-    x, n = labelled(spark, d)
+def baseline_totals(spark, d, n=N):
+    x, n = labelled(spark, d, n)
     return _rounded(C.direct_catalog(x, n, spacing(n)).agg(F.count("*").alias("k"), F.sum("cell_count").alias("cells"), F.sum("volume").alias("volume"), F.sum("mass").alias("mass"), F.sum("area").alias("area"), F.max("cell_count").alias("largest")))
 
 
-def brick_label_offsets(spark, d):
+def brick_label_offsets(spark, d, n=N):
     """Running offset of label numbers over bricks, in the order k, j, i (a table of one row a brick)."""
-    n = side(spark, d)
     count = grid.with_brick(labels.brick_labels(mask(spark, d, n), n, DIMS).drop("rank"), n, DIMS).groupBy("rank", "ci", "cj", "ck").agg(F.max("label_ids").alias("labels"))
     before = W.orderBy("ck", "cj", "ci").rowsBetween(W.unboundedPreceding, -1)
     return count.select("rank", "labels", F.coalesce(F.sum("labels").over(before), F.lit(0)).alias("offset"))
 
 
-def root_set_difference(spark, d):
+def root_set_difference(spark, d, n=N):
     """Structures of more than one brick, and those of one, as set operations on roots."""
-    m = majority_vote_mapping(spark, d)
+    m = majority_vote_mapping(spark, d, n)
     split = m.groupBy("root").agg(F.count("*").alias("c")).where("c > 1").select("root")
     whole = m.select("root").distinct().subtract(split)
     return split.withColumn("part", F.lit("split")).union(whole.withColumn("part", F.lit("whole")))
 
 
-def midplane_slice(spark, d):
-    n = side(spark, d)
+def midplane_slice(spark, d, n=N):
     return voxels(spark, d, n).where(F.col("i") == n // 2).select("j", "k", F.col("dens").cast("double").alias("dens"), F.round(F.col("temp").cast("double"), 3).alias("temp"))
 
 
-def subgraph_degree(spark, d):
+def subgraph_degree(spark, d, n=N):
     """Local components of the structure with most parts, with their degrees among themselves."""
-    x, n = local(spark, d)
+    x, n = local(spark, d, n)
     edges = labels.interface_edges(x.select("rank", "cell_id", "i", "j", "k", "label_ids"), n, DIMS)
     roots = labels.stitched_roots(x, edges)
     top = roots.groupBy("root").agg(F.count("*").alias("c")).agg(F.max(F.struct("c", (-F.col("root")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("root"))
@@ -310,7 +359,7 @@ QUERIES = {
         "clump_area_periodic clump_speed_stats clump_second_moments clump_principal_axes face_presence face_pair_bits local_labels_by_brick "
         "local_labels_with_halo unstitched_master gid_pack interface_edges interface_counts stitched_catalog min_cells_filter stitched_equals_direct "
         "majority_vote_mapping split_components_topk component_degree face_only_component_count baseline_totals brick_label_offsets root_set_difference "
-        "midplane_slice subgraph_degree"
+        "midplane_slice subgraph_degree interface_edges_open face_planes interface_totals stitch_from_parts stitch_from_parts_open part_metadata neighbor_edges_open"
     ).split()
 } | {
     "neighbor_edges_6": _neighbours(6), "neighbor_edges_18": _neighbours(18), "neighbor_edges_26": _neighbours(26),
@@ -387,9 +436,23 @@ def _moment_sql(weight: bool, excess: bool, variables: tuple[str, ...]) -> str:
     return LABELS + f", mu AS (SELECT root, {mean} FROM x GROUP BY root), c AS (SELECT root, {cent} FROM x JOIN mu USING (root) GROUP BY root) SELECT root, {out} FROM c"
 
 
+RIM_OPEN = LOCAL_ONLY + (
+    ", rim AS (SELECT p.*, CASE WHEN oi = 1 THEN 'x' WHEN oj = 1 THEN 'y' ELSE 'z' END AS axis, s.gid AS sg, t.gid AS tg FROM pairs p JOIN y s ON s.id = p.src JOIN y t ON t.id = p.dst "
+    "WHERE (oi = 1 AND s.i % 8 = 7) OR (oj = 1 AND s.j = 7) OR (ok = 1 AND s.k % 8 = 7)), "
+    "ie AS (SELECT least(sg, tg) AS lo, greatest(sg, tg) AS hi, axis, count(*) AS cnt FROM rim GROUP BY 1, 2, 3)"
+)
 STITCH = LOCAL + ", " + _reach("st", "(SELECT DISTINCT gid FROM y)", "ie", "lo", "hi", "gid") + ", z AS (SELECT y.*, st.root FROM y JOIN st ON st.id = y.gid)"
+STITCH_OPEN = RIM_OPEN + ", " + _reach("st", "(SELECT DISTINCT gid FROM y)", "ie", "lo", "hi", "gid") + ", z AS (SELECT y.*, st.root FROM y JOIN st ON st.id = y.gid)"
 _AREA = "6 * count(*) / 256.0::DOUBLE"
 
+
+def _merged(stitch: str, inner: str) -> str:
+    return stitch + (
+        f", a AS (SELECT root, {SIZE}, {_r(CENT, 5)}, {_r(SPEED, 5)}, {BBOX}, {_AREA} AS area0 FROM z GROUP BY root), "
+        f"p AS (SELECT z.root, count(*) * 2 / 256.0::DOUBLE AS inner_a FROM {inner} JOIN z ON z.id = src GROUP BY 1) "
+        "SELECT a.root AS gid, a.* EXCLUDE (root, area0, volume, mass), round(volume, 5) AS volume, round(mass, 5) AS mass, round(area0 - coalesce(inner_a, 0), 5) AS area FROM a LEFT JOIN p USING (root)"
+    )
+
 SQL: dict[str, str] = {
     "voxel_scan_shape": f"WITH {CELLS} SELECT CAST(max(i) + 1 AS BIGINT) AS nx, CAST(max(j) + 1 AS BIGINT) AS ny, CAST(max(k) + 1 AS BIGINT) AS nz FROM cells",
     "periodic_slice_scan": f"WITH {CELLS}, w AS (SELECT unnest([-16, 0, 16]) AS t) SELECT i + a.t AS gi, j + b.t AS gj, k + c.t AS gk, CAST(dens AS DOUBLE) AS dens FROM cells, w a, w b, w c "
@@ -436,9 +499,21 @@ SQL: dict[str, str] = {
     "gid_pack": LOCAL_ONLY + " SELECT DISTINCT rank, label_ids, gid, rank AS rank_back, label_ids AS local_back FROM y",
     "interface_edges": LOCAL + " SELECT * FROM ie",
     "interface_counts": LOCAL + " SELECT axis, CAST(sum(cnt) AS BIGINT) AS pairs, count(*) AS edges FROM ie GROUP BY axis",
-    "stitched_catalog": STITCH + f", a AS (SELECT root, {SIZE}, {_r(CENT, 5)}, {_r(SPEED, 5)}, {BBOX}, {_AREA} AS area0 FROM z GROUP BY root), "
-    "p AS (SELECT z.root, count(*) * 2 / 256.0::DOUBLE AS inner_a FROM pairs JOIN z ON z.id = src GROUP BY 1) "
-    "SELECT a.root AS gid, a.* EXCLUDE (root, area0, volume, mass), round(volume, 5) AS volume, round(mass, 5) AS mass, round(area0 - coalesce(inner_a, 0), 5) AS area FROM a LEFT JOIN p USING (root)",
+    "stitched_catalog": _merged(STITCH, "pairs"),
+    "stitch_from_parts": _merged(STITCH, "pairs"),
+    "stitch_from_parts_open": _merged(STITCH_OPEN, "(SELECT p.src FROM pairs p JOIN y s ON s.id = p.src WHERE NOT (oj = 1 AND s.j = 15))"),
+    "interface_edges_open": RIM_OPEN + " SELECT * FROM ie",
+    "neighbor_edges_open": f"WITH {MASK}, {_edges_sql(6)} SELECT src, dst FROM pairs JOIN fg ON fg.id = src WHERE NOT (oj = 1 AND j = 15)",
+    "face_planes": LOCAL_ONLY + " " + " UNION ALL ".join(
+        f"SELECT rank, '{AXIS[a]}' AS axis, '{side}' AS side, {' % 8 AS u, '.join(b for b in 'ijk' if b != a)} % 8 AS v, label_ids AS local_id FROM y WHERE {a} % 8 = {at}" for a in "ijk" for side, at in (("neg", 0), ("pos", 7))
+    ),
+    "interface_totals": LOCAL + " SELECT axis, CAST(sum(cnt) AS BIGINT) AS expected, CAST(sum(cnt) AS BIGINT) AS observed FROM ie GROUP BY axis",
+    "part_metadata": LOCAL_ONLY + ", bk AS (SELECT CAST(r AS INT) AS rank, CAST(r // 4 AS INT) AS ci, CAST(r // 2 % 2 AS INT) AS cj, CAST(r % 2 AS INT) AS ck FROM range(8) t(r)) "
+    "SELECT bk.*, " + ", ".join(f"CAST(c{a} * 8 AS BIGINT) AS {a}0, CAST(c{a} * 8 + 8 AS BIGINT) AS {a}1" for a in "ijk") + ", (SELECT count(DISTINCT gid) FROM y WHERE y.rank = bk.rank) AS structures, 0.0625::DOUBLE AS dx, 16 AS cells, TRUE AS torus FROM bk",
+    "clump_principal_axes": LABELS + ", mu AS (SELECT root, " + ", ".join(f"sum(CAST(dens AS DOUBLE) * {XYZ[a]}) / sum(CAST(dens AS DOUBLE)) AS mu_{a}" for a in "ijk") + " FROM x GROUP BY root), m AS (SELECT root, "
+    + ", ".join(f"sum(CAST(dens AS DOUBLE) * ({XYZ[a]} - mu_{a}) * ({XYZ[b]} - mu_{b})) / sum(CAST(dens AS DOUBLE)) AS {a}{b}" for a, b in ("ii", "jj", "kk", "ij", "ik", "jk"))
+    + " FROM x JOIN mu USING (root) GROUP BY root) SELECT root, round(ii + jj + kk, 6) AS trace, round(ii * ii + jj * jj + kk * kk + 2 * (ij * ij + ik * ik + jk * jk), 6) AS square, "
+    "round(ii * (jj * kk - jk * jk) - ij * (ij * kk - jk * ik) + ik * (ij * jk - jj * ik), 6) AS det, TRUE AS valid FROM m",
     "min_cells_filter": STITCH + " SELECT root AS gid, count(*) AS cell_count FROM z GROUP BY root HAVING count(*) >= 4",
     "stitched_equals_direct": LABELS + " SELECT CAST(0 AS BIGINT) AS differences, count(DISTINCT root) AS clumps, count(*) AS cells FROM x",
     "majority_vote_mapping": LOCAL_ONLY + ", " + _reach("lab", "fg", "pairs") + ", v AS (SELECT gid, lab.root, count(*) AS votes FROM y JOIN lab USING (id) GROUP BY 1, 2) "
@@ -454,5 +529,3 @@ SQL: dict[str, str] = {
     "subgraph_degree": STITCH + ", g AS (SELECT DISTINCT gid, root FROM z), t AS (SELECT root FROM g GROUP BY root ORDER BY count(*) DESC, root LIMIT 1), n AS (SELECT lo AS gid, hi AS o FROM ie WHERE lo <> hi UNION SELECT hi, lo FROM ie WHERE lo <> hi) "
     "SELECT g.gid, count(n.o) AS degree FROM g JOIN t USING (root) LEFT JOIN n USING (gid) GROUP BY 1",
 }
-
-__all__ = ["QUERIES", "SQL", "W"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,10 @@ from voxelweave.config import EngineConfig
 from voxelweave.operators import catalog as C
 from voxelweave.operators import derive, grid, labels, ml
 from voxelweave.operators import spectra as S
+from voxelweave.operators.components import connected_components
+from voxelweave.scratch import Scratch, path_exists
 from voxelweave.sources import readers, sinks
+from voxelweave.sources.parts import brick_index, check_planes, read_npz_catalog, read_npz_planes, read_parts, write_parts
 
 
 def foreground(voxels: DataFrame, config: EngineConfig) -> DataFrame:
@@ -22,19 +26,55 @@ def foreground(voxels: DataFrame, config: EngineConfig) -> DataFrame:
 
 def run_catalog(spark: SparkSession, voxels: DataFrame, config: EngineConfig, out: str | None = None) -> DataFrame:
     """The stitched catalog of one snapshot (``gid`` and its reductions), written with its settings if ``out`` is given."""
-    cells = foreground(voxels, config).withColumn("cell_id", grid.cell_id(config.n))
-    local = labels.brick_labels(cells, config.n, config.dims)
-    full = cells.join(local.drop("i", "j", "k"), "cell_id")
-    edges = labels.interface_edges(local, config.n, config.dims)
-    parts = C.unstitched_catalog(full, config.n, config.dims, config.spacing)
-    merged = C.stitched_catalog(parts, labels.stitched_roots(local, edges), edges, config.spacing, config.min_clump_cells).withColumnRenamed("root", "gid")
-    merged = merged.withColumns({"step": F.lit(config.step), "threshold": F.lit(float(config.threshold))})
+    scratch, began = Scratch(spark, "run"), time.time()
+    full = labelled_cells(voxels, config, scratch)
+    labelled = time.time()
+    edges = scratch.keep(labels.interface_edges(full, config.n, config.dims, config.periodic), "edges")
+    parts = scratch.keep(C.unstitched_catalog(full, config.n, config.dims, config.spacing), "parts")
+    merged = C.stitched_catalog(parts, labels.stitched_roots(full, edges), edges, config.spacing, config.min_clump_cells).withColumnRenamed("root", "gid")
+    merged = merged.withColumns({"step": F.lit(config.step), "threshold": F.lit(float(config.threshold))}).orderBy("gid")
     if out:
+        planes = labels.face_planes(full, grid.brick_table(spark, config.n, config.dims, config.periodic))
+        write_parts(parts, planes, out, config, {"label": labelled - began, "reduce": time.time() - labelled})
         sinks.write_catalog(merged, out, config)
+        scratch.drop()
         return spark.read.parquet(f"{out}/data")
     return merged
 
 
+def labelled_cells(voxels: DataFrame, config: EngineConfig, scratch: Scratch) -> DataFrame:
+    """Foreground cells with their fields and brick-local labels, written once for all that reads them."""
+    cells = foreground(voxels, config).withColumn("cell_id", grid.cell_id(config.n))
+    cells = scratch.keep(cells, "cells")
+    local = labels.brick_labels(cells, config.n, config.dims).drop("i", "j", "k")
+    return scratch.keep(cells.join(local, "cell_id"), "labelled")
+
+
+def stitch_parts(parts: DataFrame, planes: DataFrame, bricks: DataFrame, spacing: tuple[float, float, float], min_cells: int = 1) -> DataFrame:
+    """The merged catalog of a run's parts (see ``sources.parts``), by their boundary planes alone, in order of ``gid``."""
+    edges = Scratch(parts.sparkSession, "stitch").keep(labels.plane_edges(planes, bricks), "edges")
+    pairs = edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
+    roots = connected_components(pairs, parts.select(F.col("gid").alias("id"))).withColumnRenamed("id", "gid")
+    return C.stitched_catalog(parts, roots, edges, spacing, min_cells).withColumnRenamed("root", "gid").orderBy("gid")
+
+
+def run_stitch(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """Stitch a folder of parts: of this engine, or NPZ files with their sidecars."""
+    if path_exists(spark, f"{path}/planes"):
+        parts, planes, bricks, meta = read_parts(spark, path)
+    else:
+        meta = readers.read_part_index(spark, path)
+        bricks = brick_index(meta)
+        check_planes(meta, bricks)
+        parts, planes = read_npz_catalog(spark, path), read_npz_planes(spark, path)
+    g = meta.select("grid.dx", "grid.dy", "grid.dz").first()
+    merged = stitch_parts(parts, planes, bricks, (g[0], g[1], g[2]))
+    if out:
+        merged.write.mode("overwrite").parquet(out)
+        return spark.read.parquet(out)
+    return merged
+
+
 def summaries(catalog: DataFrame, n_bins: int = 60) -> dict[str, DataFrame]:
     """Spectrum and correlations of a catalog; nothing for an empty one."""
     lo, hi = catalog.agg(F.min("cell_count"), F.max("cell_count")).first()
@@ -45,6 +85,36 @@ def summaries(catalog: DataFrame, n_bins: int = 60) -> dict[str, DataFrame]:
     return {"spectrum": S.size_spectrum(S.sizes(catalog), "size", edges), "correlations": ml.pearson(ml.features(catalog, names), names)}
 
 
+def run_directory(spark: SparkSession, root: str, out: str, n_bins: int = 60, least_step: int = 30) -> list[str]:
+    """Summaries of every catalog that ``readers.discover_snapshots`` finds under ``root``, each under its own folder of
+    ``out``; returns those folders."""
+    done = []
+    for r in readers.discover_snapshots(spark, root, least_step).orderBy("step", "path").collect():
+        where = f"{out}/step{r['step']:05d}"
+        catalog = spark.read.parquet(r["path"])
+        for name, df in summaries(catalog, n_bins).items():
+            df.write.mode("overwrite").parquet(f"{where}/{name}")
+        done.append(where)
+    return done
+
+
+def feature_outputs(catalog: DataFrame, names: list[str], out: str, k: int = 3) -> None:
+    """Tables of a feature analysis: ``pca_scores``, ``pca_components`` (with explained ratios), ``embedding`` and
+    ``histograms`` (joint, of every pair with 50 positive values or more on either side, on log edges)."""
+    spark = catalog.sparkSession
+    table = ml.features(catalog, names, ("gid",))
+    scores, parts, ratio = ml.pca(table, names, k, ("gid",))
+    scores.write.mode("overwrite").parquet(f"{out}/pca_scores")
+    rows = [(i + 1, float(r), n, float(w)) for i, (r, p) in enumerate(zip(ratio, parts, strict=True)) for n, w in zip(names, p, strict=True)]
+    spark.createDataFrame(rows, "component int, ratio double, feature string, loading double").coalesce(1).write.mode("overwrite").parquet(f"{out}/pca_components")
+    ml.embedding(table, names, ("gid",)).write.mode("overwrite").parquet(f"{out}/embedding")
+    limits = table.agg(*(f(F.when(S.positive(n), F.col(n))).alias(f"{s}_{n}") for n in names for s, f in (("lo", F.min), ("hi", F.max), ("n", F.count)))).first()
+    edges = {n: S.log_edges(limits[f"lo_{n}"], limits[f"hi_{n}"], 60) for n in names if limits[f"n_{n}"] >= 50 and limits[f"hi_{n}"] > limits[f"lo_{n}"]}
+    pairs = [S.hist2d(table, a, b, edges[a], edges[b]).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "xbin", "ybin", "n") for i, a in enumerate(edges) for b in list(edges)[i + 1 :]]
+    if pairs:
+        reduce(DataFrame.unionByName, pairs).write.mode("overwrite").parquet(f"{out}/histograms")
+
+
 def run_sweep(spark: SparkSession, voxels: DataFrame, configs: list[EngineConfig]) -> DataFrame:
     """Catalogs of several settings in one table, by ``step`` and ``threshold``."""
     return reduce(DataFrame.unionByName, [run_catalog(spark, voxels, c) for c in configs])
@@ -52,11 +122,21 @@ def run_sweep(spark: SparkSession, voxels: DataFrame, configs: list[EngineConfig
 
 def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--config", required=True, help="settings (YAML)")
-    p.add_argument("--voxels", required=True, help="voxel table (Parquet)")
+    p.add_argument("--config", help="settings (YAML) of a whole run")
+    p.add_argument("--voxels", help="voxel table (Parquet) of a whole run")
+    p.add_argument("--stitch", help="folder of parts to merge instead")
+    p.add_argument("--catalogs", help="folder of step folders with stitched catalogs to summarise instead")
     p.add_argument("--out", required=True)
     a = p.parse_args()
     spark = SparkSession.builder.getOrCreate()
+    if a.stitch:
+        run_stitch(spark, a.stitch, a.out)
+        return
+    if a.catalogs:
+        run_directory(spark, a.catalogs, a.out)
+        return
+    if not (a.config and a.voxels):
+        p.error("give --config and --voxels, or --stitch, or --catalogs")
     config = EngineConfig.from_yaml(a.config)
     catalog = run_catalog(spark, readers.read_voxels(spark, a.voxels, config.step), config, a.out)
     for name, df in summaries(catalog).items():

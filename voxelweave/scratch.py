@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 class Scratch:
     """Tables of one operator run: ``keep`` writes and re-reads a frame, ``drop`` removes what is no longer needed."""
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 PREFIX = "cons_cons_density_"
 RECORDS = {"dens": "cons_cons_density_{}", "etot": "cons_cons_total_energy_density_{}", **{f"m{c}": f"cons_cons_momentum_density_{c}_{{}}" for c in (1, 2, 3)}}
+#: Signs of axis labels and how they are spelt in file names.
+LABEL_SIGNS = (("⟨v⟩", "v_mean"), ("σ", "sigma"), (" ", "_"), ("-", "_"))
 META = (
     "rank int, coords array<int>, cart_dims array<int>, node_bbox_ijk array<bigint>, grid struct<periodic: array<boolean>, Nres: int, dx: double, dy: double, dz: double>, "
     "output_npz string, K bigint"
@@ -20,13 +22,13 @@ META = (
 
 
 def level_suffix(names: list[str]) -> str:
-    """Level of a snapshot's records: from the density record, else from any ``_lvl`` name."""
-    for n in sorted(names):
+    """Level of a snapshot's records: from the density record, else from the first name with an ``_lvl`` part, in the order given."""
+    for n in names:
         if n.startswith(PREFIX):
             return n.removeprefix(PREFIX)
-    for n in sorted(names):
-        if m := re.search(r"(lvl\d+)$", n):
-            return m[1]
+    for n in names:
+        if "_lvl" in n:
+            return "lvl" + n.rpartition("_lvl")[2].partition("_")[0]
     raise ValueError("no record names a level")
 
 
@@ -76,13 +78,17 @@ def run_fields(name: Column) -> list[Column]:
 
 
 def spacing_chain(spacing: Column, res: Column, finest: int = 10240) -> Column:
-    """Cell size: a catalog's own, else one over its resolution, else one over the finest."""
-    return F.coalesce(spacing.cast("double"), F.lit(1.0) / res, F.lit(1.0 / finest))
+    """Cell size: the mean of a catalog's own (an array; empty counts as none), else one over its resolution, else one
+    over the finest."""
+    mean = F.when(F.size(spacing) > 0, F.aggregate(spacing, F.lit(0.0), lambda a, x: a + x) / F.size(spacing))
+    return F.coalesce(mean, F.lit(1.0) / res, F.lit(1.0 / finest))
 
 
 def sanitised(label: Column) -> Column:
-    """A label as a file-name part: other characters become one underscore, trimmed, lower case, or ``feature``."""
-    clean = F.lower(F.trim(F.regexp_replace(label, "[^0-9a-zA-Z_]+", "_"), F.lit("_")))
+    """A label as a file-name part: the named signs spelt out, every space or hyphen an underscore, runs of other
+    characters one underscore, trimmed, lower case, or ``feature``."""
+    spelt = reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), LABEL_SIGNS, label)
+    clean = F.lower(F.trim(F.regexp_replace(spelt, "[^0-9a-zA-Z_]+", "_"), F.lit("_")))
     return F.when(clean == "", F.lit("feature")).otherwise(clean)
 
 
@@ -114,12 +120,25 @@ def monotone_fields(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (0.01 * 100**u).astype(np.float32), (100 ** (1 - u)).astype(np.float32)
 
 
-def rescaled(x: np.ndarray, lo: float, hi: float, robust: bool = True) -> np.ndarray:
-    """Linear rescale to [lo, hi], clipped at the 1st and 99th percentile; a constant goes to the middle."""
-    a, b = np.percentile(x, (1, 99)) if robust else (x.min(), x.max())
-    if not b > a:
-        return np.full_like(x, (lo + hi) / 2)
-    return lo + (np.clip(x, a, b) - a) / (b - a) * (hi - lo)
+def rescaled(df: DataFrame, col: str, lo: float, hi: float, robust: bool = True) -> DataFrame:
+    """``df`` with ``col`` mapped linearly onto [lo, hi] from its 1st to its 99th percentile (or its whole range) and
+    clipped there; a constant goes to the middle. The limits are one broadcast row."""
+    low, high = (F.percentile(col, 0.01), F.percentile(col, 0.99)) if robust else (F.min(col), F.max(col))
+    limits = df.agg(low.cast("double").alias("low_"), high.cast("double").alias("high_"))
+    share = (F.least(F.greatest(F.col(col).cast("double"), F.col("low_")), F.col("high_")) - F.col("low_")) / (F.col("high_") - F.col("low_"))
+    value = F.when(F.col("high_") > F.col("low_"), F.lit(float(lo)) + share * float(hi - lo)).otherwise(F.lit((lo + hi) / 2))
+    return df.crossJoin(F.broadcast(limits)).withColumn(col, value).drop("low_", "high_")
+
+
+def discover_snapshots(spark: SparkSession, root: str, least_step: int = 30, glob: str = "*stitched*") -> DataFrame:
+    """``path, res, step`` of the catalogs under ``root`` that lie in a ``step<number>`` folder after ``least_step``;
+    ``res`` comes from ``n<number>_sweep`` in the path (null if there is none). Only names are listed, no file is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/step*/{glob}")
+    found = [(str(s.getPath().toString()),) for s in where.getFileSystem(conf).globStatus(where) or []]
+    table = spark.createDataFrame(found, "path string")
+    step, res = (F.nullif(F.regexp_extract("path", p, 1), F.lit("")).cast("int") for p in (r"/step(\d+)/[^/]*$", r"n(\d+)_sweep"))
+    return table.select("path", res.alias("res"), step.alias("step")).where(F.col("step") > least_step)
 
 
 def field_table(spark: SparkSession, **fields: np.ndarray) -> DataFrame:
