@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from tests.llm.helpers import awkward, frame
+
+from tests.llm.helpers import awkward, frame, prose
 
 from voxelweave.llm import suffix_dedup as S
 
@@ -25,8 +28,11 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [1500, 1 << 20])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "bucket"), [(1500, 4000), (1 << 20, 1 << 20)])
+def test_against_brute_force(spark, monkeypatch, block, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    monkeypatch.setattr(S, "SAMPLE_BUCKET", 2 * bucket)
+    monkeypatch.setattr(S, "PARTITIONS", 5)
     rows = awkward()
     got = S.repeated_spans(frame(spark, rows), block_bytes=block).drop("spans").collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
@@ -47,4 +53,56 @@ def test_empty(spark):
 
 def test_difference_cover():
     d = {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER}
-    assert d == set(range(S.PERIOD)) and S.SHORT + S.PERIOD - 1 == S.MATCH and S.LONG == S.MATCH + S.PERIOD - 1
+    assert d == set(range(S.PERIOD)) and S.SHORT + S.PERIOD - 1 == S.MATCH
+
+
+def test_hot_prefix(spark, monkeypatch):
+    """Most suffixes begin alike, and most documents share one passage."""
+    monkeypatch.setattr(S, "BUCKET", 3000)
+    rng = random.Random(3)
+    passage = "the same opening words of every text, again and again, " * 3
+    rows = [(i, (passage if i % 3 else "") + "the same opening " * rng.randint(0, 4) + prose(rng, 15)) for i in range(60)]
+    got = S.repeated_spans(frame(spark, rows, False), block_bytes=2000).drop("spans").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_one_bucket_is_ordered_by_bytes():
+    """Blocks in order; a suffix is marked if an earlier document, by block and rank, has the same bytes."""
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("ab") for _ in range(rng.choice([50, 52, 60]))).encode() for _ in range(30)]
+    blocks = [[(rng.randint(0, 3), rng.choice(pieces)) for _ in range(8)] for _ in range(6)]
+    parts = [np.uint32(8).tobytes() + np.array([len(t) for _, t in b], np.uint16).tobytes() + np.array([r for r, _ in b], np.int32).tobytes() + b"".join(t for _, t in b) for b in blocks]
+    windows = [[((k, r), t[i : i + 50]) for r, t in b for i in range(len(t) - 49)] for k, b in enumerate(blocks)]
+    first = {}
+    for doc, w in (x for b in windows for x in b):
+        first[w] = min(first.get(w, doc), doc)
+    got = S.sort_suffixes(parts)
+    assert [g.tolist() for g in got] == [[first[w] < doc for doc, w in b] for b in windows]
+
+
+def test_equal_suffixes_have_equal_buckets():
+    """A repeated passage goes to the same buckets as the same texts, whatever stands around it."""
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    found = []
+    for lead in ("x", "some other words before it "):
+        t = pa.table({"doc_id": [1], "rid": [0], "tie": [0], "text": [lead + passage + " end " + lead]})
+        block = S.Block(t)
+        p = S.Pieces(block, np.ones(len(block.samples), bool), 97)
+        at = {}
+        for a, c, k in zip(p.first, p.count, p.piece, strict=True):
+            for i in range(a, a + c):
+                at[block.bytes[i : i + 50].tobytes()] = p.bucket[k]
+        found.append(at)
+    shared = set(found[0]) & set(found[1])
+    assert len(shared) >= len(passage) - 50 and all(found[0][w] == found[1][w] for w in shared)
+
+
+def test_rows_without_id(spark):
+    text = "a passage that is long enough to be found by its fifty bytes, twice"
+    rows = [(None, text), (None, "x " + text), (None, text), (1, "no-" + text[:50])]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in S.repeated_spans(frame(spark, rows)).collect())
+    n = len(text)
+    assert got[-1] == (1, 53, 0) and [r[1] for r in got[:-1]] == [n, n, n + 2]
+    # equal texts without id are one document; the two different ones find each other in one direction
+    assert sorted((got[0][2], got[2][2])) == [50, n] and got[0] == got[1]

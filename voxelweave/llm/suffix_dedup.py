@@ -1,22 +1,26 @@
-"""Substring dedup over suffix buckets with a difference-cover sample.
-
-A byte goes if it lies in a string of ``MATCH`` bytes that also starts in a document with a smaller id.
-Suffixes are only ordered to that depth, and only by identity: all that is asked of equal suffix prefixes is
-which document comes first. As in difference-cover blockwise construction, positions modulo ``PERIOD`` in a
-perfect difference set form a sample, and any two suffixes meet sample positions at a common distance of
-less than ``PERIOD``:
-
-1. Sample ranks of depth MATCH-PERIOD+1 say which sample suffixes recur at all. A suffix without one among
-   its next PERIOD positions cannot be matched, and goes no further.
-2. Sample ranks of depth MATCH+PERIOD-1 settle long ties: if such a string occurs earlier, the PERIOD
-   suffixes that start in it are matched without looking at them. That leaves the rims of a long match.
-3. The suffixes that are left are dealt to suffix buckets, and one bucket is sorted at a time.
-
-Documents lie in blocks of consecutive ids (about ``BLOCK`` bytes), written once, bucketed by block. A block
-sends every bucket its distinct keys in order, without positions, and gets back one bit for each (seen in an
-earlier block), with the marks it left for itself; inside a block, ids decide. So a passage that all documents share costs a bucket one key a
-block, text never moves again, and memory holds one block or one bucket. Keys are 64 bits beyond the bucket
-number, so with B buckets two of n different strings meet with probability n**2 / (2**65 * B).
+"""Substring dedup by suffix buckets with a difference-cover sample.
+
+A byte goes if it lies in a string of ``MATCH`` bytes that also starts in a document with a smaller id, so suffixes
+need to be ordered to that depth only, and of suffixes that are equal to it, the first document counts.
+
+1. **Cover sample.** Positions modulo ``PERIOD`` in a perfect difference set are the sample: any two suffixes meet sample
+   positions at a common distance of less than ``PERIOD``. If they are equal to depth ``MATCH``, the sample suffixes there
+   are equal to depth ``SHORT`` = MATCH - PERIOD + 1. So a suffix without a sample position among its next ``PERIOD`` whose
+   string of that depth recurs is alone, and goes no further. Whether it recurs is asked by fingerprints; one that
+   lies only lets a suffix through.
+2. **Suffix buckets.** The suffixes that are left are dealt to buckets by the leading bytes of their anchor suffix, the
+   one of their first positions whose ``ANCHOR`` leading bytes have the smallest hash. Equal suffixes have equal anchors,
+   neighbours mostly share theirs, so a run of suffixes travels as one piece of text instead of a string each, and a
+   prefix that is frequent in the corpus does not fill one bucket.
+3. **Order.** One bucket at a time, its suffixes are sorted by their ``MATCH`` bytes and compared as bytes; each gets a bit:
+   an earlier document has it. No fingerprint decides.
+
+As the order stops at ``MATCH`` bytes, ties longer than that need no resolution: equal to that depth is all that is
+asked, and memory holds one block or one bucket. (Construction of the whole suffix order would go on from here with
+ranks of the sample; nothing here would read them.)
+
+Documents lie in blocks of consecutive ids (about ``BLOCK`` bytes), written once. A block sends every bucket its distinct
+pieces, so a passage that all documents share costs a bucket one piece a block, and gets back the bits of their suffixes.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from voxelweave.llm.memory import small_batches, tidy_group
 from voxelweave.llm.text import STEP, mix64, string_view
 from voxelweave.scratch import Scratch
 
-MATCH, PERIOD = 50, 31
+MATCH, PERIOD, ANCHOR = 50, 31, 12
 #: A perfect difference set modulo 31.
 COVER = (0, 1, 3, 8, 12, 18)
-SHORT, LONG = MATCH - PERIOD + 1, MATCH + PERIOD - 1
-#: Bytes of text in a block and, on average, behind a bucket: a worker holds some 80 bytes of keys a byte of text.
-BLOCK, BUCKET = 5 << 19, 24 << 20
+SHORT = MATCH - PERIOD + 1
+#: Bytes of text in a block, and behind a bucket of pieces and of sample fingerprints, on average.
+BLOCK, BUCKET, SAMPLE_BUCKET = 5 << 19, 12 << 20, 24 << 20
+#: Hash partitions of the block table at most (Spark refuses more than 100,000); a partition may hold many blocks.
+PARTITIONS = 1 << 16
 #: Positions hashed at a time.
 STRIDE = 1 << 18
 FRAGMENTS = "bucket int, pid int, data binary"
@@ -46,7 +52,8 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 
 class Block:
-    """One block's texts in id order, each starting at a multiple of PERIOD; rows with one id have one rank."""
+    """One block's texts in id order, each starting at a multiple of PERIOD; rows with one id have one rank
+    (rows without id: one for each text)."""
 
     odd = mix64(np.arange(1, 20, dtype=np.uint64)) | np.uint64(1)
 
@@ -54,11 +61,12 @@ class Block:
         ids = table.column("doc_id").combine_chunks()
         null = np.array(ids.is_null().to_pylist(), bool) if len(ids) else np.zeros(0, bool)
         value = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        order = np.lexsort((table.column("rid").to_numpy(), value, null))
+        tie = table.column("tie").to_numpy()
+        order = np.lexsort((table.column("rid").to_numpy(), tie, value, null))
         self.ids = [None if null[i] else int(value[i]) for i in order]
-        value, null = value[order], null[order]
+        value, null, tie = value[order], null[order], tie[order]
         new = np.ones(len(order), bool)
-        new[1:] = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+        new[1:] = (value[1:] != value[:-1]) | (null[1:] != null[:-1]) | (tie[1:] != tie[:-1])
         self.rank = np.cumsum(new, dtype=np.int32) - 1
         data, offsets = string_view(table.column("text").combine_chunks()) if len(ids) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         size = np.diff(offsets)[order]
@@ -66,7 +74,7 @@ class Block:
         self.start = np.concatenate([[0], np.cumsum(cells)[:-1]]).astype(np.int64) * PERIOD if len(size) else np.zeros(0, np.int64)
         self.size, self.end = size, self.start + size
         self.row_of_cell = np.repeat(np.arange(len(size), dtype=np.int32), cells)
-        self.bytes = np.zeros(int(cells.sum()) * PERIOD + LONG + 8, np.uint8)
+        self.bytes = np.zeros(int(cells.sum()) * PERIOD + MATCH + 16, np.uint8)
         for r, i in enumerate(order):
             self.bytes[self.start[r] : self.end[r]] = data[offsets[i] : offsets[i + 1]]
         self.words = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,)).copy()  # the 8 bytes from each position
@@ -95,70 +103,118 @@ class Block:
         return firsts, seconds
 
 
-class Keys:
-    """Distinct keys of some positions, ordered by bucket, and for each position where its key is."""
-
-    def __init__(self, block: Block, at: np.ndarray, depth: int, buckets: int):
-        self.at, self.rank = at, block.rank[block.row_of_cell[at // PERIOD]] if len(at) else np.zeros(0, np.int32)
-        one, two = block.keys(at, depth)
-        if depth == SHORT:  # a filter: 32 bits beyond the bucket are enough
-            both = (two.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (one >> np.uint64(32))
-            del one, two
-            value, where = np.unique(both, return_inverse=True)
-            self.where = where.astype(np.int32)
-            self.bucket = (value >> np.uint64(32)).astype(np.int32)
-            self.value = value.astype(np.uint32)
-        else:
-            order = np.argsort(one).astype(np.int32)
-            one = one[order]
-            new = np.ones(len(one), bool)
-            new[1:] = one[1:] != one[:-1]
-            value = one[new]
-            bucket = (two[order[new]].astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            place = np.cumsum(new, dtype=np.int32) - 1
-            del one, two, new
-            where = np.empty(len(order), np.int32)
-            where[order] = place
-            del order, place
-            order = np.argsort(bucket, kind="stable")
-            back = np.empty(len(order), np.int32)
-            back[order] = np.arange(len(order), dtype=np.int32)
-            self.value, self.bucket, self.where = value[order], bucket[order], back[where]
-        self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
+def _starts(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """Mask of the union of [low, high)."""
+    mark = np.zeros(size + 1, np.int32)
+    np.add.at(mark, low, 1)
+    np.add.at(mark, high, -1)
+    return np.cumsum(mark[:-1], dtype=np.int32) > 0
+
+
+class Fingerprints:
+    """Distinct fingerprints of the block's sample strings of depth SHORT, ordered by bucket."""
+
+    def __init__(self, block: Block, buckets: int):
+        at = block.samples
+        self.fits = block.fit(at, SHORT) if len(at) else np.zeros(0, bool)
+        at = at[self.fits]
+        self.rank = block.rank[block.row_of_cell[at // PERIOD]] if len(at) else np.zeros(0, np.int32)
+        one, two = block.keys(at, SHORT)
+        both = (two.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (one >> np.uint64(32))
+        value, where = np.unique(both, return_inverse=True)
+        self.where = where.astype(np.int32)
+        self.value, bucket = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.int64)
+        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1))
 
     def fragments(self, pid: int) -> pa.Table:
-        """One row per bucket that has keys, byte planes first to last."""
+        """One row per bucket that has some, byte planes first to last."""
         some = np.flatnonzero(np.diff(self.cuts))
-        width = self.value.dtype.itemsize
-        data = [self.value[self.cuts[b] : self.cuts[b + 1]].view(np.uint8).reshape(-1, width).T.tobytes() for b in some]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "pid": pa.array([pid] * len(some), pa.int32()), "data": pa.array(data, pa.binary())})
+        data = [self.value[self.cuts[b] : self.cuts[b + 1]].view(np.uint8).reshape(-1, 4).T.tobytes() for b in some]
+        return _fragments(some, pid, data)
 
-    def answers(self, bits: dict[int, bytes]) -> np.ndarray:
-        """The bit of each position, from the answers by bucket."""
-        out = np.zeros(len(self.value), bool)
+    def alive(self, bits: dict[int, bytes]) -> np.ndarray:
+        """For every sample, whether its string recurs: in another block, or in another document of this one."""
+        told = np.zeros(len(self.value), bool)
         for b, data in bits.items():
             n = self.cuts[b + 1] - self.cuts[b]
-            out[self.cuts[b] : self.cuts[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
-        return out[self.where]
+            told[self.cuts[b] : self.cuts[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
+        low, high = np.zeros(len(self.value), np.int32), np.zeros(len(self.value), np.int32)
+        low[self.where[::-1]], high[self.where] = self.rank[::-1], self.rank
+        out = np.zeros(len(self.fits), bool)
+        out[self.fits] = (told | (high > low))[self.where]
+        return out
+
+
+class Pieces:
+    """The block's open suffixes as pieces of text: runs of suffixes with one anchor, each distinct text once."""
+
+    def __init__(self, block: Block, alive: np.ndarray, buckets: int):
+        at = block.samples[alive]
+        row = block.row_of_cell[at // PERIOD]
+        low, high = np.maximum(at - PERIOD + 1, block.start[row]), np.minimum(at, block.end[row] - MATCH) + 1
+        n = len(block.bytes)
+        self.open = np.flatnonzero(_starts(low[high > low], high[high > low], n))
+        if not len(self.open):
+            self.first, self.count, self.piece, self.rank = (np.zeros(0, np.int64),) * 4
+            self.texts, self.first_rank, self.bucket = [], np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return
+        # hash of the leading bytes, place in the low half: the least is the leftmost of the smallest
+        m = len(block.words) - ANCHOR
+        mixed = mix64(block.words[:m] ^ mix64(block.words[ANCHOR - 8 : m + ANCHOR - 8]))
+        least = (mixed >> np.uint64(32) << np.uint64(32)) | np.arange(m, dtype=np.uint64)
+        width, reach = MATCH - ANCHOR + 1, 1
+        while reach * 2 <= width:
+            least = np.minimum(least[: len(least) - reach], least[reach:])
+            reach *= 2
+        anchor = np.minimum(least[self.open], least[self.open + width - reach]).astype(np.uint32).astype(np.int64)
+        new = np.ones(len(self.open), bool)
+        new[1:] = (self.open[1:] != self.open[:-1] + 1) | (anchor[1:] != anchor[:-1])
+        begin = np.flatnonzero(new)
+        self.first, self.count = self.open[begin], np.diff(np.append(begin, len(self.open)))
+        self.rank = block.rank[block.row_of_cell[self.first // PERIOD]]
+        raw, seen = block.bytes.tobytes(), {}
+        self.piece = np.array([seen.setdefault(raw[a : a + c + MATCH - 1], len(seen)) for a, c in zip(self.first.tolist(), self.count.tolist(), strict=True)], np.int64)
+        self.texts = list(seen)
+        places = np.zeros(len(seen), np.int64)
+        places[self.piece[::-1]] = np.arange(len(self.piece))[::-1]  # the first run of each text
+        self.first_rank = self.rank[places].astype(np.int32)
+        self.bucket = (mix64(mixed[anchor[begin[places]]]) >> np.uint64(32)).astype(np.int64) * buckets >> 32
+
+    def by_bucket(self) -> list[tuple[int, np.ndarray]]:
+        order = np.argsort(self.bucket, kind="stable")
+        some, begin = np.unique(self.bucket[order], return_index=True)
+        return list(zip(some.tolist(), np.split(order, begin[1:]), strict=True)) if len(order) else []
 
-    def first_rank(self) -> np.ndarray:
-        """For each position, the smallest rank with its key in this block."""
-        low = np.zeros(len(self.value), np.int32)
-        low[self.where[::-1]] = self.rank[::-1]
-        return low[self.where]
+    def fragments(self, pid: int) -> pa.Table:
+        """One row per bucket: number of pieces, their lengths, first ranks and texts."""
+        names, data = [], []
+        for b, which in self.by_bucket():
+            names.append(b)
+            texts = [self.texts[i] for i in which]
+            data.append(np.uint32(len(which)).tobytes() + np.array([len(t) for t in texts], np.uint16).tobytes() + self.first_rank[which].tobytes() + b"".join(texts))
+        return _fragments(names, pid, data)
 
-    def last_rank(self) -> np.ndarray:
-        high = np.zeros(len(self.value), np.int32)
-        high[self.where] = self.rank
-        return high[self.where]
+    def matched(self, bits: dict[int, bytes]) -> np.ndarray:
+        """The open suffixes that an earlier document has: by the bit of the piece, or because an earlier document of
+        this block has the whole piece."""
+        size = np.array([len(t) - MATCH + 1 for t in self.texts], np.int64)
+        start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        told = np.zeros(start[-1], bool)
+        for b, which in self.by_bucket():
+            mine = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(size[which].sum())).astype(bool)
+            told[_ranges(start[which], size[which])] = mine
+        out = told[_ranges(start[self.piece], self.count)]
+        out |= np.repeat(self.rank > self.first_rank[self.piece] if len(self.piece) else np.zeros(0, bool), self.count)
+        return self.open[out]
 
 
-def _starts(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
-    """Mask of the union of [low, high)."""
-    mark = np.zeros(size + 1, np.int32)
-    np.add.at(mark, low, 1)
-    np.add.at(mark, high, -1)
-    return np.cumsum(mark[:-1], dtype=np.int32) > 0
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of every range, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def _fragments(buckets, pid: int, data: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": pa.array(buckets, pa.int32()), "pid": pa.array([pid] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 class Told:
@@ -180,58 +236,62 @@ def _state(pid: int, *marks: np.ndarray) -> pa.Table:
     return pa.table({"bucket": pa.array([-1 - pid], pa.int32()), "pid": pa.array([pid], pa.int32()), "data": pa.array([data], pa.binary())})
 
 
-def ask_short(block: Block, told: Told, buckets: int, pid: int) -> list[pa.Table]:
-    """Round 0: which sample strings of depth SHORT does another block have?"""
-    at = block.samples
-    return [Keys(block, at[block.fit(at, SHORT)] if len(at) else at, SHORT, buckets).fragments(pid)]
-
-
-def ask_long(block: Block, told: Told, buckets: int, pid: int) -> list[pa.Table]:
-    """Round 1: samples that recur stay alive; which of their strings of depth LONG does an earlier block have?"""
-    fits = block.fit(block.samples, SHORT) if len(block.samples) else np.zeros(0, bool)
-    short = Keys(block, block.samples[fits], SHORT, buckets)
-    alive = np.zeros(len(block.samples), bool)
-    alive[fits] = short.answers(told.answers) | (short.last_rank() > short.first_rank())
-    del short
-    at = block.samples[alive]
-    return [Keys(block, at[block.fit(at, LONG)], LONG, buckets).fragments(pid), _state(pid, alive)]
-
-
-def ask_rest(block: Block, told: Told, buckets: int, pid: int) -> list[pa.Table]:
-    """Round 2: which of the suffixes that neither rule has settled start in an earlier block?"""
-    alive = told.marks(len(block.samples), 0)
-    where = np.flatnonzero(alive)
-    where = where[block.fit(block.samples[where], LONG)]
-    ties = Keys(block, block.samples[where], LONG, buckets)
-    settled = np.zeros(len(alive), bool)
-    settled[where[ties.answers(told.answers) | (ties.rank > ties.first_rank())]] = True
-    del ties
-    _, asked = _open_suffixes(block, alive, settled)
-    return [Keys(block, asked, MATCH, buckets).fragments(pid), _state(pid, alive, settled)]
-
-
-def _open_suffixes(block: Block, alive: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of suffixes matched by long ties, and the others with a living sample among their next PERIOD positions."""
-    size = len(block.bytes)
-    long, at = block.samples[settled], block.samples[alive]
-    matched = _starts(long, long + PERIOD, size)
-    row = block.row_of_cell[at // PERIOD]
-    low = np.maximum(at - PERIOD + 1, block.start[row])
-    high = np.minimum(at, block.end[row] - MATCH) + 1
-    return matched, np.flatnonzero(_starts(low[high > low], high[high > low], size) & ~matched).astype(np.int32)
-
-
-def _matched(block: Block, told: Told, buckets: int) -> np.ndarray:
-    """After all rounds: starts of suffixes that an earlier document has too, to depth MATCH."""
-    n = len(block.samples)
-    matched, asked = _open_suffixes(block, told.marks(n, 0), told.marks(n, 1))
-    rest = Keys(block, asked, MATCH, buckets)
-    matched[asked[rest.answers(told.answers) | (rest.rank > rest.first_rank())]] = True
-    return matched
-
-
-def _bucket_answers(rnd: int):
-    """Sort one bucket: for every key of every block, whether another block (round 0) or an earlier one has it."""
+def ask_recurring(block: Block, told: Told, sizes: tuple[int, int], pid: int) -> list[pa.Table]:
+    """Round 0: which sample strings does another block have?"""
+    return [Fingerprints(block, sizes[0]).fragments(pid)]
+
+
+def ask_earlier(block: Block, told: Told, sizes: tuple[int, int], pid: int) -> list[pa.Table]:
+    """Round 1: which suffixes near a recurring sample does an earlier document have?"""
+    alive = Fingerprints(block, sizes[0]).alive(told.answers)
+    return [Pieces(block, alive, sizes[1]).fragments(pid), _state(pid, alive)]
+
+
+def sort_fingerprints(parts: list[bytes]) -> list[np.ndarray]:
+    """For every fingerprint of every block (distinct in each), whether another block has it."""
+    keys = [np.frombuffer(p, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for p in parts]
+    ordered = np.sort(np.concatenate(keys))
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return [np.zeros(len(k), bool) for k in keys]
+    return [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k in keys]
+
+
+def sort_suffixes(parts: list[bytes]) -> list[np.ndarray]:
+    """Order the suffixes of one bucket, blocks in order, by their MATCH bytes; for every one, whether an earlier
+    document has it."""
+    sizes, texts, docs, at = [], [], [], 0
+    for p in parts:
+        n = int(np.frombuffer(p[:4], np.uint32)[0])
+        lengths, ranks = np.frombuffer(p, np.uint16, n, 4).astype(np.int64), np.frombuffer(p, np.int32, n, 4 + 2 * n)
+        # documents in order: blocks in order, ranks inside a block
+        names, own = np.unique(ranks, return_inverse=True)
+        docs.append(own + at)
+        at += len(names)
+        sizes.append(lengths)
+        texts.append(p[4 + 6 * n :])
+    length = np.concatenate(sizes)
+    text = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    count = length - MATCH + 1
+    place = _ranges(np.cumsum(length) - length, count)
+    doc = np.repeat(np.concatenate(docs), count).astype(np.int32)
+    words = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+    offsets = [*range(0, MATCH - 8, 8), MATCH - 8]
+    columns = [words[place + o].astype(np.uint64) for o in offsets]
+    order = np.lexsort((doc, *columns[::-1]))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[order[1:]] != c[order[:-1]]
+    first = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    hit = np.empty(len(order), bool)
+    hit[order] = doc[order] > first
+    return np.split(hit, np.cumsum([int((z - MATCH + 1).sum()) for z in sizes])[:-1])
+
+
+def _bucket_answers(sort):
+    """Sort one bucket and answer every block that has something in it."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -240,41 +300,27 @@ def _bucket_answers(rnd: int):
         pid = table.column("pid").to_numpy()
         order = np.argsort(pid, kind="stable")
         raw = table.column("data").combine_chunks()
-        width, kind = (4, np.uint32) if rnd == 0 else (8, np.uint64)
-        parts = [np.frombuffer(raw[int(i)].as_buffer(), np.uint8).reshape(width, -1).T.copy().view(kind).ravel() for i in order]
-        sizes = [len(p) for p in parts]
-        keys = np.concatenate(parts)
-        if rnd == 0:
-            ordered = np.sort(keys)
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            hit = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys if len(twice) else np.zeros(len(keys), bool)
-        else:
-            at = np.argsort(keys, kind="stable")  # blocks of one key stay in order
-            hit = np.zeros(len(keys), bool)
-            hit[at[1:]] = keys[at[1:]] == keys[at[:-1]]
-        bits = [np.packbits(h).tobytes() for h in np.split(hit, np.cumsum(sizes)[:-1])]
-        n = len(order)
-        return pa.table({"pid": pa.array(pid[order], pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "data": pa.array(bits, pa.binary())})
+        bits = [np.packbits(h).tobytes() for h in sort([raw[int(i)].as_py() for i in order])]
+        return pa.table({"pid": pa.array(pid[order], pa.int32()), "bucket": pa.array([bucket] * len(order), pa.int32()), "data": pa.array(bits, pa.binary())})
 
     return run
 
 
-def _asker(ask, buckets: int):
+def _asker(ask, sizes: tuple[int, int]):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-        return pa.concat_tables(ask(Block(docs), Told(answers), buckets, docs.column("pid")[0].as_py()))
+            return _fragments([], 0, [])
+        return pa.concat_tables(ask(Block(docs), Told(answers), sizes, docs.column("pid")[0].as_py()))
 
     return run
 
 
-def _finisher(buckets: int):
+def _finisher(sizes: tuple[int, int]):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(docs)
-        matched = _matched(block, Told(answers), buckets)
+        block, told = Block(docs), Told(answers)
+        at = Pieces(block, told.marks(len(block.samples), 0), sizes[1]).matched(told.answers)
         rows: list[tuple] = []
-        at = np.flatnonzero(matched)
-        cut = np.searchsorted(at, np.append(block.start, len(matched)))
+        cut = np.searchsorted(at, np.append(block.start, len(block.bytes)))
         for r, doc in enumerate(block.ids):
             s, size = block.start[r], int(block.size[r])
             text = block.bytes[s : s + size]
@@ -303,30 +349,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (flat list of
     start and end of each maximal removed run, in bytes).
 
-    Nulls and edges: a null text is empty; texts under 50 bytes lose nothing; a null id counts as larger than
-    all others; rows that repeat an id do not match each other, but both match earlier ids; other columns are
-    ignored; an empty table gives an empty table. A single document must fit a worker's memory.
+    Nulls and edges: a null text is empty; texts under 50 bytes lose nothing; rows without id come after all
+    others, each distinct text as a document of its own, in order of a hash; rows that repeat an id are one document and
+    do not match each other, but both match earlier ids; other columns are ignored; an empty table gives an empty table.
+    A single document, and the rows of one id together, must fit a worker's memory.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id = F.col(id_col).cast("bigint")
+    rows = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.when(doc_id.isNull(), F.xxhash64(F.col(text_col))).otherwise(F.lit(0)).alias("tie"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n, buckets = max(least, -(-int(total) // block_bytes)), max(least, -(-int(total) // BUCKET))
-    dealt = rows.withColumn("rid", F.monotonically_increasing_id()).repartitionByRange(n, F.col("doc_id").asc_nulls_last())
-    blocks = scratch.bucketed(dealt.withColumn("pid", F.spark_partition_id()), "blocks", "pid", n, dealt=True)
+    n = max(least, -(-int(total) // block_bytes))
+    sizes = (max(1, -(-int(total) // SAMPLE_BUCKET)), max(1, -(-int(total) // BUCKET)))
+    parts = min(n, PARTITIONS)
+    dealt = rows.withColumn("rid", F.monotonically_increasing_id()).repartitionByRange(n, F.col("doc_id").asc_nulls_last(), "tie")
+    blocks = scratch.bucketed(dealt.withColumn("pid", F.spark_partition_id()), "blocks", "pid", parts, dealt=True)
     scratch.release()
-    answers = scratch.bucketed(spark.createDataFrame([], ANSWERS), "answers_none", "pid", n)
-    for rnd, ask in enumerate((ask_short, ask_long, ask_rest)):
-        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_asker(ask, buckets)), FRAGMENTS)
-        told = asked.groupBy("bucket").applyInArrow(_tidy1(_bucket_answers(rnd)), ANSWERS)
-        fresh = scratch.bucketed(told, f"answers_{rnd}", "pid", n)
-        if rnd:
-            scratch.drop(f"answers_{rnd - 1}")
+    answers = scratch.bucketed(spark.createDataFrame([], ANSWERS), "answers_none", "pid", parts)
+    for rnd, (ask, sort) in enumerate(((ask_recurring, sort_fingerprints), (ask_earlier, sort_suffixes))):
+        asked = blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_asker(ask, sizes)), FRAGMENTS)
+        # about a bucket a task, however many there are
+        met = asked.repartition(min(PARTITIONS, max(least, sizes[rnd])), "bucket")
+        told = met.groupBy("bucket").applyInArrow(_tidy1(_bucket_answers(sort)), ANSWERS)
+        fresh = scratch.bucketed(told, f"answers_{rnd}", "pid", parts)
+        scratch.drop(f"answers_{rnd - 1}" if rnd else "answers_none")
         answers = fresh
-        del asked, told
+        del asked, met, told
         scratch.release()
-    out = scratch.keep(blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_finisher(buckets)), RESULT), "result")
-    scratch.drop("blocks")
+    out = scratch.keep(blocks.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_tidy2(_finisher(sizes)), RESULT), "result")
+    del blocks, answers
+    scratch.drop("blocks", "answers_1")
     return out
