@@ -66,8 +66,12 @@ def test_hot_prefix(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
-def test_one_bucket_is_ordered_by_bytes():
-    """Blocks in order; a suffix is marked if an earlier document, by block and rank, has the same bytes."""
+@pytest.mark.parametrize("clash", [False, True])
+def test_one_bucket_is_compared_by_bytes(monkeypatch, clash):
+    """Blocks in order; a suffix is marked if an earlier document, by block and rank, has the same bytes, also where
+    fingerprints of different bytes are equal."""
+    if clash:
+        monkeypatch.setattr(S, "fingerprint", lambda columns: columns[0] % np.uint64(3))
     rng = random.Random(4)
     pieces = ["".join(rng.choice("ab") for _ in range(rng.choice([50, 52, 60]))).encode() for _ in range(30)]
     blocks = [[(rng.randint(0, 3), rng.choice(pieces)) for _ in range(8)] for _ in range(6)]

@@ -12,8 +12,9 @@ need to be ordered to that depth only, and of suffixes that are equal to it, the
    one of their first positions whose ``ANCHOR`` leading bytes have the smallest hash. Equal suffixes have equal anchors,
    neighbours mostly share theirs, so a run of suffixes travels as one piece of text instead of a string each, and a
    prefix that is frequent in the corpus does not fill one bucket.
-3. **Order.** One bucket at a time, its suffixes are sorted by their ``MATCH`` bytes and compared as bytes; each gets a bit:
-   an earlier document has it. No fingerprint decides.
+3. **Order.** One bucket at a time, its suffixes are sorted and compared as bytes; each gets a bit: an earlier document
+   has it. The sort key is a fingerprint of the bytes, which only brings equal ones together: no fingerprint decides.
+   (Sorting by the bytes themselves gives the same bits at twice the time of the whole query.)
 
 As the order stops at ``MATCH`` bytes, ties longer than that need no resolution: equal to that depth is all that is
 asked, and memory holds one block or one bucket. (Construction of the whole suffix order would go on from here with
@@ -257,10 +258,44 @@ def sort_fingerprints(parts: list[bytes]) -> list[np.ndarray]:
     return [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k in keys]
 
 
+def fingerprint(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit mix of the MATCH bytes, given as words."""
+    out = np.full(len(columns[0]), STEP, np.uint64)
+    for c in columns:
+        out ^= c
+        out *= np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+    return mix64(out)
+
+
+def earlier(columns: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """For each suffix (its bytes as words), whether a smaller ``doc`` has the same bytes.
+
+    Sorted by fingerprint, then compared as bytes inside each run; if any two of one fingerprint differ, all are sorted
+    by their bytes instead.
+    """
+    key = fingerprint(columns)
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    again = np.flatnonzero(~new)
+    if any((c[order[again]] != c[order[again - 1]]).any() for c in columns):
+        order = np.lexsort(columns[::-1])
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[order[1:]] != c[order[:-1]]
+    starts = np.flatnonzero(new)
+    least = np.minimum.reduceat(doc[order], starts) if len(starts) else doc
+    hit = np.empty(len(order), bool)
+    hit[order] = doc[order] > least[np.cumsum(new) - 1]
+    return hit
+
+
 def sort_suffixes(parts: list[bytes]) -> list[np.ndarray]:
-    """Order the suffixes of one bucket, blocks in order, by their MATCH bytes; for every one, whether an earlier
-    document has it."""
-    sizes, texts, docs, at = [], [], [], 0
+    """Sort the suffixes of one bucket, blocks in order, and compare them as bytes; for every one, whether an earlier
+    document has it. Pieces of one text are one: the later ones follow the first."""
+    seen: dict[bytes, int] = {}
+    texts, docs, counts, at = [], [], [], 0
     for p in parts:
         n = int(np.frombuffer(p[:4], np.uint32)[0])
         lengths, ranks = np.frombuffer(p, np.uint16, n, 4).astype(np.int64), np.frombuffer(p, np.int32, n, 4 + 2 * n)
@@ -268,26 +303,22 @@ def sort_suffixes(parts: list[bytes]) -> list[np.ndarray]:
         names, own = np.unique(ranks, return_inverse=True)
         docs.append(own + at)
         at += len(names)
-        sizes.append(lengths)
-        texts.append(p[4 + 6 * n :])
-    length = np.concatenate(sizes)
-    text = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+        ends = (4 + 6 * n + np.cumsum(lengths)).tolist()
+        texts.append([seen.setdefault(p[e - z : e], len(seen)) for e, z in zip(ends, lengths.tolist(), strict=True)])
+        counts.append(int((lengths - MATCH + 1).sum()))
+    which, doc = np.concatenate(texts).astype(np.int64), np.concatenate(docs).astype(np.int32)
+    first = np.full(len(seen), np.iinfo(np.int32).max, np.int32)
+    np.minimum.at(first, which, doc)
+    length = np.array([len(t) for t in seen], np.int64)
+    text = np.frombuffer(b"".join(seen) + bytes(8), np.uint8)
     count = length - MATCH + 1
+    start = np.cumsum(count) - count
     place = _ranges(np.cumsum(length) - length, count)
-    doc = np.repeat(np.concatenate(docs), count).astype(np.int32)
     words = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
-    offsets = [*range(0, MATCH - 8, 8), MATCH - 8]
-    columns = [words[place + o].astype(np.uint64) for o in offsets]
-    order = np.lexsort((doc, *columns[::-1]))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = False
-        for c in columns:
-            new[1:] |= c[order[1:]] != c[order[:-1]]
-    first = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    hit = np.empty(len(order), bool)
-    hit[order] = doc[order] > first
-    return np.split(hit, np.cumsum([int((z - MATCH + 1).sum()) for z in sizes])[:-1])
+    columns = [words[place + o].astype(np.uint64) for o in (*range(0, MATCH - 8, 8), MATCH - 8)]
+    hit = earlier(columns, np.repeat(first, count))
+    every = hit[_ranges(start[which], count[which])] | np.repeat(doc > first[which], count[which])
+    return np.split(every, np.cumsum(counts)[:-1])
 
 
 def _bucket_answers(sort):
