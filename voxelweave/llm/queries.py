@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxelweave.llm import chat, decontamination, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, tokens, toxicity, warc
+from voxelweave.llm import bpe, centroids, chat, decontamination, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, tokens, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(read(spark, sf_dir, "documents"), tokens.tokenizer_path(WORD_TOKENIZER))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(*centroids.cluster_vectors(read(spark, sf_dir, "embeddings"), k=16, rounds=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -102,4 +114,21 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op12_centroid_clustering": r"""
+        WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h
+                   FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+             c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM k QUALIFY c < 16),
+             a0 AS (SELECT vec_id, k.e, min({'d': list_sum(list_transform(list_zip(k.e, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'c': c}) AS m FROM k, c0 z GROUP BY ALL),
+             s0 AS (SELECT c, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT m.c AS c, unnest(e) AS x, unnest(range(64)) AS p FROM a0) GROUP BY c, p),
+             c1 AS (SELECT c, coalesce(n.e, z.e) AS e FROM c0 z LEFT JOIN (SELECT c, list(x ORDER BY p) AS e FROM s0 GROUP BY c) n USING (c)),
+             a1 AS (SELECT vec_id, k.e, min({'d': list_sum(list_transform(list_zip(k.e, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'c': c}) AS m FROM k, c1 z GROUP BY ALL),
+             s1 AS (SELECT c, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT m.c AS c, unnest(e) AS x, unnest(range(64)) AS p FROM a1) GROUP BY c, p),
+             c2 AS (SELECT c, coalesce(n.e, z.e) AS e FROM c1 z LEFT JOIN (SELECT c, list(x ORDER BY p) AS e FROM s1 GROUP BY c) n USING (c)),
+             a2 AS (SELECT vec_id, k.e, min({'d': list_sum(list_transform(list_zip(k.e, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'c': c}) AS m FROM k, c2 z GROUP BY ALL),
+             s2 AS (SELECT c, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT m.c AS c, unnest(e) AS x, unnest(range(64)) AS p FROM a2) GROUP BY c, p),
+             c3 AS (SELECT c, coalesce(n.e, z.e) AS e FROM c2 z LEFT JOIN (SELECT c, list(x ORDER BY p) AS e FROM s2 GROUP BY c) n USING (c)),
+             f AS (SELECT vec_id, min({'d': list_sum(list_transform(list_zip(k.e, z.e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'c': c}) AS m FROM k, c3 z GROUP BY ALL)
+        SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+        FROM f JOIN c3 ON c3.c = m.c""",
 }
