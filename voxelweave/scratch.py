@@ -46,18 +46,18 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` as Parquet and read it back under its own schema (safe for empty frames)."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def bucketed(self, df: DataFrame, name: str, key: str, n: int, dealt: bool = False) -> DataFrame:
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int, dealt: bool = False, codec: str = "snappy") -> DataFrame:
         """Write ``df`` hash-bucketed on ``key``; joins and cogroups of two such tables need no exchange.
 
         ``dealt``: every partition of ``df`` holds few values of ``key`` already, so it is written as it is.
         """
         table = f"vw_{uuid.uuid4().hex[:16]}"
-        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", self.path(name)).format("parquet").saveAsTable(table)
+        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("compression", codec).option("path", self.path(name)).format("parquet").saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)
 
