@@ -11,10 +11,14 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Spark removes a query's shuffle files when the query has ended; a written table does not need them any more.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +39,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds for a while; its former value comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one operator run: ``keep`` writes and re-reads a frame, ``drop`` removes what is no longer needed."""
 
@@ -48,7 +66,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` as Parquet and read it back under its own schema (safe for empty frames)."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        with setting(self.spark, SHUFFLE_CLEANUP, "true"):
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def bucketed(self, df: DataFrame, name: str, key: str, n: int, dealt: bool = False, codec: str = "snappy") -> DataFrame:
@@ -57,7 +76,8 @@ class Scratch:
         ``dealt``: every partition of ``df`` holds few values of ``key`` already, so it is written as it is.
         """
         table = f"vw_{uuid.uuid4().hex[:16]}"
-        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("compression", codec).option("path", self.path(name)).format("parquet").saveAsTable(table)
+        with setting(self.spark, SHUFFLE_CLEANUP, "true"):
+            (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("compression", codec).option("path", self.path(name)).format("parquet").saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)
 
