@@ -24,6 +24,7 @@ def test_entry_works_in_a_copy_without_the_optional_folders(tmp_path, with_pipel
     root = Path(__spark_entry__.__file__).parent
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     shutil.copytree(root / "voxelweave", tmp_path / "voxelweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     if with_pipeline and (root / "corpus_pipeline.py").exists():
         shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = (

@@ -64,35 +64,36 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
     return [o for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0) and sum(map(abs, o)) <= reach]
 
 
-def neighbour_pairs(cells: DataFrame, n: int, connectivity: int = 6, periodic: bool | Axes = True) -> DataFrame:
-    """``src, dst, oi, oj, ok``: each cell with each present neighbour of the half neighbourhood.
+def neighbour_pairs(cells: DataFrame, n: int, connectivity: int = 6, periodic: bool | Axes = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """``src, dst, oi, oj, ok``: each cell with each present neighbour of the half neighbourhood; with ``by``, among the
+    cells of one snapshot (or whatever these columns name), which are returned in front.
 
     One equi-join on the shifted cell id; cells on an axis of length 1 are their own neighbours, on an axis of
     length 2 a pair is met once from each side, as face counting needs.
     """
     half = F.array(*(F.struct(*(F.lit(v).alias(a) for v, a in zip(o, ("oi", "oj", "ok"), strict=True))) for o in offsets(connectivity)))
-    shifted = cells.select("i", "j", "k", cell_id(n).alias("src"), F.explode(half).alias("o"))
+    shifted = cells.select(*by, "i", "j", "k", cell_id(n).alias("src"), F.explode(half).alias("o"))
     at = {a: F.col(a) + F.col(f"o.o{a}") for a in "ijk"}
     for a, wraps in zip("ijk", (periodic,) * 3 if isinstance(periodic, bool) else periodic, strict=True):
         if not wraps:
             shifted = shifted.where(f"{a} + o.o{a} BETWEEN 0 AND {n - 1}")
     wrap = {a: F.pmod(x, F.lit(n)) for a, x in at.items()}
-    shifted = shifted.select("src", ((wrap["i"].cast("bigint") * n + wrap["j"]) * n + wrap["k"]).alias("dst"), "o.oi", "o.oj", "o.ok")
-    return shifted.join(cells.select(cell_id(n).alias("dst")), "dst").select("src", "dst", "oi", "oj", "ok")
+    shifted = shifted.select(*by, "src", ((wrap["i"].cast("bigint") * n + wrap["j"]) * n + wrap["k"]).alias("dst"), "o.oi", "o.oj", "o.ok")
+    return shifted.join(cells.select(*by, cell_id(n).alias("dst")), [*by, "dst"]).select(*by, "src", "dst", "oi", "oj", "ok")
 
 
-def face_pairs(cells: DataFrame, n: int, keep: tuple[str, ...] = (), periodic: Axes = TORUS) -> DataFrame:
+def face_pairs(cells: DataFrame, n: int, keep: tuple[str, ...] = (), periodic: Axes = TORUS, by: tuple[str, ...] = ()) -> DataFrame:
     """Face neighbours in positive direction with their axis: ``src, dst, axis`` and ``keep`` columns of both ends
-    (``src_*``, ``dst_*``); over the rim only on periodic axes."""
+    (``src_*``, ``dst_*``); over the rim only on periodic axes; with ``by``, among the cells of one snapshot, in front."""
     moves = F.array(*(F.struct(F.lit(a).alias("axis"), *(F.lit(int(b == a)).alias(f"o{b}") for b in AXES)) for a in AXES))
-    left = cells.select("i", "j", "k", cell_id(n).alias("src"), *(F.col(c).alias(f"src_{c}") for c in keep), F.explode(moves).alias("m"))
+    left = cells.select(*by, "i", "j", "k", cell_id(n).alias("src"), *(F.col(c).alias(f"src_{c}") for c in keep), F.explode(moves).alias("m"))
     for c, a, wraps in zip("ijk", AXES, periodic, strict=True):
         if not wraps:
             left = left.where((F.col("m.axis") != a) | (F.col(c) < n - 1))
     wrap = [F.pmod(F.col(c) + F.col(f"m.o{a}"), F.lit(n)) for c, a in zip("ijk", AXES, strict=True)]
-    left = left.select("src", *(f"src_{c}" for c in keep), F.col("m.axis").alias("axis"), ((wrap[0].cast("bigint") * n + wrap[1]) * n + wrap[2]).alias("dst"))
-    right = cells.select(cell_id(n).alias("dst"), *(F.col(c).alias(f"dst_{c}") for c in keep))
-    return left.join(right, "dst").select("src", "dst", "axis", *(f"{s}_{c}" for s in ("src", "dst") for c in keep))
+    left = left.select(*by, "src", *(f"src_{c}" for c in keep), F.col("m.axis").alias("axis"), ((wrap[0].cast("bigint") * n + wrap[1]) * n + wrap[2]).alias("dst"))
+    right = cells.select(*by, cell_id(n).alias("dst"), *(F.col(c).alias(f"dst_{c}") for c in keep))
+    return left.join(right, [*by, "dst"]).select(*by, "src", "dst", "axis", *(f"{s}_{c}" for s in ("src", "dst") for c in keep))
 
 
 def periodic_box(df: DataFrame, n: int, box: tuple[tuple[int, int], ...], halo: int = 0) -> DataFrame:

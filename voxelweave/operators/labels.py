@@ -46,6 +46,18 @@ def global_labels(cells: DataFrame, n: int, connectivity: int = 6) -> DataFrame:
     return connected_components(pairs, cells.select(cell_id(n).alias("id"))).withColumnRenamed("id", "cell_id")
 
 
+def snapshot_labels(cells: DataFrame, n: int, snapshot: str, connectivity: int = 6, scratch: Scratch | None = None) -> DataFrame:
+    """``snapshot, cell_id, root`` of several snapshots' cells at once: one contraction for all of them.
+
+    ``snapshot`` is an integer column, 0 or more, below 2**63 / n**3.
+    """
+    whole = lambda c: F.col(snapshot).cast("bigint") * n**3 + F.col(c)
+    pairs = neighbour_pairs(cells, n, connectivity, by=(snapshot,)).select(whole("src").alias("src"), whole("dst").alias("dst"))
+    roots = connected_components(pairs, cells.withColumn("cell_", cell_id(n)).select(whole("cell_").alias("id")), scratch)
+    kind = cells.schema[snapshot].dataType.simpleString()
+    return roots.select(F.expr(f"CAST(id DIV {n**3} AS {kind})").alias(snapshot), F.expr(f"id % {n**3}").alias("cell_id"), F.expr(f"root % {n**3}").alias("root"))
+
+
 def brick_labels(cells: DataFrame, n: int, dims: tuple[int, int, int], connectivity: int = 6, halo: int = 0) -> DataFrame:
     """``rank, cell_id, i, j, k, label_ids``: labels inside each brick, dense from 1 by smallest cell id.
 
