@@ -36,21 +36,19 @@ def log_edges(lo: float, hi: float, points: int) -> list[float]:
 
 
 def integer_edges(r_min: float, r_max: float, n_bins: int) -> list[int]:
-    """Distinct rounded geometric points from ``r_min`` to ``r_max``: ``n_bins`` bins where some number of points gives
-    exactly that many, else the last try of a bisection over n_bins + 1 to 3 n_bins points."""
-
-    def edges(points: int) -> list[int]:
-        return [int(x) for x in np.unique(np.rint(np.geomspace(max(1, r_min), max(r_min + 1, r_max), points)))]
-
-    few, many = n_bins + 1, max(n_bins + 2, 3 * n_bins)
-    found = edges(few)
-    while few <= many:
-        middle = (few + many) // 2
-        found = edges(middle)
-        if len(found) == n_bins + 1:
-            return found
-        few, many = (middle + 1, many) if len(found) <= n_bins else (few, middle - 1)
-    return found
+    """``n_bins`` bins with integer edges, as even in the logarithm as integers allow, from ``r_min`` to ``r_max`` (both
+    rounded, 1 at least); where the range holds fewer integers than ``n_bins + 1``, all of them.
+
+    Each edge is the integer nearest to its geometric place, moved up as far as the edge before requires and down as far
+    as the edges after do: small edges go up by ones, and the geometric steps begin where they exceed one.
+    """
+    low = max(1, round(r_min))
+    high = max(low + 1, round(r_max))
+    n = min(n_bins, high - low)
+    place = np.rint(np.geomspace(low, high, n + 1)).astype(np.int64)
+    step = np.arange(n + 1)
+    edges = np.maximum.accumulate(place - step) + step
+    return [int(x) for x in np.minimum(edges, high - step[::-1])]
 
 
 def bin_index(x: Column, edges: list[float], closed: bool = True) -> Column:
