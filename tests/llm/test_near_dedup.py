@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, edited, frame, prose
@@ -89,6 +90,26 @@ def test_rows_that_repeat_an_id(spark):
         assert kept[1, key(a)] and not kept[5, key(a + " x")] and kept[5, key(b)] and not kept[9, key(b)] and kept[9, key(c)] and not kept[12, key(c + " y")]
 
 
+@pytest.mark.parametrize("blank", [None, "", " \t\n", "\x0b"])
+def test_a_blank_text_of_an_id_takes_no_link_away(spark, blank):
+    t = prose(random.Random(3), 60)
+    rows = [(1, t), (1, blank), (2, t + " x"), (3, prose(random.Random(4), 60)), (2, blank)]
+    for order in (rows, rows[::-1]):
+        got = N.near_duplicates(frame(spark, order).coalesce(1), 4).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["n_shingles"] > 0) for r in got) == [(1, 1, False), (1, 1, True), (2, 1, True), (2, 2, False), (3, 3, True)]
+
+
+def test_new_stars_and_blocks_agree(spark, monkeypatch):
+    """A group whose members often miss its first centre: all by stars and blocks, or all by blocks."""
+    rng = random.Random(17)
+    base = prose(rng, 100)
+    rows = [(i, edited(rng, base, rng.choice([0.02, 0.04, 0.05]))) for i in range(120)]
+    ask = lambda: sorted(tuple(r)[:4] for r in N.near_duplicates(frame(spark, rows), 4).collect())
+    with_stars = ask()
+    monkeypatch.setattr(N, "STARS", 0)
+    assert ask() == with_stars and len({r[2] for r in with_stars}) > 1
+
+
 def test_words_without_algebra(spark):
     """A Thue-Morse word and its complement are different words."""
     bits = [bin(i).count("1") % 2 for i in range(1024)]

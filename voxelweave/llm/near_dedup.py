@@ -35,6 +35,8 @@ ROWS, BANDS = 6, 42
 BINS = ROWS * BANDS
 #: Sets in a block, and sets of a company that is compared as pairs.
 BLOCK, COMPANY = 256, 12
+#: Rounds of new stars in larger companies.
+STARS = 4
 #: Classes up to which they are broadcast (48 bytes each); above, the join shuffles.
 BROADCAST_CLASSES = 300_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -198,6 +200,16 @@ def company_links(company: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return small.union(large)
 
 
+def open_companies(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``main, rep, root, stranger`` of buckets (``key, rep``) that are not in one component: their largest component, and
+    their members with their components."""
+    placed = buckets.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = placed.join(spread, "key", "left_semi")
+    largest = mixed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+    return mixed.join(largest, "key").select("main", "rep", "root", (F.col("root") != F.col("main")).alias("stranger")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unite_ids: bool = True, row_key: Column | None = None) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent``/100 or more.
 
@@ -236,7 +248,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = scratch.keep(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs_0")
     ends = buckets.select("rep").distinct()
     ids = ends.select(F.col("rep").alias("doc_id")) if nodes is None else nodes.join(ends, nodes["node"] == ends["rep"], "left_semi").select("doc_id").distinct()
-    texts = rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"] if nodes is None else ["doc_id", "text"])
+    worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # an id may have a blank text beside its own
+    texts = worded.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"] if nodes is None else ["doc_id", "text"])
     own = noded(set_table(texts, k)).select("node", "shingles")
     if nodes is not None:  # texts of one id may differ and have one set
         own = own.join(ends, own["node"] == ends["rep"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -249,15 +262,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return scratch.keep(found.select(F.col("id").alias("rep"), "root"), name)
 
     roots = roots_of(links, "roots_0")
-    placed = buckets.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = scratch.keep(placed.join(spread, "key", "left_semi"), "mixed")
-    if not mixed.isEmpty():
-        sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-        company = mixed.join(largest, "key").select("main", "rep", "root", (F.col("root") != F.col("main")).alias("stranger")).distinct()
-        more = company_links(scratch.keep(company, "company"), sets, percent)
-        links = scratch.keep(links.union(more).distinct(), "links_1")
+    for r in range(STARS + 1):
+        company = scratch.keep(open_companies(buckets, roots), f"company_{r}")
+        pick = F.min(F.when(F.col("stranger"), F.struct(F.xxhash64("rep", F.lit(r)).alias("h"), F.col("rep").alias("p"), F.col("root").alias("pr"))))
+        large = company.groupBy("main").agg(F.count("*").alias("n"), pick.alias("c")).where(F.col("n") > COMPANY).select("main", "c.p", "c.pr")
+        if r == STARS or large.isEmpty():
+            break
+        star = company.join(large, "main").where("root <> pr").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+        links = scratch.keep(links.union(confirm(star, sets, percent)).distinct(), f"links_star_{r}")
+        roots = roots_of(links, f"roots_star_{r}")
+    if not company.isEmpty():
+        links = scratch.keep(links.union(company_links(company, sets, percent)).distinct(), "links_1")
         roots = roots_of(links, "roots_1")
     scratch.drop("sets", "buckets")
 
