@@ -10,7 +10,7 @@ from voxelweave.config import EngineConfig
 from voxelweave.operators import catalog as C
 from voxelweave.operators import derive, grid, labels
 from voxelweave.operators.components import connected_components
-from voxelweave.sources import readers
+from voxelweave.sources import layout, readers
 
 
 def brute(mask: np.ndarray, connectivity: int = 6, periodic: bool = True) -> np.ndarray:
@@ -129,7 +129,7 @@ def test_split_and_dims():
 
 def test_periodic_box_covers_whole_axis(spark):
     df = spark.range(4).selectExpr("cast(id as int) i", "0 j", "0 k")
-    rows = grid.periodic_box(df, 4, ((0, 4), (0, 1), (0, 1)), 1).where("gj = 0 AND gk = 0").select("gi", "i").collect()
+    rows = layout.periodic_scan(df, 4, ((0, 4), (0, 1), (0, 1)), 1).where("gj = 0 AND gk = 0").select("gi", "i").collect()
     assert sorted(map(tuple, rows)) == [(-1, 3), (0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
 
 

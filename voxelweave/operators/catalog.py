@@ -46,17 +46,19 @@ def speed_aggregates() -> list[Column]:
     return [F.avg(speed()).alias("velocity_mean"), F.stddev_pop(speed()).alias("velocity_std")]
 
 
-def exposed_area(labelled: DataFrame, pairs: DataFrame, spacing: tuple[float, float, float], key: str) -> DataFrame:
+def exposed_area(labelled: DataFrame, pairs: DataFrame, spacing: tuple[float, float, float], key: str | list[str]) -> DataFrame:
     """``key, area``: per axis, two faces a cell less two for each internal face pair (``pairs``: key, axis)."""
     face = {"x": spacing[1] * spacing[2], "y": spacing[0] * spacing[2], "z": spacing[0] * spacing[1]}
-    cells = labelled.groupBy(key).agg((F.count("*") * F.lit(2.0 * sum(face.values()))).alias("all_"))
-    inner = pairs.groupBy(key).agg(F.sum(F.create_map(*(F.lit(v) for a, f in face.items() for v in (a, 2.0 * f)))[F.col("axis")]).alias("inner_"))
-    return cells.join(inner, key, "left").select(key, (F.col("all_") - F.coalesce("inner_", F.lit(0.0))).alias("area"))
+    keys = [key] if isinstance(key, str) else key
+    cells = labelled.groupBy(*keys).agg((F.count("*") * F.lit(2.0 * sum(face.values()))).alias("all_"))
+    inner = pairs.groupBy(*keys).agg(F.sum(F.create_map(*(F.lit(v) for a, f in face.items() for v in (a, 2.0 * f)))[F.col("axis")]).alias("inner_"))
+    return cells.join(inner, keys, "left").select(*keys, (F.col("all_") - F.coalesce("inner_", F.lit(0.0))).alias("area"))
 
 
-def internal_pairs(labelled: DataFrame, n: int, key: str) -> DataFrame:
-    """``key, axis``: face pairs inside the periodic grid whose ends have one label (all pairs, by construction)."""
-    return face_pairs(labelled, n, (key,)).where(f"src_{key} = dst_{key}").select(F.col(f"src_{key}").alias(key), "axis")
+def internal_pairs(labelled: DataFrame, n: int, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``key, axis``: face pairs inside the periodic grid whose ends have one label (all pairs, by construction); with
+    ``by``, in each of several labellings."""
+    return face_pairs(labelled, n, (key,), by=by).where(f"src_{key} = dst_{key}").select(*by, F.col(f"src_{key}").alias(key), "axis")
 
 
 def brick_internal_pairs(labelled: DataFrame, n: int, dims: tuple[int, int, int], key: str) -> DataFrame:
@@ -134,10 +136,11 @@ def face_pair_bits() -> Column:
     return total.cast("int")
 
 
-def direct_catalog(labelled: DataFrame, n: int, spacing: tuple[float, float, float], key: str = "root") -> DataFrame:
-    """Catalog of labelled cells on the periodic grid, in one aggregation plus the face count."""
-    base = labelled.groupBy(key).agg(*size_aggregates(spacing), *centroid_aggregates(spacing), *speed_aggregates(), *bbox_aggregates())
-    return base.join(exposed_area(labelled, internal_pairs(labelled, n, key), spacing, key), key)
+def direct_catalog(labelled: DataFrame, n: int, spacing: tuple[float, float, float], key: str = "root", by: tuple[str, ...] = ()) -> DataFrame:
+    """Catalog of labelled cells on the periodic grid, in one aggregation plus the face count; ``by``: columns that tell
+    several labellings apart."""
+    base = labelled.groupBy(*by, key).agg(*size_aggregates(spacing), *centroid_aggregates(spacing), *speed_aggregates(), *bbox_aggregates())
+    return base.join(exposed_area(labelled, internal_pairs(labelled, n, key, by), spacing, [*by, key]), [*by, key])
 
 
 def unstitched_catalog(labelled: DataFrame, n: int, dims: tuple[int, int, int], spacing: tuple[float, float, float]) -> DataFrame:

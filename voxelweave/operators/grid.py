@@ -96,16 +96,6 @@ def face_pairs(cells: DataFrame, n: int, keep: tuple[str, ...] = (), periodic: A
     return left.join(right, [*by, "dst"]).select(*by, "src", "dst", "axis", *(f"{s}_{c}" for s in ("src", "dst") for c in keep))
 
 
-def periodic_box(df: DataFrame, n: int, box: tuple[tuple[int, int], ...], halo: int = 0) -> DataFrame:
-    """Rows of a box with wrap-around halo; ``gi, gj, gk`` are box coordinates (may lie outside [0, n))."""
-    out = df
-    for a, (lo, hi) in zip("ijk", box, strict=True):
-        turns = range(-1 - halo // n, 2 + (hi + halo) // n)
-        out = out.withColumn("t_", F.explode(F.array(*(F.lit(t * n) for t in turns)))).withColumn(f"g{a}", F.col(a) + F.col("t_"))
-        out = out.where((F.col(f"g{a}") >= lo - halo) & (F.col(f"g{a}") < hi + halo)).drop("t_")
-    return out
-
-
 def with_halo(df: DataFrame, n: int, dims: tuple[int, int, int], bricks: DataFrame, halo: int = 1) -> DataFrame:
     """Every brick's own rows (``core``) and its halo copies, keyed by ``rank``, with box coordinates ``gi, gj, gk``.
 

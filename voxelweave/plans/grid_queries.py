@@ -18,6 +18,7 @@ from voxelweave.operators import catalog as C
 from voxelweave.operators import derive, grid, labels
 from voxelweave.plans import runs
 from voxelweave.scratch import Scratch
+from voxelweave.sources import layout
 from voxelweave.sources import parts as P
 from voxelweave.sources.readers import domain_shape
 
@@ -71,7 +72,7 @@ def voxel_scan_shape(spark, d, n=N):
 
 
 def periodic_slice_scan(spark, d, n=N):
-    return grid.periodic_box(voxels(spark, d, n).select("i", "j", "k", "dens"), n, ((0, 4), (2, 6), (n - 3, n)), 1).select("gi", "gj", "gk", F.col("dens").cast("double").alias("dens"))
+    return layout.periodic_scan(voxels(spark, d, n).select("i", "j", "k", "dens"), n, ((0, 4), (2, 6), (n - 3, n)), 1).select("gi", "gj", "gk", F.col("dens").cast("double").alias("dens"))
 
 
 def axis_split_bricks(spark, d, n=N):

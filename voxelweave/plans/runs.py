@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.config import EngineConfig
 from voxelweave.operators import catalog as C
-from voxelweave.operators import derive, grid, labels, ml
+from voxelweave.operators import derive, grid, labels, mergetree, ml
 from voxelweave.operators import spectra as S
 from voxelweave.operators.components import connected_components
 from voxelweave.scratch import Scratch, path_exists
@@ -115,9 +116,39 @@ def feature_outputs(catalog: DataFrame, names: list[str], out: str, k: int = 3)
         reduce(DataFrame.unionByName, pairs).write.mode("overwrite").parquet(f"{out}/histograms")
 
 
+def sweep_catalogs(cells: DataFrame, n: int, field: str, thresholds: list[float], spacing: tuple[float, float, float], below: bool = True) -> DataFrame:
+    """``threshold, root`` and the catalog of each structure at every threshold of one field, from one contraction.
+
+    ``cells`` are voxels with derived fields. Cells that no threshold takes are left out first; the merge forest of the
+    others labels all thresholds together, and one aggregation reduces them.
+    """
+    scratch = Scratch(cells.sparkSession, "sweep")
+    value, far = F.col(field).cast("double"), max(thresholds) if below else min(thresholds)
+    some = scratch.keep(cells.where(value < far if below else value > far).withColumn("cell_id", grid.cell_id(n)), "cells")
+    forest = scratch.keep(mergetree.merge_forest(some, n, field, below, scratch=scratch), "forest")
+    named = scratch.keep(some.join(mergetree.threshold_labels(some, forest, n, field, thresholds, below, scratch), "cell_id"), "named")
+    return C.direct_catalog(named, n, spacing, "root", ("level",)).withColumn("threshold", F.array(*(F.lit(float(t)) for t in thresholds))[F.col("level")]).drop("level")
+
+
 def run_sweep(spark: SparkSession, voxels: DataFrame, configs: list[EngineConfig]) -> DataFrame:
-    """Catalogs of several settings in one table, by ``step`` and ``threshold``."""
-    return reduce(DataFrame.unionByName, [run_catalog(spark, voxels, c) for c in configs])
+    """Stitched catalogs of several settings in one table, by ``step`` and ``threshold``; ``gid`` is the smallest cell id.
+
+    Settings that differ in nothing but their threshold are one contraction (``sweep_catalogs``) on a periodic grid with
+    face connectivity; others, and open axes, are runs of their own (``run_catalog``, whose ``gid`` is by brick).
+    """
+    alike: dict[EngineConfig, list[float]] = {}
+    for c in configs:
+        alike.setdefault(replace(c, threshold=0.0), []).append(float(c.threshold))
+    out = []
+    for c, thresholds in alike.items():
+        if len(thresholds) == 1 or c.connectivity != 6 or not all(c.periodic):
+            out += [run_catalog(spark, voxels, replace(c, threshold=t)) for t in thresholds]
+            continue
+        cells = derive.with_primitives(voxels, c.gamma)
+        found = sweep_catalogs(cells, c.n, {"temperature": "temp", "density": "dens"}[c.cut_by], thresholds, c.spacing, c.cut_op == "lt")
+        found = found.withColumnRenamed("root", "gid").withColumn("step", F.lit(c.step))
+        out.append(found.where(F.col("cell_count") >= c.min_clump_cells))
+    return reduce(DataFrame.unionByName, out)
 
 
 def main() -> None:
