@@ -2,8 +2,8 @@
 
 A pre-tokenised BPE looks at one word at a time, so a corpus needs each distinct word encoded once. Texts are split
 into words in blocks; a block keeps its own word list and, for every document, places in that list. The lists meet in
-one table of distinct words, which is encoded, and decoded through a join of ids with the vocabulary's pieces. Ids then
-go back to the blocks and are laid out by position.
+one table of distinct words, which is encoded. Ids then go back to the blocks; there they are joined with the vocabulary's
+pieces, once a word of the block, and both are laid out by position. ``decode`` is that join for any table of ids.
 
 What is shuffled is a word once a block, never its occurrences. Words that most blocks have come back in a broadcast of
 bounded size, so no key of the join back has a row for every block.
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxelweave.llm.memory import small_batches, tidy_batches, tidy_group
 from voxelweave.llm.text import slices
@@ -105,43 +106,72 @@ def word_encoder(path: str) -> Callable[[str], list[int]]:
     return lambda word: [added[word]] if word in added else [t.id for t in tokenizer.model.tokenize(byte_level(word))]
 
 
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+def vocabulary_table(path: str) -> pa.Table:
     """``id, piece`` of a tokenizer, added tokens included: as many rows as the vocabulary has, whatever the corpus."""
     table = load(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(table.values(), pa.int32()), "piece": pa.array(table.keys(), pa.string())}))
+    return pa.table({"id": pa.array(table.values(), pa.int32()), "piece": pa.array(table.keys(), pa.string())})
+
+
+def pack_places(places: np.ndarray) -> bytes:
+    """Numbers below 2**35 in seven bits a byte, low bits first; all but a number's last byte have the top bit set."""
+    size = np.ones(len(places), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += places >= 1 << bits
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for j in range(5):
+        has = size > j
+        out[at[has] + j] = (places[has] >> 7 * j) & 127 | np.where(size[has] > j + 1, 128, 0)
+    return out.tobytes()
+
+
+def unpack_places(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8)
+    end = np.flatnonzero(raw < 128)
+    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+    out = np.zeros(len(end), np.int64)
+    for j in range(5):
+        has = end - start >= j
+        out[has] |= (raw[start[has] + j] & 127).astype(np.int64) << 7 * j
+    return out
 
 
 def split_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK) -> DataFrame:
-    """Documents (``doc_id, text``) as blocks: rows of ``block``, ``doc_ids``, ``counts`` (words of each) and ``places``
-    (of the words in the block's list, little-endian unsigned 32-bit, all documents in order), and one row a block with
-    its list ``words``."""
+    """Documents (``doc_id, text``) as blocks: one row a block with its list ``words``, most frequent first, and rows of
+    ``doc_ids``, ``counts`` (words of each) and ``places`` (of the words in the list, all documents in order)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     @tidy_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, task = splitter(path), TaskContext.get().partitionId()
-        number, seen, held = 0, {}, 0
-        schema = None
-
-        def row(ids: pa.Array, counts: list[int], places: bytes | None, words: list[str] | None) -> pa.RecordBatch:
-            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind))
-            cols = [pa.array([(task << 24) | number], pa.int64()), one(ids, schema.field(0).type), one(counts, pa.int32()), pa.array([places], pa.binary()), one(words or [], pa.string())]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "counts", "places", "words"])
+        number, size, seen, held = 0, 0, {}, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            """The block at hand, its words numbered anew by frequency."""
+            often = np.bincount(np.concatenate([p for *_, p in held]), minlength=len(seen)) if held else np.zeros(0, np.int64)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = pa.array(list(seen), pa.string()).take(pa.array(order))
+            parts = [(held[0][0].slice(0, 0), [], None, words)] if held else []
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            none = pa.array([], pa.string())
+            for ids, counts, places, listed in parts + [(i, c, pack_places(rank[p]), none) for i, c, p in held]:
+                cols = [pa.array([task << 24 | number], pa.int64()), one(ids), one(pa.array(counts, pa.int32())), pa.array([places], pa.binary()), one(listed)]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "counts", "places", "words"])
 
         for part in slices(batches, "text"):
-            schema = part.schema
             counts, places = [], []
             for text in part.column(1).to_pylist():
                 words = split(text) if text else []
                 counts.append(len(words))
                 places += [seen.setdefault(w, len(seen)) for w in words]
-                held += len(text or "")
-            yield row(part.column(0), counts, np.array(places, "<u4").tobytes(), None)
-            if held >= block_bytes:
-                yield row(part.column(0).slice(0, 0), [], None, list(seen))
-                number, seen, held = number + 1, {}, 0
-        if schema is not None and (held or seen or number == 0):
-            yield row(pa.array([], schema.field(0).type), [], None, list(seen))
+                size += len(text or "")
+            held.append((part.column(0), counts, np.array(places, np.int64)))
+            if size >= block_bytes:
+                yield from rows()
+                number, size, seen, held = number + 1, 0, {}, []
+        yield from rows()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, f"block bigint, doc_ids array<{id_type}>, counts array<int>, places binary, words array<string>")
@@ -168,35 +198,37 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", text_col: str = "
     nothing. Special tokens are written like any other. The vocabulary is broadcast: its size is the tokenizer's.
     """
     tokens = encoded.select(F.col(key).alias("key_"), F.posexplode("ids").alias("at_", "id"))
-    named = tokens.join(F.broadcast(vocabulary(encoded.sparkSession, path)), "id")
+    named = tokens.join(F.broadcast(encoded.sparkSession.createDataFrame(vocabulary_table(path))), "id")
     texts = named.groupBy("key_").agg(F.array_sort(F.collect_list(F.struct("at_", "piece"))).alias("p_")).select("key_", F.array_join(F.col("p_.piece"), " ").alias("told_"))
     return encoded.join(texts, encoded[key].eqNullSafe(texts["key_"]), "left").select(F.col(key), F.coalesce("told_", F.lit("")).alias(text_col))
 
 
-def _layer(hot: pa.Table, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Lay out one block: its rows of ``split_blocks``, and the words that are not hot with ids and pieces."""
+def _layer(hot: pa.Table, pieces: pa.Table, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Lay out one block: its rows of ``split_blocks``, and the ids of those of its words that are not hot."""
 
     def run(block: pa.Table, rest: pa.Table) -> pa.Table:
-        listed = block.filter(pc.is_null(block.column("places")))
-        words = pc.list_flatten(listed.column("words")).combine_chunks()
-        known = pa.concat_tables([hot.select(["word", "ids", "pieces"]), rest.select(["word", "ids", "pieces"]).cast(hot.schema)]).combine_chunks()
-        at = pc.index_in(words, known.column("word").combine_chunks())
-        known = known.take(at).combine_chunks()
-        ids, pieces = (known.column(c).combine_chunks() for c in ("ids", "pieces"))
-        if ids.null_count:
+        words = block.filter(pc.is_null(block.column("places"))).column("words").combine_chunks().flatten()
+        # ids of the block's words, by place: hot ones by name, the others by the place they came from
+        known = pa.concat_arrays([hot.column("ids").combine_chunks(), rest.column("ids").combine_chunks().cast(hot.schema.field("ids").type)])
+        at = pc.index_in(words, hot.column("word").combine_chunks()).to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), -1, at).astype(np.int64)
+        at[rest.column("place").to_numpy()] = len(hot) + np.arange(len(rest))
+        if (at < 0).any():
             raise RuntimeError("a word of a block has not come back")
-        out = []
-        for row in block.filter(pc.is_valid(block.column("places"))).to_batches(max_chunksize=1):
-            places = pa.array(np.frombuffer(row.column(row.schema.get_field_index("places"))[0].as_py(), "<u4"), pa.uint32())
-            doc = row.column(row.schema.get_field_index("doc_ids")).flatten()
-            ends = np.concatenate([[0], np.cumsum(row.column(row.schema.get_field_index("counts")).flatten().to_numpy())]).astype(np.int64)
+        ids = known.take(pa.array(at))
+        # the join of ids with pieces, once a word of the block
+        piece = pieces.column("piece").combine_chunks().take(pc.index_in(ids.flatten(), pieces.column("id").combine_chunks()))
+        told = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, piece), " ") if len(ids) else piece
+        out = [pa.table({"doc_id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())})]
+        for row in block.filter(pc.is_valid(block.column("places"))).select(["places", "doc_ids", "counts"]).to_batches(max_chunksize=1):
+            places = pa.array(unpack_places(row.column(0)[0].as_py()))
+            ends = np.concatenate([[0], np.cumsum(row.column(2).flatten().to_numpy())]).astype(np.int64)
             own = ids.take(places)
             start = own.offsets.to_numpy() if len(own) else np.zeros(1, np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(start[ends] - start[0], pa.int32()), own.flatten())
-            told = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces.take(places)), " ")
-            out.append(pa.table({"doc_id": doc.cast(id_type), "ids": tokens, "decoded": told}))
-        empty = pa.table({"doc_id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())})
-        return pa.concat_tables(out or [empty])
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told.take(places)), " ")
+            out.append(pa.table({"doc_id": row.column(1).flatten().cast(id_type), "ids": tokens.cast(pa.list_(pa.int32())), "decoded": texts}))
+        return pa.concat_tables(out)
 
     return lambda block, rest: tidy_group(run, block, rest)
 
@@ -215,18 +247,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     scratch = Scratch(spark, "bpe")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = min(PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
-    blocks = scratch.bucketed(split_blocks(rows, path, block_bytes), "blocks", "block", n, dealt=True)
-    listed = blocks.where("places IS NULL").select("block", F.explode("words").alias("word"))
-    distinct = scratch.keep(encode_words(listed.groupBy("word").agg(F.count("*").alias("n_blocks")), path), "distinct")
-    table = scratch.keep(distinct.join(decode(distinct, path, "word", "pieces"), "word"), "table")
-    scratch.drop("distinct")
+    blocks = scratch.bucketed(split_blocks(rows, path, block_bytes), "blocks", "block", n, dealt=True, codec="zstd")
+    listed = blocks.where("places IS NULL").select("block", F.posexplode("words").alias("place", "word"))
+    table = scratch.keep(encode_words(listed.groupBy("word").agg(F.count("*").alias("n_blocks")), path), "words", "zstd")
     scratch.release()
-    hot = table.where(F.length("word") <= HOT_LENGTH).orderBy(F.desc("n_blocks"), "word").limit(hot_words).select("word", "ids", "pieces").toArrow()
-    names = spark.createDataFrame(hot.select(["word"])) if hot.num_rows else None
-    rare = listed.join(F.broadcast(names), "word", "left_anti") if names is not None else listed
-    rest = rare.join(table.drop("n_blocks"), "word").select(F.col("block").alias("of"), "word", "ids", "pieces")
-    kind = {f.name: f for f in blocks.schema.fields}["doc_ids"].dataType.elementType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    layer = _layer(hot, to_arrow_type(kind))
+    hot = table.where(F.length("word") <= HOT_LENGTH).orderBy(F.desc("n_blocks"), "word").limit(hot_words).select("word", "ids").toArrow()
+    rare = listed.join(F.broadcast(spark.createDataFrame(hot.select(["word"]))), "word", "left_anti") if hot.num_rows else listed
+    rest = rare.join(table.select("word", "ids"), "word").select(F.col("block").alias("of"), "place", "ids")
+    rest = scratch.keep(rest, "rest", "zstd")
+    scratch.drop("words")
+    kind = blocks.schema["doc_ids"].dataType.elementType
+    layer = _layer(hot, vocabulary_table(path), to_arrow_type(kind))
     return blocks.groupBy("block").cogroup(rest.groupBy("of")).applyInArrow(layer, f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
