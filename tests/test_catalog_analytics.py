@@ -143,11 +143,25 @@ def test_likelihood_fits_recover_the_planted_model(spark):
     at_truth = models.dpl_nll_table(df, "cell_count", [truth]).first()["nll"]
     assert best["nll"] <= at_truth + 2 and best["gamma"] == pytest.approx(truth[1], abs=0.4) and best["beta"] == pytest.approx(truth[2], abs=0.3)
     assert models.model_table(df.limit(0), "cell_count").count() == 0
+    # the figures are those of the unrounded values, and no neighbouring setting is better
+    exact = models.ExactLikelihood(df, "cell_count")
+    for name, free in (("double_power_law", range(4)), ("double_power_law_fixed", (0, 3))):
+        p0 = np.array([fits[name][c] for c in ("log_v0", "gamma", "beta", "log_cut")])
+        near = np.array([np.clip(p0 + s * np.eye(4)[i], models.DPL_LOWER, models.DPL_UPPER) for i in free for s in (0.003, -0.003, 0.03, -0.03)])
+        assert exact(p0)[0] == pytest.approx(fits[name]["nll"], rel=1e-12) and (exact(near) >= fits[name]["nll"] - 1e-6).all()
     # one aggregation gives what the sum over values gives
     v = np.log10([r[0] for r in df.collect()])
     assert at_truth == pytest.approx(models.dpl_nll(np.array(truth), v, np.ones(len(v))), rel=1e-9)
 
 
+def test_newton_stays_in_the_box():
+    bowl = lambda q: ((q - [1.0, -2.0]) ** 2 * [1.0, 30.0]).sum(1) + 0.5 * (q[:, 0] - 1) * (q[:, 1] + 2)
+    at, value = models.newton_in_box(bowl, np.array([0.0, 0.0]), np.array([-5.0, -5.0]), np.array([5.0, 5.0]))
+    assert at == pytest.approx([1, -2], abs=1e-4) and value < 1e-8
+    at, value = models.newton_in_box(bowl, np.array([0.0, 0.0]), np.array([-5.0, -1.0]), np.array([5.0, 5.0]))
+    assert at[1] == -1 and at[0] == pytest.approx(0.75, abs=1e-3)  # the bound holds, and the other goes on
+
+
 def test_snapshots_without_a_bin_count_as_zero(spark):
     df = spark.createDataFrame([(1, 0, 4.0), (2, 0, 2.0), (1, 1, 6.0)], "step int, bin int, spectrum double")
     got = {r["bin"]: (r["mean"], r["std"], r["n"]) for r in models.bin_mean_std(df, 2).collect()}

@@ -1,14 +1,17 @@
-"""Model fits over small sufficient statistics: likelihoods, information criteria, bounded least squares."""
+"""Model fits: likelihoods by aggregation, information criteria, bounded least squares on spectra."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.scratch import Scratch
+
 LN10 = math.log(10.0)
 
 
@@ -185,23 +188,101 @@ def _best_dpl(y: np.ndarray, w: np.ndarray, fixed: bool) -> tuple[np.ndarray, fl
     return min(fits, key=lambda x: x[1])
 
 
+class ExactLikelihood:
+    """Negative log likelihood of the broken power law over all positive values of a column, unrounded.
+
+    A call takes any number of settings (rows in the order of the bounds) and is one aggregation over the values, written
+    once as log10; only sums come back. The normalisation takes their least and greatest.
+    """
+
+    def __init__(self, df: DataFrame, col: str, scratch: Scratch | None = None):
+        x = F.col(col).cast("double")
+        scratch = scratch or Scratch(df.sparkSession, "likelihood")
+        self.rows = scratch.keep(df.where((x > 0) & (x < float("inf"))).select(F.log10(x).alias("y")), "values")
+        r = self.rows.agg(F.count("*"), F.min("y"), F.max("y")).first()
+        self.n, self.lo, self.hi = r[0], r[1], r[2]
+
+    def __call__(self, settings: np.ndarray) -> np.ndarray:
+        settings = np.atleast_2d(np.asarray(settings, float))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(settings))
+            for b in batches:
+                y = b.column(0).to_numpy()
+                total += [dpl_log_density(y, *p).sum() for p in settings]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(settings)), pa.int32()), pa.array(total)], names=["s", "total"])
+
+        sums = self.rows.mapInArrow(run, "s int, total double").groupBy("s").agg(F.sum("total").alias("total")).collect()
+        grid = np.linspace(self.lo, self.hi, GRID)
+        out = np.empty(len(settings))
+        for r in sums:
+            ld = dpl_log_density(grid, *settings[r["s"]])
+            out[r["s"]] = self.n * (np.log(np.trapezoid(np.exp(ld - ld.max()), grid)) + ld.max()) - r["total"]
+        return out
+
+
+def newton_in_box(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, lower: np.ndarray, upper: np.ndarray, steps: int = 12, h: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Least value of ``f`` (rows of points to values) near ``start``, inside the box: Newton steps from a difference
+    stencil, all of whose points are one call, then steps of several lengths, again one call. Coordinates at a bound
+    that the value would leave stay there. Never worse than the start."""
+    d = len(start)
+    at = np.clip(np.asarray(start, float), lower, upper)
+    value = float(f(at[None])[0])
+    unit = np.eye(d) * h
+    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    for _ in range(steps):
+        middle = np.clip(at, lower + h, upper - h)
+        points = [middle, *(middle + s * unit[i] for i in range(d) for s in (1, -1)), *(middle + s * unit[i] + t * unit[j] for i, j in pairs for s in (1, -1) for t in (1, -1))]
+        v = f(np.array(points))
+        up, down = v[1 : 2 * d + 1 : 2], v[2 : 2 * d + 1 : 2]
+        grad, hess = (up - down) / (2 * h), np.diag((up - 2 * v[0] + down) / h**2)
+        for m, (i, j) in enumerate(pairs):
+            q = v[2 * d + 1 + 4 * m :][:4]
+            hess[i, j] = hess[j, i] = (q[0] - q[1] - q[2] + q[3]) / (4 * h * h)
+        free = ~(((at <= lower + h) & (grad > 0)) | ((at >= upper - h) & (grad < 0)))
+        step = np.zeros(d)
+        if free.any():
+            size, axes = np.linalg.eigh(hess[np.ix_(free, free)])
+            size = np.maximum(np.abs(size), 1e-6 * max(np.abs(size).max(), 1e-12))
+            step[free] = -axes @ ((axes.T @ grad[free]) / size)
+        held = np.where(free, at, np.where(grad > 0, lower, upper))
+        tries = np.array([np.clip(held + t * step, lower, upper) for t in (0, 2, 1, 0.5, 0.2, 0.05, 0.01, 0.001)])
+        found = f(tries)
+        best = int(found.argmin())
+        gain = value - float(found[best])
+        if gain > 0:
+            at, value = tries[best], float(found[best])
+        if gain <= 1e-10 * (1 + abs(value)):
+            break
+    return at, value
+
+
 def model_table(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
     """Maximum likelihood fits of five models of the size distribution, best first.
 
     ``model, k, n, log_v0, gamma, beta, log_cut, nll, aic, bic, delta_aic``; models: ``power_law`` (free slope, given
     as -gamma), ``zipf`` (slope 0), ``power_law_49`` (slope 4/9), ``double_power_law``, ``double_power_law_fixed``
-    (slopes 0 and 4/9, where only the break and the cut-off are free). Works on the histogram in steps of 10**-digits of
-    log10; fewer than three of them give no rows.
+    (slopes 0 and 4/9, where only the break and the cut-off are free). The search over several starts works on the
+    histogram in steps of 10**-digits of log10 (fewer than three of them give no rows); what it finds is then taken to
+    the optimum of the likelihood of all values as they are (``ExactLikelihood``), and the figures are that one's.
     """
     rows = sorted(map(tuple, log_histogram(df, col, digits).collect()))
     out = []
     if len(rows) >= 3:
         y, w = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-        n, s, lo, hi = int(w.sum()), float((w * y).sum()), float(y.min()), float(y.max())
+        exact = ExactLikelihood(df, col)
+        n, lo, hi = exact.n, exact.lo, exact.hi
+        s = float(exact.rows.agg(F.sum("y")).first()[0])
         line = lambda a: nll_value(a - 1, n, s, lo, hi)
         alpha = golden_section(line, -2, 2)
-        free, free_nll = _best_dpl(y, w, False)
-        given, given_nll = _best_dpl(y, w, True)
+        lower, upper = np.array(DPL_LOWER), np.array(DPL_UPPER)
+        given, _ = _best_dpl(y, w, True)
+        slopes = lambda q: np.column_stack([q[:, 0], np.full((len(q), 2), (GAMMA_FIXED, BETA_FIXED)), q[:, 1]])
+        two, given_nll = newton_in_box(lambda q: exact(slopes(q)), given[[0, 3]], lower[[0, 3]], upper[[0, 3]])
+        given = slopes(two[None])[0]
+        # the free model holds the other: it starts from the better of the two
+        starts = np.array([_best_dpl(y, w, False)[0], given])
+        free, free_nll = newton_in_box(exact, starts[int(exact(starts).argmin())], lower, upper)
         fits = [("power_law", 1, (None, -alpha, None, None), line(alpha)), ("zipf", 0, (None, 0.0, None, None), line(0.0)), ("power_law_49", 0, (None, BETA_FIXED, None, None), line(-BETA_FIXED)),
                 ("double_power_law", 4, tuple(map(float, free)), free_nll), ("double_power_law_fixed", 2, tuple(map(float, given)), given_nll)]
         least = min(2 * k + 2 * v for _, k, _, v in fits)

@@ -319,6 +319,11 @@ def dpl_mle_fit(spark, d):
     return t.select("model", "k", "n", F.lit(bool(good)).alias("nested"), (F.col("delta_aic") >= 0).alias("ranked"))
 
 
+def dpl_fixed_optimum(spark, d):
+    """Least negative log likelihood of the double power law with given slopes, over break and cut-off."""
+    return models.model_table(catalog(spark, d), "cell_count").where("model = 'double_power_law_fixed'").select("model", "n", F.round("nll", 1).alias("nll"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "catalog"}
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------
@@ -367,6 +372,23 @@ def _dpl_nll(i: int, p: tuple) -> str:
     )
 
 
+def _refined(levels: int = 12) -> str:
+    """Nested refinement of break and cut-off (``best{levels}``): a grid of steps of 1, then 7 x 7 points around the best, each
+    time at half the step."""
+    density = "4.0::DOUBLE / 9 * ln(1 + pow(10, {y} - v0)) - pow(10, 2 * (cut - {y})) - {y} * ln(10)"
+    out = "dv AS (SELECT log10(volume) AS y, count(*) AS w FROM c GROUP BY 1), dm AS (SELECT CAST(sum(w) AS BIGINT) AS n, min(y) AS lo, max(y) AS hi FROM dv), "
+    out += f"gy AS (SELECT lo + (hi - lo) * i / {models.GRID - 1} AS y, CASE WHEN i IN (0, {models.GRID - 1}) THEN 0.5 ELSE 1 END * (hi - lo) / {models.GRID - 1} AS dy FROM dm, range({models.GRID}) r(i))"
+    for k in range(levels + 1):
+        if k:
+            spot = lambda b, o, lo, hi: f"least(greatest({b} + {o}.o * {0.5**k!r}::DOUBLE, {lo}), {hi})"  # noqa: E731, B023
+            out += f", cand{k} AS (SELECT DISTINCT {spot('v0', 'p', 0, 12)} AS v0, {spot('cut', 'q', -2, 10)} AS cut FROM best{k - 1}, range(-3, 4) p(o), range(-3, 4) q(o))"
+        else:
+            out += ", cand0 AS (SELECT p.o::DOUBLE AS v0, q.o::DOUBLE AS cut FROM range(0, 13) p(o), range(-2, 11) q(o))"
+        out += f", s{k}_ AS (SELECT v0, cut, sum(w * ({density.format(y='y')})) AS s FROM cand{k}, dv GROUP BY ALL), l{k}_ AS (SELECT v0, cut, dy, {density.format(y='y')} AS ld, max({density.format(y='y')}) OVER (PARTITION BY v0, cut) AS top FROM cand{k}, gy), "
+        out += f"z{k}_ AS (SELECT v0, cut, any_value(top) + ln(sum(dy * exp(ld - top))) AS z FROM l{k}_ GROUP BY ALL), best{k} AS (SELECT v0, cut, n, n * z - s AS nll FROM s{k}_ JOIN z{k}_ USING (v0, cut), dm ORDER BY nll, v0, cut LIMIT 1)"
+    return out
+
+
 _DPLS = CAT + ", " + ", ".join(_dpl_nll(i, p) for i, p in enumerate(DPL))
 _CURVE_SQL = {
     "power_law": "3.0::DOUBLE * pow({x}, 0.5::DOUBLE)", "zipf": "3.0::DOUBLE * pow({x}, 0)", "floor": "1e-40::DOUBLE * pow({x}, 0.1::DOUBLE)", "dpl": _dpl_sql("{x}", 1.0, -0.5, 0.7, 0.3, 2.0, 1.0, 1000.0),
@@ -440,6 +462,7 @@ SQL: dict[str, str] = {
     "weighted_sample": CAT + " SELECT gid, volume, mass FROM c ORDER BY -ln((CAST('0x' || substr(md5('42|' || gid), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496) / sqrt(volume), gid LIMIT 500",
     "nlls_model_fits": "SELECT * FROM (VALUES ('double_power_law', 6), ('double_power_law_fixed', 4), ('power_law_49', 1), ('power_law', 2), ('zipf', 1), ('beuermann_fixed', 5), ('beuermann', 7)) t(model, k), (SELECT TRUE AS no_worse, TRUE AS ranked)",
     "dpl_mle_fit": "SELECT model, k, n, TRUE AS nested, TRUE AS ranked FROM (VALUES ('power_law', 1), ('zipf', 0), ('power_law_49', 0), ('double_power_law', 4), ('double_power_law_fixed', 2)) t(model, k), (SELECT count(*) AS n FROM lineitem)",
+    "dpl_fixed_optimum": CAT + ", " + _refined() + " SELECT 'double_power_law_fixed' AS model, n, round(nll, 1) AS nll FROM best12",
     "powerlaw_nll_grid": _NLLQ + " SELECT * FROM g",
     "aic_bic_grid": _NLLQ + ", t AS (SELECT *, 2 + 2 * nll AS aic, ln(n) + 2 * nll AS bic FROM g) SELECT cut, alpha, round(aic, 3) AS aic, round(bic, 3) AS bic, round(aic - min(aic) OVER (PARTITION BY cut), 3) AS delta_aic FROM t",
     "run_name_parse": "WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 'res' || o_custkey || '_x_step' || lpad(CAST(month(o_orderdate) AS VARCHAR), 5, '0') || '_conn6_T0p0' || (o_orderkey % 9) END AS name FROM orders), "
