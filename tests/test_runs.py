@@ -12,7 +12,8 @@ from tests.test_grid import brute
 from voxelweave.config import EngineConfig
 from voxelweave.plans import runs
 from voxelweave.sources import openpmd, readers
-from voxelweave.sources.parts import brick_index, check_planes, read_npz_planes, read_parts
+from voxelweave.sources import parts as part_files
+from voxelweave.sources.parts import brick_index, check_planes, current_run, manifest, open_run, read_npz_planes, read_parts
 
 
 def fields(n=6, seed=4):
@@ -47,7 +48,7 @@ def test_stitch_from_parts(spark, tmp_path, dims, periodic):
     assert key(merged) == key(direct) and len(key(direct)) > 5
     assert [r["gid"] for r in runs.run_stitch(spark, str(tmp_path / "out")).collect()] == [r[0] for r in key(direct)]
     if dims == (2, 2, 1) and all(periodic):
-        kept = readers.read_part_index(spark, str(tmp_path / "out/part_meta"))
+        kept = readers.read_part_index(spark, current_run(spark, str(tmp_path / "out")) + "/part_meta")
         with pytest.raises(KeyError, match="no part"):
             brick_index(kept.where("rank <> 3"))
         with pytest.raises(ValueError):
@@ -57,6 +58,42 @@ def test_stitch_from_parts(spark, tmp_path, dims, periodic):
             check_planes(odd, brick_index(odd))
 
 
+def test_a_failed_run_leaves_the_last_one_whole_and_is_resumed(spark, tmp_path, monkeypatch):
+    f, out = fields(6, 21), str(tmp_path / "out")
+    voxels = readers.field_table(spark, **f)
+    config = lambda t: EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=t, dims=(2, 2, 1))
+    rows = lambda df: sorted((r["gid"], r["cell_count"], round(r["area"], 9)) for r in df.collect())
+    first = rows(runs.run_catalog(spark, voxels, config(3.4), out))
+    write = part_files._write
+
+    def fails(df, path, kind):
+        if path.endswith("/part_meta"):  # rows and planes are there by then; one brick's metadata goes through
+            write(df.where("rank = 2"), path, kind)
+            raise OSError("lost")
+        write(df, path, kind)
+
+    monkeypatch.setattr(part_files, "_write", fails)
+    with pytest.raises(OSError, match="lost"):
+        runs.run_catalog(spark, voxels, config(3.0), out)
+    monkeypatch.setattr(part_files, "_write", write)
+    assert manifest(spark, out).count() == 1 and rows(runs.run_stitch(spark, out)) == first
+    again = open_run(spark, out, config(3.0))
+    assert [r["rank"] for r in again.done(spark).collect()] == [2]
+    with pytest.raises(RuntimeError, match="3 bricks"):
+        again.complete(spark)
+    stamp = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "out/generations").rglob("rank=2/*") if again.generation in str(p)}
+    before = stamp()
+    second = rows(runs.run_catalog(spark, voxels, config(3.0), out))
+    assert stamp() == before != {}, "a complete brick was written again"
+    assert second == rows(runs.run_catalog(spark, voxels, config(3.0))) != first and rows(runs.run_stitch(spark, out)) == second
+    _, _, _, meta = read_parts(spark, out)
+    got = meta.collect()
+    assert len(got) == 4 and {json.loads(r["config"])["threshold"] for r in got} == {3.0} and all(min(r["times"]) > 0 for r in got)
+    assert [r["number"] for r in manifest(spark, out).orderBy("number").collect()] == [1, 2]
+    with pytest.raises(FileNotFoundError, match="no completed run"):
+        current_run(spark, str(tmp_path / "nothing"))
+
+
 def test_stitch_npz_parts(spark, tmp_path):
     f = fields(6, 12)
     config = EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=3.4, dims=(2, 1, 1))

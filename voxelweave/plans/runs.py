@@ -17,7 +17,7 @@ from voxelweave.operators import spectra as S
 from voxelweave.operators.components import connected_components
 from voxelweave.scratch import Scratch, path_exists
 from voxelweave.sources import readers, sinks
-from voxelweave.sources.parts import brick_index, check_planes, read_npz_catalog, read_npz_planes, read_parts, write_parts
+from voxelweave.sources.parts import brick_index, check_planes, open_run, read_npz_catalog, read_npz_planes, read_parts
 
 
 def foreground(voxels: DataFrame, config: EngineConfig) -> DataFrame:
@@ -26,29 +26,44 @@ def foreground(voxels: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def run_catalog(spark: SparkSession, voxels: DataFrame, config: EngineConfig, out: str | None = None) -> DataFrame:
-    """The stitched catalog of one snapshot (``gid`` and its reductions), written with its settings if ``out`` is given."""
+    """The stitched catalog of one snapshot (``gid`` and its reductions).
+
+    With ``out``, parts, planes and metadata of each brick are written there (``sources.parts``), then the catalog with its
+    settings. A run that fails leaves the run before it whole; the next attempt at the same settings labels and writes
+    only the bricks that are missing.
+    """
     scratch, began = Scratch(spark, "run"), time.time()
-    full = labelled_cells(voxels, config, scratch)
+    run = open_run(spark, out, config) if out else None
+    full, loaded = labelled_cells(voxels, config, scratch, run.done(spark) if run else None)
     labelled = time.time()
-    edges = scratch.keep(labels.interface_edges(full, config.n, config.dims, config.periodic), "edges")
     parts = scratch.keep(C.unstitched_catalog(full, config.n, config.dims, config.spacing), "parts")
-    merged = C.stitched_catalog(parts, labels.stitched_roots(full, edges), edges, config.spacing, config.min_clump_cells).withColumnRenamed("root", "gid")
-    merged = merged.withColumns({"step": F.lit(config.step), "threshold": F.lit(float(config.threshold))}).orderBy("gid")
-    if out:
+    if run:
         planes = labels.face_planes(full, grid.brick_table(spark, config.n, config.dims, config.periodic))
-        write_parts(parts, planes, out, config, {"label": labelled - began, "reduce": time.time() - labelled})
+        run.write(parts, planes, {"load": loaded - began, "label": labelled - loaded, "reduce": time.time() - labelled})
+        run.complete(spark)
+        parts, planes, bricks, _ = read_parts(spark, out)
+        merged = stitch_parts(parts, planes, bricks, config.spacing, config.min_clump_cells)
+    else:
+        edges = scratch.keep(labels.interface_edges(full, config.n, config.dims, config.periodic), "edges")
+        merged = C.stitched_catalog(parts, labels.stitched_roots(full, edges), edges, config.spacing, config.min_clump_cells).withColumnRenamed("root", "gid")
+    merged = merged.withColumns({"step": F.lit(config.step), "threshold": F.lit(float(config.threshold))}).orderBy("gid")
+    if run:
         sinks.write_catalog(merged, out, config)
         scratch.drop()
         return spark.read.parquet(f"{out}/data")
     return merged
 
 
-def labelled_cells(voxels: DataFrame, config: EngineConfig, scratch: Scratch) -> DataFrame:
-    """Foreground cells with their fields and brick-local labels, written once for all that reads them."""
+def labelled_cells(voxels: DataFrame, config: EngineConfig, scratch: Scratch, done: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """Foreground cells with their fields and brick-local labels, written once for all that reads them, and the time when
+    the cells were loaded. Cells of bricks in ``done`` (``rank``) are left out."""
     cells = foreground(voxels, config).withColumn("cell_id", grid.cell_id(config.n))
+    if done is not None:
+        cells = grid.with_brick(cells, config.n, config.dims).join(F.broadcast(done), "rank", "left_anti").drop("rank", "ci", "cj", "ck")
     cells = scratch.keep(cells, "cells")
+    loaded = time.time()
     local = labels.brick_labels(cells, config.n, config.dims).drop("i", "j", "k")
-    return scratch.keep(cells.join(local, "cell_id"), "labelled")
+    return scratch.keep(cells.join(local, "cell_id"), "labelled"), loaded
 
 
 def stitch_parts(parts: DataFrame, planes: DataFrame, bricks: DataFrame, spacing: tuple[float, float, float], min_cells: int = 1) -> DataFrame:
@@ -61,7 +76,7 @@ def stitch_parts(parts: DataFrame, planes: DataFrame, bricks: DataFrame, spacing
 
 def run_stitch(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
     """Stitch a folder of parts: of this engine, or NPZ files with their sidecars."""
-    if path_exists(spark, f"{path}/planes"):
+    if path_exists(spark, f"{path}/manifest"):
         parts, planes, bricks, meta = read_parts(spark, path)
     else:
         meta = readers.read_part_index(spark, path)

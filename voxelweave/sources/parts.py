@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 
 from voxelweave.config import EngineConfig
 from voxelweave.operators import grid
-from voxelweave.sources.readers import read_part_index
+from voxelweave.scratch import Scratch, path_exists
+from voxelweave.sources.readers import META, read_part_index
 from voxelweave.sources.sinks import git_revision
 
 PLANES = "rank int, axis string, side string, u int, v int, local_id bigint"
@@ -20,26 +24,101 @@ PLANES = "rank int, axis string, side string, u int, v int, local_id bigint"
 SCALARS = ("label_ids", "cell_count", "num_cells", "volume", "mass", "area", "velocity_mean", "velocity_std")
 
 
+MANIFEST = "number int, generation string, config string, written timestamp"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that were completed under ``path``, one row each; the one of the greatest ``number`` is current."""
+    where = f"{path}/manifest"
+    return spark.read.schema(MANIFEST).json(where) if path_exists(spark, where) else spark.createDataFrame([], MANIFEST)
+
+
+def current_run(spark: SparkSession, path: str) -> str:
+    """Folder of the last completed run under ``path``; FileNotFoundError if there is none."""
+    last = manifest(spark, path).agg(F.max_by("generation", "number")).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"no completed run under {path}")
+    return f"{path}/generations/{last}"
+
+
+@dataclass(frozen=True)
+class PartRun:
+    """A run that is being written: a folder of its own, of which nothing is read before it is complete.
+
+    A brick is done when its metadata is there, which is written after its rows and planes. ``open_run`` finds what an
+    earlier attempt at the same settings has left, so that only missing bricks are written; a brick that is written again
+    replaces what a failed attempt left of it (partitions by ``rank``, overwritten one by one).
+    """
+
+    path: str
+    number: int
+    generation: str
+    config: EngineConfig
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/generations/{self.generation}"
+
+    def done(self, spark: SparkSession) -> DataFrame:
+        """``rank`` of the bricks that are complete."""
+        where = f"{self.folder}/part_meta"
+        return spark.read.schema(META).json(where).select("rank") if path_exists(spark, where) else spark.createDataFrame([], "rank int")
+
+    def write(self, parts: DataFrame, planes: DataFrame, times: dict[str, float] | None = None) -> None:
+        """Catalog rows, planes and metadata of the bricks that are missing. ``times`` are seconds of the run's steps."""
+        spark, config = parts.sparkSession, self.config
+        done = F.broadcast(self.done(spark))  # one row a brick
+        todo = Scratch(spark, "todo").keep(grid.brick_table(spark, config.n, config.dims, config.periodic).join(done, "rank", "left_anti"), "bricks")
+        own = lambda df: df.join(F.broadcast(todo.select("rank")), "rank", "left_semi")
+        _write(own(parts), f"{self.folder}/parts", "parquet")
+        _write(own(planes), f"{self.folder}/planes", "parquet")
+        count = spark.read.schema(parts.schema).parquet(f"{self.folder}/parts").groupBy("rank").agg(F.count("*").alias("K"))
+        _write(self._metadata(todo.join(count, "rank", "left"), times or {}), f"{self.folder}/part_meta", "json")
+
+    def _metadata(self, bricks: DataFrame, times: dict[str, float]) -> DataFrame:
+        config = self.config
+        flags = lambda values: F.array(*(F.lit(v) for v in values))
+        return bricks.select(
+            "rank", F.array("ci", "cj", "ck").alias("coords"), flags(config.dims).alias("cart_dims"), F.array(*(F.col(c).cast("bigint") for c in ("i0", "i1", "j0", "j1", "k0", "k1"))).alias("node_bbox_ijk"),
+            F.coalesce("K", F.lit(0)).alias("K"), F.lit("parts").alias("output_npz"),
+            F.struct(F.lit(config.n).alias("Nres"), *(F.lit(float(v)).alias(f"d{a}") for v, a in zip(config.spacing, "xyz", strict=True)), flags([float(v) for v in config.origin]).alias("origin"), flags(config.periodic).alias("periodic")).alias("grid"),
+            F.struct(F.lit(config.connectivity).alias("connectivity"), F.lit(config.cut_by).alias("cut_by"), F.lit(config.cut_op).alias("cut_op"), F.lit(float(config.threshold)).alias("threshold"), F.lit(config.ghost_width).alias("ghost_width")).alias("labeling"),
+            F.struct(F.lit(config.overlap_width).alias("overlap_width"), F.lit(config.min_clump_cells).alias("min_clump_cells_deferred")).alias("stitching"),
+            F.struct(F.lit(config.step).alias("step")).alias("dataset"),
+            F.struct(*(F.lit(float(times.get(k, 0.0))).alias(k) for k in ("load", "label", "reduce"))).alias("times"), F.lit(git_revision()).alias("git_rev"), F.lit(_snapshot(config)).alias("config"),
+        )
+
+    def complete(self, spark: SparkSession) -> None:
+        """Make this run the current one: one row more in the manifest. RuntimeError if a brick is missing."""
+        missing = grid.brick_table(spark, self.config.n, self.config.dims, self.config.periodic).join(self.done(spark), "rank", "left_anti").count()
+        if missing:
+            raise RuntimeError(f"{missing} bricks of the run are missing")
+        row = spark.range(1).select(F.lit(self.number).alias("number"), F.lit(self.generation).alias("generation"), F.lit(_snapshot(self.config)).alias("config"), F.current_timestamp().alias("written"))
+        row.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
+
+def _snapshot(config: EngineConfig) -> str:
+    return json.dumps(asdict(config), sort_keys=True)
+
+
+def _write(df: DataFrame, path: str, kind: str) -> None:
+    df.repartition("rank").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rank").format(kind).save(path)
+
+
+def open_run(spark: SparkSession, path: str, config: EngineConfig) -> PartRun:
+    """The run to write next under ``path``: a fresh one, or an attempt at the same settings that was not completed (which
+    must have been over the same voxels)."""
+    last = manifest(spark, path).agg(F.max("number")).first()[0] or 0
+    digest = hashlib.sha256(_snapshot(config).encode()).hexdigest()[:16]
+    return PartRun(path, last + 1, f"{last + 1:06d}-{digest}", config)
+
+
 def write_parts(parts: DataFrame, planes: DataFrame, path: str, config: EngineConfig, times: dict[str, float] | None = None) -> None:
-    """``path/parts`` (catalog rows by rank), ``path/planes`` and ``path/part_meta`` (a JSON file a brick, also where a brick
-    has no structure). ``times`` are seconds of the run's steps."""
-    spark = parts.sparkSession
-    parts.write.mode("overwrite").partitionBy("rank").parquet(f"{path}/parts")
-    planes.write.mode("overwrite").partitionBy("axis").parquet(f"{path}/planes")
-    bricks = grid.brick_table(spark, config.n, config.dims, config.periodic)
-    count = spark.read.schema(parts.schema).parquet(f"{path}/parts").groupBy("rank").agg(F.count("*").alias("K"))
-    spacing = config.spacing
-    flags = lambda values: F.array(*(F.lit(v) for v in values))
-    meta = bricks.join(count, "rank", "left").select(
-        "rank", F.array("ci", "cj", "ck").alias("coords"), flags(config.dims).alias("cart_dims"), F.array(*(F.col(c).cast("bigint") for c in ("i0", "i1", "j0", "j1", "k0", "k1"))).alias("node_bbox_ijk"),
-        F.coalesce("K", F.lit(0)).alias("K"), F.lit("parts").alias("output_npz"),
-        F.struct(F.lit(config.n).alias("Nres"), *(F.lit(float(v)).alias(f"d{a}") for v, a in zip(spacing, "xyz", strict=True)), flags([float(v) for v in config.origin]).alias("origin"), flags(config.periodic).alias("periodic")).alias("grid"),
-        F.struct(F.lit(config.connectivity).alias("connectivity"), F.lit(config.cut_by).alias("cut_by"), F.lit(config.cut_op).alias("cut_op"), F.lit(float(config.threshold)).alias("threshold"), F.lit(config.ghost_width).alias("ghost_width")).alias("labeling"),
-        F.struct(F.lit(config.overlap_width).alias("overlap_width"), F.lit(config.min_clump_cells).alias("min_clump_cells_deferred")).alias("stitching"),
-        F.struct(F.lit(config.step).alias("step")).alias("dataset"),
-        F.struct(*(F.lit(float((times or {}).get(k, 0.0))).alias(k) for k in ("load", "label", "reduce"))).alias("times"), F.lit(git_revision()).alias("git_rev"),
-    )
-    meta.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{path}/part_meta")
+    """Write catalog rows and planes of all bricks as the current run under ``path``: ``generations/ID/parts``, ``planes`` and
+    ``part_meta`` (JSON, by rank, also where a brick has no structure), then a row of ``manifest``."""
+    run = open_run(parts.sparkSession, path, config)
+    run.write(parts, planes, times)
+    run.complete(parts.sparkSession)
 
 
 def brick_index(meta: DataFrame) -> DataFrame:
@@ -84,11 +163,12 @@ def check_planes(meta: DataFrame, bricks: DataFrame) -> None:
 
 
 def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Catalog rows, planes, bricks (``brick_index``) and metadata of a run's parts, checked."""
-    meta = read_part_index(spark, f"{path}/part_meta")
+    """Catalog rows, planes, bricks (``brick_index``) and metadata of the current run under ``path``, checked."""
+    where = current_run(spark, path)
+    meta = read_part_index(spark, f"{where}/part_meta")
     bricks = brick_index(meta)
     check_planes(meta, bricks)
-    return spark.read.parquet(f"{path}/parts"), spark.read.schema(PLANES).parquet(f"{path}/planes"), bricks, meta
+    return spark.read.parquet(f"{where}/parts"), spark.read.schema(PLANES).parquet(f"{where}/planes"), bricks, meta
 
 
 def _npz_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ RECORDS = {"dens": "cons_cons_density_{}", "etot": "cons_cons_total_energy_densi
 LABEL_SIGNS = (("⟨v⟩", "v_mean"), ("σ", "sigma"), (" ", "_"), ("-", "_"))
 META = (
     "rank int, coords array<int>, cart_dims array<int>, node_bbox_ijk array<bigint>, grid struct<periodic: array<boolean>, Nres: int, dx: double, dy: double, dz: double>, "
-    "output_npz string, K bigint"
+    "output_npz string, K bigint, times struct<load: double, label: double, reduce: double>, git_rev string, config string"
 )
 
 
