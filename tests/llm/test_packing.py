@@ -109,11 +109,23 @@ def test_no_more_sequences_than_best_fit_decreasing(spark):
         rows = [(i, 0, int(n)) for i, n in enumerate(lengths)]
         frame_ = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint")
         want = best_fit_decreasing(lengths.tolist(), capacity)
-        for range_rows in (10_000, 150) if k == 1 else (10_000,):
+        packed = []
+        for range_rows in (10_000, 150) if k in (1, 3) else (10_000,):
             got = packing.pack(frame_, capacity, range_rows=range_rows).collect()
             assert sorted(tuple(r)[:3] for r in got) == rows
-            # ranges that open sequences may each leave one that is not full
-            assert check_layout(got, capacity) <= want + (0 if range_rows > 1000 else 3)
+            assert check_layout(got, capacity) <= want
+            packed.append(sorted(map(tuple, got)))
+        assert all(p == packed[0] for p in packed)
+
+
+def test_range_size_does_not_change_the_packing(spark):
+    """Pieces of the length at which ranges used to open sequences of their own, and a hot length among others."""
+    rng = np.random.default_rng(11)
+    for lengths in (rng.integers(330, 520, 1500), np.concatenate([np.repeat(345, 700), rng.integers(1, 400, 700)])):
+        rows = [(i, 0, int(n)) for i, n in enumerate(lengths)]
+        frame_ = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint")
+        once, often = (sorted(map(tuple, packing.pack(frame_, 1024, range_rows=r).collect())) for r in (200_000, 200))
+        assert once == often
 
 
 def test_hot_length_and_empty(spark):

@@ -6,8 +6,11 @@ order downwards: a gap puts its slots on a stack, a piece takes the slot on top,
 holds it (its successor). Every range sweeps alone; what a range leaves over (pieces without a slot, slots without
 a piece) is settled by rank from one summary row a range, because leftover pieces of a range always take the last
 leftover slots of the ranges before. Then the gaps are updated, and the superstep is repeated with the pieces that
-are left; those that no gap holds open sequences. Counts by size (at most ``capacity`` numbers) only decide which
-gaps a superstep has to look at, and when a class is done.
+are left; those that no gap holds open sequences, in order of their rank over all ranges. Ties of size have one order,
+by hash, in every range and superstep, so the packing does not depend on where ranges end; a class that is one range
+runs the same supersteps in its one task, row for row with the same outcome (tests compare). Counts by size, before and
+after a superstep (at most half of ``capacity`` squared numbers), only decide which gaps a superstep has to look at, and
+when a class is done.
 
 Within a class a gap offers as many slots as it holds pieces of the class's largest length present, so a class of one
 length is exact best-fit-decreasing, as are the classes above a third of the capacity; the others come close to it
@@ -105,11 +108,13 @@ def sweep_range(size: np.ndarray, is_piece: np.ndarray, slots: np.ndarray) -> tu
     return to, first, left
 
 
-def finish_range(size: np.ndarray, is_piece: np.ndarray, ident: np.ndarray, hi: int, capacity: int) -> tuple[np.ndarray, dict[int, int]]:
+def finish_range(size: np.ndarray, is_piece: np.ndarray, ident: np.ndarray, tie: np.ndarray, hi: int, capacity: int) -> tuple[np.ndarray, dict[int, int]]:
     """Supersteps of a class that is one range, up to its end: sequence of each row's piece, and what each sequence takes.
 
-    Rows as in ``sweep_range``; ``ident`` is a gap's sequence, or a piece's number, which is the sequence's if it opens one.
+    Rows as in ``sweep_range``; ``ident`` is a gap's sequence, or a piece's number, which is the sequence's if it opens
+    one; ``tie`` orders equal sizes. The outcome is that of the same supersteps over many ranges, row by row.
     """
+    rank = dict(zip(ident[~is_piece].tolist(), tie[~is_piece].tolist(), strict=True))
     seq = np.where(is_piece, -1, ident)
     gap = dict(zip(ident[~is_piece].tolist(), size[~is_piece].tolist(), strict=True))
     load: dict[int, int] = dict.fromkeys(gap, 0)
@@ -128,7 +133,8 @@ def finish_range(size: np.ndarray, is_piece: np.ndarray, ident: np.ndarray, hi:
         sizes = np.concatenate([open_gaps[:, 0], size[todo]])
         piece = np.arange(len(sizes)) >= len(open_gaps)
         names = np.concatenate([open_gaps[:, 1], todo])
-        order = np.lexsort((names, piece, -sizes))
+        ties = np.concatenate([np.array([rank[s] for s in open_gaps[:, 1].tolist()], np.int64), tie[todo]])
+        order = np.lexsort((names, ties, piece, -sizes))
         to, _, _ = sweep_range(sizes[order], piece[order], np.maximum(1, sizes[order] // hi))
         goes = np.flatnonzero(to >= 0)
         rows, into = names[order[goes]], names[order[to[goes]]]
@@ -230,7 +236,8 @@ class _Supersteps:
         items = pieces.select(F.col("length").cast("int").alias("size_"), F.lit(True).alias("piece_"), F.lit(None).cast("bigint").alias("seq_"), *names, "rid_").unionByName(
             self.gap_table().where(keep).select(F.col("gap_").alias("size_"), F.lit(False).alias("piece_"), "seq_", *none)
         )
-        key = [F.col("size_").desc(), F.col("piece_").asc(), F.xxhash64("rid_", "seq_").asc()]
+        items = items.withColumn("tie_", F.xxhash64("rid_", "seq_"))
+        key = [F.col("size_").desc(), F.col("piece_").asc(), F.col("tie_").asc(), F.coalesce("rid_", "seq_").asc()]
         dealt = items.repartitionByRange(ranges, *key) if ranges > 1 else items.coalesce(1)
         alone = ranges == 1 and not partial
         swept = self.scratch.keep(dealt.mapInArrow(_sweeper(hi, self.capacity if alone else None), _swept_schema(items)), f"sweep_{self.step}")
@@ -279,8 +286,18 @@ class _Supersteps:
         least = min(r["size_"] for r in by_size if r["lost_"])
         if (done or partial) and max(self.sizes, default=0) >= least:
             return open_docs.select(*names, "rid_"), left
-        group = W.partitionBy("pid_", "group_").orderBy("rank_")
-        spread = open_docs.withColumn("group_", F.floor(F.col("rank_") / (self.capacity // hi))).withColumn("seq_", F.first("rid_").over(group))
+        # what is left of a range are its last pieces in rank; the pieces left in ranges before it come first
+        carried_off: dict[int, int] = {}
+        for p, _, count, _, _ in runs:
+            carried_off[p] = carried_off.get(p, 0) + count
+        shifts, before = [], 0
+        for p, lost_here, _ in sorted(summary):
+            shifts.append((int(p), before - carried_off.get(p, 0)))
+            before += lost_here - carried_off.get(p, 0)
+        shift = self.spark.createDataFrame(shifts, "p_ int, shift_ bigint")
+        place = F.floor((F.col("rank_") + F.col("shift_")) / (self.capacity // hi))
+        group = W.partitionBy("group_").orderBy("pid_", "rank_")
+        spread = open_docs.join(F.broadcast(shift), F.col("pid_") == F.col("p_")).withColumn("group_", place).withColumn("seq_", F.first("rid_").over(group))
         opened = self.scratch.keep(spread.select(*names, "rid_", "seq_"), f"opened_{self.step}")
         self.placed.append(opened)
         made = self.scratch.keep(opened.groupBy("seq_").agg((F.lit(self.capacity) - F.sum("length")).cast("int").alias("gap_")), f"made_{self.step}")
@@ -303,8 +320,9 @@ def _sweeper(hi: int, capacity: int | None):
         t = pa.Table.from_batches(got)
         size, piece = t.column("size_").to_numpy(), t.column("piece_").to_numpy()
         ident = np.where(piece, t.column("rid_").fill_null(0).to_numpy(), t.column("seq_").fill_null(0).to_numpy())
-        order = np.lexsort((ident, piece, -size))
-        t, size, piece, ident = t.take(pa.array(order)), size[order], piece[order], ident[order]
+        tie = t.column("tie_").to_numpy()
+        order = np.lexsort((ident, tie, piece, -size))
+        t, size, piece, ident, tie = t.take(pa.array(order)), size[order], piece[order], ident[order], tie[order]
         n = len(size)
         if capacity is None:
             to, first, left = sweep_range(size, piece, np.maximum(1, size // hi))
@@ -314,7 +332,7 @@ def _sweeper(hi: int, capacity: int | None):
             rank = np.maximum(np.cumsum(piece & ~goes) - 1, 0)
             load = np.bincount(to[goes], size[goes], n).astype(np.int64)
         else:
-            seq, taken = finish_range(size, piece, ident, hi, capacity)
+            seq, taken = finish_range(size, piece, ident, tie, hi, capacity)
             first = left = rank = np.zeros(n, np.int64)
             load = np.array([0 if p else taken.pop(s) for p, s in zip(piece.tolist(), seq.tolist(), strict=True)], np.int64)
         t = t.set_column(t.schema.get_field_index("seq_"), "seq_", pa.array(seq, pa.int64(), mask=seq < 0))
