@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxelweave.llm import warc as A
@@ -34,8 +35,10 @@ def brute(data):
     return sorted(out, key=repr)
 
 
-def test_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [A.BROADCAST_ROWS, 0])
+def test_round_trip(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(A, "CLASSES", ((100, 7), (300, 3), (None, 1)))
+    monkeypatch.setattr(A, "BROADCAST_ROWS", broadcast_rows)
     data = rows()
     captures = A.archive_pages(pages(spark, data))
     assert sorted(map(tuple, A.capture_digest(captures).collect()), key=repr) == brute(data)

@@ -192,7 +192,9 @@ def archive_pages(
     small_batches(spark)
     scratch = Scratch(spark, "warc")
     table = payload_table(pages, id_col, body_col, url_col)
-    write_archives(choose_responses(table, min_bytes, scratch), scratch.path("archives"), date)
+    # written once: each size class reads it, and the numbers that tell repeated ids apart stay as they are
+    chosen = scratch.keep(choose_responses(table, min_bytes, scratch), "chosen", codec="zstd")
+    write_archives(chosen, scratch.path("archives"), date)
     return assemble(scratch.keep(read_archives(spark, scratch.path("archives"), with_payload), "records"))
 
 
