@@ -8,13 +8,16 @@ from voxelweave.llm import toxicity as T
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits, where two neighbouring letters that change places are one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[j] = min(new[j], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
 
 
 def hits(automaton, words):
@@ -34,7 +37,10 @@ def test_automaton_is_levenshtein():
             w = list(t.text.decode())
             for _ in range(rng.randint(0, 3)):
                 p = rng.randrange(len(w))
-                w[p : p + rng.randint(0, 1)] = rng.choice([[], ["x"], ["a"]])
+                if rng.random() < 0.3:
+                    w[p : p + 2] = w[p : p + 2][::-1]
+                else:
+                    w[p : p + rng.randint(0, 1)] = rng.choice([[], ["x"], ["a"]])
                 w = w or ["x"]
             words.append("".join(w))
     got = hits(a, words)
@@ -85,6 +91,67 @@ def test_held_out_accuracy_misspellings_and_quotes(spark):
     assert got[9003]["score"] == got[9004]["score"]
 
 
+def test_terms_of_any_length(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        w = prose(rng, 40).split()
+        for bad in ("zob", "qx", "interminablygrotesqueword") if toxic else ():
+            w.insert(rng.randrange(len(w)), bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    texts, y = [r[1] for r in rows], np.array([x[1] for x in labels], float)
+    terms = {t.text: t.stem for t in T.learn_lexicon(texts, y)}
+    assert all(terms.get(bad) is False for bad in (b"zob", b"qx", b"interminablygrotesqueword")), terms
+    clean = prose(rng, 40)
+    extra = [(1000, f"{clean} zob qx"), (1001, f"{clean} zobs qxa"), (1002, clean), (1003, f"{clean} interminalbygrotesqueword zob")]
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in T.toxicity_scores(frame(spark, rows + extra), lab).collect()}
+    assert (got[1000], got[1001], got[1002], got[1003]) == (1, 0, 0, 1)
+
+
+def brute_features(text, terms, window):
+    """Features of one text by plain search of its words."""
+    raw, words, at = text.encode(), [], 0
+    letter = lambda c: bool(T.LETTER[c])
+    while at < len(raw):
+        end = at
+        while end < len(raw) and letter(raw[end]):
+            end += 1
+        if end > at:
+            words.append((at, end))
+        at = max(end, at + 1)
+    sums, hits_ = [0.0, 0.0, 0.0], 0
+    mark = lambda part: any(c in b"\"`<\xab\xbb" for c in part)
+    for a, b in words:
+        w = raw[a:b].decode("latin-1").lower() if raw[a:b].isascii() else raw[a:b].decode("latin-1")
+        found = []
+        for n, t in enumerate(terms):
+            x = t.text.decode("latin-1")
+            k = 0 if t.stem else next((k for size, k in T.EDITS if len(x) >= size), 0)
+            if t.stem and w.startswith(x):
+                found.append((0, n))
+            elif not t.stem and w[0] == x[0] and distance(x[1:], w[1:]) <= k:
+                found.append((distance(x[1:], w[1:]), n))
+        if found:
+            e, n = min(found)
+            quoted = mark(raw[max(0, a - window) : a]) and mark(raw[b : b + window])
+            sums[2 if quoted else 1 if e else 0] += terms[n].weight
+            hits_ += 1
+    return [*np.log1p(sums), np.log1p(100 * hits_ / max(1, len(words)))]
+
+
+def test_features_are_those_of_a_plain_search():
+    terms = [T.Term(b"vileword", False, 2.0), T.Term(b"zob", False, 1.5), T.Term(b"grum", True, 1.0), T.Term(b"interminable", False, 0.5)]
+    automaton, rng = T.Automaton(terms), random.Random(9)
+    pool = ["vileword", "Vilewrod", "vilwrd", "zob", "zbo", "grumble", "Grum", "interminbale", "intreminbale", '"', "`", "<x>", "«", "»", "ok", "é", "漢字", "so."]
+    texts = ["", "zob"] + [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    got = T.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), terms, automaton, 12)
+    assert np.allclose(got, [brute_features(t, terms, 12) for t in texts])
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     rows = awkward()

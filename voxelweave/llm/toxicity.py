@@ -1,8 +1,9 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learnt from labelled texts: whole words and word stems that separate the classes. Its trie
-is intersected with Levenshtein automata (one edit for words of five letters or more, two from ten; stems
-exactly; the first letter as given) and compiled into one deterministic table over byte classes, which numpy
+is intersected with Levenshtein automata (one edit for words of five letters or more, two from ten, where two
+neighbouring letters that change places are one edit; shorter words and stems exactly; the first letter as given) and
+compiled into one deterministic table over byte classes, which numpy
 drives over all words of a block at once. A hit counts as quoted if quotation marks or reporting signs stand
 within its context window on both sides. Exact, misspelled and quoted hits have weights of their own.
 """
@@ -42,7 +43,10 @@ class Term:
 
 
 class Automaton:
-    """Deterministic product of the lexicon trie with the terms' Levenshtein automata.
+    """Deterministic product of the lexicon trie with the terms' Levenshtein automata, with transpositions.
+
+    A state is a set of ``((node, due), edits)``: ``due`` is the letter that has to come next to end a transposition
+    that leads to ``node`` (-1: none is open).
 
     ``table[state, class]`` is the next state (0: dead, 1: start); ``exact`` and ``fuzzy`` give the term that
     a word ending in a state matches (-1: none). A finished stem keeps its state, whatever follows.
@@ -70,44 +74,50 @@ class Automaton:
             self.byte_class[c] = j
         end_edits = {n: 0 if terms[t].stem else next((k for size, k in EDITS if len(terms[t].text) >= size), 0) for n, t in ends.items()}
 
-        def close(state: dict[int, int]) -> frozenset:
+        def close(state: dict[tuple[int, int], int]) -> frozenset:
             """Skip term letters at one edit each; keep the cheapest way to every trie node."""
             todo = list(state.items())
             while todo:
-                node, e = todo.pop()
-                if node == 0:
+                (node, due), e = todo.pop()
+                if node == 0 or due >= 0:
                     continue  # the first letter is always read
                 for kid in children[node].values():
-                    if e + 1 <= most[kid] and state.get(kid, 99) > e + 1:
-                        state[kid] = e + 1
-                        todo.append((kid, e + 1))
+                    if e + 1 <= most[kid] and state.get((kid, -1), 99) > e + 1:
+                        state[kid, -1] = e + 1
+                        todo.append(((kid, -1), e + 1))
             return frozenset(state.items())
 
         def step(state: frozenset, c: int) -> frozenset:
-            out: dict[int, int] = {}
+            out: dict[tuple[int, int], int] = {}
 
-            def put(node: int, e: int) -> None:
-                if e <= most[node] and out.get(node, 99) > e:
-                    out[node] = e
+            def put(node: int, e: int, due: int = -1) -> None:
+                if e <= most[node] and out.get((node, due), 99) > e:
+                    out[node, due] = e
 
-            for node, e in state:
+            for (node, due), e in state:
+                if due >= 0:
+                    if due == c:
+                        put(node, e)
+                    continue
                 for ch, kid in children[node].items():
                     if ch == c:
                         put(kid, e)
                     elif node:
                         put(kid, e + 1)
+                        if c in children[kid]:
+                            put(children[kid][c], e + 1, ch)
                 if node:
                     put(node, e + 1)
             return close(out)
 
-        start = frozenset({(0, 0)})
+        start = frozenset({((0, -1), 0)})
         number, todo = {frozenset(): 0, start: 1}, [start]
         rows: dict[int, list[int]] = {0: [0] * (len(chars) + 1)}
         exact, fuzzy = {}, {}
         while todo:
             state = todo.pop()
             me = number[state]
-            found = sorted((e, ends[n]) for n, e in state if n in ends and e <= end_edits[n])
+            found = sorted((e, ends[n]) for (n, due), e in state if due < 0 and n in ends and e <= end_edits[n])
             exact[me] = next((t for e, t in found if e == 0), -1)
             fuzzy[me] = found[0][1] if found and found[0][0] else -1
             if exact[me] >= 0 and terms[exact[me]].stem:
@@ -152,12 +162,12 @@ class Automaton:
 
 
 def learn_lexicon(texts: list[str], labels: np.ndarray, share: float = 0.02, ratio: float = 4.0, covers: int = 6) -> list[Term]:
-    """Words and stems (4 to 12 bytes) that occur in ``ratio`` times the share of label-1 texts, chosen greedily.
+    """Whole words of any length and stems (4 to 12 bytes) that occur in ``ratio`` times the share of label-1 texts, chosen greedily.
 
     Each choice explains the most label-1 texts that fewer than ``covers`` terms explain so far; it is lengthened as long as it
     keeps 95 of 100 of its texts, and is a whole word if that word alone keeps them; then other candidates
-    with the same first four bytes in those texts are left. It ends where no candidate explains ``share`` of the label-1
-    texts (five at least) any more. Words under four bytes are never terms.
+    with the same first four bytes in those texts are left (a shorter word only leaves itself). It ends where no candidate
+    explains ``share`` of the label-1 texts (five at least) any more.
     """
     known: dict[int, bytes] = {}
     per_doc: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
@@ -171,8 +181,6 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, share: float = 0.02, rat
     def keys(text: str, keep: np.ndarray | None) -> np.ndarray:
         raw = FOLD[np.frombuffer(text.encode(), np.uint8)]
         s, e, _ = segments(LETTER[raw], np.array([0, len(raw)]))
-        long = e - s >= 4
-        s, e = s[long], e[long]
         if not len(s):
             return np.zeros(0, np.uint64)
         whole = span_hashes(raw, s, e) ^ np.uint64(1)
@@ -210,6 +218,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, share: float = 0.02, rat
     member = [np.searchsorted(candidates, per_doc[i]) for i in order[:n1]]
     counts_toxic = np.bincount(np.concatenate(member), minlength=len(candidates)).astype(float)
     good = counts_toxic / n1 >= ratio * (clean + 0.5) / n0
+    akin = lambda word, text: word.startswith(text) if len(text) >= 4 else word == text
     open_docs, cover, terms = set(range(n1)), np.zeros(n1, int), []
     sets = [set(m[good[m]].tolist()) for m in member]
     while open_docs:
@@ -221,7 +230,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, share: float = 0.02, rat
             break
         text, stem = known[int(candidates[j])], True
         docs = [d for d in open_docs if j in sets[d]]
-        longer = Counter(i for d in docs for i in sets[d] if known[int(candidates[i])].startswith(text))
+        longer = Counter(i for d in docs for i in sets[d] if akin(known[int(candidates[i])], text))
         fits = [i for i, c in longer.items() if c >= 0.95 * n]
         pick = max(fits, key=lambda i: (len(known[int(candidates[i])]), i), default=j)
         text = known[int(candidates[pick])]
@@ -234,7 +243,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, share: float = 0.02, rat
         terms.append(Term(text, stem, float(np.log((counts_toxic[pick] + 0.5) / (n1 + 1)) - np.log((clean[pick] + 0.5) / (n0 + 1)))))
         cover[docs] += 1
         open_docs -= {d for d in docs if cover[d] >= covers}
-        related = {i for d in docs for i in sets[d] if known[int(candidates[i])].startswith(text[:4])}
+        related = {i for d in docs for i in sets[d] if akin(known[int(candidates[i])], text[:4])}
         for mine in sets:
             mine -= related
     return terms
