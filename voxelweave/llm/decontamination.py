@@ -36,8 +36,9 @@ from voxelweave.llm.toxicity import FOLD, LETTER
 from voxelweave.scratch import Scratch
 
 BITS, REPEATS, PERIOD, REACH, SHORT = 2, 8, 8, 1.0, 8
-#: Bytes of items handled at once; a larger benchmark takes several passes over the rows, each written before the next.
-ITEM_BYTES = 16 << 20
+#: Bytes of items handled at once (an index of under 100 MB); a larger benchmark takes several passes over the rows, each
+#: written before the next.
+ITEM_BYTES = 3 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 

@@ -142,7 +142,7 @@ def nodes(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
 
 def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """A run of digit groups as mentions: whole, or, if it is too long for one number, cut around groups that
-    are card numbers alone. Under four digits it is none."""
+    are card numbers alone. Under four digits it is none: no kind has fewer (an ip has four)."""
     digits = sum(c in "0123456789" for c in text[start:end])
     if digits <= 15:
         return [(start, end)] if digits >= 4 else []
