@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelweave.config import EngineConfig
+from voxelweave.operators import catalog as C
 from voxelweave.operators import ml, models
 from voxelweave.operators import spectra as S
 from voxelweave.sources import readers, sinks
@@ -261,3 +262,23 @@ def test_stream(spark, tmp_path):
     b.awaitTermination(60)
     assert sum(seen) == 10
     assert io is not None
+
+
+def test_pair_histograms_are_hist2d_of_each_pair(spark):
+    nan = float("nan")
+    rows = [(1.0, 2.0, 3.0), (1.5, -1.0, 3.0), (4.0, 4.0, nan), (9.0, 1.0, 1.0), (None, 1.0, 2.0), (1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    edges = {"a": [1.0, 2.0, 4.0], "b": [1.0, 3.0, 5.0], "c": [0.5, 1.5, 3.0]}
+    got = sorted(map(tuple, S.pair_histograms(df, edges).collect()))
+    want = sorted((x, y, *r) for x, y in (("a", "b"), ("a", "c"), ("b", "c")) for r in map(tuple, S.hist2d(df, x, y, edges[x], edges[y]).collect()))
+    assert got == want and len(got) > 4
+    assert S.pair_histograms(df, {"a": edges["a"]}).count() == 0 and S.pair_histograms(df.limit(0), edges).count() == 0
+
+
+def test_subgraph_components(spark):
+    """Structure 1 lost the edge between its halves; edges to another structure or to unknown parts join nothing."""
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 8), (9, 8)], "gid bigint, root bigint")
+    edges = spark.createDataFrame([(1, 2), (3, 4), (2, 7), (3, 7), (4, 99), (8, 9), (9, 8), (8, 8)], "lo bigint, hi bigint")
+    got = sorted(map(tuple, C.subgraph_components(roots, edges).collect()))
+    assert got == [(1, 4, 2), (7, 1, 1), (8, 2, 1)]
+    assert C.subgraph_components(roots.limit(0), edges).count() == 0

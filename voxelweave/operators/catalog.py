@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.operators.components import connected_components
 from voxelweave.operators.derive import centre, pressure, speed
 from voxelweave.operators.grid import face_pairs, gid, split_axis
 from voxelweave.operators.labels import _ends
@@ -178,6 +179,20 @@ def split_components(mapping: DataFrame, whole: str, part: str, k: int = 5) -> D
     return mapping.groupBy(whole).agg(F.countDistinct(part).alias("parts")).where("parts > 1").orderBy(F.desc("parts"), whole).limit(k)
 
 
+def subgraph_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``first`` (smallest part), ``parts`` and ``components`` of every structure of ``roots`` (``gid, root``): its parts,
+    joined anew by those of ``edges`` (``lo, hi``) that have both ends in it. A structure is whole with one component.
+
+    All structures are contracted together; edges between two structures, or to unknown parts, join nothing.
+    """
+    end = lambda c: roots.select(F.col("gid").alias(c), F.col("root").alias(f"{c}_root"))
+    own = edges.join(end("lo"), "lo").join(end("hi"), "hi").where("lo_root = hi_root").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
+    found = connected_components(own, roots.select(F.col("gid").alias("id"))).select(F.col("id").alias("gid"), F.col("root").alias("part_"))
+    # one row a component first, so that a structure of most parts is no large set in one task
+    each = roots.join(found, "gid").groupBy("root", "part_").agg(F.count("*").alias("n_"), F.min("gid").alias("g_"))
+    return each.groupBy("root").agg(F.min("g_").alias("first"), F.sum("n_").alias("parts"), F.count("*").alias("components")).drop("root")
+
+
 def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``gid, degree``: distinct neighbours of each local component; isolated ones have 0."""
     ends = edges.where("lo <> hi").select("lo", "hi").distinct()

@@ -104,6 +104,19 @@ def hist2d(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: list[fl
     return rows.where("xbin IS NOT NULL AND ybin IS NOT NULL").groupBy("xbin", "ybin").agg(F.count("*").alias("n"))
 
 
+def pair_histograms(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Joint histograms of every pair of the named columns, in one scan and one aggregation: ``x, y, xbin, ybin, n``.
+
+    As ``hist2d`` for each pair: both values positive and finite, and inside their edges. Bins are found once a column.
+    """
+    names = list(edges)
+    bins = df.select(*(F.when(positive(n), bin_index(F.col(n).cast("double"), edges[n])).alias(f"b{i}") for i, n in enumerate(names)))
+    pairs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"b{i}").alias("xbin"), F.col(f"b{j}").alias("ybin")) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, xbin int, ybin int, n bigint")
+    return bins.select(F.inline(F.array(*pairs))).where("xbin IS NOT NULL AND ybin IS NOT NULL").groupBy("x", "y", "xbin", "ybin").agg(F.count("*").alias("n"))
+
+
 def dispersion3d(massw: bool = False) -> Column:
     """Three-dimensional velocity dispersion from the components' deviations."""
     s = "_massw" if massw else ""

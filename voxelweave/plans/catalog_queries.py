@@ -224,11 +224,8 @@ def pair_histograms(spark, d):
     """Joint histograms of every pair of features with at least 50 positive values on either side."""
     c, edges = catalog(spark, d), {"volume": EDGES, "mass": MASS_EDGES, "area": [1.0, 1.02, 1.05, 1.09], "velocity_std": STD_EDGES}
     enough = c.agg(*(F.count_if(S.positive(n)).alias(n) for n in NAMES)).first()
-    out = [S.hist2d(c, a, b, edges[a], edges[b]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "xbin", "ybin", "n") for i, a in enumerate(NAMES) for b in NAMES[i + 1 :] if min(enough[a], enough[b]) >= 50]
-    total = out[0]
-    for x in out[1:]:
-        total = total.union(x)
-    return total
+    shown = {n: edges[n] for n in NAMES if enough[n] >= 50}
+    return S.pair_histograms(c, shown).withColumnsRenamed({"x": "a", "y": "b"})
 
 
 def step_or_ordinal(spark, d):
@@ -304,11 +301,19 @@ def weighted_sample(spark, d):
     return ml.weighted_sample(catalog(spark, d).select("gid", "volume", "mass"), 500, "sqrt_volume")
 
 
+#: Edges of the fitted spectrum, and the fits that are straight lines in log10.
+FIT_EDGES = S.geometric_edges(900.0, 110000.0, 24)
+LINES = ("zipf", "power_law_49", "power_law")
+
+
 def nlls_model_fits(spark, d):
-    """The seven fitted curves: parameters, points, and whether the residuals are no larger than at fixed slopes."""
-    fits = models.fit_curves(S.size_spectrum(catalog(spark, d), "mass", S.geometric_edges(900.0, 110000.0, 24)), "mid", "spectrum")
-    worst = fits.where("model = 'zipf'").select(F.col("rss").alias("flat"))
-    return fits.crossJoin(F.broadcast(worst)).select("model", "k", ((F.col("rss") <= F.col("flat") * (1 + 1e-9)) | (F.col("model") == "power_law_49")).alias("no_worse"), (F.col("delta_aic") >= 0).alias("ranked"))
+    """The seven fitted curves: parameters, points, residuals and information of the straight lines (whose optimum has a
+    closed form), and whether the curves that contain a line are no worse than it."""
+    fits = models.fit_curves(S.size_spectrum(catalog(spark, d), "mass", FIT_EDGES), "mid", "spectrum")
+    lines = fits.where(F.col("model").isin(list(LINES))).agg(F.max(F.when(F.col("model") == "zipf", F.col("rss"))).alias("flat"))
+    line = F.col("model").isin(list(LINES))
+    held = F.when(F.col("model") == "power_law_49", F.lit(True)).otherwise(F.col("rss") <= F.col("flat") * (1 + 1e-9))
+    return fits.crossJoin(F.broadcast(lines)).select("model", "k", "n", F.when(line, F.round("rss", 6)).alias("rss"), F.when(line, F.round("aic", 4)).alias("aic"), held.alias("no_worse"), (F.col("delta_aic") >= 0).alias("ranked"))
 
 
 def dpl_mle_fit(spark, d):
@@ -461,7 +466,12 @@ SQL: dict[str, str] = {
     "dbscan_clusters": _db("TRUE", "c_acctbal / 1000", "c_nationkey / 5.0::DOUBLE", 0.25, 5) + " SELECT key, cluster IS NOT NULL AS clustered FROM o",
     "dbscan_sizes": _db("TRUE", "c_acctbal / 1000", "CAST(c_nationkey AS DOUBLE)", 0.2, 3) + ", g AS (SELECT cluster, count(*) AS n FROM o WHERE cluster IS NOT NULL GROUP BY 1) SELECT n, count(*) AS clusters FROM g GROUP BY n",
     "weighted_sample": CAT + " SELECT gid, volume, mass FROM c ORDER BY -ln((CAST('0x' || substr(md5('42|' || gid), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496) / sqrt(volume), gid LIMIT 500",
-    "nlls_model_fits": "SELECT * FROM (VALUES ('double_power_law', 6), ('double_power_law_fixed', 4), ('power_law_49', 1), ('power_law', 2), ('zipf', 1), ('beuermann_fixed', 5), ('beuermann', 7)) t(model, k), (SELECT TRUE AS no_worse, TRUE AS ranked)",
+    "nlls_model_fits": CAT + f", h AS (SELECT {_bin('mass', FIT_EDGES)} AS bin, count(*) AS n FROM c GROUP BY 1), p AS (SELECT log10(sqrt(lo * hi)) AS x, log10({_SPEC}) AS y FROM h JOIN {_edges(FIT_EDGES)} USING (bin) WHERE n > 0), "
+    "m AS (SELECT count(*) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM p), "
+    f"s AS (SELECT 'zipf' AS model, 0.0::DOUBLE AS b, m.* FROM m UNION ALL SELECT 'power_law_49', {-models.BETA_FIXED!r}::DOUBLE, m.* FROM m UNION ALL SELECT 'power_law', least(2.0::DOUBLE, greatest(-2.0::DOUBLE, sxy / sxx)), m.* FROM m), "
+    "r AS (SELECT model, syy - 2 * b * sxy + b * b * sxx AS rss FROM s), "
+    "t(model, k) AS (VALUES ('double_power_law', 6), ('double_power_law_fixed', 4), ('power_law_49', 1), ('power_law', 2), ('zipf', 1), ('beuermann_fixed', 5), ('beuermann', 7)) "
+    "SELECT model, k, n, round(rss, 6) AS rss, round(n * ln(rss / n) + 2 * k, 4) AS aic, TRUE AS no_worse, TRUE AS ranked FROM t LEFT JOIN r USING (model), (SELECT n FROM m)",
     "dpl_mle_fit": "SELECT model, k, n, TRUE AS nested, TRUE AS ranked FROM (VALUES ('power_law', 1), ('zipf', 0), ('power_law_49', 0), ('double_power_law', 4), ('double_power_law_fixed', 2)) t(model, k), (SELECT count(*) AS n FROM lineitem)",
     "dpl_fixed_optimum": CAT + ", " + _refined() + " SELECT 'double_power_law_fixed' AS model, n, round(nll, 1) AS nll FROM best12",
     "powerlaw_nll_grid": _NLLQ + " SELECT * FROM g",

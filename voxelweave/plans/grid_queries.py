@@ -352,6 +352,13 @@ def subgraph_degree(spark, d, n=N):
     return C.degrees(own, inside)
 
 
+def subgraph_connectivity(spark, d, n=N):
+    """Per structure: parts, and the components of its own parts and edges alone, found anew (one, if it is connected)."""
+    x, n = local(spark, d, n)
+    edges = labels.interface_edges(x.select("rank", "cell_id", "i", "j", "k", "label_ids"), n, DIMS)
+    return C.subgraph_components(labels.stitched_roots(x, edges), edges)
+
+
 QUERIES = {
     name: globals()[name]
     for name in (
@@ -360,7 +367,7 @@ QUERIES = {
         "clump_area_periodic clump_speed_stats clump_second_moments clump_principal_axes face_presence face_pair_bits local_labels_by_brick "
         "local_labels_with_halo unstitched_master gid_pack interface_edges interface_counts stitched_catalog min_cells_filter stitched_equals_direct "
         "majority_vote_mapping split_components_topk component_degree face_only_component_count baseline_totals brick_label_offsets root_set_difference "
-        "midplane_slice subgraph_degree interface_edges_open face_planes interface_totals stitch_from_parts stitch_from_parts_open part_metadata neighbor_edges_open"
+        "midplane_slice subgraph_degree subgraph_connectivity interface_edges_open face_planes interface_totals stitch_from_parts stitch_from_parts_open part_metadata neighbor_edges_open"
     ).split()
 } | {
     "neighbor_edges_6": _neighbours(6), "neighbor_edges_18": _neighbours(18), "neighbor_edges_26": _neighbours(26),
@@ -529,4 +536,8 @@ SQL: dict[str, str] = {
     "midplane_slice": f"WITH {CELLS} SELECT j, k, CAST(dens AS DOUBLE) AS dens, round(CAST(temp AS DOUBLE), 3) AS temp FROM cells WHERE i = 8",
     "subgraph_degree": STITCH + ", g AS (SELECT DISTINCT gid, root FROM z), t AS (SELECT root FROM g GROUP BY root ORDER BY count(*) DESC, root LIMIT 1), n AS (SELECT lo AS gid, hi AS o FROM ie WHERE lo <> hi UNION SELECT hi, lo FROM ie WHERE lo <> hi) "
     "SELECT g.gid, count(n.o) AS degree FROM g JOIN t USING (root) LEFT JOIN n USING (gid) GROUP BY 1",
+    "subgraph_connectivity": STITCH + ", g AS (SELECT DISTINCT gid, root FROM z), n AS (SELECT lo AS s, hi AS d FROM ie WHERE lo <> hi UNION SELECT hi, lo FROM ie WHERE lo <> hi), "
+    "own AS (SELECT n.s, n.d FROM n JOIN g a ON a.gid = n.s JOIN g b ON b.gid = n.d AND b.root = a.root), "
+    "w(gid, lab) AS (SELECT gid, gid FROM g UNION SELECT own.d, w.lab FROM w JOIN own ON own.s = w.gid WHERE w.lab < own.d), f AS (SELECT gid, min(lab) AS lab FROM w GROUP BY gid) "
+    "SELECT min(g.gid) AS first, count(*) AS parts, count(DISTINCT f.lab) AS components FROM g JOIN f USING (gid) GROUP BY g.root",
 }

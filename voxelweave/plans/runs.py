@@ -126,9 +126,8 @@ def feature_outputs(catalog: DataFrame, names: list[str], out: str, k: int = 3)
     ml.embedding(table, names, ("gid",)).write.mode("overwrite").parquet(f"{out}/embedding")
     limits = table.agg(*(f(F.when(S.positive(n), F.col(n))).alias(f"{s}_{n}") for n in names for s, f in (("lo", F.min), ("hi", F.max), ("n", F.count)))).first()
     edges = {n: S.log_edges(limits[f"lo_{n}"], limits[f"hi_{n}"], 60) for n in names if limits[f"n_{n}"] >= 50 and limits[f"hi_{n}"] > limits[f"lo_{n}"]}
-    pairs = [S.hist2d(table, a, b, edges[a], edges[b]).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "xbin", "ybin", "n") for i, a in enumerate(edges) for b in list(edges)[i + 1 :]]
-    if pairs:
-        reduce(DataFrame.unionByName, pairs).write.mode("overwrite").parquet(f"{out}/histograms")
+    if len(edges) > 1:
+        S.pair_histograms(table, edges).write.mode("overwrite").parquet(f"{out}/histograms")
 
 
 def sweep_catalogs(cells: DataFrame, n: int, field: str, thresholds: list[float], spacing: tuple[float, float, float], below: bool = True) -> DataFrame:
