@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.plans import catalog_queries, grid_queries, structure_queries
+from voxelweave.plans import catalog_queries, density_queries, grid_queries, structure_queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**grid_queries.QUERIES, **structure_queries.QUERIES, **catalog_queries.QUERIES}
+    return {**grid_queries.QUERIES, **structure_queries.QUERIES, **density_queries.QUERIES, **catalog_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**grid_queries.SQL, **structure_queries.SQL, **catalog_queries.SQL}
+    return {**grid_queries.SQL, **structure_queries.SQL, **density_queries.SQL, **catalog_queries.SQL}
