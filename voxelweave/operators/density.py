@@ -99,7 +99,7 @@ def _bounded(pairs: DataFrame, names: list[str], limit: float) -> DataFrame:
     return met.join(best, ["ca", "cb"]).where(F.col("least") <= F.col("best")).select("ca", "cb", "a", "b")
 
 
-def _closest(act: DataFrame, names: list[str], side: float, reach: float, scratch: Scratch, run: str) -> DataFrame:
+def closest_pairs(act: DataFrame, names: list[str], side: float, reach: float, scratch: Scratch, run: str) -> DataFrame:
     """``ca, cb, weight, src, dst``: of each two components the edge of least reachability, where that is within ``reach``."""
     d, cell = len(names), [f"c_{n}" for n in names]
 
@@ -111,7 +111,7 @@ def _closest(act: DataFrame, names: list[str], side: float, reach: float, scratc
     # half of the surroundings: a pair of cells meets once
     around = [o for o in itertools.product(range(-r, r + 1), repeat=d) if o >= (0,) * d and near(o)]
     there = F.array(*(F.struct(*(F.lit(x).cast("bigint").alias(c) for x, c in zip(o, cell, strict=True))) for o in around))
-    boxes = scratch.keep(_boxes(celled(0), names, cell), f"{run}_boxes")
+    boxes = _boxes(celled(0), names, cell)
     left = boxes.select("comp", F.col("box").alias("a_box"), *cell).withColumn("o", F.explode(there))
     left = left.select(F.col("comp").alias("a_comp"), "a_box", F.expr(" AND ".join(f"o.{c} = 0" for c in cell)).alias("same"), *((F.col(c) + F.col(f"o.{c}")).alias(c) for c in cell))
     met = left.join(boxes, cell).where((F.col("a_comp") != F.col("comp")) & (~F.col("same") | (F.col("a_comp") < F.col("comp"))))
@@ -140,7 +140,8 @@ def reachability_graph(df: DataFrame, key: str, names: list[str], min_points: in
     The core distance of a position is that of its ``min_points``-th nearest row, itself included; the mutual
     reachability of two positions is the greatest of both core distances and their distance. Returned are ``id, w, core,
     names`` (squared; null where there are fewer rows) and ``src, dst, weight``: at any height the components of this
-    graph are those of the complete graph of mutual reachability, so its spanning forest is one of the complete graph.
+    graph are those of the complete graph of mutual reachability, so its spanning forest is one of the complete graph. Its edges
+    grow with the positions, by a factor that ``min_points`` and the number of features decide.
 
     The graph grows by heights, each a fixed multiple of the one before. Positions of a cell as wide as the last height that
     were core there are one component already, and a cell has fewer than ``min_points`` others; so components of a
@@ -159,18 +160,20 @@ def reachability_graph(df: DataFrame, key: str, names: list[str], min_points: in
     least_core, apart = state.agg(F.min("core")).first()[0], near.where("place > 0").agg(F.min("d2")).first()[0]
     if least_core is None or apart is None:
         return points, graph
-    low, ratio = math.sqrt(max(least_core, apart)) * (1 - _NUDGE), 4.0 if d < 3 else 2.0
-    low = low or math.sqrt(5e-324)  # distances whose squares vanish
-    level = 0
-    while state.select("comp").distinct().limit(2).count() > 1:
-        level, high = level + 1, low * ratio
+    high, ratio = math.sqrt(max(least_core, apart)) * (1 - _NUDGE), 4.0 if d < 3 else 2.0
+    high = high or math.sqrt(5e-324)  # distances whose squares vanish
+    level, apart = 0, state.limit(2).count() > 1
+    while apart:
+        level, low, high = level + 1, high, high * ratio
         act = state.where(F.col("core") <= high * high)
-        found = scratch.keep(_closest(act, names, low / math.sqrt(d) * (1 - _NUDGE), high, scratch, f"level_{level}"), f"edges_{level}")
-        graph = found.select("src", "dst", "weight") if level == 1 else graph.unionByName(found.select("src", "dst", "weight"))
+        found = scratch.keep(closest_pairs(act, names, low / math.sqrt(d) * (1 - _NUDGE), high, scratch, f"level_{level}"), f"edges_{level}")
+        if found.isEmpty():
+            continue
+        graph = graph.unionByName(found.select("src", "dst", "weight"))
         roots = connected_components(found.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), None, scratch)
         moved = state.join(roots.select(F.col("id").alias("comp"), "root"), "comp", "left").select("id", *names, "core", F.coalesce("root", "comp").alias("comp"))
         state = scratch.keep(moved, f"state_{level}")
-        low = high
+        apart = state.select("comp").distinct().limit(2).count() > 1
     return points, graph
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.operators.components import connected_components
+from voxelweave.operators.density import closest_pairs
 from voxelweave.operators.spectra import dispersion3d
 from voxelweave.scratch import Scratch
 
@@ -165,7 +166,7 @@ def dbscan(df: DataFrame, key: str, names: list[str], eps: float, min_points: in
 
     Points lie in boxes of side eps / sqrt(d), so two points of one box are always neighbours: a box of ``min_points``
     is core as a whole, its points are one vertex, and no pair inside a box is looked at. Only points of boxes
-    that are not full are counted against the boxes around; full boxes meet the others once per point of the other side.
+    that are not full are counted against the boxes around; two full boxes meet by their closest pair.
     Coincident points are one weighted point, so a value that many rows share costs one row.
     """
     d = len(names)
@@ -175,7 +176,8 @@ def dbscan(df: DataFrame, key: str, names: list[str], eps: float, min_points: in
     same = df.groupBy(*names).agg(F.min(key).alias("id_"), F.count("*").alias("w_"))
     pts = same.select("*", *(F.floor(F.col(n) / side).cast("bigint").alias(b) for n, b in zip(names, box, strict=True)))
     full = pts.groupBy(*box).agg(F.sum("w_").alias("in_box"), F.min("id_").alias("box_id"))
-    pts = Scratch(df.sparkSession, "dbscan").keep(pts.join(full, box), "points")
+    scratch = Scratch(df.sparkSession, "dbscan")
+    pts = scratch.keep(pts.join(full, box), "points")
 
     def spread(p: DataFrame) -> DataFrame:
         for b in box:
@@ -190,14 +192,17 @@ def dbscan(df: DataFrame, key: str, names: list[str], eps: float, min_points: in
     # a core point's vertex is its own id, or its box's
     flagged = pts.join(core.withColumn("core_", F.lit(True)), "id_", "left").withColumn("core_", F.coalesce("core_", F.lit(False)) | (F.col("in_box") >= min_points))
     flagged = flagged.withColumn("vertex", F.when(F.col("in_box") >= min_points, F.col("box_id")).otherwise(F.col("id_")))
-    flagged = Scratch(df.sparkSession, "dbscan").keep(flagged, "flagged")
+    flagged = scratch.keep(flagged, "flagged")
     cores = flagged.where("core_")
+    # of two vertices in reach one pair of points is looked for, by halving boxes; not all pairs of two crowded boxes
+    links = closest_pairs(cores.select(F.col("id_").alias("id"), *names, F.lit(0.0).alias("core"), F.col("vertex").alias("comp")), names, side, eps, scratch, "links")
+    roots = connected_components(links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), cores.select(F.col("vertex").alias("id")), scratch)
     near = cores.select(*(F.col(n).alias(f"o_{n}") for n in names), F.col("vertex").alias("o_vertex"), F.col("box_id").alias("o_box"), *box)
-    met = spread(flagged.select(*names, "id_", "vertex", "core_", "box_id", *box)).join(near, box).where((F.col("vertex") != F.col("o_vertex")) & ((d2 <= eps * eps) | (F.col("box_id") == F.col("o_box"))))
-    met = met.select("id_", "vertex", "core_", "o_vertex").distinct()
-    roots = connected_components(met.where("core_").select(F.col("vertex").alias("src"), F.col("o_vertex").alias("dst")), cores.select(F.col("vertex").alias("id")))
+    # a box has fewer than min_points border points
+    met = spread(flagged.where("NOT core_").select(*names, "id_", "box_id", *box)).join(near, box).where((d2 <= eps * eps) | (F.col("box_id") == F.col("o_box")))
+    met = met.select("id_", "o_vertex").distinct()
     of_core = cores.join(roots, F.col("vertex") == F.col("id")).select("id_", F.col("root").alias("cluster"))
-    of_border = met.where("NOT core_").join(roots, F.col("o_vertex") == F.col("id")).groupBy("id_").agg(F.min("root").alias("cluster"))
+    of_border = met.join(roots, F.col("o_vertex") == F.col("id")).groupBy("id_").agg(F.min("root").alias("cluster"))
     named = same.join(of_core.union(of_border), "id_", "left").select(*names, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     return df.select(key, *names).join(named, names).select(key, "cluster")
 
