@@ -8,9 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tests.test_grid import brute
 from voxelweave.config import EngineConfig
+from voxelweave.operators import catalog as C
 from voxelweave.plans import runs
+from voxelweave.scratch import Scratch
 from voxelweave.sources import openpmd, readers
 from voxelweave.sources import parts as part_files
 from voxelweave.sources.parts import brick_index, check_planes, current_run, manifest, open_run, read_npz_planes, read_parts
@@ -168,3 +171,35 @@ def test_snapshot_reader(monkeypatch):
                 assert row["m2"] == pytest.approx(float(f["m2"][row["i"], row["j"], row["k"]]))
                 seen += 1
     assert seen == 64
+
+
+def _parts_columns(spark):
+    f = fields(6, 11)
+    config = EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=3.4, dims=(2, 2, 1))
+    full, _ = runs.labelled_cells(readers.field_table(spark, **f), config, Scratch(spark, "columns"))
+    return dict(C.unstitched_catalog(full, 6, (2, 2, 1), config.spacing).dtypes)
+
+
+def test_a_run_without_structures(spark, tmp_path):
+    """No cell passes the cut: the parts have metadata but no file of rows, and everything read from them is empty."""
+    out = str(tmp_path / "out")
+    config = EngineConfig(n=6, cut_by="density", cut_op="gt", threshold=99.0, dims=(2, 2, 1))
+    assert runs.run_catalog(spark, readers.field_table(spark, **fields(6, 11)), config, out).count() == 0
+    parts, planes, bricks, meta = read_parts(spark, out)
+    assert parts.count() == planes.count() == 0 and bricks.count() == 4 and [r["K"] for r in meta.collect()] == [0] * 4
+    assert runs.run_stitch(spark, out).count() == 0
+    assert dict(parts.dtypes) == _parts_columns(spark)
+
+
+@pytest.mark.parametrize("name, rows", [("part_metadata", 8)])
+def test_part_queries_where_no_cell_passes(spark, tmp_path, name, rows):
+    """One row a cell whose discount is above the threshold everywhere: the mask is empty, as on tables of many rows a cell."""
+    spark.range(64).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1D AS l_quantity", "0.09D AS l_discount", "0.01D AS l_tax", "1 AS l_linenumber", "'R' AS l_returnflag", "10D AS l_extendedprice"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
+    assert len(got) == rows
+    if name == "stitched_equals_direct":
+        assert got[0].asDict() == {"differences": 0, "clumps": 0, "cells": 0}
+    if name == "part_metadata":
+        assert {r["structures"] for r in got} == {0}

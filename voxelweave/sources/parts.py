@@ -20,6 +20,10 @@ from voxelweave.sources.readers import META, read_part_index
 from voxelweave.sources.sinks import git_revision
 
 PLANES = "rank int, axis string, side string, u int, v int, local_id bigint"
+_CENTRES = [f"centroid_{k}_{a}" for k in ("vol", "mass") for a in "xyz"]
+_BOXES = [f"{a}_{s}" for a in "ijk" for s in ("min", "max")]
+#: Columns of ``catalog.unstitched_catalog``, given to the reader since a run without any structure has no file.
+PARTS = ", ".join(["gid bigint", "label_ids int", "cell_count bigint", *(f"{c} double" for c in ("volume", "mass", *_CENTRES, "velocity_mean", "velocity_std")), *(f"{c} bigint" for c in _BOXES), "num_cells bigint", "area double", "rank int"])
 #: Names of the arrays of a part file.
 SCALARS = ("label_ids", "cell_count", "num_cells", "volume", "mass", "area", "velocity_mean", "velocity_std")
 
@@ -168,7 +172,7 @@ def read_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     meta = read_part_index(spark, f"{where}/part_meta")
     bricks = brick_index(meta)
     check_planes(meta, bricks)
-    return spark.read.parquet(f"{where}/parts"), spark.read.schema(PLANES).parquet(f"{where}/planes"), bricks, meta
+    return spark.read.schema(PARTS).parquet(f"{where}/parts"), spark.read.schema(PLANES).parquet(f"{where}/planes"), bricks, meta
 
 
 def _npz_files(spark: SparkSession, path: str) -> DataFrame:
@@ -177,7 +181,7 @@ def _npz_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_npz_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog rows of part files in NPZ form, with ``rank`` and ``gid``."""
-    cents, boxes = [f"centroid_{k}_{a}" for k in ("vol", "mass") for a in "xyz"], [f"{a}_{s}" for a in "ijk" for s in ("min", "max")]
+    cents, boxes = _CENTRES, _BOXES
     names = ["rank", *SCALARS, *cents, *boxes, "gid"]
     kinds = {"rank": "int", "label_ids": "int", "gid": "bigint", **dict.fromkeys(("cell_count", "num_cells", *boxes), "bigint")}
 
