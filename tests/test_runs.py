@@ -191,7 +191,7 @@ def test_a_run_without_structures(spark, tmp_path):
     assert dict(parts.dtypes) == _parts_columns(spark)
 
 
-@pytest.mark.parametrize("name, rows", [("part_metadata", 8), ("stitch_from_parts", 0), ("stitch_from_parts_open", 0)])
+@pytest.mark.parametrize("name, rows", [("part_metadata", 8), ("stitch_from_parts", 0), ("stitch_from_parts_open", 0), ("stitched_equals_direct", 1)])
 def test_part_queries_where_no_cell_passes(spark, tmp_path, name, rows):
     """One row a cell whose discount is above the threshold everywhere: the mask is empty, as on tables of many rows a cell."""
     spark.range(64).selectExpr(

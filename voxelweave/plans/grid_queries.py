@@ -293,7 +293,7 @@ def stitched_equals_direct(spark, d, n=N):
     cols = ["cell_count", "volume", "mass", "area", "i_min", "i_max", "j_min", "j_max", "k_min", "k_max"]
     tidy = lambda t: t.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in cols))
     diff = C.catalog_difference(tidy(cat), tidy(C.direct_catalog(y, n, spacing(n))))
-    return diff.agg(F.count("*").alias("differences")).crossJoin(cat.agg(F.count("*").alias("clumps"), F.sum("cell_count").alias("cells")))
+    return diff.agg(F.count("*").alias("differences")).crossJoin(cat.agg(F.count("*").alias("clumps"), F.coalesce(F.sum("cell_count"), F.lit(0)).alias("cells")))
 
 
 def majority_vote_mapping(spark, d, n=N):
