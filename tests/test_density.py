@@ -159,3 +159,23 @@ def test_edges_follow_the_rows(spark):
         names, df = points(spark, np.concatenate([rng.random((m, 2)), rng.random((m, 2)) + [3.0, 0.0]]))
         edges.append(density.reachability_graph(df, "id", names, 5)[1].count())
     assert edges[1] < 8 * edges[0], edges
+
+
+def test_exploded_copies_are_not_broadcast(spark):
+    """Spark rates copies at all depths, and of all heights, by the small file they come from: no join may send them all."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(0, 9, (400, 2)), 3)
+    names, df = points(spark, x)
+    scratch = Scratch(spark, "plans")
+    pts = scratch.keep(density.positions(df, "id", names), "positions")
+    plan = density.nearest(pts, names, 3, scratch)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_closest_pairs_meet_once_in_blocks(spark):
+    """Components a reach apart, at block borders and with negative places: every pair once, as by plain search."""
+    x = np.array([[-1.0, 0.0], [0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [-1.0, -1.0], [0.0, 1.0], [0.75, -0.5], [2.5, 2.5]])
+    act = spark.createDataFrame([(i, *map(float, p), 0.0, i) for i, p in enumerate(x)], "id bigint, x double, y double, core double, comp bigint")
+    got = [(r["ca"], r["cb"], r["weight"]) for r in density.closest_pairs(act, ["x", "y"], 0.25, 1.0, Scratch(spark, "blocks"), "t").collect()]
+    d2 = squares(x)
+    assert sorted(got) == sorted((i, j, d2[i, j]) for i in range(len(x)) for j in range(i + 1, len(x)) if d2[i, j] <= 1.0)

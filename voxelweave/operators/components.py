@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from voxelweave.scratch import Scratch
 
 
+#: Pointers of a round up to which they may be broadcast; Spark rates them by their file, which packs ids closely.
+SMALL = 100_000
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, scratch: Scratch | None = None, max_rounds: int = 200) -> DataFrame:
     """Label every vertex with the smallest vertex id it can reach.
 
@@ -46,6 +50,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sc
             up = hooks.select(F.col("v").alias("uv"), F.col("p").alias("up"))
             hooks = hooks.join(up, hooks.p == up.uv, "left").select("v", F.coalesce("up", "p").alias("p"))
         hooks = scratch.keep(hooks, f"cc_{run}_hooks_{r}")
+        if hooks.count() > SMALL:
+            hooks = hooks.hint("merge")
         to = hooks.select(F.col("v").alias(f"v{r}"), F.col("p").alias(f"p{r}"))
         labels = labels.join(to, labels.root == to[f"v{r}"], "left").select("id", F.coalesce(f"p{r}", "root").alias("root"))
         a, b = hooks.select(F.col("v").alias("sv"), F.col("p").alias("sp")), hooks.select(F.col("v").alias("dv"), F.col("p").alias("dp"))

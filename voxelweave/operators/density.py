@@ -8,7 +8,6 @@ principal components, for instance), not for dozens.
 
 from __future__ import annotations
 
-import itertools
 import math
 import uuid
 
@@ -35,6 +34,11 @@ def positions(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     return clean.groupBy(*names).agg(F.min("id").alias("id"), F.count("*").alias("w"))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is not to be broadcast: Spark rates a frame of exploded copies by the file it is read from."""
+    return df.hint("merge")
+
+
 def _squared(names: list[str], a: str, b: str) -> Column:
     return sum(((F.col(f"{a}{n}") - F.col(f"{b}{n}")) * (F.col(f"{a}{n}") - F.col(f"{b}{n}")) for n in names), F.lit(0.0))
 
@@ -60,8 +64,8 @@ def nearest(pts: DataFrame, names: list[str], k: int, scratch: Scratch | None =
 
     every = at_depths(0, DEPTH)
     dense = every.groupBy("depth", *cell).count().where(F.col("count") > k).select("depth", *cell)
-    deepest = every.join(dense, ["depth", *cell]).groupBy("id").agg(F.max("depth").alias("depth"))
-    asks = scratch.keep(fine.join(deepest, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0))), f"{run}_asks")
+    deepest = every.join(_shuffled(dense), ["depth", *cell]).groupBy("id").agg(F.max("depth").alias("depth"))
+    asks = scratch.keep(fine.join(_shuffled(deepest), "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0))), f"{run}_asks")
     span = asks.agg(F.min("depth"), F.max("depth")).first()
     side = F.lit(whole) / F.pow(F.lit(2.0), F.col("depth"))
     reach = math.ceil(math.sqrt(d)) if k else 0
@@ -74,7 +78,7 @@ def nearest(pts: DataFrame, names: list[str], k: int, scratch: Scratch | None =
         gap = gap + out * out
     asked = asked.where(gap <= side * side * d * (1 + 1e-6))
     others = at_depths(span[0] or 0, span[1] or 0).select(F.col("id").alias("n_id"), F.col("w").alias("n_w"), *(F.col(n).alias(f"n_{n}") for n in names), "depth", *cell)
-    met = asked.join(others, ["depth", *cell]).select(F.col("a_id").alias("id"), "n_id", "n_w", _squared(names, "a_", "n_").alias("d2"))
+    met = asked.join(_shuffled(others), ["depth", *cell]).select(F.col("a_id").alias("id"), "n_id", "n_w", _squared(names, "a_", "n_").alias("d2"))
     order = W.partitionBy("id").orderBy("d2", F.col("n_id") != F.col("id"), "n_id")
     return met.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") <= k)
 
@@ -86,17 +90,21 @@ def _boxes(pts: DataFrame, names: list[str], cell: list[str]) -> DataFrame:
     return got.select("comp", *cell, F.struct("*").alias("box"))
 
 
-def _bounded(pairs: DataFrame, names: list[str], limit: float) -> DataFrame:
-    """Pairs of boxes ``a, b`` whose least reachability may be the least of their components, and may be within ``limit``."""
+def _bounded(pairs: DataFrame, names: list[str], limit: float, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs of boxes ``a, b`` whose least reachability may be the least of their components, and may be within ``limit``.
+
+    The pairs in reach are written once, since the best of two components is taken from them and compared with them."""
     lo, hi = F.lit(0.0), F.lit(0.0)
     for n in names:
         a0, a1, b0, b1 = F.col(f"a.lo_{n}"), F.col(f"a.hi_{n}"), F.col(f"b.lo_{n}"), F.col(f"b.hi_{n}")
         out, across = F.greatest(b0 - a1, a0 - b1, F.lit(0.0)), F.greatest(b1 - a0, a1 - b0)
         lo, hi = lo + out * out, hi + across * across
     met = pairs.select("a", "b", F.greatest(lo, "a.near", "b.near").alias("least"), F.greatest(hi, "a.far", "b.far").alias("most")).where(F.col("least") <= limit)
-    met = met.withColumns({"ca": F.col("a.comp"), "cb": F.col("b.comp")})
+    met = scratch.keep(met.withColumns({"ca": F.col("a.comp"), "cb": F.col("b.comp")}), f"{name}_met")
     best = met.groupBy("ca", "cb").agg(F.min("most").alias("best"))
-    return met.join(best, ["ca", "cb"]).where(F.col("least") <= F.col("best")).select("ca", "cb", "a", "b")
+    kept = scratch.keep(met.join(_shuffled(best), ["ca", "cb"]).where(F.col("least") <= F.col("best")).select("ca", "cb", "a", "b"), name)
+    scratch.drop(f"{name}_met")
+    return kept
 
 
 def closest_pairs(act: DataFrame, names: list[str], side: float, reach: float, scratch: Scratch, run: str) -> DataFrame:
@@ -106,18 +114,25 @@ def closest_pairs(act: DataFrame, names: list[str], side: float, reach: float, s
     def celled(t: int) -> DataFrame:
         return act.select("*", *(F.floor(F.col(n) / side * float(1 << t)).cast("bigint").alias(c) for n, c in zip(names, cell, strict=True)))
 
-    r = math.ceil(reach / side) + 1
-    near = lambda o: sum((max(abs(x) - 1, 0) * side) ** 2 for x in o) <= (reach * (1 + 1e-6)) ** 2
-    # half of the surroundings: a pair of cells meets once
-    around = [o for o in itertools.product(range(-r, r + 1), repeat=d) if o >= (0,) * d and near(o)]
-    there = F.array(*(F.struct(*(F.lit(x).cast("bigint").alias(c) for x, c in zip(o, cell, strict=True))) for o in around))
-    boxes = _boxes(celled(0), names, cell)
-    left = boxes.select("comp", F.col("box").alias("a_box"), *cell).withColumn("o", F.explode(there))
-    left = left.select(F.col("comp").alias("a_comp"), "a_box", F.expr(" AND ".join(f"o.{c} = 0" for c in cell)).alias("same"), *((F.col(c) + F.col(f"o.{c}")).alias(c) for c in cell))
-    met = left.join(boxes, cell).where((F.col("a_comp") != F.col("comp")) & (~F.col("same") | (F.col("a_comp") < F.col("comp"))))
-    first = F.col("a_comp") < F.col("comp")
+    # a box goes to the blocks, as wide as the reach, where one in reach may begin; forwards only on the first axis, so that
+    # a pair meets once. Twice the side is more than the width of a box, whatever its bounds are rounded to.
+    wide = reach * (1 + 1e-6)
+    block = lambda x: F.floor(x / wide).cast("bigint")
+    boxes = _boxes(celled(0), names, cell).select("box")
+    left = boxes.withColumnRenamed("box", "a_box")
+    for i, (n, c) in enumerate(zip(names, cell, strict=True)):
+        low = F.col(f"a_box.lo_{n}")
+        left = left.withColumn(c, F.explode(F.sequence(block(low - wide - 2 * side if i else low), block(F.col(f"a_box.hi_{n}") + wide))))
+    right = boxes.select("box", *(block(F.col(f"box.lo_{n}")).alias(f"at_{c}") for n, c in zip(names, cell, strict=True)))
+    start, a_start = F.col(f"box.lo_{names[0]}"), F.col(f"a_box.lo_{names[0]}")
+    first = F.col("a_box.comp") < F.col("box.comp")
+    once = (a_start < start) | ((a_start == start) & first)
+    apart = lambda n: F.greatest(F.col(f"box.lo_{n}") - F.col(f"a_box.hi_{n}"), F.col(f"a_box.lo_{n}") - F.col(f"box.hi_{n}"), F.lit(0.0))
+    in_reach = sum((apart(n) * apart(n) for n in names), F.lit(0.0)) <= reach * reach
+    same_block = [F.col(c) == F.col(f"at_{c}") for c in cell]
+    met = left.join(_shuffled(right), [*same_block, F.col("a_box.comp") != F.col("box.comp"), once, in_reach])
     pairs = met.select(F.when(first, F.col("a_box")).otherwise(F.col("box")).alias("a"), F.when(first, F.col("box")).otherwise(F.col("a_box")).alias("b"))
-    kept = scratch.keep(_bounded(pairs, names, reach * reach), f"{run}_pairs_0")
+    kept = _bounded(pairs, names, reach * reach, scratch, f"{run}_pairs_0")
     t = 0
     while t < 40 and (kept.agg(F.max(F.greatest("a.n", "b.n"))).first()[0] or 0) > LEAF:
         t += 1
@@ -126,7 +141,7 @@ def closest_pairs(act: DataFrame, names: list[str], side: float, reach: float, s
         for x in "ab":
             own = parts.select(F.col("comp").alias(f"{x}_comp"), *(F.col(c).alias(f"{x}_{c}") for c in cell), F.col("box").alias(f"{x}_box"))
             kept = kept.join(own, [F.col(f"{x}.comp") == F.col(f"{x}_comp"), *(F.col(f"{x}.{c}") == F.col(f"{x}_{c}") for c in cell)])
-        kept = scratch.keep(_bounded(kept.select(F.col("a_box").alias("a"), F.col("b_box").alias("b")), names, reach * reach), f"{run}_pairs_{t}")
+        kept = _bounded(kept.select(F.col("a_box").alias("a"), F.col("b_box").alias("b")), names, reach * reach, scratch, f"{run}_pairs_{t}")
     for x in "ab":
         own = celled(t).select(F.col("comp").alias(f"{x}_comp"), *(F.col(c).alias(f"{x}_{c}") for c in cell), F.col("id").alias(f"{x}_id"), F.col("core").alias(f"{x}_core"), *(F.col(n).alias(f"{x}_{n}") for n in names))
         kept = kept.join(own, [F.col(f"{x}.comp") == F.col(f"{x}_comp"), *(F.col(f"{x}.{c}") == F.col(f"{x}_{c}") for c in cell)])
@@ -154,7 +169,7 @@ def reachability_graph(df: DataFrame, key: str, names: list[str], min_points: in
     near = scratch.keep(nearest(pts, names, max(min_points, 1), scratch), "nearest")
     upto = W.partitionBy("id").orderBy("place")
     reached = near.withColumn("rows", F.sum("n_w").over(upto)).groupBy("id").agg(F.min(F.when(F.col("rows") >= min_points, F.col("d2"))).alias("core"))
-    points = scratch.keep(pts.join(reached, "id").select("id", "w", "core", *names), "cores")
+    points = scratch.keep(pts.join(_shuffled(reached), "id").select("id", "w", "core", *names), "cores")
     graph = df.sparkSession.createDataFrame([], "src bigint, dst bigint, weight double")
     state = points.where("core IS NOT NULL").select("id", *names, "core", F.col("id").alias("comp"))
     least_core, apart = state.agg(F.min("core")).first()[0], near.where("place > 0").agg(F.min("d2")).first()[0]
@@ -190,7 +205,7 @@ def clusters_at(points: DataFrame, graph: DataFrame, heights: list[float], scrat
     own = at(points, "core").select(packed("id").alias("p"), "id", "w", F.col("l.level").alias("level"))
     roots = connected_components(at(graph, "weight").select(packed("src").alias("src"), packed("dst").alias("dst")), own.select(F.col("p").alias("id")), scratch)
     named = roots.select(F.col("id").alias("p"), F.expr(f"(root & {2 * half - 1}) - {half}").alias("cluster"))
-    return scratch.keep(own.join(named, "p").select("level", "id", "w", "cluster"), f"levels_{uuid.uuid4().hex[:6]}")
+    return scratch.keep(own.join(_shuffled(named), "p").select("level", "id", "w", "cluster"), f"levels_{uuid.uuid4().hex[:6]}")
 
 
 def stable_clusters(levels: DataFrame, heights: list[float], min_size: int, allow_single: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -242,5 +257,5 @@ def stable_clusters(levels: DataFrame, heights: list[float], min_size: int, allo
 def rows_of(df: DataFrame, key: str, names: list[str], found: DataFrame, points: DataFrame) -> DataFrame:
     """``key`` and the columns of ``found`` (by ``id``) for every row of ``df`` at a position that ``found`` names."""
     rows = df.select(F.col(key).alias("key_"), *(F.col(n).cast("double").alias(n) for n in names))
-    named = found.drop("w").join(points.select(*names, F.col("id")), "id").drop("id")
-    return rows.join(named, names).drop(*names).withColumnRenamed("key_", key)
+    named = found.drop("w").join(_shuffled(points.select(*names, F.col("id"))), "id").drop("id")
+    return rows.join(_shuffled(named), names).drop(*names).withColumnRenamed("key_", key)
