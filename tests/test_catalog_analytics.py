@@ -92,6 +92,19 @@ def test_sample_and_kmeans(sample):
     assert ml.kmeans(sample, ["volume", "mass"], 3, keep=("gid",)).select("cluster").distinct().count() == 3
 
 
+def test_kmeans_fits_on_small_partitions(spark, monkeypatch):
+    """However few the files, the fit gets partitions of FIT_ROWS rows, and finds clusters that lie apart."""
+    from pyspark.ml.clustering import KMeans
+
+    monkeypatch.setattr(ml, "FIT_ROWS", 50)
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, d: seen.append(d.rdd.glom().map(len).collect()) or fit(self, d))
+    df = spark.range(0, 600, 1, 1).selectExpr("id", "id % 3 * 100D + id / 600 AS x", "id % 3 * -50D AS y")
+    got = ml.kmeans(df, ["x", "y"], 3, keep=("id",)).collect()
+    assert len(seen[0]) == 12 and max(seen[0]) <= 60 and sum(seen[0]) == 600
+    assert len(got) == 600 and len({(r["id"] % 3, r["cluster"]) for r in got}) == 3
+
+
 def test_powerlaw_mle_recovers_slope(spark):
     u = np.random.default_rng(1).random(20000)
     a, lo, hi = -0.7, 0.0, 4.0

@@ -152,13 +152,24 @@ def factor_analysis(df: DataFrame, names: list[str], k: int, steps: int = 500) -
     return load, noise
 
 
+#: Rows of a partition that ``kmeans`` fits on. What it caches is several times as large as the rows in a file, and a task reads
+#: its partition's share of all of it.
+FIT_ROWS = 250_000
+
+
 def kmeans(df: DataFrame, names: list[str], k: int, seed: int = 42, keep: tuple[str, ...] = (), with_features: bool = False) -> DataFrame:
-    """Cluster standardised features: ``keep, cluster``, and the standardised features if asked for."""
+    """Cluster standardised features: ``keep, cluster``, and the standardised features if asked for.
+
+    The fit works on partitions of at most some ``FIT_ROWS`` rows, whatever the files' sizes. Features are dense, so rows are
+    taken in blocks.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    z = VectorAssembler(inputCols=names, outputCol="f_").transform(zscore(df, names, keep))
-    return KMeans(k=k, seed=seed, featuresCol="f_", predictionCol="cluster").fit(z).transform(z).select(*keep, "cluster", *(names if with_features else ()))
+    z, vector = zscore(df, names, keep), VectorAssembler(inputCols=names, outputCol="f_")
+    dealt = z.select(*names).repartition(math.ceil(df.count() / FIT_ROWS) or 1)
+    model = KMeans(k=k, seed=seed, featuresCol="f_", predictionCol="cluster", solver="block").fit(vector.transform(dealt))
+    return model.transform(vector.transform(z)).select(*keep, "cluster", *(names if with_features else ()))
 
 
 def dbscan(df: DataFrame, key: str, names: list[str], eps: float, min_points: int) -> DataFrame:

@@ -278,11 +278,17 @@ def embedding_plane(spark, d):
 def kmeans_clusters(spark, d):
     """Number of clusters, and whether they explain variance and (but for ties of the last step) rows are at the nearest centre."""
     z = ml.kmeans(_table(spark, d), NAMES, 4, keep=("gid",), with_features=True)
-    z = Scratch(spark, "kmeans").keep(z.withColumn("row", F.monotonically_increasing_id()), "assigned")
-    centres = z.groupBy("cluster").agg(*(F.avg(n).alias(f"c_{n}") for n in NAMES)).withColumnRenamed("cluster", "other")
-    d2 = sum(((F.col(n) - F.col(f"c_{n}")) * (F.col(n) - F.col(f"c_{n}")) for n in NAMES), F.lit(0.0))
-    met = z.crossJoin(F.broadcast(centres)).groupBy("row", "cluster").agg(F.min(F.struct(d2.alias("d"), "other")).alias("m"), F.min(F.when(F.col("cluster") == F.col("other"), d2)).alias("own"))
-    return met.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"), (F.avg((F.col("m.other") == F.col("cluster")).cast("int")) >= 0.98).alias("nearest"), (F.avg("own") < 0.8 * len(NAMES)).alias("explained"))
+    z = Scratch(spark, "kmeans").keep(z, "assigned")
+    # a few centres, one flat row: each structure is compared where it is, none is shuffled
+    centres = z.groupBy("cluster").agg(*(F.avg(n).alias(n) for n in NAMES)).agg(F.array_sort(F.collect_list(F.struct("cluster", *NAMES))).alias("c"))
+    flat = centres.select(*(F.get("c", F.lit(i))[n].alias(f"c{i}_{n}") for i in range(4) for n in ("cluster", *NAMES)))
+    d2 = lambda i: sum(((F.col(n) - F.col(f"c{i}_{n}")) * (F.col(n) - F.col(f"c{i}_{n}")) for n in NAMES), F.lit(0.0))
+    met = z.crossJoin(F.broadcast(flat)).select("cluster", *(d2(i).alias(f"d{i}") for i in range(4)), *(f"c{i}_cluster" for i in range(4))).withColumn("least", F.least("d0", "d1", "d2", "d3"))
+    met = met.select("cluster", *(F.coalesce(*(F.when(when(i), value(i)) for i in range(4))).alias(name) for name, when, value in (
+        ("nearest", lambda i: F.col(f"d{i}") == F.col("least"), lambda i: F.col(f"c{i}_cluster")),
+        ("own", lambda i: F.col(f"c{i}_cluster") == F.col("cluster"), lambda i: F.col(f"d{i}")),
+    )))
+    return met.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"), (F.avg((F.col("nearest") == F.col("cluster")).cast("int")) >= 0.98).alias("nearest"), (F.avg("own") < 0.8 * len(NAMES)).alias("explained"))
 
 
 def dbscan_clusters(spark, d):
