@@ -168,6 +168,17 @@ def test_likelihood_fits_recover_the_planted_model(spark):
     assert at_truth == pytest.approx(models.dpl_nll(np.array(truth), v, np.ones(len(v))), rel=1e-9)
 
 
+def test_equal_sizes_are_one_row_of_the_likelihood(spark):
+    """Forty sizes, whatever the number of structures: as many rows, and the likelihood of all values; zeros and infinities are out."""
+    sizes = np.random.default_rng(5).integers(1, 41, 3000)
+    df = spark.createDataFrame([(float(v),) for v in [*sizes, 0.0, np.inf]], "cell_count double")
+    exact = models.ExactLikelihood(df, "cell_count")
+    assert exact.rows.count() == 40 and exact.n == 3000
+    p = np.array([[1.0, -0.5, 0.7, 0.3], [0.8, 0.3, 1.5, -1.0]])
+    y = np.log10(sizes.astype(float))
+    assert exact(p) == pytest.approx([models.dpl_nll(q, y, np.ones(3000)) for q in p], rel=1e-12)
+
+
 def test_newton_stays_in_the_box():
     bowl = lambda q: ((q - [1.0, -2.0]) ** 2 * [1.0, 30.0]).sum(1) + 0.5 * (q[:, 0] - 1) * (q[:, 1] + 2)
     at, value = models.newton_in_box(bowl, np.array([0.0, 0.0]), np.array([-5.0, -5.0]), np.array([5.0, 5.0]))

@@ -192,15 +192,16 @@ class ExactLikelihood:
     """Negative log likelihood of the broken power law over all positive values of a column, unrounded.
 
     A call takes any number of settings (rows in the order of the bounds) and is one aggregation over the values, written
-    once as log10; only sums come back. The normalisation takes their least and greatest.
+    once as log10 (``rows``: ``y, w``; equal values are one row of weight ``w``, so sizes that are counts of cells cost their
+    distinct values); only sums come back. The normalisation takes their least and greatest.
     """
 
     def __init__(self, df: DataFrame, col: str, scratch: Scratch | None = None):
         x = F.col(col).cast("double")
         scratch = scratch or Scratch(df.sparkSession, "likelihood")
-        self.rows = scratch.keep(df.where((x > 0) & (x < float("inf"))).select(F.log10(x).alias("y")), "values")
-        r = self.rows.agg(F.count("*"), F.min("y"), F.max("y")).first()
-        self.n, self.lo, self.hi = r[0], r[1], r[2]
+        self.rows = scratch.keep(df.where((x > 0) & (x < float("inf"))).groupBy(F.log10(x).alias("y")).agg(F.count("*").alias("w")), "values")
+        r = self.rows.agg(F.sum("w"), F.min("y"), F.max("y")).first()
+        self.n, self.lo, self.hi = r[0] or 0, r[1], r[2]
 
     def __call__(self, settings: np.ndarray) -> np.ndarray:
         settings = np.atleast_2d(np.asarray(settings, float))
@@ -208,8 +209,8 @@ class ExactLikelihood:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(settings))
             for b in batches:
-                y = b.column(0).to_numpy()
-                total += [dpl_log_density(y, *p).sum() for p in settings]
+                y, w = b.column(0).to_numpy(), b.column(1).to_numpy()
+                total += [(w * dpl_log_density(y, *p)).sum() for p in settings]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(settings)), pa.int32()), pa.array(total)], names=["s", "total"])
 
         sums = self.rows.mapInArrow(run, "s int, total double").groupBy("s").agg(F.sum("total").alias("total")).collect()
@@ -272,7 +273,7 @@ def model_table(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
         y, w = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
         exact = ExactLikelihood(df, col)
         n, lo, hi = exact.n, exact.lo, exact.hi
-        s = float(exact.rows.agg(F.sum("y")).first()[0])
+        s = float(exact.rows.agg(F.sum(F.col("y") * F.col("w"))).first()[0])
         line = lambda a: nll_value(a - 1, n, s, lo, hi)
         alpha = golden_section(line, -2, 2)
         lower, upper = np.array(DPL_LOWER), np.array(DPL_UPPER)
