@@ -24,7 +24,7 @@ import logging
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -52,8 +52,19 @@ class Settings:
     fit_least: int = 3
 
 
-def measured(spark: SparkSession, tables: str, s: Settings) -> DataFrame:
-    """``catalog, grp, measure, size``: two rows a text and catalog. Catalogs of one table are measured in one scan."""
+def word_count(text: Column) -> Column:
+    """Runs of characters other than blanks (space, tab to carriage return) of a text, without cutting the words out: every
+    run of blanks becomes one mark, spelt with two blanks that the text no longer has, and the marks are counted."""
+    blank = reduce(lambda c, sep: F.replace(c, F.lit(sep), F.lit(" ")), "\t\n\x0b\x0c\r", F.concat(F.lit(" "), text, F.lit(" ")))
+    marked = F.replace(F.replace(blank, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"))
+    return F.length(marked) - F.length(F.replace(marked, F.lit("\t"))) - 1
+
+
+def measured(spark: SparkSession, tables: str, s: Settings, scratch: Scratch) -> DataFrame:
+    """``catalog, grp, measure, size``: two rows a text and catalog. Catalogs of one table are measured in one scan.
+
+    What is written is one row a text; the rows of its catalogs and measures come after, so that a text is measured once.
+    """
     by_table: dict[tuple[str, str], list[dict]] = {}
     for c in s.catalogs:
         by_table.setdefault((c["table"], c["text"]), []).append(c)
@@ -61,12 +72,10 @@ def measured(spark: SparkSession, tables: str, s: Settings) -> DataFrame:
     for (table, text), catalogs in by_table.items():
         named = [F.struct(F.lit(c["name"]).alias("catalog"), F.coalesce(F.expr(c["group"]).cast("string"), F.lit("(none)")).alias("grp")) for c in catalogs]
         body = F.coalesce(F.col(text), F.lit(""))
-        sizes = [("words", F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+"))), ("chars", F.length(body))]
-        blank = sizes[0][1] == 0
-        pair = F.array(*(F.struct(F.lit(n).alias("measure"), F.when(blank, 0).otherwise(x).cast("bigint").alias("size")) for n, x in sizes))
-        rows = spark.read.parquet(f"{tables}/{table}.parquet").select(F.array(*named).alias("c"), pair.alias("m"))
-        out.append(rows.select(F.explode("c").alias("c"), "m").select("c.*", F.explode("m").alias("m")).select("catalog", "grp", "m.*"))
-    return reduce(DataFrame.unionByName, out)
+        out.append(spark.read.parquet(f"{tables}/{table}.parquet").select(F.array(*named).alias("c"), word_count(body).alias("words"), F.length(body).alias("chars")))
+    rows = scratch.keep(reduce(DataFrame.unionByName, out), "texts")
+    pair = F.array(*(F.struct(F.lit(n).alias("measure"), F.when(F.col("words") == 0, 0).otherwise(F.col(n)).cast("bigint").alias("size")) for n in ("words", "chars")))
+    return rows.select(F.explode("c").alias("c"), pair.alias("m")).select("c.*", F.explode("m").alias("m")).select("catalog", "grp", "m.*")
 
 
 def spectra_of(sizes: DataFrame, s: Settings) -> DataFrame:
@@ -90,7 +99,7 @@ def run(spark: SparkSession, tables: str, out: str, s: Settings | None = None) -
     """Measure the tables under ``tables`` and replace both outputs under ``out``."""
     s = s or Settings()
     scratch = Scratch(spark, "text_spectra")
-    sizes = scratch.keep(measured(spark, tables, s), "sizes")
+    sizes = measured(spark, tables, s, scratch)
     read = {r["catalog"]: r["n"] for r in sizes.where("measure = 'chars'").groupBy("catalog").agg(F.count("*").alias("n")).collect()}
     for c in s.catalogs:
         log.info("catalog %s: read %d texts of %s/%s", c["name"], read.get(c["name"], 0), tables, c["table"])

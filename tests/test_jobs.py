@@ -5,11 +5,13 @@ import json
 import logging
 import math
 import random
+import re
 import statistics
 from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import common, snapshot_catalogs, text_spectra
 from jobs.snapshot_catalogs import Settings, read_catalog, run
@@ -209,6 +211,15 @@ def check_text_output(spark, out, texts):
     return groups
 
 
+def test_words_are_counted_without_cutting_them_out(spark):
+    """The counts of the regular expression, on odd blanks and marks too, by a plan that has no regular expression."""
+    texts = ["", " ", "a", "\t\n", "\n\t", "\n\ta\n\t", " a  b\x0b\x0cc\r\nd ", "a\tb\t\tc", "\u00e9\u00a0x \u65e5\u672c \U0001f600", "\x00 \x1f", "x" * 999 + " " * 999 + "y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    counted = df.select("id", text_spectra.word_count(F.col("t")).alias("n"))
+    assert [r["n"] for r in counted.orderBy("id").collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    assert "regexp" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_spectra(spark, tmp_path, caplog, monkeypatch):
     caplog.set_level(logging.INFO, "jobs")
     where, out = str(tmp_path / "tables"), str(tmp_path / "out")
